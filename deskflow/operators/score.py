@@ -194,3 +194,24 @@ def triage_rows(scored: DataFrame, key: str = "ticket_id", chat: bool = False) -
     return scored.where(F.col("risk_level") == "High").select(
         F.col(key).alias("ticket_id"), reason.alias("reason"),
         F.col("category").alias("original_prediction"), F.lit("Pending").alias("status"))
+
+
+def keyword_hits_long(df: DataFrame, text: str = "description", key: str = "ticket_id") -> DataFrame:
+    """#36 long form: (key, department, hits) for every department with hits > 0.
+
+    The twelve counts are computed in one projection and unpivoted with
+    ``inline`` -- no cross join with a keyword table and no shuffle.
+    """
+    hits = R.department_hits(text)
+    rows = F.array(*[F.struct(F.lit(d).alias("department"), h.alias("hits")) for d, h in hits.items()])
+    return df.select(key, F.inline(rows)).where(F.col("hits") > 0)
+
+
+def route_departments(df: DataFrame, text: str = "description", key: str = "ticket_id") -> DataFrame:
+    """#37: department chosen by the keyword router, with the hits of its list."""
+    names = R.department_hit_columns()
+    t = df.select(key, text, *[h.alias(n) for h, n in zip(R.department_hits(text).values(), names)])
+    hits = [F.col(n) for n in names]
+    dept = R.department_router(hits, text)
+    return t.select(key, dept.alias("department"), *names).select(
+        key, "department", R.routed_hits(F.col("department"), hits).alias("department_hits"))
