@@ -1,0 +1,22 @@
+"""Task-count guard for CPU-heavy, per-row text stages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread ``df`` over at least one task per core before a CPU-bound projection.
+
+    A table stored as one small file (one row group) is read by a single task,
+    leaving every other core idle while each row runs hundreds of substring
+    tests. Large inputs already have many splits, so for them this is a no-op
+    and no shuffle is added. Round-robin repartitioning sorts rows first, so a
+    retried task sees the same rows.
+    """
+    if df.isStreaming:
+        return df
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

@@ -15,6 +15,7 @@ from ..functions import lexicons as L
 from ..functions import routing as R
 from ..functions import text as X
 from ..functions.formatting import percent_1dp
+from .parallel import ensure_parallelism
 
 PREDICTION_COLUMNS = [
     "category", "intent", "priority", "confidence", "intent_confidence",
@@ -40,6 +41,7 @@ def score_tickets(df: DataFrame, text: str = "description", keys: list[str] | No
     (#45) with ``risk_score = 1 - confidence``.
     """
     keys = keys if keys is not None else ["ticket_id"]
+    df = ensure_parallelism(df)
     category, conf, _ = R.fallback_category(text)
     pos = X.positive_word_count(text)
     neg = X.negative_word_count(text)
@@ -97,6 +99,7 @@ def score_tickets_model(df: DataFrame, probs: DataFrame, text: str = "descriptio
     keyword priority (#34), lexicon sentiment (#31), gap (#44), risk tiers (#45).
     """
     folded = fold_probabilities(probs, key)
+    df = ensure_parallelism(df)
     hit_names = R.department_hit_columns()
     hits_by_dept = R.department_hits(text)
     t = df.select(key, text, *[h.alias(n) for h, n in zip(hits_by_dept.values(), hit_names)])
@@ -202,6 +205,7 @@ def keyword_hits_long(df: DataFrame, text: str = "description", key: str = "tick
     The twelve counts are computed in one projection and unpivoted with
     ``inline`` -- no cross join with a keyword table and no shuffle.
     """
+    df = ensure_parallelism(df)
     hits = R.department_hits(text)
     rows = F.array(*[F.struct(F.lit(d).alias("department"), h.alias("hits")) for d, h in hits.items()])
     return df.select(key, F.inline(rows)).where(F.col("hits") > 0)
@@ -210,6 +214,7 @@ def keyword_hits_long(df: DataFrame, text: str = "description", key: str = "tick
 def route_departments(df: DataFrame, text: str = "description", key: str = "ticket_id") -> DataFrame:
     """#37: department chosen by the keyword router, with the hits of its list."""
     names = R.department_hit_columns()
+    df = ensure_parallelism(df)
     t = df.select(key, text, *[h.alias(n) for h, n in zip(R.department_hits(text).values(), names)])
     hits = [F.col(n) for n in names]
     dept = R.department_router(hits, text)
