@@ -43,3 +43,34 @@ def percent_1dp(fraction: Column) -> Column:
     """Python's f"{x:.1%}" for 0 <= x: e.g. 0.3333 -> '33.3%'."""
     t = tenths_half_even(fraction * 100.0)
     return F.concat((t / 10).cast("long").cast("string"), F.lit("."), (t % 10).cast("string"), F.lit("%"))
+
+
+# 2**27 + 1: splits a double into two halves whose products are exact (Dekker).
+_SPLITTER = 134217729.0
+
+
+def _sign_of_product_minus(v: Column, b: float, m: Column) -> Column:
+    """sign(v * b - m) computed exactly; ``b`` a small integer (< 2**26)."""
+    p = v * b
+    c = v * _SPLITTER
+    vh = c - (c - v)
+    vl = v - vh
+    e = (vh * b - p) + vl * b  # v * b == p + e exactly
+    d = p - m
+    return F.when(d != 0, F.signum(d)).otherwise(F.signum(e))
+
+
+def py_round(x: Column, digits: int = 4) -> Column:
+    """Python's ``round(x, digits)`` for doubles: the exact binary value is
+    rounded half-to-even. Spark's ``round`` rounds the shortest decimal text
+    half-up instead (0.01075 -> 0.0108, Python gives 0.0107)."""
+    s = float(10 ** digits)
+    a = F.abs(x)
+    t0 = F.floor(a * s + 0.5).cast("double")
+    lo = _sign_of_product_minus(a, 2 * s, 2.0 * t0 - 1.0)
+    hi = _sign_of_product_minus(a, 2 * s, 2.0 * t0 + 1.0)
+    even_lo = F.when((t0 - 1.0) % 2.0 == 0.0, t0 - 1.0).otherwise(t0)
+    even_hi = F.when(t0 % 2.0 == 0.0, t0).otherwise(t0 + 1.0)
+    t = (F.when(lo < 0, t0 - 1.0).when(hi > 0, t0 + 1.0)
+         .when(lo == 0, even_lo).when(hi == 0, even_hi).otherwise(t0))
+    return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.signum(x) * (t / s) + 0.0)

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
+from .formatting import py_round
 from .text import any_contained, count_contained, lower_text
 
 
@@ -63,7 +64,7 @@ def routed_hits(department: Column, hits: list[Column]) -> Column:
 
 def router_confidence(hits_of_label: Column) -> Column:
     """#40 router branch: round(min(0.95, 0.6 + 0.1 * hits), 4)."""
-    return F.round(F.least(F.lit(L.ROUTER_CONFIDENCE_CAP),
+    return py_round(F.least(F.lit(L.ROUTER_CONFIDENCE_CAP),
                            L.ROUTER_CONFIDENCE_BASE + L.ROUTER_CONFIDENCE_STEP * hits_of_label), 4)
 
 
@@ -101,7 +102,7 @@ def intent_from_department(department: Column) -> Column:
 def intent_confidence(department: Column, hits: list[Column]) -> Column:
     """#47: round(min(0.99, 0.6 + 0.1 * hits of the label's routing list), 4)."""
     h = routed_hits(department, hits)
-    return F.round(F.least(F.lit(L.INTENT_CONFIDENCE_CAP),
+    return py_round(F.least(F.lit(L.INTENT_CONFIDENCE_CAP),
                            L.ROUTER_CONFIDENCE_BASE + L.ROUTER_CONFIDENCE_STEP * h), 4)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import routing as R
 from ..functions import text as X
-from ..functions.formatting import percent_1dp
+from ..functions.formatting import percent_1dp, py_round
 from .parallel import ensure_parallelism
 
 PREDICTION_COLUMNS = [
@@ -61,11 +61,11 @@ def score_tickets(df: DataFrame, text: str = "description", keys: list[str] | No
         F.col("category"),
         intent.alias("intent"),
         X.priority_from_urgency(F.col("urgency_score")).alias("priority"),
-        F.round(c, 4).alias("confidence"),
-        F.round(c * 0.8, 4).alias("intent_confidence"),
+        py_round(c, 4).alias("confidence"),
+        py_round(c * 0.8, 4).alias("intent_confidence"),
         level.alias("risk_level"),
-        F.round(1 - c, 4).alias("risk_score"),
-        F.round(c * 0.5, 4).alias("ambiguity_gap"),
+        py_round(1 - c, 4).alias("risk_score"),
+        py_round(c * 0.5, 4).alias("ambiguity_gap"),
         F.col("_sent").cast("double").alias("sentiment_score"),
         X.sentiment_score_label(F.col("_sent")).alias("sentiment_label"),
         F.col("urgency_score"),
@@ -84,7 +84,7 @@ def fold_probabilities(probs: DataFrame, key: str = "ticket_id") -> DataFrame:
     bounded by the class count however large the table is.
     """
     top = F.min(F.struct((-F.col("p")).alias("neg_p"), F.col("label").alias("label")))
-    rounded = F.round(F.col("p"), 4)
+    rounded = py_round(F.col("p"), 4)
     return probs.groupBy(key).agg(
         top.alias("_top"),
         F.map_from_entries(F.collect_list(F.struct(F.col("label"), rounded))).alias("category_probabilities"),
@@ -112,7 +112,7 @@ def score_tickets_model(df: DataFrame, probs: DataFrame, text: str = "descriptio
         F.when(kept, F.col("model_label")).otherwise(rule_dept).alias("_arbitrated"),
     ).select(
         "*",
-        F.when(kept, F.round(F.col("model_p"), 4))
+        F.when(kept, py_round(F.col("model_p"), 4))
          .otherwise(R.router_confidence(R.routed_hits(F.col("_arbitrated"), hits))).alias("_conf"),
         R.keyword_override(text, F.col("_arbitrated")).alias("category"),
     )
@@ -127,11 +127,11 @@ def score_tickets_model(df: DataFrame, probs: DataFrame, text: str = "descriptio
         F.col("category"),
         R.intent_from_department(F.col("category")).alias("intent"),
         X.priority_from_keywords(text).alias("priority"),
-        F.round(c, 4).alias("confidence"),
+        py_round(c, 4).alias("confidence"),
         R.intent_confidence(F.col("category"), hits).alias("intent_confidence"),
         level.alias("risk_level"),
-        F.round(risk_score, 4).alias("risk_score"),
-        F.round(gap, 4).alias("ambiguity_gap"),
+        py_round(risk_score, 4).alias("risk_score"),
+        py_round(gap, 4).alias("ambiguity_gap"),
         (pos - neg).cast("double").alias("sentiment_score"),
         X.sentiment_lexicon(text).alias("sentiment_label"),
         X.urgency_score(text).alias("urgency_score"),

@@ -8,6 +8,7 @@ from .registry import ORACLE, QUERIES
 
 _MODULES = [
     "q_scoring",
+    "q_tickets",
 ]
 
 

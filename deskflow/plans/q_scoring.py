@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions.formatting import py_round
 from ..operators import score as S
 from ..sources import fixtures as FX
 from . import sqlgen as G
@@ -170,12 +171,13 @@ def q_department_router(spark, sf_dir):
 def q_fallback_category(spark, sf_dir):
     """#38: ten-category rule classifier with hits/3 confidence."""
     cat, conf, _ = R.fallback_category("description")
-    return FX.tickets(spark, sf_dir).select("ticket_id", cat.alias("category"), F.round(conf, 4).alias("confidence"))
+    return FX.tickets(spark, sf_dir).select("ticket_id", cat.alias("category"), py_round(conf, 4).alias("confidence"))
 
 
-PF_CTE = """pr AS (SELECT ticket_id, label, p, round(p, 4) AS p4,
+PF_CTE = f"""pr0 AS (SELECT ticket_id, label, p, {G.py_round('p')} AS p4 FROM probabilities),
+pr AS (SELECT ticket_id, label, p, p4,
   row_number() OVER (PARTITION BY ticket_id ORDER BY p DESC, label) AS rn,
-  row_number() OVER (PARTITION BY ticket_id ORDER BY round(p, 4) DESC, label) AS rn4 FROM probabilities),
+  row_number() OVER (PARTITION BY ticket_id ORDER BY p4 DESC, label) AS rn4 FROM pr0),
 pf AS (SELECT ticket_id, max(CASE WHEN rn = 1 THEN label END) AS model_label, max(p) AS model_p,
   max(CASE WHEN rn4 = 1 THEN p4 END) - max(CASE WHEN rn4 = 2 THEN p4 END) AS model_gap
  FROM pr GROUP BY ticket_id)"""
@@ -196,14 +198,14 @@ MODEL_CTE = HITS_CTE + ",\n" + PF_CTE + f""",
 mt1 AS (SELECT kh.*, pf.model_label, pf.model_p, pf.model_gap,
   CASE WHEN pf.model_p >= 0.5 THEN pf.model_label ELSE {G.router_sql('kh.description')} END AS arbitrated
  FROM kh JOIN pf USING (ticket_id)),
-mt2 AS (SELECT *, CASE WHEN model_p >= 0.5 THEN round(model_p, 4)
+mt2 AS (SELECT *, CASE WHEN model_p >= 0.5 THEN {G.py_round('model_p')}
   ELSE round(least(0.95::DOUBLE, 0.6::DOUBLE + 0.1::DOUBLE * {G.routed_hits('arbitrated')}), 4) END AS conf,
   {G.override_sql('description', 'arbitrated')} AS category FROM mt1),
 scored_model AS (SELECT ticket_id, description, arbitrated, category, {G.intent_sql('category')} AS intent,
   {G.priority_from_keywords('description')} AS priority, round(conf, 4) AS confidence,
   round(least(0.99::DOUBLE, 0.6::DOUBLE + 0.1::DOUBLE * {G.routed_hits('category')}), 4) AS intent_confidence,
   {G.risk_tier_level('conf')} AS risk_level, round({G.risk_tier_score('conf')}, 4) AS risk_score,
-  round(CASE WHEN category IN ({_LABELS_SQL}) THEN model_gap ELSE greatest(0.0::DOUBLE, 2.0 * conf - 1.0) END, 4)
+  {G.py_round(f"CASE WHEN category IN ({_LABELS_SQL}) THEN model_gap ELSE greatest(0.0::DOUBLE, 2.0 * conf - 1.0) END")}
    AS ambiguity_gap,
   CAST({_feat['sentiment_score']} AS DOUBLE) AS sentiment_score,
   {G.sentiment_lexicon('description')} AS sentiment_label, {_feat['urgency_score']} AS urgency_score,
@@ -218,7 +220,7 @@ def _model_scored(spark, sf_dir):
 
 
 @query("arbitrate_model_rules", with_fixtures(MODEL_CTE)
-       + "SELECT ticket_id, arbitrated AS department, round(conf, 4) AS confidence FROM mt2")
+       + "SELECT ticket_id, arbitrated AS department, conf AS confidence FROM mt2")
 def q_arbitrate(spark, sf_dir):
     """#40: model label at >= 0.5, else the router's label and confidence."""
     t = FX.tickets(spark, sf_dir)
@@ -230,7 +232,7 @@ def q_arbitrate(spark, sf_dir):
     kept = F.col("model_p") >= L.MODEL_CONFIDENCE_MIN
     x = x.select("*", F.when(kept, F.col("model_label")).otherwise(R.department_router(hits, "description"))
                  .alias("department"))
-    return x.select("ticket_id", "department", F.when(kept, F.round("model_p", 4)).otherwise(
+    return x.select("ticket_id", "department", F.when(kept, py_round(F.col("model_p"), 4)).otherwise(
         R.router_confidence(R.routed_hits(F.col("department"), hits))).alias("confidence"))
 
 
@@ -283,12 +285,12 @@ def risk_formula_frame(probs):
     return g.select("ticket_id", "conf", "gap", risk.alias("risk"), level.alias("risk_level"))
 
 
-@query("risk_formula", with_fixtures(RISKF_CTE) + "SELECT ticket_id, round(risk, 4) AS risk, CASE WHEN risk > 0.6 "
+@query("risk_formula", with_fixtures(RISKF_CTE) + f"SELECT ticket_id, {G.py_round('risk')} AS risk, CASE WHEN risk > 0.6 "
        "THEN 'High' WHEN risk > 0.35 THEN 'Medium' ELSE 'Low' END AS risk_level FROM rf")
 def q_risk_formula(spark, sf_dir):
     """#46: evaluation risk from top probability and top-2 gap."""
     r = risk_formula_frame(FX.probabilities(spark, sf_dir))
-    return r.select("ticket_id", F.round("risk", 4).alias("risk"), "risk_level")
+    return r.select("ticket_id", py_round(F.col("risk"), 4).alias("risk"), "risk_level")
 
 
 @query("intent_confidence", with_fixtures(MODEL_CTE) + "SELECT ticket_id, category, intent_confidence FROM scored_model")

@@ -148,3 +148,26 @@ def fallback_sql(t: str) -> tuple[str, str, str]:
 
 def percent_1dp(x: str) -> str:
     return f"printf('%.1f%%', ({x}) * 100.0)"
+
+
+def py_round(x: str, digits: int = 4) -> str:
+    """DuckDB text of Python's round(x, digits) on doubles (exact, ties to even)."""
+    s = float(10 ** digits)
+    a = f"abs(CAST({x} AS DOUBLE))"
+    t0 = f"floor({a} * {s} + 0.5)"
+
+    def side(m: str) -> str:
+        b = 2 * s
+        p = f"({a} * {b})"
+        c = f"({a} * 134217729.0)"
+        vh = f"({c} - ({c} - {a}))"
+        vl = f"({a} - {vh})"
+        e = f"(({vh} * {b} - {p}) + {vl} * {b})"
+        d = f"({p} - ({m}))"
+        return f"(CASE WHEN {d} <> 0 THEN sign({d}) ELSE sign({e}) END)"
+
+    lo, hi = side(f"2.0 * {t0} - 1.0"), side(f"2.0 * {t0} + 1.0")
+    t = (f"(CASE WHEN {lo} < 0 THEN {t0} - 1.0 WHEN {hi} > 0 THEN {t0} + 1.0 "
+         f"WHEN {lo} = 0 THEN (CASE WHEN ({t0} - 1.0) % 2.0 = 0 THEN {t0} - 1.0 ELSE {t0} END) "
+         f"WHEN {hi} = 0 THEN (CASE WHEN {t0} % 2.0 = 0 THEN {t0} ELSE {t0} + 1.0 END) ELSE {t0} END)")
+    return f"(sign(CAST({x} AS DOUBLE)) * ({t} / {s}) + 0.0)"
