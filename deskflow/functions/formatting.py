@@ -39,10 +39,23 @@ def tenths_half_even(v: Column) -> Column:
     return t.cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a bound variable.
+
+    The exact-rounding expressions below use their input dozens of times. Bound
+    through a one-element ``transform``, an input that Catalyst later inlines
+    (for example when a filter is pushed below the projection defining it) is
+    still copied only once instead of dozens of times.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def percent_1dp(fraction: Column) -> Column:
     """Python's f"{x:.1%}" for 0 <= x: e.g. 0.3333 -> '33.3%'."""
-    t = tenths_half_even(fraction * 100.0)
-    return F.concat((t / 10).cast("long").cast("string"), F.lit("."), (t % 10).cast("string"), F.lit("%"))
+    def body(v):
+        t = tenths_half_even(v * 100.0)
+        return F.concat((t / 10).cast("long").cast("string"), F.lit("."), (t % 10).cast("string"), F.lit("%"))
+    return let(fraction.cast("double"), body)
 
 
 # 2**27 + 1: splits a double into two halves whose products are exact (Dekker).
@@ -64,6 +77,10 @@ def py_round(x: Column, digits: int = 4) -> Column:
     """Python's ``round(x, digits)`` for doubles: the exact binary value is
     rounded half-to-even. Spark's ``round`` rounds the shortest decimal text
     half-up instead (0.01075 -> 0.0108, Python gives 0.0107)."""
+    return let(x.cast("double"), lambda v: _py_round_body(v, digits))
+
+
+def _py_round_body(x: Column, digits: int) -> Column:
     s = float(10 ** digits)
     a = F.abs(x)
     t0 = F.floor(a * s + 0.5).cast("double")

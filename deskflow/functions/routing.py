@@ -31,16 +31,27 @@ def department_hits(text) -> dict[str, Column]:
     return {dept: count_contained(low, kws) for dept, kws in L.ROUTING_RULES}
 
 
+def department_hits_from(lowered: Column) -> list[Column]:
+    """#36 counts over an already lower-cased text column, in department order."""
+    return [count_contained(lowered, kws) for _, kws in L.ROUTING_RULES]
+
+
 def department_hit_columns() -> list[str]:
     return [f"hits_{i}" for i in range(len(L.ROUTING_RULES))]
 
 
-def department_router(hits: list[Column], text) -> Column:
+def tech_signal(lowered: Column) -> Column:
+    """Any high-signal technical phrase in the (lower-cased) text."""
+    return any_contained(lowered, L.TECH_PRIORITY_KEYWORDS)
+
+
+def department_router(hits: list[Column], text=None, signal: Column | None = None) -> Column:
     """#37 on precomputed per-department hits (list order of ROUTING_RULES).
 
     Highest hits wins, ties to the first department; no hits -> Customer Service.
     Technical Support takes precedence when a technical signal phrase is present
-    and its hits are at least every rival's.
+    and its hits are at least every rival's. Pass ``hits`` (and ``signal``) as
+    column references so each keyword count is evaluated once.
     """
     names = [d for d, _ in L.ROUTING_RULES]
     best_label, best = first_max_label(names, hits)
@@ -48,7 +59,8 @@ def department_router(hits: list[Column], text) -> Column:
     tech = hits[tech_i]
     rivals = [h for i, h in enumerate(hits) if i != tech_i]
     rival_max = F.greatest(*rivals)
-    signal = any_contained(lower_text(text), L.TECH_PRIORITY_KEYWORDS)
+    if signal is None:
+        signal = tech_signal(lower_text(text))
     return (F.when(best == 0, F.lit(L.DEFAULT_DEPARTMENT))
             .when((tech > 0) & signal & (tech >= rival_max), F.lit(L.TECHNICAL_DEPARTMENT))
             .otherwise(best_label))
@@ -68,11 +80,19 @@ def router_confidence(hits_of_label: Column) -> Column:
                            L.ROUTER_CONFIDENCE_BASE + L.ROUTER_CONFIDENCE_STEP * hits_of_label), 4)
 
 
-def fallback_category(text) -> tuple[Column, Column, Column]:
-    """#38: (category, confidence, best hits) of the rule-path classifier."""
-    low = lower_text(text)
+def fallback_counts(lowered: Column) -> list[Column]:
+    """#38 hit counts per rule-path category, in list order."""
+    return [count_contained(lowered, kws) for _, kws in L.FALLBACK_CATEGORIES]
+
+
+def fallback_category(text=None, counts: list[Column] | None = None) -> tuple[Column, Column, Column]:
+    """#38: (category, confidence, best hits) of the rule-path classifier.
+
+    Pass ``counts`` as column references (from ``fallback_counts``) so that each
+    keyword count is evaluated once per row.
+    """
     names = [c for c, _ in L.FALLBACK_CATEGORIES]
-    scores = [count_contained(low, kws) for _, kws in L.FALLBACK_CATEGORIES]
+    scores = counts if counts is not None else fallback_counts(lower_text(text))
     label, best = first_max_label(names, scores)
     category = F.when(best > 0, label).otherwise(F.lit(L.FALLBACK_DEFAULT_CATEGORY))
     confidence = F.when(best > 0, F.least(best / 3.0, F.lit(L.FALLBACK_CONFIDENCE_CAP))) \
@@ -80,18 +100,24 @@ def fallback_category(text) -> tuple[Column, Column, Column]:
     return category, confidence, best
 
 
-def keyword_override(text, category: Column) -> Column:
-    """#39: if any override list hits, its best route replaces the category.
+def override_counts(lowered: Column) -> dict[str, Column]:
+    """#39 hit counts per override route, keyed by route name."""
+    return {name: count_contained(lowered, kws) for name, kws in L.OVERRIDE_ROUTES}
 
-    Ties follow OVERRIDE_TIE_ORDER (Technical Support, PAYMENT, ACCOUNT, CONTACT).
-    """
-    low = lower_text(text)
-    by_name = {name: count_contained(low, kws) for name, kws in L.OVERRIDE_ROUTES}
+
+def override_label(counts: dict[str, Column], category: Column) -> Column:
+    """#39 on precomputed route counts: best route (tie order Technical Support,
+    PAYMENT, ACCOUNT, CONTACT) replaces ``category`` when any list hits."""
     order = L.OVERRIDE_TIE_ORDER
-    label, best = first_max_label(order, [by_name[n] for n in order])
+    label, best = first_max_label(order, [counts[n] for n in order])
     return F.when(best > 0, label).otherwise(category)
 
 
+def keyword_override(text, category: Column) -> Column:
+    """#39 straight from text (small inputs; frames use the two-step form)."""
+    return override_label(override_counts(lower_text(text)), category)
+
+
 def intent_from_department(department: Column) -> Column:
     """#41: mapped intent, else snake_case(label) + '_request'."""
     m = F.create_map(*[F.lit(x) for pair in L.DEPARTMENT_INTENT for x in pair])
@@ -99,11 +125,15 @@ def intent_from_department(department: Column) -> Column:
     return F.coalesce(F.element_at(m, department), F.concat(snake, F.lit("_request")))
 
 
-def intent_confidence(department: Column, hits: list[Column]) -> Column:
-    """#47: round(min(0.99, 0.6 + 0.1 * hits of the label's routing list), 4)."""
-    h = routed_hits(department, hits)
+def intent_confidence_from_hits(h: Column) -> Column:
+    """#47: round(min(0.99, 0.6 + 0.1 * h), 4) for the hits of the final label's list."""
     return py_round(F.least(F.lit(L.INTENT_CONFIDENCE_CAP),
-                           L.ROUTER_CONFIDENCE_BASE + L.ROUTER_CONFIDENCE_STEP * h), 4)
+                            L.ROUTER_CONFIDENCE_BASE + L.ROUTER_CONFIDENCE_STEP * h), 4)
+
+
+def intent_confidence(department: Column, hits: list[Column]) -> Column:
+    """#47 from a label and the twelve hit columns."""
+    return intent_confidence_from_hits(routed_hits(department, hits))
 
 
 def risk_tier(confidence: Column) -> tuple[Column, Column]:

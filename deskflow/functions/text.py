@@ -127,7 +127,11 @@ def priority_from_urgency(urgency: Column) -> Column:
 
 def priority_from_keywords(col) -> Column:
     """#34: any high keyword -> High, else any medium keyword -> Medium, else Low."""
-    low = lower_text(col)
+    return priority_from_lowered(lower_text(col))
+
+
+def priority_from_lowered(low: Column) -> Column:
+    """#34 over an already lower-cased text column."""
     return (F.when(any_contained(low, L.HIGH_PRIORITY_KEYWORDS), "High")
             .when(any_contained(low, L.MEDIUM_PRIORITY_KEYWORDS), "Medium").otherwise("Low"))
 

@@ -33,44 +33,53 @@ def _features_struct(text: str) -> Column:
     )
 
 
+def _with_text(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """Stage 1: keys, raw text and the lower-cased text, computed once per row."""
+    cols = list(dict.fromkeys(keys + [text]))
+    return ensure_parallelism(df).select(*cols, X.lower_text(text).alias("_low"))
+
+
 def score_tickets(df: DataFrame, text: str = "description", keys: list[str] | None = None) -> DataFrame:
     """#42 rule-path prediction record for every row of ``df``.
 
     Category from the ten-category keyword rules (#38), priority from urgency
     (#33), sentiment label from the score (#32), risk from confidence tiers
-    (#45) with ``risk_score = 1 - confidence``.
+    (#45) with ``risk_score = 1 - confidence``. Built in stages (text ->
+    keyword counts -> labels -> rounded outputs) so every keyword count is
+    evaluated once per row; no shuffle except the parallelism guard.
     """
     keys = keys if keys is not None else ["ticket_id"]
-    df = ensure_parallelism(df)
-    category, conf, _ = R.fallback_category(text)
-    pos = X.positive_word_count(text)
-    neg = X.negative_word_count(text)
-    base = df.select(
-        *keys,
-        category.alias("category"),
-        conf.alias("_conf"),
-        X.urgency_score(text).alias("urgency_score"),
-        (pos - neg).alias("_sent"),
+    low = F.col("_low")
+    counts = R.fallback_counts(low)
+    a = _with_text(df, text, keys)
+    b = a.select(
+        "*",
+        *[c.alias(f"_f{i}") for i, c in enumerate(counts)],
+        X.count_contained(low, L.URGENCY_KEYWORDS).alias("urgency_score"),
+        (X.count_contained(low, L.POSITIVE_WORDS) - X.count_contained(low, L.NEGATIVE_WORDS)).alias("_sent"),
         _features_struct(text).alias("features"),
     )
-    c = F.col("_conf")
-    level, _ = R.risk_tier(c)
+    category, conf, _ = R.fallback_category(counts=[F.col(f"_f{i}") for i in range(len(counts))])
+    c = b.select(*keys, "urgency_score", "_sent", "features",
+                 category.alias("category"), conf.alias("_conf"))
+    cf = F.col("_conf")
+    level, _ = R.risk_tier(cf)
     intent = F.concat(F.lower(F.col("category")), F.lit("_general"))
-    return base.select(
+    return c.select(
         *keys,
         F.col("category"),
         intent.alias("intent"),
         X.priority_from_urgency(F.col("urgency_score")).alias("priority"),
-        py_round(c, 4).alias("confidence"),
-        py_round(c * 0.8, 4).alias("intent_confidence"),
+        py_round(cf, 4).alias("confidence"),
+        py_round(cf * 0.8, 4).alias("intent_confidence"),
         level.alias("risk_level"),
-        py_round(1 - c, 4).alias("risk_score"),
-        py_round(c * 0.5, 4).alias("ambiguity_gap"),
+        py_round(1 - cf, 4).alias("risk_score"),
+        py_round(cf * 0.5, 4).alias("ambiguity_gap"),
         F.col("_sent").cast("double").alias("sentiment_score"),
         X.sentiment_score_label(F.col("_sent")).alias("sentiment_label"),
         F.col("urgency_score"),
-        F.create_map(F.col("category"), c).alias("category_probabilities"),
-        F.create_map(intent, c).alias("intent_probabilities"),
+        F.create_map(F.col("category"), cf).alias("category_probabilities"),
+        F.create_map(intent, cf).alias("intent_probabilities"),
         F.col("features"),
     )
 
@@ -81,62 +90,93 @@ def fold_probabilities(probs: DataFrame, key: str = "ticket_id") -> DataFrame:
     Adds the argmax label (ties to the first label in class order), its raw
     probability, the label -> round(p, 4) map and the gap between the two
     largest rounded values. Each group holds one row per class, so it is
-    bounded by the class count however large the table is.
+    bounded by the class count however large the table is; the aggregate is
+    partial (map-side) before the shuffle.
     """
     top = F.min(F.struct((-F.col("p")).alias("neg_p"), F.col("label").alias("label")))
-    rounded = py_round(F.col("p"), 4)
-    return probs.groupBy(key).agg(
+    r = probs.select(key, "label", "p", py_round(F.col("p"), 4).alias("_p4"))
+    g = r.groupBy(key).agg(
         top.alias("_top"),
-        F.map_from_entries(F.collect_list(F.struct(F.col("label"), rounded))).alias("category_probabilities"),
-        R.top2_gap(F.collect_list(rounded)).alias("model_gap"),
-    ).select(key, F.col("_top.label").alias("model_label"), (-F.col("_top.neg_p")).alias("model_p"),
-             "category_probabilities", "model_gap")
+        F.map_from_entries(F.collect_list(F.struct(F.col("label"), F.col("_p4")))).alias("category_probabilities"),
+        F.sort_array(F.collect_list("_p4"), False).alias("_p4s"),
+    )
+    return g.select(key, F.col("_top.label").alias("model_label"), (-F.col("_top.neg_p")).alias("model_p"),
+                    "category_probabilities", R.top2_gap(F.col("_p4s")).alias("model_gap"))
+
+
+def with_routing_counts(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """Text stage plus the twelve department hit counts (hits_0..hits_11), the
+    technical-signal flag and the four override route counts (_o_<route>)."""
+    low = F.col("_low")
+    a = _with_text(df, text, keys)
+    hits = R.department_hits_from(low)
+    return a.select(
+        "*",
+        *[h.alias(n) for h, n in zip(hits, R.department_hit_columns())],
+        R.tech_signal(low).alias("_signal"),
+        *[c.alias(f"_o_{i}") for i, c in enumerate(R.override_counts(low).values())],
+    )
+
+
+def _override_cols() -> dict[str, Column]:
+    return {name: F.col(f"_o_{i}") for i, (name, _) in enumerate(L.OVERRIDE_ROUTES)}
+
+
+def arbitrate(routed: DataFrame, folded: DataFrame, key: str = "ticket_id") -> DataFrame:
+    """#40 on a frame with routing counts: join the folded probabilities and
+    choose the model label (p >= 0.5) or the router's label and confidence."""
+    hits = [F.col(n) for n in R.department_hit_columns()]
+    j = routed.join(folded, key, "inner")
+    kept = F.col("model_p") >= L.MODEL_CONFIDENCE_MIN
+    rule_dept = R.department_router(hits, signal=F.col("_signal"))
+    a = j.select("*", F.when(kept, F.col("model_label")).otherwise(rule_dept).alias("_arbitrated"))
+    a = a.select("*", R.routed_hits(F.col("_arbitrated"), hits).alias("_arb_hits"))
+    return a.select("*", F.when(kept, py_round(F.col("model_p"), 4))
+                    .otherwise(R.router_confidence(F.col("_arb_hits"))).alias("_conf"))
 
 
 def score_tickets_model(df: DataFrame, probs: DataFrame, text: str = "description",
                         key: str = "ticket_id") -> DataFrame:
     """#43 model-path prediction: arbitration (#40), override (#39), intent (#41),
     keyword priority (#34), lexicon sentiment (#31), gap (#44), risk tiers (#45).
+
+    Staged: keyword counts per ticket, then one join to the per-ticket folded
+    probabilities (both sides hashed on the key), then label and rounding
+    projections over plain columns.
     """
-    folded = fold_probabilities(probs, key)
-    df = ensure_parallelism(df)
-    hit_names = R.department_hit_columns()
-    hits_by_dept = R.department_hits(text)
-    t = df.select(key, text, *[h.alias(n) for h, n in zip(hits_by_dept.values(), hit_names)])
-    hits = [F.col(n) for n in hit_names]
-    j = t.join(folded, key, "inner")
-    kept = F.col("model_p") >= L.MODEL_CONFIDENCE_MIN
-    rule_dept = R.department_router(hits, text)
-    s1 = j.select(
-        "*",
-        F.when(kept, F.col("model_label")).otherwise(rule_dept).alias("_arbitrated"),
-    ).select(
+    low = F.col("_low")
+    routed = with_routing_counts(df, text, [key]).select(
         "*",
-        F.when(kept, py_round(F.col("model_p"), 4))
-         .otherwise(R.router_confidence(R.routed_hits(F.col("_arbitrated"), hits))).alias("_conf"),
-        R.keyword_override(text, F.col("_arbitrated")).alias("category"),
+        X.count_contained(low, L.URGENCY_KEYWORDS).alias("urgency_score"),
+        (X.count_contained(low, L.POSITIVE_WORDS) - X.count_contained(low, L.NEGATIVE_WORDS)).alias("_sent"),
+        X.priority_from_lowered(low).alias("priority"),
+        X.sentiment_lexicon(text).alias("sentiment_label"),
+        _features_struct(text).alias("features"),
     )
-    c = F.col("_conf")
-    in_map = F.array_contains(F.map_keys("category_probabilities"), F.col("category"))
-    gap = F.when(in_map, F.col("model_gap")).otherwise(R.gap_proxy(c))
-    level, risk_score = R.risk_tier(c)
-    pos = X.positive_word_count(text)
-    neg = X.negative_word_count(text)
-    s2 = s1.select(
+    a = arbitrate(routed, fold_probabilities(probs, key), key)
+    hits = [F.col(n) for n in R.department_hit_columns()]
+    b = a.select("*", R.override_label(_override_cols(), F.col("_arbitrated")).alias("category"))
+    b = b.select("*", R.routed_hits(F.col("category"), hits).alias("_cat_hits"),
+                 F.array_contains(F.map_keys("category_probabilities"), F.col("category")).alias("_in_map"))
+    cf = F.col("_conf")
+    gap = F.when(F.col("_in_map"), F.col("model_gap")).otherwise(R.gap_proxy(cf))
+    b = b.select("*", gap.alias("_gap"))
+    level, risk_score = R.risk_tier(cf)
+    s2 = b.select(
         key,
         F.col("category"),
         R.intent_from_department(F.col("category")).alias("intent"),
-        X.priority_from_keywords(text).alias("priority"),
-        py_round(c, 4).alias("confidence"),
-        R.intent_confidence(F.col("category"), hits).alias("intent_confidence"),
+        F.col("priority"),
+        py_round(cf, 4).alias("confidence"),
+        R.intent_confidence_from_hits(F.col("_cat_hits")).alias("intent_confidence"),
         level.alias("risk_level"),
         py_round(risk_score, 4).alias("risk_score"),
-        py_round(gap, 4).alias("ambiguity_gap"),
-        (pos - neg).cast("double").alias("sentiment_score"),
-        X.sentiment_lexicon(text).alias("sentiment_label"),
-        X.urgency_score(text).alias("urgency_score"),
+        py_round(F.col("_gap"), 4).alias("ambiguity_gap"),
+        F.col("_sent").cast("double").alias("sentiment_score"),
+        F.col("sentiment_label"),
+        F.col("urgency_score"),
         F.col("category_probabilities"),
-        _features_struct(text).alias("features"),
+        F.col("features"),
     )
     return s2.withColumn("intent_probabilities", F.create_map(F.col("intent"), F.col("intent_confidence")))
 
@@ -205,18 +245,17 @@ def keyword_hits_long(df: DataFrame, text: str = "description", key: str = "tick
     The twelve counts are computed in one projection and unpivoted with
     ``inline`` -- no cross join with a keyword table and no shuffle.
     """
-    df = ensure_parallelism(df)
-    hits = R.department_hits(text)
-    rows = F.array(*[F.struct(F.lit(d).alias("department"), h.alias("hits")) for d, h in hits.items()])
-    return df.select(key, F.inline(rows)).where(F.col("hits") > 0)
+    a = _with_text(df, text, [key])
+    hits = R.department_hits_from(F.col("_low"))
+    names = [d for d, _ in L.ROUTING_RULES]
+    rows = F.array(*[F.struct(F.lit(d).alias("department"), h.alias("hits")) for d, h in zip(names, hits)])
+    return a.select(key, F.inline(rows)).where(F.col("hits") > 0)
 
 
 def route_departments(df: DataFrame, text: str = "description", key: str = "ticket_id") -> DataFrame:
     """#37: department chosen by the keyword router, with the hits of its list."""
-    names = R.department_hit_columns()
-    df = ensure_parallelism(df)
-    t = df.select(key, text, *[h.alias(n) for h, n in zip(R.department_hits(text).values(), names)])
-    hits = [F.col(n) for n in names]
-    dept = R.department_router(hits, text)
-    return t.select(key, dept.alias("department"), *names).select(
-        key, "department", R.routed_hits(F.col("department"), hits).alias("department_hits"))
+    t = with_routing_counts(df, text, [key])
+    hits = [F.col(n) for n in R.department_hit_columns()]
+    d = t.select(key, R.department_router(hits, signal=F.col("_signal")).alias("department"),
+                 *R.department_hit_columns())
+    return d.select(key, "department", R.routed_hits(F.col("department"), hits).alias("department_hits"))

@@ -170,8 +170,7 @@ def q_department_router(spark, sf_dir):
        + f"SELECT ticket_id, {_fcat} AS category, round({_fconf}, 4) AS confidence FROM fb")
 def q_fallback_category(spark, sf_dir):
     """#38: ten-category rule classifier with hits/3 confidence."""
-    cat, conf, _ = R.fallback_category("description")
-    return FX.tickets(spark, sf_dir).select("ticket_id", cat.alias("category"), py_round(conf, 4).alias("confidence"))
+    return S.score_tickets(FX.tickets(spark, sf_dir)).select("ticket_id", "category", "confidence")
 
 
 PF_CTE = f"""pr0 AS (SELECT ticket_id, label, p, {G.py_round('p')} AS p4 FROM probabilities),
@@ -225,15 +224,8 @@ def q_arbitrate(spark, sf_dir):
     """#40: model label at >= 0.5, else the router's label and confidence."""
     t = FX.tickets(spark, sf_dir)
     folded = S.fold_probabilities(FX.probabilities(spark, sf_dir, t))
-    names = R.department_hit_columns()
-    x = t.select("ticket_id", "description",
-                 *[h.alias(n) for h, n in zip(R.department_hits("description").values(), names)]).join(folded, "ticket_id")
-    hits = [F.col(n) for n in names]
-    kept = F.col("model_p") >= L.MODEL_CONFIDENCE_MIN
-    x = x.select("*", F.when(kept, F.col("model_label")).otherwise(R.department_router(hits, "description"))
-                 .alias("department"))
-    return x.select("ticket_id", "department", F.when(kept, py_round(F.col("model_p"), 4)).otherwise(
-        R.router_confidence(R.routed_hits(F.col("department"), hits))).alias("confidence"))
+    a = S.arbitrate(S.with_routing_counts(t, "description", ["ticket_id"]), folded)
+    return a.select("ticket_id", F.col("_arbitrated").alias("department"), F.col("_conf").alias("confidence"))
 
 
 @query("intent_from_department", with_fixtures(MODEL_CTE)
