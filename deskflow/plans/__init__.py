@@ -9,6 +9,7 @@ from .registry import ORACLE, QUERIES
 _MODULES = [
     "q_scoring",
     "q_tickets",
+    "q_reports",
 ]
 
 

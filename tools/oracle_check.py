@@ -128,7 +128,7 @@ def main(argv):
             if sd and not err:
                 err = "schema: " + "; ".join(sd)
         except Exception as e:  # noqa: BLE001
-            err, t1, t2 = f"ERROR {type(e).__name__}: {str(e)[:2000]}", time.time(), time.time()
+            err, t1, t2 = f"ERROR {type(e).__name__}: {str(e)[:600]}", time.time(), time.time()
         if err:
             bad += 1
         print(f"{name:32s} {'OK' if not err else 'MISMATCH'} rows={len(sdf) if not err or 'row' in err else '?'} "
