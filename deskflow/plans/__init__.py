@@ -10,6 +10,7 @@ _MODULES = [
     "q_scoring",
     "q_tickets",
     "q_reports",
+    "q_profile",
 ]
 
 
