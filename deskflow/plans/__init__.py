@@ -11,6 +11,7 @@ _MODULES = [
     "q_tickets",
     "q_reports",
     "q_profile",
+    "q_vectors",
 ]
 
 
