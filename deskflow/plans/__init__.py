@@ -12,6 +12,8 @@ _MODULES = [
     "q_reports",
     "q_profile",
     "q_vectors",
+    "q_training",
+    "q_stream",
 ]
 
 
