@@ -77,7 +77,17 @@ def py_round(x: Column, digits: int = 4) -> Column:
     """Python's ``round(x, digits)`` for doubles: the exact binary value is
     rounded half-to-even. Spark's ``round`` rounds the shortest decimal text
     half-up instead (0.01075 -> 0.0108, Python gives 0.0107)."""
-    return let(x.cast("double"), lambda v: _py_round_body(v, digits))
+    s = float(10 ** digits)
+    v = x.cast("double")
+    t = F.abs(v) * s
+    # Away from a midpoint, rint(|x| * 10^d) is the correct digit count (the
+    # product's rounding error is far below the distance to the midpoint) and
+    # dividing by 10^d gives the nearest double, as Python does; only values
+    # within 1e-6 of a midpoint take the exact comparison, bound through
+    # ``let`` so its many uses of x cost one copy.
+    near_mid = F.abs(t - F.floor(t) - 0.5) <= 1e-6
+    fast = F.signum(v) * (F.rint(t) / s) + 0.0
+    return F.when(near_mid, let(v, lambda w: _py_round_body(w, digits))).otherwise(fast)
 
 
 def _py_round_body(x: Column, digits: int) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.formatting import percent_1dp, py_round
 from ..functions.stopwords import english_stop_words
+from .parallel import ensure_parallelism
 
 TEXT_CANDIDATES = ["instruction", "text", "query", "question", "complaint", "description"]
 INTENT_CANDIDATES = ["intent", "label", "class", "target"]
@@ -96,7 +97,7 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 def with_engineered(df: DataFrame, text: str) -> DataFrame:
     """Corpus plus the nine engineered features and the urgency priority."""
-    out = X.with_features(df, text)
+    out = X.with_features(ensure_parallelism(df), text)
     return out.withColumn("predicted_priority", X.priority_from_urgency(F.col("urgency_score")))
 
 
@@ -206,10 +207,9 @@ def word_frequency(df: DataFrame, text: str, k: int = 150) -> DataFrame:
     Counting is a partial aggregate per word before the shuffle; the top-k is
     taken per partition and merged.
     """
-    stop = F.array(*[F.lit(w) for w in english_stop_words()])
-    toks = F.filter(F.split(X.clean_text(text), " "),
-                    lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
-    words = df.select(F.explode(toks).alias("word"))
+    words = ensure_parallelism(df).select(F.explode(F.split(X.clean_text(text), " ")).alias("word"))
+    # isin over a long literal list becomes a hash-set lookup (InSet).
+    words = words.where((F.length("word") >= 2) & ~F.col("word").isin(*english_stop_words()))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("count")) \
         .orderBy(F.desc("count"), "word").limit(k)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.formatting import py_round
 from ..functions.stopwords import english_stop_words
+from .parallel import ensure_parallelism
 
 
 def ngram_terms(tokens: Column, ngram_max: int = 2) -> Column:
@@ -39,15 +40,24 @@ def word_tokens(text: str, stop_words: bool = False) -> Column:
     """Lower-cased runs of two or more word characters (ASCII word class)."""
     toks = F.regexp_extract_all(X.lower_text(text), F.lit(r"\b\w\w+\b"), 0)
     if stop_words:
-        stop = F.array(*[F.lit(w) for w in english_stop_words()])
-        toks = F.filter(toks, lambda w: ~F.array_contains(stop, w))
+        stop = english_stop_words()
+        toks = F.filter(toks, lambda w: ~w.isin(*stop))
     return toks
 
 
-def term_counts(docs: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(key, term, tf): occurrences of each term per document."""
-    return docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term") \
-        .agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(docs: DataFrame, key: str, terms, tokens: Column | None = None) -> DataFrame:
+    """(key, term, tf): occurrences of each term per document.
+
+    When ``tokens`` is given it is computed once into a column and ``terms`` (a
+    function of that column) builds the n-grams from it; otherwise ``terms`` is
+    a column. The explicit NULL filter makes every use of this frame plan
+    identically, so Spark reuses its shuffle instead of recomputing it.
+    """
+    if tokens is not None:
+        docs = docs.select(key, tokens.alias("_tokens"))
+        terms = terms(F.col("_tokens"))
+    exploded = docs.select(key, F.explode(terms).alias("term")).where(F.col("term").isNotNull())
+    return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(tf: DataFrame, n_docs: Column, max_features: int, min_df: int = 1,
@@ -62,11 +72,11 @@ def vocabulary(tf: DataFrame, n_docs: Column, max_features: int, min_df: int = 1
     return top.select("term", "df", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"))
 
 
-def tfidf(docs: DataFrame, key: str, terms: Column, max_features: int, min_df: int = 1,
-          max_df: float = 1.0, sublinear_tf: bool = False) -> DataFrame:
+def tfidf(docs: DataFrame, key: str, terms, max_features: int, min_df: int = 1,
+          max_df: float = 1.0, sublinear_tf: bool = False, tokens: Column | None = None) -> DataFrame:
     """(key, term, idx, weight): smooth-idf TF-IDF rows, L2-normalised per document."""
     n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
-    tf = term_counts(docs, key, terms)
+    tf = term_counts(ensure_parallelism(docs), key, terms, tokens)
     vocab = vocabulary(tf, n_docs, max_features, min_df, max_df)
     idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
     tfv = (1 + F.log(F.col("tf"))) if sublinear_tf else F.col("tf").cast("double")
@@ -78,8 +88,8 @@ def tfidf(docs: DataFrame, key: str, terms: Column, max_features: int, min_df: i
 def tfidf_weights(docs: DataFrame, key: str, text: str, max_features: int = 5000) -> DataFrame:
     """#76: the training-script TF-IDF on cleaned text (1-2-grams, df in [2, 95 %],
     sublinear tf)."""
-    return tfidf(docs, key, ngram_terms(clean_tokens(text)), max_features, min_df=2, max_df=0.95,
-                 sublinear_tf=True)
+    return tfidf(docs, key, ngram_terms, max_features, min_df=2, max_df=0.95, sublinear_tf=True,
+                 tokens=clean_tokens(text))
 
 
 def top_terms(weights: DataFrame, k: int = 20) -> DataFrame:
