@@ -86,13 +86,16 @@ def q_head_rows(spark, sf_dir):
     return PR.head_rows(_corpus(spark, sf_dir), "id", 3)
 
 
-@query("detect_columns")
+@query("detect_columns", "SELECT 'instruction' AS text_column, 'intent' AS intent_column, "
+       "'category' AS category_column")
 def q_detect_columns(spark, sf_dir):
     """#13: detected text/intent/category columns of the corpus."""
     return PR.detect_columns(_corpus(spark, sf_dir))
 
 
-@query("detect_columns_fallback")
+@query("detect_columns_fallback", """SELECT CASE WHEN avg(length(coalesce(url, 'None'))) >=
+  avg(length(coalesce(html, 'None'))) THEN 'url' ELSE 'html' END AS text_column,
+  CAST(NULL AS VARCHAR) AS intent_column, CAST(NULL AS VARCHAR) AS category_column FROM pages""")
 def q_detect_columns_fallback(spark, sf_dir):
     """#13 fallback: no known text column in ``pages``; the longest string column wins."""
     return PR.detect_columns(read_table(spark, sf_dir, "pages"))
