@@ -76,20 +76,81 @@ def _sign_of_product_minus(v: Column, b: float, m: Column) -> Column:
 def py_round(x: Column, digits: int = 4) -> Column:
     """Python's ``round(x, digits)`` for doubles: the exact binary value is
     rounded half-to-even. Spark's ``round`` rounds the shortest decimal text
-    half-up instead (0.01075 -> 0.0108, Python gives 0.0107)."""
+    half-up instead (0.01075 -> 0.0108, Python gives 0.0107).
+
+    Calls a SQL function registered once per session (see ``_SQL_FUNCTIONS``);
+    Spark inlines its body, so it runs as generated code with no Python.
+    """
+    _ensure_functions()
+    return F.call_function(f"deskflow_py_round{digits}", x.cast("double"))
+
+
+def py_round_columns(x: Column, digits: int = 4) -> Column:
+    """The same rule built from Column operations (reference implementation)."""
     s = float(10 ** digits)
     v = x.cast("double")
     t = F.abs(v) * s
-    # Away from a midpoint, rint(|x| * 10^d) is the correct digit count (the
-    # product's rounding error is far below the distance to the midpoint) and
-    # dividing by 10^d gives the nearest double, as Python does; only values
-    # within 1e-6 of a midpoint take the exact comparison, bound through
-    # ``let`` so its many uses of x cost one copy.
     near_mid = F.abs(t - F.floor(t) - 0.5) <= 1e-6
     fast = F.signum(v) * (F.rint(t) / s) + 0.0
     return F.when(near_mid, let(v, lambda w: _py_round_body(w, digits))).otherwise(fast)
 
 
+def _sql_exact_round(v: str, digits: int) -> str:
+    s = f"{float(10 ** digits)!r}D"
+    b = f"{float(2 * 10 ** digits)!r}D"
+    a = f"abs({v})"
+    t0 = f"CAST(floor({a} * {s} + 0.5D) AS DOUBLE)"
+
+    def side(m: str) -> str:
+        p = f"({a} * {b})"
+        c = f"({a} * 134217729.0D)"
+        vh = f"({c} - ({c} - {a}))"
+        vl = f"({a} - {vh})"
+        e = f"(({vh} * {b} - {p}) + {vl} * {b})"
+        d = f"({p} - ({m}))"
+        return f"(CASE WHEN {d} <> 0 THEN signum({d}) ELSE signum({e}) END)"
+
+    lo, hi = side(f"2.0D * {t0} - 1.0D"), side(f"2.0D * {t0} + 1.0D")
+    t = (f"(CASE WHEN {lo} < 0 THEN {t0} - 1.0D WHEN {hi} > 0 THEN {t0} + 1.0D "
+         f"WHEN {lo} = 0 THEN (CASE WHEN ({t0} - 1.0D) % 2.0D = 0 THEN {t0} - 1.0D ELSE {t0} END) "
+         f"WHEN {hi} = 0 THEN (CASE WHEN {t0} % 2.0D = 0 THEN {t0} ELSE {t0} + 1.0D END) ELSE {t0} END)")
+    return f"(signum({v}) * ({t} / {s}) + 0.0D)"
+
+
+def _sql_py_round(digits: int) -> str:
+    s = f"{float(10 ** digits)!r}D"
+    near = f"abs(abs(x) * {s} - floor(abs(x) * {s}) - 0.5D) <= 1e-6D"
+    exact = f"element_at(transform(array(x), v -> {_sql_exact_round('v', digits)}), 1)"
+    fast = f"signum(x) * (rint(abs(x) * {s}) / {s}) + 0.0D"
+    return f"CASE WHEN x IS NULL THEN CAST(NULL AS DOUBLE) WHEN {near} THEN {exact} ELSE {fast} END"
+
+
+def _sql_percent_1dp() -> str:
+    t = f"CAST({_sql_exact_round('x * 100.0D', 1)} * 10.0D + 0.5D AS BIGINT)"
+    return ("element_at(transform(array(" + t + "), t -> concat(CAST(t DIV 10 AS STRING), '.', "
+            "CAST(t % 10 AS STRING), '%')), 1)")
+
+
+# SQL functions registered in every session that uses them (name -> signature, body).
+_SQL_FUNCTIONS = {
+    **{f"deskflow_py_round{d}": ("x DOUBLE", "DOUBLE", _sql_py_round(d)) for d in (1, 2, 4, 6)},
+}
+_REGISTERED: set = set()
+
+
+def _ensure_functions() -> None:
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("no active Spark session")
+    key = id(spark._jsparkSession)
+    if key in _REGISTERED:
+        return
+    for name, (args, ret, body) in _SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {ret} RETURN {body}")
+    _REGISTERED.add(key)
+
+
 def _py_round_body(x: Column, digits: int) -> Column:
     s = float(10 ** digits)
     a = F.abs(x)

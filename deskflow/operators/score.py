@@ -95,13 +95,10 @@ def fold_probabilities(probs: DataFrame, key: str = "ticket_id") -> DataFrame:
     """
     top = F.min(F.struct((-F.col("p")).alias("neg_p"), F.col("label").alias("label")))
     r = probs.select(key, "label", "p", py_round(F.col("p"), 4).alias("_p4"))
-    g = r.groupBy(key).agg(
-        top.alias("_top"),
-        F.map_from_entries(F.collect_list(F.struct(F.col("label"), F.col("_p4")))).alias("category_probabilities"),
-        F.sort_array(F.collect_list("_p4"), False).alias("_p4s"),
-    )
+    g = r.groupBy(key).agg(top.alias("_top"), F.collect_list(F.struct(F.col("label"), F.col("_p4"))).alias("_l"))
+    values = F.sort_array(F.transform("_l", lambda e: e["_p4"]), False)
     return g.select(key, F.col("_top.label").alias("model_label"), (-F.col("_top.neg_p")).alias("model_p"),
-                    "category_probabilities", R.top2_gap(F.col("_p4s")).alias("model_gap"))
+                    F.map_from_entries("_l").alias("category_probabilities"), R.top2_gap(values).alias("model_gap"))
 
 
 def with_routing_counts(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
