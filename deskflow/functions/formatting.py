@@ -125,12 +125,6 @@ def _sql_py_round(digits: int) -> str:
     return f"CASE WHEN x IS NULL THEN CAST(NULL AS DOUBLE) WHEN {near} THEN {exact} ELSE {fast} END"
 
 
-def _sql_percent_1dp() -> str:
-    t = f"CAST({_sql_exact_round('x * 100.0D', 1)} * 10.0D + 0.5D AS BIGINT)"
-    return ("element_at(transform(array(" + t + "), t -> concat(CAST(t DIV 10 AS STRING), '.', "
-            "CAST(t % 10 AS STRING), '%')), 1)")
-
-
 # SQL functions registered in every session that uses them (name -> signature, body).
 _SQL_FUNCTIONS = {
     **{f"deskflow_py_round{d}": ("x DOUBLE", "DOUBLE", _sql_py_round(d)) for d in (1, 2, 4, 6)},
