@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import routing as R
 from ..functions.formatting import py_round
+from ..session import checkpoint_dir
 
 SEED = 42
 
@@ -34,6 +35,7 @@ def rank_within_class(df: DataFrame, cls: str, id_col: str, seed: int = SEED,
     The partitioned frame is checkpointed so both passes see the same rows.
     """
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     k = df.withColumn("_key", order_key(id_col, seed))
     ordered = k.repartitionByRange(n, cls, "_key", id_col).sortWithinPartitions(cls, "_key", id_col)

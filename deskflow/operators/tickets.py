@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..session import scratch_path
+from ..session import checkpoint_dir, scratch_path
 
 ADDED_COLUMNS = [  # (name, type, default) added to older ticket tables
     ("misrouting_risk", "string", None),
@@ -92,6 +92,7 @@ def assign_ids(df: DataFrame, order_cols: list[str], start_after: Column | int =
     the same partitions even if an executor is lost in between.
     """
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     ordered = ordered.withColumn("_pid", F.spark_partition_id()) \
