@@ -80,9 +80,15 @@ def predict_argmax(probs: DataFrame, key: str = "ticket_id") -> DataFrame:
 
 
 def confusion_counts(pred: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
-    """(actual, predicted, n) for the pairs that occur."""
+    """(actual, predicted, n) for the pairs that occur.
+
+    At most classes^2 rows, used several times by every metric; it is
+    checkpointed once (shared folder) so the prediction pipeline underneath is
+    not recomputed for each use and the lineage survives executor loss.
+    """
+    checkpoint_dir(pred.sparkSession)
     return pred.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
 
 
 def per_class(conf: DataFrame) -> DataFrame:
