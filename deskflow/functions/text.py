@@ -180,14 +180,31 @@ def feature_columns(col) -> dict[str, Column]:
 
 
 def with_features(df, text_col: str, names: list[str] | None = None):
-    """Add engineered feature columns to ``df`` in one projection."""
-    cols = feature_columns(text_col)
+    """Add engineered feature columns to ``df``.
+
+    The text is lower-cased once into a helper column that the keyword counts
+    share (inside a lambda an inline ``lower`` would run once per keyword).
+    """
     keep = names or ENGINEERED_FEATURES
-    # sentiment_score reuses the two counts; compute counts first, then derive.
-    base = [c for c in keep if c != "sentiment_score"]
-    out = df.select("*", *[cols[c].alias(c) for c in base])
+    low = F.col("_low")
+    counts = {
+        "urgency_score": count_contained(low, L.URGENCY_KEYWORDS),
+        "negative_word_count": count_contained(low, L.NEGATIVE_WORDS),
+        "positive_word_count": count_contained(low, L.POSITIVE_WORDS),
+    }
+    plain = {
+        "text_length": text_length(text_col),
+        "word_count": word_count(text_col),
+        "avg_word_length": avg_word_length(text_col),
+        "has_question": has_question(text_col),
+        "exclamation_count": exclamation_count(text_col),
+    }
+    need_counts = [c for c in counts if c in keep or ("sentiment_score" in keep and c != "urgency_score")]
+    staged = df.select("*", lower_text(text_col).alias("_low"))
+    out = staged.select(*df.columns, *[plain[c].alias(c) for c in keep if c in plain],
+                        *[counts[c].alias(c) for c in need_counts])
     if "sentiment_score" in keep:
-        pos = F.col("positive_word_count") if "positive_word_count" in base else positive_word_count(text_col)
-        neg = F.col("negative_word_count") if "negative_word_count" in base else negative_word_count(text_col)
-        out = out.withColumn("sentiment_score", pos - neg)
-    return out
+        out = out.withColumn("sentiment_score", F.col("positive_word_count") - F.col("negative_word_count"))
+    extra = [c for c in need_counts if c not in keep]
+    order = [c for c in df.columns] + [c for c in ENGINEERED_FEATURES if c in keep]
+    return out.drop(*extra).select(*order)
