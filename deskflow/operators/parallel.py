@@ -11,11 +11,17 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     A table stored as one small file (one row group) is read by a single task,
     leaving every other core idle while each row runs hundreds of substring
     tests. Large inputs already have many splits, so for them this is a no-op
-    and no shuffle is added. Round-robin repartitioning sorts rows first, so a
-    retried task sees the same rows.
+    and no shuffle is added. Inputs that already contain a shuffle are left
+    alone (they are spread over the shuffle partitions, and asking for their
+    partition count would make adaptive execution run those stages early).
+    Round-robin repartitioning sorts rows first, so a retried task sees the
+    same rows.
     """
     if df.isStreaming:
         return df
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "InMemoryTableScan" in plan:
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
