@@ -39,3 +39,14 @@ def test_column_pruning_and_pushdown(spark, sf_dir):
 def test_tickets_view_reads_only_needed_event_columns(spark, sf_dir):
     p = _plan(queries()["risk_tiers"](spark, sf_dir))
     assert "ReadSchema: struct<event_id:bigint>" in p
+
+
+def test_parallelism_guard(spark, sf_dir):
+    from deskflow.operators.parallel import ensure_parallelism
+    one = spark.read.parquet(f"{sf_dir}/events.parquet")
+    spread = ensure_parallelism(one)
+    assert spread.rdd.getNumPartitions() >= min(spark.sparkContext.defaultParallelism, one.count())
+    shuffled = one.groupBy("user_id").count()
+    assert ensure_parallelism(shuffled) is shuffled      # already shuffled: untouched
+    wide = spark.range(0, 1000, numPartitions=64)
+    assert ensure_parallelism(wide) is wide              # enough splits: untouched
