@@ -137,3 +137,15 @@ def test_analytics_summary_row(spark, sf_dir):
     r = queries()["analytics_summary"](spark, sf_dir).first()
     assert sum(r.status_distribution.values()) == r.total_tickets
     assert len(r.recent_tickets) == 10
+
+
+def test_union_evolving_fills_defaults(spark):
+    old = spark.createDataFrame([(1, "Open")], "ticket_id long, status string")
+    new = spark.createDataFrame([(2, "Triage", "High", "ACCOUNT", 1, None)],
+                                "ticket_id long, status string, misrouting_risk string, route string, "
+                                "requires_human int, resolution string")
+    u = {r.ticket_id: r for r in TK.union_evolving(old, new).collect()}
+    assert u[1].requires_human == 0 and u[1].route is None and u[1].misrouting_risk is None
+    assert u[2].requires_human == 1 and u[2].route == "ACCOUNT"
+    # present columns are kept as they are
+    assert TK.evolve_schema(new).columns == new.columns
