@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -49,8 +50,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def _fill_unset(spark: SparkSession) -> None:
+    """Set what no one has set: a session time zone the caller chose stays."""
     for k in ("spark.sql.session.timeZone",):
-        spark.conf.set(k, "UTC")
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, "UTC")
     checkpoint_dir(spark)
 
 
@@ -58,11 +61,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (set by the cluster to shared storage).
-    Only when it is unset -- local runs and tests -- a scratch folder is made.
+    Only a local session without that setting (tests) gets a scratch folder of
+    its own; a cluster without it is refused, since its executors would write
+    to folders that the others cannot see.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         path = tempfile.mkdtemp(prefix="deskflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -71,12 +79,5 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique sub-folder of the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark).rstrip("/")
-    # mkdtemp only for local paths; on shared storage a unique suffix suffices.
-    if "://" in base and not base.startswith("file:"):
-        import uuid
-        return f"{base}/{name}-{uuid.uuid4().hex}"
-    local = base[len("file:"):] if base.startswith("file:") else base
-    os.makedirs(local, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=local)
+    """A unique sub-path of the shared checkpoint folder for a written table."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
