@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_dedup
+from . import decontaminate, language, simhash_dedup, toxicity
 from .common import read_docs
 
 QUERIES = {}
@@ -20,3 +20,21 @@ def query(fn):
 def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents``: 4-word shingles, 4 bits."""
     return simhash_dedup.near_duplicates(read_docs(spark, sf_dir), shingle=4, radius=4)
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a ``benchmark`` item, with the item and its best window."""
+    return decontaminate.contaminated(read_docs(spark, sf_dir), read_docs(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from ``labels.toxic``."""
+    return toxicity.toxicity(read_docs(spark, sf_dir), read_docs(spark, sf_dir, "labels"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from ``documents.lang``."""
+    return language.identify(read_docs(spark, sf_dir))
