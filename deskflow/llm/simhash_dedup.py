@@ -9,7 +9,7 @@ are ever compared.
 
 What is shuffled is packed: a task takes up to 4 096 fingerprints, hashes each
 variant to a short key (bits grow with the logarithm of the number of variants,
-so about one variant in 256 meets a stranger, which the verification drops),
+so about one variant in 128 meets a stranger, which the verification drops),
 sorts the keys and writes, per bucket of the key space, two bytes of key and
 twelve bits of owner for each variant.
 """
@@ -32,7 +32,7 @@ from .components import connected_components
 SEED = 42
 OWNER_BITS = 12
 FPS_PER_TASK = 3600  # average; a batch holds at most 2**OWNER_BITS
-ENTRIES_PER_BUCKET = 1 << 22
+ENTRIES_PER_BUCKET = 1 << 23
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -106,7 +106,8 @@ def _emit(fps: np.ndarray, masks: np.ndarray, key_bits: int, bucket_bits: int) -
         part = entries[lo:hi]
         owner = (part & np.uint64((1 << OWNER_BITS) - 1)).astype(np.uint16)
         key = (part >> np.uint64(OWNER_BITS)) & np.uint64((1 << local) - 1)
-        counts = np.bincount((key >> np.uint64(16)).astype(np.int64), minlength=1 << (local - 16)).astype(np.uint16)
+        counts = np.bincount((key >> np.uint64(16)).astype(np.int64), minlength=1 << (local - 16))
+        counts = counts.astype("<u1" if counts.max() < 256 else "<u4")
         if hi - lo < len(fps):  # few entries: carry only the fingerprints they name
             used, owner = np.unique(owner, return_inverse=True)
             table, owner = fps[used], owner.astype(np.uint16)
@@ -116,18 +117,18 @@ def _emit(fps: np.ndarray, masks: np.ndarray, key_bits: int, bucket_bits: int) -
             owner = np.append(owner, np.uint16(0))
         a, b = owner[0::2], owner[1::2]
         packed = np.stack([a & 255, (a >> 8) | ((b & 15) << 4), b >> 4], axis=1).astype(np.uint8)
-        head = np.array([len(table), hi - lo], dtype="<u4")
+        head = np.array([len(table), hi - lo, counts.itemsize], dtype="<u4")
         yield bucket, b"".join(x.tobytes() for x in (head, table, counts, key.astype("<u2"), packed))
 
 
 def _unpack(payload: bytes, local: int) -> tuple[np.ndarray, np.ndarray]:
     """(local key, owner fingerprint) of every entry of one payload."""
-    n_table, n = np.frombuffer(payload, "<u4", 2).tolist()
-    at = 8
+    n_table, n, width = np.frombuffer(payload, "<u4", 3).tolist()
+    at = 12
     table = np.frombuffer(payload, "<u8", n_table, at)
     at += 8 * n_table
-    counts = np.frombuffer(payload, "<u2", 1 << (local - 16), at)
-    at += 2 * len(counts)
+    counts = np.frombuffer(payload, f"<u{width}", 1 << (local - 16), at)
+    at += width * len(counts)
     low = np.frombuffer(payload, "<u2", n, at)
     at += 2 * n
     x = np.frombuffer(payload, np.uint8, (n + n % 2) // 2 * 3, at).reshape(-1, 3).astype(np.uint16)
@@ -136,7 +137,21 @@ def _unpack(payload: bytes, local: int) -> tuple[np.ndarray, np.ndarray]:
     return (high << np.uint64(16)) | low, table[owner]
 
 
-def _meet(key: np.ndarray, owner: np.ndarray, radius: int) -> np.ndarray:
+def _gather(payloads: list[bytes], local: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Entries of one bucket, sorted by key, as key and position in one word; owners by position; position bits."""
+    sizes = [int(np.frombuffer(p, "<u4", 2)[1]) for p in payloads]
+    total = sum(sizes)
+    span = max(1, total.bit_length())
+    order, owner, at = np.empty(total, np.uint64), np.empty(total, np.uint64), 0
+    for payload, n in zip(payloads, sizes):
+        key, owner[at:at + n] = _unpack(payload, local)
+        order[at:at + n] = (key << np.uint64(span)) | np.arange(at, at + n, dtype=np.uint64)
+        at += n
+    order.sort()
+    return order, owner, span
+
+
+def _meet(order: np.ndarray, owner: np.ndarray, span: int, radius: int) -> np.ndarray:
     """Links (m, 2) between owners that share a key and lie within ``radius`` bits.
 
     Of the owners of one key, the smallest is compared with all. Owners of the
@@ -145,16 +160,15 @@ def _meet(key: np.ndarray, owner: np.ndarray, radius: int) -> np.ndarray:
     key, so no link is lost. Pairwise links are not written out: linked owners
     end up in one component either way.
     """
-    span = len(key).bit_length()
-    order = (key << np.uint64(span)) | np.arange(len(key), dtype=np.uint64)
-    order.sort()
-    sorted_key = order >> np.uint64(span)
-    same = sorted_key[1:] == sorted_key[:-1]
-    shared = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
-    if not len(shared):
+    same = (order[1:] ^ order[:-1]) < np.uint64(1 << span)
+    shared = np.zeros(len(order), dtype=bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    hit = order[shared]
+    if not len(hit):
         return np.empty((0, 2), dtype=np.uint64)
-    run_key = sorted_key[shared]
-    who = owner[(order[shared] & np.uint64((1 << span) - 1)).astype(np.int64)]
+    run_key = hit >> np.uint64(span)
+    who = owner[(hit & np.uint64((1 << span) - 1)).astype(np.int64)]
     first = np.concatenate([[True], run_key[1:] != run_key[:-1]])
     begin = np.flatnonzero(first)
     run = np.cumsum(first) - 1
@@ -169,8 +183,8 @@ def _meet(key: np.ndarray, owner: np.ndarray, radius: int) -> np.ndarray:
         group = np.unique(who[begin[r]:begin[r] + size[r]])
         rest = group[np.bitwise_count(group ^ group[0]) > radius]
         for x in rest:
-            hit = group[(np.bitwise_count(group ^ x) <= radius) & (group != x)]
-            links.append(np.stack([np.full(len(hit), x), hit], axis=1))
+            near_x = group[(np.bitwise_count(group ^ x) <= radius) & (group != x)]
+            links.append(np.stack([np.full(len(near_x), x), near_x], axis=1))
     return np.concatenate(links)
 
 
@@ -204,7 +218,7 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     masks = ball((radius + 1) // 2)
     entries = max(1, total * len(masks))
     bucket_bits = max(0, math.ceil(math.log2(entries / ENTRIES_PER_BUCKET)))
-    key_bits = max(math.ceil(math.log2(entries)) + 8, bucket_bits + 17)
+    key_bits = max(math.ceil(math.log2(entries)) + 7, bucket_bits + 17)
     local = key_bits - bucket_bits
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +237,7 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
                                              ["bucket", "payload"])
 
     def collide(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack(p, local) for p in group.payload]
-        links = _forest(_meet(*(np.concatenate(x) for x in zip(*parts)), radius))
+        links = _forest(_meet(*_gather(list(group.payload), local), radius))
         return pd.DataFrame({"a": links[:, 0].view(np.int64), "b": links[:, 1].view(np.int64)})
 
     tasks = max(1, math.ceil(total / FPS_PER_TASK))
