@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, simhash_dedup, toxicity
+from ..session import scratch_path
+from . import decontaminate, language, mixing, simhash_dedup, token_output, toxicity
 from .common import read_docs
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
+MIX = {"powers": {"source": 0.7, "lang": 0.5, "topic": 0.8}, "keep": 0.5, "seed": 1}
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(fn):
@@ -38,3 +42,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from ``documents.lang``."""
     return language.identify(read_docs(spark, sf_dir))
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling plan of ``documents``, raked to tempered source, language and topic shares."""
+    return mixing.sample_plan(read_docs(spark, sf_dir), **MIX)
+
+
+ORACLE["op7_mixing"] = mixing.plan_sql(**MIX)
+
+
+@query
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token file of ``documents`` in id order, written, and read back as digests."""
+    path = scratch_path(spark, "token-file")
+    token_output.write_tokens(read_docs(spark, sf_dir), path, TOKENIZER)
+    return token_output.read_tokens(spark, path)

@@ -245,6 +245,17 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(collide, "a long, b long")
 
 
+def _named(marked: DataFrame, radius: int) -> DataFrame:
+    """(fp, component, component_id) of every distinct fingerprint in ``marked(doc_id, fp)``."""
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fps")
+    parts = connected_components(ball_links(distinct, radius))
+    named = distinct.join(parts, distinct["fp"] == parts["node"], "left").select(
+        "fp", "rep", F.coalesce("component", "fp").alias("component"))
+    named = materialize(named, "named")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return named.join(least, "component").select("fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs(doc_id, text)``.
 
@@ -259,30 +270,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     table gives an empty result; other columns are ignored.
     """
     marked = materialize(fingerprints(docs, shingle), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fps")
-    links = materialize(ball_links(distinct, radius), "links")
-    parts = connected_components(links)
-    named = distinct.join(parts, distinct["fp"] == parts["node"], "left").select(
-        "fp", "rep", F.coalesce("component", "fp").alias("component"))
-    named = materialize(named, "named")
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(
+    return marked.join(_named(marked, radius), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` without near duplicates: one row of each component stays.
 
-    That row has the component's smallest doc_id; of several rows with that id
-    (ties, repeated rows) the first by text stays. Rows whose component has no
-    id at all (all null) are kept once per fingerprint group.
+    That row has the component's smallest doc_id. Of several rows with that id
+    (ties, repeated rows) the first by text and then by the other columns
+    stays; of a component without any id, the first row by the same order.
+
+    Only ids meet the documents: the join with the ids that go is a broadcast
+    while Spark finds their table small, a shuffle join beyond.
     """
-    # decisions by id: a component's id is the id of the one document that stays
-    keep = (near_duplicates(docs, shingle, radius).where("doc_id <=> component_id")
-            .select(F.col("doc_id").alias("_kept_id")).distinct())
-    columns = docs.columns
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")
-    ordered = F.struct(*[F.col(f"`{c}`") for c in ["text", *[c for c in columns if c not in ("text", "doc_id")]]])
-    once = kept.groupBy("doc_id").agg(F.min(ordered).alias("_row"))
-    return once.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`").alias(c) for c in columns])
+    marked = materialize(fingerprints(docs, shingle), "fingerprints")
+    named = materialize(_named(marked, radius), "components")
+    repeated = materialize(marked.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "repeated")
+    gone = marked.join(named, "fp").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
+    gone = materialize(gone.union(repeated).distinct(), "dropped-ids")
+    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left_anti")
+    if repeated.isEmpty():
+        return kept
+
+    # ids on several rows: decide by row, with the row's own fingerprint
+    @F.pandas_udf("long")
+    def print_of(texts: pd.Series) -> pd.Series:
+        raw = (fingerprint((t or "").encode(), shingle) for t in texts)
+        return pd.Series(np.fromiter(raw, dtype=np.uint64, count=len(texts)).view(np.int64))
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.join(repeated, docs["doc_id"].cast("long").eqNullSafe(repeated["_id"]), "left_semi")
+    rows = rows.select(F.struct(*columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"),
+                       F.col("text").cast("string").alias("_text"), print_of(F.col("text").cast("string")).alias("fp"))
+    rows = rows.join(named, "fp").where(F.col("_id").eqNullSafe(F.col("component_id")))
+    first = rows.groupBy("component").agg(F.min(F.struct("_text", "_row")).alias("_first"))
+    return kept.unionByName(first.select("_first._row.*"))
