@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import gru
 from .bytewords import LETTERS, distinct, split_words, translate, word_bytes
 from .common import crc_fold, sub_batches
 
@@ -33,23 +34,6 @@ BATCH_BYTES = 12_000_000
 UNDETERMINED = "und"
 
 
-def _gate(x: np.ndarray) -> np.ndarray:
-    """Softsign gate between 0 and 1, in place: (1 + x / (1 + |x|)) / 2."""
-    d = np.abs(x)
-    d += 1
-    x /= d
-    x += 1
-    x *= 0.5
-    return x
-
-
-def _squash(x: np.ndarray) -> np.ndarray:
-    d = np.abs(x)
-    d += 1
-    x /= d
-    return x
-
-
 class ByteBiGru:
     """Two gated recurrent layers over bytes and a softmax on each position."""
 
@@ -70,13 +54,9 @@ class ByteBiGru:
         state = np.zeros((n, h), np.float32)
         out = np.empty((length, n, h), np.float32)
         for t in range(length) if d == "f" else range(length - 1, -1, -1):
-            a, r = x[pieces[:, t]], state @ u
-            gates = _gate(a[:, :2 * h] + r[:, :2 * h])
-            z, reset = gates[:, :h], gates[:, h:]
-            cand = _squash(a[:, 2 * h:] + reset * r[:, 2 * h:])
+            state, back = gru.forward(x[pieces[:, t]], state, u)
             if keep is not None:
-                keep.append((t, state, gates, cand, r[:, 2 * h:]))
-            state = cand + z * (state - cand)
+                keep.append((t, back))
             out[t] = state
         return out
 
@@ -108,20 +88,10 @@ class ByteBiGru:
             u = self.w[f"u{d}"]
             gx, gu = np.zeros_like(self.w[f"x{d}"]), np.zeros_like(u)
             back = np.zeros((n, h), np.float32)
-            for t, state, gates, cand, r in reversed(kept[d]):
-                back = back + from_out[t]
-                z, reset = gates[:, :h], gates[:, h:]
-                slope = 1 - np.abs(2 * gates - 1)  # the softsign's derivative is (1 - |y|)^2
-                d_gate = np.empty_like(gates)
-                d_cand = back * (1 - z) * (1 - np.abs(cand)) ** 2
-                d_gate[:, :h] = back * (state - cand)
-                d_gate[:, h:] = d_cand * r
-                d_gate *= 0.5 * slope ** 2
-                d_in = np.concatenate([d_gate, d_cand], axis=1)
-                d_rec = np.concatenate([d_gate, d_cand * reset], axis=1)
+            for t, step in reversed(kept[d]):
+                back, d_in, d_u = gru.backward(back + from_out[t], step, u)
                 np.add.at(gx, pieces[:, t], d_in)
-                gu += state.T @ d_rec
-                back = back * z + d_rec @ u.T
+                gu += d_u
             g[f"x{d}"], g[f"u{d}"] = gx, gu
         return g
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import decontaminate, language, mixing, simhash_dedup, token_output, toxicity
+from . import decontaminate, language, lm, mixing, simhash_dedup, token_output, toxicity
 from .common import read_docs
 
 QUERIES = {}
@@ -32,6 +32,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_docs(spark, sf_dir), read_docs(spark, sf_dir, "benchmark"))
 
 
+@query
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model and base log10 probabilities of every document."""
+    return lm.score_documents(read_docs(spark, sf_dir))
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from ``labels.toxic``."""
