@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import LETTERS, distinct, split_words, translate, word_bytes
-from .common import crc_fold, sub_batches
+from .common import crc_fold, materialize, sub_batches
 
 BUCKETS, DIM = 1 << 17, 6
 GRAMS = (3, 4, 5)
@@ -72,14 +72,9 @@ class SubwordSoftmax:
         self.out = rng.normal(0, 1.0, (DIM, 2))
         self.bias = np.zeros(2)
 
-    def word_margins(self, words: pa.Array) -> np.ndarray:
-        """Toxic minus clean logit of each word on its own, without the bias."""
-        table = (self.embed @ (self.out[:, 1] - self.out[:, 0])).astype(np.float32)
-        total, count = np.zeros(len(words)), np.zeros(len(words))
-        for word, grams in subwords(words):
-            np.add.at(total, word, table[grams].sum(axis=1))
-            np.add.at(count, word, grams.shape[1])
-        return total / np.maximum(count, 1)
+    def margins(self) -> np.ndarray:
+        """Toxic minus clean logit of each subword."""
+        return (self.embed @ (self.out[:, 1] - self.out[:, 0])).astype(np.float32)
 
     def margin_bias(self) -> float:
         return float(self.bias[1] - self.bias[0])
@@ -165,7 +160,7 @@ def _train(texts: list[str], labels: np.ndarray, rounds: int, seed: int = 3) ->
 
     filled = np.flatnonzero(np.diff(bounds) > 0)
     for epoch in range(rounds):
-        margin = net.word_margins(vocabulary)[index]
+        margin = Scorer(net.margins(), 0.0).word_margins(vocabulary)[index]
         _, first = window_margins(margin, bounds)
         order = rng.permutation(filled)
         for lo in range(0, len(order), 256):
@@ -178,20 +173,49 @@ def _train(texts: list[str], labels: np.ndarray, rounds: int, seed: int = 3) ->
     return net
 
 
-def fit(labelled: DataFrame, docs_per_class: int = 2500, rounds: int = 30) -> SubwordSoftmax | None:
-    """Train on ``labelled(doc_id, text, toxic)``; None without rows of both classes."""
-    rows = labelled.where("toxic in (0, 1) and text is not null")
-    counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+class Scorer:
+    """What scoring needs of a trained network: each subword's margin and the bias."""
+
+    def __init__(self, table: np.ndarray, bias: float):
+        self.table, self.bias = table, bias
+
+    def word_margins(self, words: pa.Array) -> np.ndarray:
+        """Toxic minus clean logit of each word on its own, without the bias."""
+        total, count = np.zeros(len(words)), np.zeros(len(words))
+        for word, grams in subwords(words):
+            np.add.at(total, word, self.table[grams].sum(axis=1))
+            np.add.at(count, word, grams.shape[1])
+        return total / np.maximum(count, 1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500, rounds: int = 30) -> Scorer | None:
+    """Train on ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``; None without rows of both classes.
+
+    Only ids meet the labels. The sample's ids (at most three times
+    ``docs_per_class``) then fetch their texts, and one task trains on them.
+    """
+    known = labels.where("toxic in (0, 1)").join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
     rate = F.when(F.col("toxic") == 1, min(1.0, docs_per_class / counts[1])).otherwise(min(1.0, docs_per_class / counts[0]))
-    draw = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < rate).select("text", "toxic")
-    sample = sorted((r.text, r.toxic) for r in sample.orderBy(F.xxhash64("text")).limit(3 * docs_per_class).collect())
-    return _train([t for t, _ in sample], np.array([y for _, y in sample]), rounds)
+    order = F.xxhash64("doc_id", F.lit("sample"))
+    draw = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
+    chosen = materialize(known.where(draw < rate).orderBy(order).limit(3 * docs_per_class), "labelled-sample")
+    sample = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # bounded by the limit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((t, y) for b in batches for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()))
+        if rows:
+            net = _train([t for t, _ in rows], np.array([y for _, y in rows]), rounds)
+            yield pa.RecordBatch.from_arrays([pa.array([net.margins().tobytes()], pa.binary()),
+                                              pa.array([net.margin_bias()])], ["margins", "bias"])
+
+    row = sample.repartition(1).mapInArrow(run, "margins binary, bias double").first()
+    return Scorer(np.frombuffer(row.margins, np.float32), row.bias) if row else None
 
 
-def score_texts(net: SubwordSoftmax | None, texts: pa.Array) -> np.ndarray:
+def score_texts(net: Scorer | None, texts: pa.Array) -> np.ndarray:
     """Toxic probability of each text's most toxic window (no word: that of the bias alone, at most 0.499)."""
     if net is None:
         return np.zeros(len(texts))
@@ -199,7 +223,7 @@ def score_texts(net: SubwordSoftmax | None, texts: pa.Array) -> np.ndarray:
     best = np.zeros(len(texts))
     if len(index):
         best, _ = window_margins(net.word_margins(vocabulary)[index], bounds)
-    score = 1 / (1 + np.exp(-np.clip(best + net.margin_bias(), -50, 50)))
+    score = 1 / (1 + np.exp(-np.clip(best + net.bias, -50, 50)))
     return np.where(np.diff(bounds) > 0, score, np.minimum(score, 0.499))
 
 
@@ -219,7 +243,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     held = crc_fold("doc_id", 5) == 0
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
-    net = fit(base.where(~held).join(known, "doc_id"), **bounds)
+    net = fit(base.where(~held), known, **bounds)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
