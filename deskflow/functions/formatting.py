@@ -129,7 +129,7 @@ def _sql_py_round(digits: int) -> str:
 _SQL_FUNCTIONS = {
     **{f"deskflow_py_round{d}": ("x DOUBLE", "DOUBLE", _sql_py_round(d)) for d in (1, 2, 4, 6)},
 }
-_REGISTERED: set = set()
+_REGISTERED = "deskflow.functions.registered"
 
 
 def _ensure_functions() -> None:
@@ -137,12 +137,11 @@ def _ensure_functions() -> None:
     spark = SparkSession.getActiveSession()
     if spark is None:
         raise RuntimeError("no active Spark session")
-    key = id(spark._jsparkSession)
-    if key in _REGISTERED:
+    if spark.conf.get(_REGISTERED, None) == "true":  # a new session starts without settings and without functions
         return
     for name, (args, ret, body) in _SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {ret} RETURN {body}")
-    _REGISTERED.add(key)
+    spark.conf.set(_REGISTERED, "true")
 
 
 def _py_round_body(x: Column, digits: int) -> Column:

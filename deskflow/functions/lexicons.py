@@ -329,3 +329,6 @@ CHAT_REPLY_NEUTRAL = (
 
 PRIORITY_ORDER = ["Critical", "High", "Medium", "Low"]
 RISK_LEVELS = ["High", "Medium", "Low"]
+
+# FIXED VALUE: channel of tickets that the chat opens.
+CHAT_CHANNEL = "Chatbot"

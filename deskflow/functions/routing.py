@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
-from .formatting import py_round
+from .formatting import let, py_round
 from .text import any_contained, count_contained, lower_text
 
 
@@ -114,8 +114,10 @@ def override_label(counts: dict[str, Column], category: Column) -> Column:
 
 
 def keyword_override(text, category: Column) -> Column:
-    """#39 straight from text (small inputs; frames use the two-step form)."""
-    return override_label(override_counts(lower_text(text)), category)
+    """#39 straight from text; the text is lowered and each route counted once per row."""
+    names = [name for name, _ in L.OVERRIDE_ROUTES]
+    counted = let(lower_text(text), lambda low: F.struct(*[c.alias(f"r{i}") for i, c in enumerate(override_counts(low).values())]))
+    return let(counted, lambda c: override_label({n: c[f"r{i}"] for i, n in enumerate(names)}, category))
 
 
 def intent_from_department(department: Column) -> Column:

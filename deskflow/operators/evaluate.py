@@ -36,9 +36,9 @@ def rank_within_class(df: DataFrame, cls: str, id_col: str, seed: int = SEED,
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     k = df.withColumn("_key", order_key(id_col, seed))
-    ordered = k.repartitionByRange(n, cls, "_key", id_col).sortWithinPartitions(cls, "_key", id_col)
+    by = (cls, "_key", id_col)  # without a count, adaptive execution sizes the partitions
+    ordered = (k.repartitionByRange(partitions, *by) if partitions else k.repartitionByRange(*by)).sortWithinPartitions(cls, "_key", id_col)
     ordered = ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
     ordered = ordered.checkpoint(eager=True)
     parts = ordered.groupBy("_pid", cls).agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
@@ -156,8 +156,7 @@ def confidence_histogram(pred: DataFrame, col: str = "max_p", bins: int = 50,
     b = F.when(mx == mn, F.lit(bins // 2)).otherwise(
         F.least(F.lit(bins - 1), F.floor((v - mn) / (mx - mn) * bins).cast("int")))
     counts = pred.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    edges = pred.agg(F.min(col).alias("mn"), F.max(col).alias("mx")).select(
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "mn", "mx")
+    edges = pred.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), mn.alias("mn"), mx.alias("mx"))
     width = (F.col("mx") - F.col("mn")) / bins
     return edges.join(counts, "bin", "left").select(
         "bin", (F.col("mn") + F.col("bin") * width).alias("lo"), (F.col("mn") + (F.col("bin") + 1) * width).alias("hi"),

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.formatting import percent_1dp, py_round
 from ..functions.stopwords import english_stop_words
-from .parallel import ensure_parallelism
 
 TEXT_CANDIDATES = ["instruction", "text", "query", "question", "complaint", "description"]
 INTENT_CANDIDATES = ["intent", "label", "class", "target"]
@@ -51,7 +50,8 @@ def head_rows(df: DataFrame, key: str, n: int = 3) -> DataFrame:
 
 
 def detect_columns(df: DataFrame) -> DataFrame:
-    """#13: text / intent / category column names from ordered candidate lists.
+    """#13: text / intent / category column names from ordered candidate lists, and
+    the number of texts the chosen column holds.
 
     The text column falls back to the string column with the longest mean
     length, measured by one aggregate over all string columns.
@@ -59,19 +59,19 @@ def detect_columns(df: DataFrame) -> DataFrame:
     def first(cands):
         return next((c for c in cands if c in df.columns), None)
     text_col = first(TEXT_CANDIDATES)
-    spark = df.sparkSession
     if text_col is None:
         strs = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
         lens = df.agg(F.array(*[F.struct(F.avg(F.length(F.coalesce(F.col(c), F.lit("None")))).alias("m"),
-                                         F.lit(-i).alias("neg_pos"), F.lit(c).alias("name"))
+                                         F.lit(-i).alias("neg_pos"), F.lit(c).alias("name"),
+                                         F.count(c).alias("texts"))
                                 for i, c in enumerate(strs)]).alias("a"))
         # One row with one entry per string column; the longest mean wins, ties
         # to the first column.
-        text = lens.select(F.array_max("a")["name"].alias("text_column"))
+        text = lens.select(F.array_max("a")["name"].alias("text_column"), F.array_max("a")["texts"].alias("texts"))
     else:
-        text = spark.range(1).select(F.lit(text_col).alias("text_column"))
+        text = df.agg(F.count(text_col).alias("texts")).select(F.lit(text_col).alias("text_column"), "texts")
     return text.select("text_column", F.lit(first(INTENT_CANDIDATES)).cast("string").alias("intent_column"),
-                       F.lit(first(CATEGORY_CANDIDATES)).cast("string").alias("category_column"))
+                       F.lit(first(CATEGORY_CANDIDATES)).cast("string").alias("category_column"), "texts")
 
 
 def uniqueness_ratio(df: DataFrame, text: str) -> DataFrame:
@@ -97,7 +97,7 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 def with_engineered(df: DataFrame, text: str) -> DataFrame:
     """Corpus plus the nine engineered features and the urgency priority."""
-    out = X.with_features(ensure_parallelism(df), text)
+    out = X.with_features(df, text)
     return out.withColumn("predicted_priority", X.priority_from_urgency(F.col("urgency_score")))
 
 
@@ -134,7 +134,8 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     b = F.when(mx == mn, F.lit(bins // 2)).otherwise(
         F.least(F.lit(bins - 1), ((v - mn) * bins / (mx - mn)).cast("double").cast("long").cast("int")))
     counts = df.where(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    edges = stats.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "mn", "mx", "mean")
+    edges = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), mn.alias("mn"), mx.alias("mx"),
+                                               st["mean"].alias("mean"))
     lo_e = F.when(F.col("mx") == F.col("mn"), F.col("mn") - 0.5).otherwise(F.col("mn").cast("double"))
     hi_e = F.when(F.col("mx") == F.col("mn"), F.col("mx") + 0.5).otherwise(F.col("mx").cast("double"))
     width = (hi_e - lo_e) / bins
@@ -165,14 +166,18 @@ def share(df: DataFrame, col: str) -> DataFrame:
 def boxplot(df: DataFrame, group: str, col: str) -> DataFrame:
     """#21: five-number summary per group with 1.5 IQR whiskers, ranked by
     median (largest first). Quartiles are exact (linear interpolation); the
-    whiskers are the extreme values inside the fences, found by joining each
-    row to its group's fences (one row per group) and aggregating again."""
+    whiskers are the extreme values inside the fences. The fences (one entry per
+    group) are looked up in a map in the row, so only the two aggregates shuffle."""
     v = F.col(col).cast("double")
     q = df.groupBy(group).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     q = q.select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     q = q.select("*", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo_fence"),
                  (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi_fence"))
-    j = df.select(group, v.alias("_v")).join(q, group)
+    names = ("q1", "median", "q3", "lo_fence", "hi_fence")
+    known = q.where(F.col(group).isNotNull())
+    fences = known.agg(F.map_from_entries(F.collect_list(F.struct(group, F.struct(*names))))).scalar()
+    j = df.where(F.col(group).isNotNull()).select(group, v.alias("_v"), F.element_at(fences, F.col(group)).alias("_q"))
+    j = j.select(group, "_v", "_q.*")
     inside = (F.col("_v") >= F.col("lo_fence")) & (F.col("_v") <= F.col("hi_fence"))
     w = j.groupBy(group, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"), F.max(F.when(inside, F.col("_v"))).alias("whisker_hi"),
@@ -207,7 +212,7 @@ def word_frequency(df: DataFrame, text: str, k: int = 150) -> DataFrame:
     Counting is a partial aggregate per word before the shuffle; the top-k is
     taken per partition and merged.
     """
-    words = ensure_parallelism(df).select(F.explode(F.split(X.clean_text(text), " ")).alias("word"))
+    words = df.select(F.explode(F.split(X.clean_text(text), " ")).alias("word"))
     # isin over a long literal list becomes a hash-set lookup (InSet).
     words = words.where((F.length("word") >= 2) & ~F.col("word").isin(*english_stop_words()))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("count")) \

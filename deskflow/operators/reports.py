@@ -90,8 +90,9 @@ def analytics_summary(t: DataFrame, triage: DataFrame) -> DataFrame:
     stats = triage_stats(t, triage)
     st = stats.select(F.struct(*stats.columns)).scalar()
     avg = avg_confidence(t).select("avg_confidence").scalar()
-    recent = recent_tickets(t).select(
-        F.collect_list(F.struct("ticket_id", "description", "status", "created_at"))).scalar()
+    newest = F.struct("created_at", "ticket_id", F.struct(*t.columns).alias("row"))
+    recent = recent_tickets(t).select(  # whole rows, at most ten, newest first
+        F.transform(F.sort_array(F.collect_list(newest), asc=False), lambda r: r["row"])).scalar()
     # One-row results enter as scalar subqueries: no join between the parts.
     return maps.select(
         st["total_tickets"].alias("total_tickets"), "*", avg.alias("avg_confidence"),
@@ -122,17 +123,22 @@ def kpi_cards(t: DataFrame) -> DataFrame:
     )
 
 
+def _or(column: str, default: str) -> Column:
+    """The value, or ``default`` where it is NULL or empty."""
+    return F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(default))
+
+
 def top_departments(t: DataFrame, k: int = 6) -> DataFrame:
-    """#68: the k largest departments (NULL -> Unknown). Ties keep first-seen
+    """#68: the k largest departments (NULL or '' -> Unknown). Ties keep first-seen
     order of a newest-first listing: the label seen most recently comes first."""
-    g = t.groupBy(F.coalesce(F.col("predicted_category"), F.lit("Unknown")).alias("department")).agg(
+    g = t.groupBy(_or("predicted_category", "Unknown").alias("department")).agg(
         F.count(F.lit(1)).alias("count"), F.max(F.struct("created_at", "ticket_id")).alias("_seen"))
     return g.orderBy(F.desc("count"), F.desc("_seen")).limit(k).drop("_seen")
 
 
 def status_share(t: DataFrame) -> DataFrame:
-    """#69: count per status (NULL -> Unknown) and its rounded percent share."""
-    g = t.groupBy(F.coalesce(F.col("status"), F.lit("Unknown")).alias("status")).agg(
+    """#69: count per status (NULL or '' -> Unknown) and its rounded percent share."""
+    g = t.groupBy(_or("status", "Unknown").alias("status")).agg(
         F.count(F.lit(1)).alias("count"))
     total = t.select(F.count(F.lit(1))).scalar()
     return g.select("status", "count", js_round(F.col("count") / total * 100).cast("long").alias("pct"))
@@ -142,9 +148,9 @@ RISK_ORDER = ["High", "Medium", "Low"]
 
 
 def risk_zero_filled(t: DataFrame) -> DataFrame:
-    """#70: counts for High, Medium, Low, all three always present; NULL counts
-    as Low, other labels are dropped. One conditional aggregate, then unpivot."""
-    r = F.coalesce(F.col("risk_level"), F.lit("Low"))
+    """#70: counts for High, Medium, Low, all three always present; NULL and ''
+    count as Low, other labels are dropped. One conditional aggregate, then unpivot."""
+    r = _or("risk_level", "Low")
     g = t.agg(*[F.count_if(r == lvl).alias(lvl) for lvl in RISK_ORDER])
     rows = F.array(*[F.struct(F.lit(lvl).alias("risk_level"), F.col(lvl).alias("count"), F.lit(i).alias("ord"))
                      for i, lvl in enumerate(RISK_ORDER)])
@@ -159,8 +165,8 @@ def confidence_band(conf: Column) -> tuple[Column, Column]:
 
 
 def distinct_departments(t: DataFrame) -> DataFrame:
-    """#72: distinct non-null department labels."""
-    return t.where(F.col("predicted_category").isNotNull()).select("predicted_category").distinct()
+    """#72: distinct department labels, neither NULL nor empty."""
+    return t.where(F.coalesce("predicted_category", F.lit("")) != "").select("predicted_category").distinct()
 
 
 def ticket_timeline(t: DataFrame) -> DataFrame:

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import routing as R
 from ..functions import text as X
-from ..functions.formatting import percent_1dp, py_round
-from .parallel import ensure_parallelism
+from ..functions.formatting import percent_1dp, py_round, py_round_columns
 
 PREDICTION_COLUMNS = [
     "category", "intent", "priority", "confidence", "intent_confidence",
@@ -36,7 +35,7 @@ def _features_struct(text: str) -> Column:
 def _with_text(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Stage 1: keys, raw text and the lower-cased text, computed once per row."""
     cols = list(dict.fromkeys(keys + [text]))
-    return ensure_parallelism(df).select(*cols, X.lower_text(text).alias("_low"))
+    return df.select(*cols, X.lower_text(text).alias("_low"))
 
 
 def score_tickets(df: DataFrame, text: str = "description", keys: list[str] | None = None) -> DataFrame:
@@ -46,7 +45,7 @@ def score_tickets(df: DataFrame, text: str = "description", keys: list[str] | No
     (#33), sentiment label from the score (#32), risk from confidence tiers
     (#45) with ``risk_score = 1 - confidence``. Built in stages (text ->
     keyword counts -> labels -> rounded outputs) so every keyword count is
-    evaluated once per row; no shuffle except the parallelism guard.
+    evaluated once per row; no shuffle.
     """
     keys = keys if keys is not None else ["ticket_id"]
     low = F.col("_low")
@@ -90,8 +89,9 @@ def fold_probabilities(probs: DataFrame, key: str = "ticket_id") -> DataFrame:
     Adds the argmax label (ties to the first label in class order), its raw
     probability, the label -> round(p, 4) map and the gap between the two
     largest rounded values. Each group holds one row per class, so it is
-    bounded by the class count however large the table is; the aggregate is
-    partial (map-side) before the shuffle.
+    bounded by the class count however large the table is. For stored tables in
+    the long form only: a model's probabilities are one array per ticket
+    (``model_columns``) and need neither this shuffle nor a join.
     """
     top = F.min(F.struct((-F.col("p")).alias("neg_p"), F.col("label").alias("label")))
     r = probs.select(key, "label", "p", py_round(F.col("p"), 4).alias("_p4"))
@@ -119,11 +119,25 @@ def _override_cols() -> dict[str, Column]:
     return {name: F.col(f"_o_{i}") for i, (name, _) in enumerate(L.OVERRIDE_ROUTES)}
 
 
-def arbitrate(routed: DataFrame, folded: DataFrame, key: str = "ticket_id") -> DataFrame:
-    """#40 on a frame with routing counts: join the folded probabilities and
-    choose the model label (p >= 0.5) or the router's label and confidence."""
+MODEL_COLUMNS = ["model_label", "model_p", "category_probabilities", "model_gap"]
+
+
+def model_columns(labels: list[str], probabilities: Column) -> list[Column]:
+    """The columns of ``fold_probabilities`` from one array of probabilities per row, in the order of ``labels``."""
+    names = F.array(*[F.lit(x) for x in labels])
+    rounded = F.transform(probabilities, lambda p: py_round_columns(p, 4))
+    top = F.array_max(probabilities)
+    return [F.element_at(names, F.array_position(probabilities, top).cast("int")).alias("model_label"),
+            top.alias("model_p"), F.map_from_arrays(names, rounded).alias("category_probabilities"),
+            R.top2_gap(rounded).alias("model_gap")]
+
+
+def arbitrate(routed: DataFrame, folded: DataFrame | None, key: str = "ticket_id") -> DataFrame:
+    """#40 on a frame with routing counts: choose the model label (p >= 0.5) or
+    the router's label and confidence. The model's columns come from ``folded``
+    by a join, or are in the rows already (None)."""
     hits = [F.col(n) for n in R.department_hit_columns()]
-    j = routed.join(folded, key, "inner")
+    j = routed if folded is None else routed.join(folded, key, "inner")
     kept = F.col("model_p") >= L.MODEL_CONFIDENCE_MIN
     rule_dept = R.department_router(hits, signal=F.col("_signal"))
     a = j.select("*", F.when(kept, F.col("model_label")).otherwise(rule_dept).alias("_arbitrated"))
@@ -132,17 +146,18 @@ def arbitrate(routed: DataFrame, folded: DataFrame, key: str = "ticket_id") -> D
                     .otherwise(R.router_confidence(F.col("_arb_hits"))).alias("_conf"))
 
 
-def score_tickets_model(df: DataFrame, probs: DataFrame, text: str = "description",
+def score_tickets_model(df: DataFrame, probs: DataFrame | None, text: str = "description",
                         key: str = "ticket_id") -> DataFrame:
     """#43 model-path prediction: arbitration (#40), override (#39), intent (#41),
     keyword priority (#34), lexicon sentiment (#31), gap (#44), risk tiers (#45).
 
     Staged: keyword counts per ticket, then one join to the per-ticket folded
     probabilities (both sides hashed on the key), then label and rounding
-    projections over plain columns.
+    projections over plain columns. With ``probs`` None the rows carry
+    ``model_columns`` of a model that scored them, and nothing is joined.
     """
     low = F.col("_low")
-    routed = with_routing_counts(df, text, [key]).select(
+    routed = with_routing_counts(df, text, [key, *([] if probs is not None else MODEL_COLUMNS)]).select(
         "*",
         X.count_contained(low, L.URGENCY_KEYWORDS).alias("urgency_score"),
         (X.count_contained(low, L.POSITIVE_WORDS) - X.count_contained(low, L.NEGATIVE_WORDS)).alias("_sent"),
@@ -150,7 +165,7 @@ def score_tickets_model(df: DataFrame, probs: DataFrame, text: str = "descriptio
         X.sentiment_lexicon(text).alias("sentiment_label"),
         _features_struct(text).alias("features"),
     )
-    a = arbitrate(routed, fold_probabilities(probs, key), key)
+    a = arbitrate(routed, None if probs is None else fold_probabilities(probs, key), key)
     hits = [F.col(n) for n in R.department_hit_columns()]
     b = a.select("*", R.override_label(_override_cols(), F.col("_arbitrated")).alias("category"))
     b = b.select("*", R.routed_hits(F.col("category"), hits).alias("_cat_hits"),
@@ -236,6 +251,21 @@ def triage_rows(scored: DataFrame, key: str = "ticket_id", chat: bool = False) -
         F.col("category").alias("original_prediction"), F.lit("Pending").alias("status"))
 
 
+def queue_rows(scored: DataFrame, key: str = "ticket_id", time_col: str = "created_at", chat: bool = False) -> DataFrame:
+    """Whole triage-queue rows (#48 feeding #57-#61): id, reason, prediction, status and the columns actions fill.
+
+    A ticket enters the queue once, so its id serves as the queue row's id.
+    """
+    high = scored.where(F.col("risk_level") == "High")
+    empty = F.lit(None).cast("string")
+    reason = F.lit(L.TRIAGE_CHAT_REASON) if chat else triage_reasons(scored)
+    return high.select(
+        F.col(key).alias("triage_id"), F.col(key).alias("ticket_id"), reason.alias("reason"),
+        F.col("category").alias("original_prediction"), empty.alias("assigned_to"), empty.alias("action_taken"),
+        empty.alias("new_department"), F.lit("Pending").alias("status"), F.col(time_col).alias("created_at"),
+        F.lit(None).cast(scored.schema[time_col].dataType).alias("resolved_at"))
+
+
 def keyword_hits_long(df: DataFrame, text: str = "description", key: str = "ticket_id") -> DataFrame:
     """#36 long form: (key, department, hits) for every department with hits > 0.
 

@@ -21,6 +21,16 @@ ADDED_COLUMNS = [  # (name, type, default) added to older ticket tables
     ("requires_human", "int", 0),
     ("resolution", "string", None),
 ]
+UPDATED_COLUMNS = [  # what patches and triage actions write to a ticket
+    ("status", "string", None), ("assigned_department", "string", None), ("assigned_to", "string", None),
+    ("resolution_notes", "string", None), ("resolution", "string", None), ("predicted_priority", "string", None),
+    ("is_triage", "int", 0), ("updated_at", "timestamp_ntz", None), ("resolved_at", "timestamp_ntz", None),
+]
+QUEUE_COLUMNS = [  # what triage actions write to a queue row
+    ("status", "string", None), ("action_taken", "string", None), ("new_department", "string", None),
+    ("assigned_to", "string", None), ("resolved_at", "timestamp_ntz", None),
+]
+PATCH_FIELDS = ("status", "assigned_department", "assigned_to", "resolution_notes", "resolution", "predicted_priority")
 
 
 def probabilities_json(m: Column) -> Column:
@@ -46,6 +56,8 @@ def ticket_rows(scored: DataFrame, key: str = "ticket_id", channel: Column | Non
         F.col(key).alias("ticket_id"),
         "description",
         F.coalesce(F.col("customer_name"), F.lit("Anonymous")).alias("customer_name"),
+        (F.coalesce(F.col("customer_email"), F.lit("")) if "customer_email" in scored.columns else F.lit(""))
+        .alias("customer_email"),
         (channel if channel is not None else F.coalesce(F.col("channel"), F.lit("Chatbot"))).alias("channel"),
         F.col("category").alias("predicted_category"),
         F.col("intent").alias("predicted_intent"),
@@ -61,7 +73,11 @@ def ticket_rows(scored: DataFrame, key: str = "ticket_id", channel: Column | Non
         F.col("category").alias("route"),
         F.when(high, 1).otherwise(0).alias("requires_human"),
         F.lit(None).cast("string").alias("resolution"),
+        F.lit(None).cast("string").alias("assigned_to"),
+        F.lit(None).cast("string").alias("resolution_notes"),
         F.col("created_at"),
+        F.col("created_at").alias("updated_at"),
+        F.lit(None).cast(scored.schema["created_at"].dataType).alias("resolved_at"),
     )
 
 
@@ -93,8 +109,9 @@ def assign_ids(df: DataFrame, order_cols: list[str], start_after: Column | int =
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    # without a count, adaptive execution sizes the partitions
+    ordered = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
+    ordered = ordered.sortWithinPartitions(*order_cols)
     ordered = ordered.withColumn("_pid", F.spark_partition_id()) \
                      .withColumn("_mono", F.monotonically_increasing_id())
     ordered = ordered.checkpoint(eager=True)
@@ -198,26 +215,21 @@ def patch_tickets(t: DataFrame, patches: DataFrame, time_col: str = "patched_at"
 
     Only non-empty fields overwrite; a 'Resolved' status also sets
     ``resolved_at``; every patch sets ``updated_at``. Patches are folded per
-    ticket (newest non-empty value per column) and joined once.
+    ticket (newest non-empty value per column) and joined once. A ticket table
+    without one of the written columns gets it.
     """
-    fields = [c for c in ("status", "assigned_department", "assigned_to", "resolution_notes",
-                          "resolution", "predicted_priority") if c in patches.columns]
+    fields = [c for c in PATCH_FIELDS if c in patches.columns]
+    written = [*fields, "resolved_at", "updated_at"]
+    t = evolve_schema(t, [c for c in UPDATED_COLUMNS if c[0] in written])
     ts = F.col(time_col)
+    resolved = (F.col("status") == "Resolved") if "status" in fields else F.lit(False)
     folded = patches.groupBy("ticket_id").agg(
         *[_last(F.col(c), ts, _nonempty(c)).alias(f"_p_{c}") for c in fields],
-        F.max(F.when(F.col("status") == "Resolved", ts)).alias("_p_resolved_at"),
+        F.max(F.when(resolved, ts)).alias("_p_resolved_at"),
         F.max(ts).alias("_p_updated_at"),
     )
     j = t.join(folded, "ticket_id", "left")
-    out = j.select(
-        "*",
-        *[F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(f"_n_{c}") for c in fields if c in t.columns],
-        F.coalesce(F.col("_p_resolved_at"), F.col("resolved_at")).alias("_n_resolved_at"),
-        F.coalesce(F.col("_p_updated_at"), F.col("updated_at")).alias("_n_updated_at"),
-    )
-    for c in [c for c in fields if c in t.columns] + ["resolved_at", "updated_at"]:
-        out = out.withColumn(c, F.col(f"_n_{c}"))
-    return out.select(*t.columns)
+    return j.select(*[F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(c) if c in written else F.col(c) for c in t.columns])
 
 
 def triage_queue(triage: DataFrame, t: DataFrame) -> DataFrame:
@@ -276,32 +288,46 @@ def replay_actions(actions: DataFrame, kinds: tuple[str, ...] = ("accept", "reas
     return acts.groupBy("ticket_id").agg(*aggs, *touched)
 
 
+def _merge(base: DataFrame, folded: DataFrame, targets: dict[str, str]) -> DataFrame:
+    """``base`` with each target column overwritten where an action wrote its folded column."""
+    j = base.join(folded, "ticket_id", "left")
+    return j.select(*[
+        F.when(F.col(f"_t_{targets[c]}") == 1, F.col(f"_n_{targets[c]}")).otherwise(F.col(c)).alias(c)
+        if c in targets else F.col(c) for c in base.columns])
+
+
+def replay_tables(triage: DataFrame, t: DataFrame, actions: DataFrame,
+                  kinds: tuple[str, ...] = ("accept", "reassign", "escalate")) -> tuple[DataFrame, DataFrame]:
+    """(queue, tickets) after the action log: only the columns an action names change.
+
+    Everything else keeps the stored value, so batches can follow each other:
+    two in a row leave what one combined batch would. Tables without one of
+    the written columns get it; a ticket's department starts as its prediction.
+    """
+    folded = replay_actions(actions, kinds)
+    queue, ticket = _action_effects()
+    folded = folded.select("ticket_id", *[F.col(n).alias(f"_n_{n}") for n, _, _ in queue + ticket],
+                           *[f"_t_{n}" for n, _, _ in queue + ticket])
+    triage = evolve_schema(triage, QUEUE_COLUMNS)
+    if "assigned_department" not in t.columns:
+        t = t.withColumn("assigned_department", F.col("predicted_category"))
+    t = evolve_schema(t, UPDATED_COLUMNS)
+    q = _merge(triage, folded, {"status": "queue_status", "action_taken": "action_taken", "new_department": "new_department",
+                                "assigned_to": "queue_assigned_to", "resolved_at": "queue_resolved_at"})
+    k = _merge(t, folded, {"status": "ticket_status", "is_triage": "is_triage", "assigned_department": "assigned_department",
+                           "assigned_to": "assigned_to", "predicted_priority": "predicted_priority", "updated_at": "updated_at"})
+    return q, k
+
+
+def queue_state(queue: DataFrame, t: DataFrame) -> DataFrame:
+    """Queue rows next to the ticket columns that actions write."""
+    q = queue.select("ticket_id", F.col("status").alias("queue_status"), "action_taken", "new_department",
+                     F.col("assigned_to").alias("queue_assigned_to"), F.col("resolved_at").alias("queue_resolved_at"))
+    return q.join(t.select("ticket_id", F.col("status").alias("ticket_status"), "is_triage", "assigned_department",
+                           "assigned_to", "predicted_priority", "updated_at"), "ticket_id")
+
+
 def apply_triage_actions(triage: DataFrame, t: DataFrame, actions: DataFrame,
                          kinds: tuple[str, ...] = ("accept", "reassign", "escalate")) -> DataFrame:
     """Merge replayed actions into the queue and ticket rows of each triage ticket."""
-    folded = replay_actions(actions, kinds)
-    queue, ticket = _action_effects()
-    base_t = t.select(
-        "ticket_id", F.col("status").alias("o_ticket_status"), F.col("is_triage").alias("o_is_triage"),
-        F.col("predicted_category").alias("o_assigned_department"),
-        F.lit(None).cast("string").alias("o_assigned_to"),
-        F.col("predicted_priority").alias("o_predicted_priority"), F.col("updated_at").alias("o_updated_at"))
-    base_q = triage.select("ticket_id", F.col("status").alias("o_queue_status"))
-    j = base_q.join(base_t, "ticket_id").join(folded, "ticket_id", "left")
-    old = {
-        "queue_status": F.col("o_queue_status"),
-        "action_taken": F.lit(None).cast("string"),
-        "new_department": F.lit(None).cast("string"),
-        "queue_assigned_to": F.lit(None).cast("string"),
-        "queue_resolved_at": F.lit(None).cast("timestamp_ntz"),
-        "ticket_status": F.col("o_ticket_status"),
-        "is_triage": F.col("o_is_triage"),
-        "assigned_department": F.col("o_assigned_department"),
-        "assigned_to": F.col("o_assigned_to"),
-        "predicted_priority": F.col("o_predicted_priority"),
-        "updated_at": F.col("o_updated_at"),
-    }
-    cols = [F.col("ticket_id")]
-    for n, _, _ in queue + ticket:
-        cols.append(F.when(F.col(f"_t_{n}") == 1, F.col(n)).otherwise(old[n]).alias(n))
-    return j.select(*cols)
+    return queue_state(*replay_tables(triage, t, actions, kinds))

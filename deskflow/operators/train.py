@@ -1,97 +1,140 @@
 """Model training, comparison, cross-validation, report and persistence
 (#9, #80, #83-#87, #96, #97) with Spark ML.
 
-Features are the #80 pipeline (text vector + nine engineered numbers); labels
-are indexed alphabetically. The boosting library the reference used is not
-available and Spark's GBT is binary, so multiclass boosting is one-vs-rest
-GBT. All fitting runs as Spark jobs over the cached training frame; sizes
-(trees, depth, vocabulary) are parameters with small defaults for tests.
+Features are #76's exact TF-IDF weights (5000 terms) and the nine engineered
+numbers, computed once over the corpus, as the reference's precomputed matrix;
+labels are indexed alphabetically. Spark's GBT is binary, so multiclass
+boosting is one-vs-rest GBT. ``TrainConfig`` defaults to the reference's
+settings; ``TrainConfig.sandbox()`` has fewer and shallower trees and nothing
+else changed, for machines on which thousands of deep trees do not finish.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as X
-from ..functions.formatting import py_round
+from ..session import checkpoint_dir
 from . import evaluate as EV
-from .vectors import feature_pipeline
+from . import vectors as V
 
 NUMERIC = X.ENGINEERED_FEATURES
+LABELS = {"gbt_category": "category", "gbt_intent": "intent", "lr_baseline": "category", "gbt_priority": "predicted_priority"}
 
 
 @dataclass
 class TrainConfig:
-    vocab_size: int = 1000
-    gbt_trees: int = 10
-    gbt_depth: int = 4
-    rf_trees: int = 20
-    rf_depth: int = 8
+    max_terms: int = 5000
+    category_trees: int = 300
+    category_depth: int = 8
+    intent_trees: int = 400
+    intent_depth: int = 10
+    priority_trees: int = 200
+    priority_depth: int = 6
+    step: float = 0.1
+    subsample: float = 0.8
+    forest_trees: int = 100
+    forest_depth: int = 8
     lr_c: float = 1.0
-    lr_iter: int = 1000          # the reference's setting, used by #86
-    compare_iter: int = 50       # iteration cap for the model families of #87 and the folds of #96
-    svm_iter: int = 10           # linear SVM: one job per iteration per class
-    ovr_parallelism: int = 11    # concurrent one-vs-rest fits
+    max_iter: int = 1000         # logistic regression, linear SVM and neural net
+    hidden: int = 32
+    ovr_parallelism: int = 8     # concurrent one-vs-rest fits
     seed: int = 42
 
+    @classmethod
+    def sandbox(cls) -> TrainConfig:
+        """The reference's settings but for the trees: few and shallow."""
+        return replace(cls(), category_trees=3, category_depth=4, intent_trees=2, intent_depth=4, priority_trees=3,
+                       priority_depth=4, forest_trees=20)
 
-def training_frame(corpus: DataFrame, text: str = "instruction") -> DataFrame:
-    """Corpus + engineered features + urgency priority + 80/20 split flag."""
+
+def corpus_frame(corpus: DataFrame, text: str = "instruction") -> DataFrame:
+    """Corpus + engineered features + urgency priority."""
     eng = X.with_features(corpus, text)
-    eng = eng.withColumn("predicted_priority", X.priority_from_urgency(F.col("urgency_score")))
-    split = EV.stratified_split(eng, "category", "id")
-    return split.drop("class_rank", "class_size")
+    return eng.withColumn("predicted_priority", X.priority_from_urgency(F.col("urgency_score")))
 
 
-def _indexer(label: str) -> StringIndexer:
-    return StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep")
+def fit_vocabulary(corpus: DataFrame, key: str = "id", text: str = "instruction", max_terms: int = 5000) -> DataFrame:
+    """(term, idx, idf) of #76 over the corpus: at most ``max_terms`` rows, checkpointed."""
+    checkpoint_dir(corpus.sparkSession)
+    n_docs = corpus.select(F.count(F.lit(1)).cast("double")).scalar()
+    tf = V.term_counts(corpus, key, V.ngram_terms, V.clean_tokens(text))
+    vocab = V.vocabulary(tf, n_docs, max_terms, min_df=2, max_df=0.95)
+    return vocab.select("term", "idx", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")).checkpoint(eager=True)
 
 
-def make_pipeline(label: str, classifier, cfg: TrainConfig, text: str = "instruction") -> Pipeline:
-    return Pipeline(stages=[*feature_pipeline(text, NUMERIC, cfg.vocab_size), _indexer(label), classifier])
+def with_vectors(rows: DataFrame, vocab: DataFrame, width: int, key: str = "id", text: str = "instruction") -> DataFrame:
+    """#80: ``rows`` (with the engineered numbers) and their ``features`` vector under a fitted vocabulary."""
+    tf = V.term_counts(rows, key, V.ngram_terms, V.clean_tokens(text))
+    weights = V.weigh(tf, key, vocab, max(width, 1), sublinear_tf=True)
+    return V.sparse_vectors(rows, key, weights, NUMERIC, width)
 
 
-def gbt_ovr(cfg: TrainConfig):
-    # One binary model per class, fitted concurrently (each fit is many small jobs).
-    return OneVsRest(classifier=GBTClassifier(maxIter=cfg.gbt_trees, maxDepth=cfg.gbt_depth, seed=cfg.seed,
-                                              stepSize=0.1, subsamplingRate=0.8), parallelism=cfg.ovr_parallelism)
+def training_frame(corpus: DataFrame, cfg: TrainConfig, text: str = "instruction") -> DataFrame:
+    """Id, class labels, ``features`` and the 80/20 split flag of every corpus row."""
+    rows = corpus_frame(corpus, text)
+    vocab = fit_vocabulary(corpus, "id", text, cfg.max_terms)
+    feats = with_vectors(rows, vocab, vocab.count(), "id", text).select("id", "features", "category", "intent", "predicted_priority")
+    split = EV.stratified_split(corpus.select("id", "category"), "category", "id").select("id", "is_test")
+    return feats.join(split, "id")
 
 
-def random_forest(cfg: TrainConfig):
-    return RandomForestClassifier(numTrees=cfg.rf_trees, maxDepth=cfg.rf_depth, seed=cfg.seed)
+def _boosted(cfg: TrainConfig, trees: int, depth: int):
+    # one binary model per class, fitted concurrently (each fit is many small jobs)
+    return OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=depth, seed=cfg.seed, stepSize=cfg.step,
+                                              subsamplingRate=cfg.subsample), parallelism=cfg.ovr_parallelism)
 
 
-def logistic(cfg: TrainConfig, n_train: int, max_iter: int | None = None):
+def logistic(cfg: TrainConfig, n_train: int):
     """sklearn-style C: minimise C * sum(loss) + ||w||^2 / 2  <=>  Spark's
     mean(loss) + regParam * ||w||^2 / 2 with regParam = 1 / (C * n)."""
     return LogisticRegression(family="multinomial", regParam=1.0 / (cfg.lr_c * max(n_train, 1)),
-                              elasticNetParam=0.0, maxIter=max_iter or cfg.lr_iter, tol=1e-6)
-
-
-def _labelled_predictions(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
-    """Test rows with actual and predicted label names."""
-    labels = model.stages[-2].labels
-    p = model.transform(df)
-    names = F.array(*[F.lit(x) for x in labels])
-    return p.select("*", F.col(label).alias("actual"),
-                    F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"))
-
-
-def fit_and_score(train: DataFrame, test: DataFrame, label: str, classifier, cfg: TrainConfig) -> dict:
-    """Fit one pipeline on ``train``; accuracy and weighted F1 on ``test``."""
-    model = make_pipeline(label, classifier, cfg).fit(train)
-    pred = _labelled_predictions(model, test, label)
-    m = EV.accuracy_f1(pred).first()
-    return {"model": model, "predictions": pred, "accuracy": m["accuracy"], "f1": m["f1_weighted"]}
+                              elasticNetParam=0.0, maxIter=cfg.max_iter, tol=1e-6)
+
+
+def classifier_for(name: str, cfg: TrainConfig, n_train: int):
+    if name == "gbt_category":
+        return _boosted(cfg, cfg.category_trees, cfg.category_depth)
+    if name == "gbt_intent":
+        return _boosted(cfg, cfg.intent_trees, cfg.intent_depth)
+    if name == "gbt_priority":
+        return _boosted(cfg, cfg.priority_trees, cfg.priority_depth)
+    return logistic(cfg, n_train)
+
+
+def label_indexer(df: DataFrame, label: str):
+    """Alphabetical label index; every label occurs in ``df``, so no unknown class is added."""
+    return StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error").fit(df)
+
+
+def fit_and_score(tf: DataFrame, label: str, make) -> dict:
+    """Fit ``make(n_train)`` on the training rows of ``tf``; accuracy and weighted F1 on the test rows."""
+    index = label_indexer(tf, label)
+    data = index.transform(tf).select("id", "features", "label", F.col(label).alias("actual"), "is_test").cache()
+    try:
+        train = data.where(~F.col("is_test"))
+        model = make(train.count()).fit(train)
+        names = F.array(*[F.lit(x) for x in index.labels])
+        pred = model.transform(data.where("is_test"))
+        pred = pred.withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1))
+        keep = ["id", "actual", "predicted", *([c for c in ["probability"] if c in pred.columns])]
+        pred = pred.select(*keep).checkpoint(eager=True)
+    finally:
+        data.unpersist()
+    counts = EV.per_class(EV.confusion_counts(pred)).collect()
+    n = sum(r.support for r in counts)
+    return {"model": PipelineModel([index, model]), "labels": index.labels, "predictions": pred,
+            "accuracy": sum(r.tp for r in counts) / n, "f1": sum(r.f1 * r.support for r in counts) / n,
+            "precision": sum(r.precision for r in counts) / len(counts), "recall": sum(r.recall for r in counts) / len(counts)}
 
 
 def metrics_frame(results: dict[str, dict], spark) -> DataFrame:
@@ -99,123 +142,89 @@ def metrics_frame(results: dict[str, dict], spark) -> DataFrame:
                                  "model string, accuracy double, f1 double")
 
 
-def train_models(tf: DataFrame, cfg: TrainConfig, which: tuple[str, ...] = ("category", "intent", "logistic",
-                                                                              "priority")) -> dict[str, dict]:
-    """#83-#86: category and priority (one-vs-rest GBT), intent (random forest,
-    native multiclass for 27 labels), multinomial logistic baseline."""
-    train = tf.where(~F.col("is_test")).cache()
-    test = tf.where(F.col("is_test")).cache()
-    out = {}
-    if "category" in which:
-        out["gbt_category"] = fit_and_score(train, test, "category", gbt_ovr(cfg), cfg)
-    if "intent" in which:
-        out["rf_intent"] = fit_and_score(train, test, "intent", random_forest(cfg), cfg)
-    if "logistic" in which:
-        out["lr_baseline"] = fit_and_score(train, test, "category", logistic(cfg, train.count()), cfg)
-    if "priority" in which:
-        out["gbt_priority"] = fit_and_score(train, test, "predicted_priority", gbt_ovr(cfg), cfg)
-    return out
+def train_models(tf: DataFrame, cfg: TrainConfig, which: tuple[str, ...] = tuple(LABELS)) -> dict[str, dict]:
+    """#83-#86: boosted category, intent and priority models, multinomial logistic baseline."""
+    checkpoint_dir(tf.sparkSession)
+    return {name: fit_and_score(tf, LABELS[name], lambda n, name=name: classifier_for(name, cfg, n)) for name in which}
 
 
 def algorithm_comparison(tf: DataFrame, cfg: TrainConfig) -> DataFrame:
-    """#87: several model families on one split, ranked by accuracy, with
-    macro precision/recall and weighted F1.
-
-    The feature pipeline and label index are fitted once and shared; the
-    network's input width is the fitted vector size.
-    """
-    train = tf.where(~F.col("is_test"))
-    test = tf.where(F.col("is_test"))
-    feats = Pipeline(stages=[*feature_pipeline("instruction", NUMERIC, cfg.vocab_size), _indexer("category")]).fit(train)
-    trf = feats.transform(train).select("features", "label", "category").cache()
-    tef = feats.transform(test).select("features", "label", "category").cache()
-    labels = feats.stages[-1].labels
-    n = trf.count()
-    width = trf.select("features").first()["features"].size
+    """#87: model families on one split, ranked by accuracy, with macro precision/recall and weighted F1."""
+    spark = tf.sparkSession
+    checkpoint_dir(spark)
+    width = tf.select("features").first()["features"].size
+    n_labels = tf.select("category").distinct().count()
     families = {
-        "random_forest": random_forest(cfg),
-        "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=cfg.svm_iter, regParam=1.0 / n),
-                                parallelism=cfg.ovr_parallelism),
-        "neural_net": MultilayerPerceptronClassifier(layers=[width, 32, len(labels)], maxIter=cfg.compare_iter,
-                                                     seed=cfg.seed),
-        "logistic": logistic(cfg, n, cfg.compare_iter),
+        "boosted_trees": lambda n: _boosted(cfg, cfg.category_trees, cfg.category_depth),
+        "random_forest": lambda n: RandomForestClassifier(numTrees=cfg.forest_trees, maxDepth=cfg.forest_depth, seed=cfg.seed),
+        "linear_svm": lambda n: OneVsRest(classifier=LinearSVC(maxIter=cfg.max_iter, regParam=1.0 / max(n, 1), tol=1e-4),
+                                          parallelism=cfg.ovr_parallelism),
+        "neural_net": lambda n: MultilayerPerceptronClassifier(layers=[width, cfg.hidden, n_labels], maxIter=cfg.max_iter,
+                                                               tol=1e-4, seed=cfg.seed),
+        "logistic": lambda n: logistic(cfg, n),
     }
-    names = F.array(*[F.lit(x) for x in labels])
     rows = []
-    for name, clf in families.items():
-        pred = clf.fit(trf).transform(tef).select(
-            F.col("category").alias("actual"), F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"))
-        rep = {r["label"]: r for r in EV.classification_report(pred).collect()}
-        acc = EV.accuracy_f1(pred).first()
-        rows.append((name, float(acc["accuracy"]), float(rep["macro avg"]["precision"]),
-                     float(rep["macro avg"]["recall"]), float(acc["f1_weighted"])))
-    spark = tf.sparkSession
+    for name, make in families.items():
+        r = fit_and_score(tf, "category", make)
+        rows.append((name, float(r["accuracy"]), float(r["precision"]), float(r["recall"]), float(r["f1"])))
     df = spark.createDataFrame(rows, "model string, accuracy double, precision double, recall double, f1 double")
-    from pyspark.sql import Window
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("accuracy"), "model")))
 
 
-def cross_validate(tf: DataFrame, cfg: TrainConfig, k: int = 5, classifier_factory=None) -> DataFrame:
-    """#96: stratified k-fold accuracy per fold, mean and population std.
+def cross_validate(tf: DataFrame, cfg: TrainConfig, k: int = 5, model: str = "gbt_category") -> DataFrame:
+    """#96: stratified k-fold accuracy of a model per fold, mean and population std.
 
     As in the reference (cross-validation over the precomputed feature matrix),
-    the feature pipeline and label index are fitted once on the whole corpus;
-    each fold then fits only the classifier on the other folds.
+    features are fitted once on the whole corpus; each fold fits a classifier
+    on the other folds.
     """
-    folds = EV.kfold_assign(tf.drop("is_test"), "category", "id", k=k)
-    feats = Pipeline(stages=[*feature_pipeline("instruction", NUMERIC, cfg.vocab_size), _indexer("category")]).fit(folds)
-    data = feats.transform(folds).select("features", "label", "fold").cache()
-    scores = []
-    for f in range(k):
-        train = data.where(F.col("fold") != f)
-        test = data.where(F.col("fold") == f)
-        n = train.count()
-        clf = classifier_factory(cfg, n) if classifier_factory else logistic(cfg, n, cfg.compare_iter)
-        pred = clf.fit(train).transform(test)
-        acc = pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-        scores.append((f, float(acc)))
-    data.unpersist()
     spark = tf.sparkSession
+    label = LABELS[model]
+    folds = EV.kfold_assign(tf.select("id", label), label, "id", k=k).select("id", "fold")
+    data = label_indexer(tf, label).transform(tf).select("id", "features", "label").join(folds, "id").cache()
+    scores = []
+    try:
+        for f in range(k):
+            train = data.where(F.col("fold") != f)
+            pred = classifier_for(model, cfg, train.count()).fit(train).transform(data.where(F.col("fold") == f))
+            acc = pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+            scores.append((f, float(acc)))
+    finally:
+        data.unpersist()
     df = spark.createDataFrame(scores, "fold int, accuracy double")
-    return df.select("fold", "accuracy", F.avg("accuracy").over(_all()).alias("mean_accuracy"),
-                     F.stddev_pop("accuracy").over(_all()).alias("std"))
-
-
-def _all():
-    from pyspark.sql import Window
-    return Window.partitionBy()
+    everything = Window.partitionBy()
+    return df.select("fold", "accuracy", F.avg("accuracy").over(everything).alias("mean_accuracy"),
+                     F.stddev_pop("accuracy").over(everything).alias("std"))
 
 
 def probability_view(pred: DataFrame) -> DataFrame:
-    """Top probability and top-2 gap from a probabilistic model's output."""
+    """Top probability and top-2 gap from a model's ``probability`` vector."""
     ps = F.sort_array(vector_to_array("probability"), False)
     return pred.select(F.element_at(ps, 1).alias("max_p"), (F.element_at(ps, 1) - F.element_at(ps, 2)).alias("gap"))
 
 
-def model_report(results: dict[str, dict], cv: DataFrame, tf: DataFrame, cfg: TrainConfig) -> DataFrame:
-    """#97: one nested record: model metrics, cross-validation, misrouting risk
-    (from the probabilistic baseline), feature info, class lists, thresholds."""
-    spark = tf.sparkSession
+def model_report(results: dict[str, dict], cv: DataFrame, tf: DataFrame, intent_probabilities: DataFrame,
+                 category_probabilities: DataFrame) -> DataFrame:
+    """#97: one nested record: all models' metrics, cross-validation, misrouting risk,
+    feature info, class lists, thresholds.
+
+    The two probability frames have (max_p, gap) of the test rows, for category
+    and intent; one-vs-rest boosting gives no calibrated probabilities, so the
+    caller passes those of a probabilistic model of the same label.
+    """
     models = F.struct(*[F.struct(F.lit(float(v["accuracy"])).alias("accuracy"), F.lit(float(v["f1"])).alias("f1"))
                         .alias(k) for k, v in results.items()])
     cvr = cv.agg(F.first("mean_accuracy").alias("mean_accuracy"), F.first("std").alias("std"),
                  F.sort_array(F.collect_list(F.struct("fold", "accuracy"))).alias("folds"))
-    prob_src = results.get("lr_baseline") or next(iter(results.values()))
-    pv = probability_view(prob_src["predictions"]) if "probability" in prob_src["predictions"].columns else None
-    if pv is not None:
-        lc = EV.low_confidence_rates(pv)
-        rd = EV.risk_distribution(pv).select(F.map_from_entries(F.collect_list(F.struct("risk_level", "count"))))
-        risk = F.struct(lc.select("low_confidence_pct").scalar().alias("low_confidence_category_pct"),
-                        lc.select("ambiguous_pct").scalar().alias("ambiguous_tickets_pct"),
-                        rd.scalar().alias("risk_distribution"))
-    else:
-        risk = F.lit(None)
-    from pyspark.ml.feature import CountVectorizerModel
-    fitted = prob_src["model"].stages
-    n_text = next((len(st.vocabulary) for st in fitted if isinstance(st, CountVectorizerModel)), cfg.vocab_size)
-    cats = tf.select(F.sort_array(F.collect_set("category"))).scalar()
-    intents = tf.select(F.sort_array(F.collect_set("intent"))).scalar()
-    prios = tf.select(F.sort_array(F.collect_set("predicted_priority"))).scalar()
+    cat = EV.low_confidence_rates(category_probabilities)
+    intent = EV.low_confidence_rates(intent_probabilities, L.INTENT_CONFIDENCE_THRESHOLD)
+    levels = EV.risk_distribution(category_probabilities).select(
+        F.map_from_entries(F.collect_list(F.struct("risk_level", "count"))))
+    risk = F.struct(cat.select("low_confidence_pct").scalar().alias("low_confidence_category_pct"),
+                    intent.select("low_confidence_pct").scalar().alias("low_confidence_intent_pct"),
+                    cat.select("ambiguous_pct").scalar().alias("ambiguous_tickets_pct"),
+                    levels.scalar().alias("risk_distribution"))
+    n_text = tf.select("features").first()["features"].size - len(NUMERIC)
     return cvr.select(
         models.alias("models"),
         F.struct("mean_accuracy", "std", "folds").alias("cross_validation"),
@@ -223,7 +232,9 @@ def model_report(results: dict[str, dict], cv: DataFrame, tf: DataFrame, cfg: Tr
         F.struct(F.lit(n_text).alias("tfidf_features"),
                  F.array(*[F.lit(x) for x in NUMERIC]).alias("engineered_features"),
                  F.lit(n_text + len(NUMERIC)).alias("total_features")).alias("feature_info"),
-        cats.alias("categories"), intents.alias("intents"), prios.alias("priorities"),
+        tf.select(F.sort_array(F.collect_set("category"))).scalar().alias("categories"),
+        tf.select(F.sort_array(F.collect_set("intent"))).scalar().alias("intents"),
+        tf.select(F.sort_array(F.collect_set("predicted_priority"))).scalar().alias("priorities"),
         F.struct(F.lit(L.CATEGORY_CONFIDENCE_THRESHOLD).alias("category_confidence"),
                  F.lit(L.INTENT_CONFIDENCE_THRESHOLD).alias("intent_confidence"),
                  F.lit(L.AMBIGUITY_MIN_GAP).alias("ambiguity_gap"),
@@ -232,11 +243,18 @@ def model_report(results: dict[str, dict], cv: DataFrame, tf: DataFrame, cfg: Tr
     )
 
 
-def save_and_load(model: PipelineModel, path: str) -> PipelineModel:
-    """#9: persist a fitted pipeline (features, label index, classifier) and load it."""
-    model.write().overwrite().save(path)
-    return PipelineModel.load(path)
+def save_model(model: PipelineModel, vocab: DataFrame, path: str) -> None:
+    """#9: persist a fitted label index and classifier, with the vocabulary its features need."""
+    model.write().overwrite().save(f"{path}/model")
+    vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
+
+
+def load_model(spark, path: str) -> tuple[PipelineModel, DataFrame]:
+    """#9: (model, vocabulary) saved by ``save_model``."""
+    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/vocabulary")
 
 
-def round_metrics(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
-    return df.select(*[py_round(F.col(c), digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+def predict(rows: DataFrame, model: PipelineModel, vocab: DataFrame, key: str, text: str) -> DataFrame:
+    """``rows`` with the loaded classifier's probability array ``_probabilities`` (labels in index order)."""
+    wide = with_vectors(X.with_features(rows, text), vocab, vocab.count(), key, text)
+    return model.stages[-1].transform(wide).select(*rows.columns, vector_to_array("probability").alias("_probabilities"))

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.formatting import py_round
 from ..functions.stopwords import english_stop_words
-from .parallel import ensure_parallelism
 
 
 def ngram_terms(tokens: Column, ngram_max: int = 2) -> Column:
@@ -37,8 +36,8 @@ def clean_tokens(text: str) -> Column:
 
 
 def word_tokens(text: str, stop_words: bool = False) -> Column:
-    """Lower-cased runs of two or more word characters (ASCII word class)."""
-    toks = F.regexp_extract_all(X.lower_text(text), F.lit(r"\b\w\w+\b"), 0)
+    """Lower-cased runs of two or more word characters (Unicode letters, digits, underscore)."""
+    toks = F.regexp_extract_all(X.lower_text(text), F.lit(r"(?U)\b\w\w+\b"), 0)
     if stop_words:
         stop = english_stop_words()
         toks = F.filter(toks, lambda w: ~w.isin(*stop))
@@ -76,11 +75,20 @@ def tfidf(docs: DataFrame, key: str, terms, max_features: int, min_df: int = 1,
           max_df: float = 1.0, sublinear_tf: bool = False, tokens: Column | None = None) -> DataFrame:
     """(key, term, idx, weight): smooth-idf TF-IDF rows, L2-normalised per document."""
     n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
-    tf = term_counts(ensure_parallelism(docs), key, terms, tokens)
+    tf = term_counts(docs, key, terms, tokens)
     vocab = vocabulary(tf, n_docs, max_features, min_df, max_df)
-    idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
+    vocab = vocab.select("term", "idx", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+    return weigh(tf, key, vocab, max_features, sublinear_tf)
+
+
+BROADCAST_TERMS = 100_000  # a vocabulary of up to so many rows is shipped to every task; a larger one is joined
+
+
+def weigh(tf: DataFrame, key: str, vocab: DataFrame, max_features: int, sublinear_tf: bool) -> DataFrame:
+    """(key, term, idx, weight) of term counts under a fitted vocabulary (term, idx, idf) of ``max_features`` rows at most."""
     tfv = (1 + F.log(F.col("tf"))) if sublinear_tf else F.col("tf").cast("double")
-    w = tf.join(F.broadcast(vocab), "term").select(key, "term", "idx", (tfv * idf).alias("_w"))
+    known = F.broadcast(vocab) if max_features <= BROADCAST_TERMS else vocab
+    w = tf.join(known, "term").select(key, "term", "idx", (tfv * F.col("idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return w.select(key, "term", "idx", (F.col("_w") / norm).alias("weight"))
 
@@ -103,60 +111,53 @@ def tfidf_stopwords(docs: DataFrame, key: str, text: str, max_features: int = 30
     return tfidf(docs, key, word_tokens(text, stop_words=True), max_features)
 
 
-def fit_label_codes(df: DataFrame, col: str, default: str = "Unknown") -> DataFrame:
-    """(value, code): alphabetical codes 0..k-1 of the distinct values.
+def fit_label_codes(df: DataFrame, cols: list[str], default: str = "Unknown") -> Column:
+    """One struct of sorted distinct values per column, as a scalar subquery.
 
-    One row per distinct value, so the un-partitioned window is bounded by the
-    column's cardinality.
+    One aggregate over all columns (combined before its shuffle); its size is
+    the columns' cardinality, so it is for categorical columns.
     """
-    vals = df.select(F.coalesce(F.col(col).cast("string"), F.lit(default)).alias("value")).distinct()
-    return vals.select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).alias("code"))
+    return df.agg(F.struct(*[F.sort_array(F.collect_set(_value(c, default))).alias(c) for c in cols])).scalar()
+
+
+def _value(col: str, default: str) -> Column:
+    return F.coalesce(F.col(col).cast("string"), F.lit(default))
 
 
-def encode(df: DataFrame, col: str, codes: DataFrame, out: str, default: str = "Unknown") -> DataFrame:
-    """Code of ``col`` per row; values not seen when fitting get the first class (0)."""
-    v = F.coalesce(F.col(col).cast("string"), F.lit(default))
-    c = codes.select(F.col("value").alias("_v"), F.col("code").alias(out))
-    return df.join(c, v == F.col("_v"), "left").drop("_v").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
+def encode(col: str, codes: Column, default: str = "Unknown") -> Column:
+    """Alphabetical code 0..k-1 of ``col``, looked up in the row; values not seen when fitting get 0."""
+    return F.greatest(F.array_position(codes[col], _value(col, default)) - 1, F.lit(0)).cast("int")
 
 
 def structured_features(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """#79: label-encode several categorical columns (fit on ``fit_on``)."""
-    fit_on = fit_on if fit_on is not None else df
-    out = df
-    for c in cols:
-        out = encode(out, c, fit_label_codes(fit_on, c), f"{c}_code")
-    return out
+    """#79: label-encode several categorical columns (fit on ``fit_on``): one pass to fit, no join."""
+    codes = fit_label_codes(fit_on if fit_on is not None else df, cols)
+    return df.select("*", *[encode(c, codes).alias(f"{c}_code") for c in cols])
 
 
 def label_encode(df: DataFrame, col: str) -> DataFrame:
-    """#81: alphabetical integer codes with StringIndexer and the inverse with
-    IndexToString (the fitted labels travel in the column metadata)."""
-    from pyspark.ml.feature import IndexToString, StringIndexer
-    model = StringIndexer(inputCol=col, outputCol="_code", stringOrderType="alphabetAsc").fit(df)
-    coded = model.transform(df)
-    back = IndexToString(inputCol="_code", outputCol="decoded", labels=model.labels).transform(coded)
-    return back.withColumn("code", F.col("_code").cast("int")).drop("_code")
+    """#81: alphabetical integer codes and their inverse, without bringing the labels to the driver."""
+    codes = fit_label_codes(df, [col])
+    coded = df.withColumn("code", encode(col, codes))
+    return coded.withColumn("decoded", F.element_at(codes[col], F.col("code") + 1))
 
 
-def feature_pipeline(text: str, numeric: list[str], vocab_size: int = 1000, label: str | None = None):
-    """#80: Spark ML stages: cleaned tokens -> 1-2-grams -> counts (df bounds as
-    in #76) -> idf -> L2 norm, assembled with the numeric features.
+def sparse_vectors(df: DataFrame, key: str, weights: DataFrame, numeric: list[str], width: int) -> DataFrame:
+    """#80: ``df`` with ``features``: its row of ``weights(key, idx, weight)`` followed by the numeric columns.
 
-    Spark ML's idf is ln((n+1)/(df+1)) and counts are raw; the exact training
-    weights are #76. Returns the list of stages.
+    Spark has no function that makes a sparse vector of (index, value) pairs,
+    so the last step is a small Python helper; the weights are #76's, exact.
     """
-    from pyspark.ml.feature import (CountVectorizer, IDF, NGram, Normalizer, RegexTokenizer,
-                                    SQLTransformer, VectorAssembler)
-    stages = [
-        SQLTransformer(statement=f"SELECT *, trim(regexp_replace(lower(coalesce({text}, '')), '[^a-z]+', ' '))"
-                                 f" AS _clean FROM __THIS__"),
-        RegexTokenizer(inputCol="_clean", outputCol="_tok", pattern="[a-z]{2,}", gaps=False, toLowercase=False),
-        NGram(n=2, inputCol="_tok", outputCol="_bi"),
-        SQLTransformer(statement="SELECT *, concat(_tok, _bi) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=vocab_size, minDF=2.0, maxDF=0.95),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_text_vec", p=2.0),
-        VectorAssembler(inputCols=["_text_vec", *numeric], outputCol="features", handleInvalid="keep"),
-    ]
-    return stages
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    @F.udf(VectorUDT())
+    def assemble(index, value, numbers):
+        pairs = sorted(zip(index or [], value or []))
+        extra = [(width + i, float(x)) for i, x in enumerate(numbers) if x]
+        return Vectors.sparse(width + len(numbers), pairs + extra)
+
+    # a group holds one row's terms in the vocabulary: at most ``width``
+    rows = weights.groupBy(F.col(key).alias("_key")).agg(F.collect_list("idx").alias("_i"), F.collect_list("weight").alias("_w"))
+    joined = df.join(rows, df[key] == rows["_key"], "left")
+    numbers = F.array(*[F.col(c).cast("double") for c in numeric])
+    return joined.withColumn("features", assemble("_i", "_w", numbers)).drop("_key", "_i", "_w")

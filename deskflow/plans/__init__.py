@@ -29,4 +29,4 @@ def queries():
 
 def oracle_sql():
     _load()
-    return dict(ORACLE)
+    return {name: sql() if callable(sql) else sql for name, sql in ORACLE.items()}

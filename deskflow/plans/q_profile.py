@@ -34,6 +34,15 @@ def q_scan_parquet(spark, sf_dir):
     return scan_parquet(spark, table_path(sf_dir, "documents"))
 
 
+@query("csv_roundtrip_tickets", with_fixtures() + "SELECT * FROM tickets")
+def q_csv_roundtrip_tickets(spark, sf_dir):
+    """#2 over tickets: trailing white space, empty strings and NULLs survive."""
+    t = FX.tickets(spark, sf_dir)
+    path = scratch_path(spark, "csv-tickets")
+    FL.write_csv(t, path)
+    return FL.read_csv(spark, path, t.schema)
+
+
 @query("csv_roundtrip", "SELECT * FROM documents")
 def q_csv_roundtrip(spark, sf_dir):
     """#2: whole documents written as CSV (header, quoting) and read back."""
@@ -43,19 +52,24 @@ def q_csv_roundtrip(spark, sf_dir):
     return FL.read_csv(spark, path, d.schema)
 
 
-@query("json_report_roundtrip")
+_REPORT_FEATURES = ["text_length", "word_count", "avg_word_length", "urgency_score", "negative_word_count",
+                    "positive_word_count", "sentiment_score", "predicted_priority", "has_question", "exclamation_count"]
+
+
+@query("json_report_roundtrip", with_fixtures() + f"""SELECT 'instruction' AS text_column, 'intent' AS intent_column,
+  'category' AS category_column, count(*) AS total_rows, count(DISTINCT instruction) AS unique_texts,
+  count(DISTINCT category) AS num_categories, count(DISTINCT intent) AS num_intents,
+  '{','.join(_REPORT_FEATURES)}' AS engineered_features FROM corpus""")
 def q_json_report_roundtrip(spark, sf_dir):
     """#3: the corpus summary as a nested one-document JSON report, read back."""
     s = PR.corpus_summary(_corpus(spark, sf_dir), "instruction", "intent", "category")
     rep = s.select(F.struct("text_column", "intent_column", "category_column").alias("columns"),
                    F.struct("total_rows", "unique_texts", "num_categories", "num_intents").alias("counts"),
-                   F.array(*[F.lit(x) for x in ["text_length", "word_count", "avg_word_length", "urgency_score",
-                                                "negative_word_count", "positive_word_count", "sentiment_score",
-                                                "predicted_priority", "has_question", "exclamation_count"]])
-                   .alias("engineered_features"))
+                   F.array(*[F.lit(x) for x in _REPORT_FEATURES]).alias("engineered_features"))
     path = scratch_path(spark, "report")
     FL.write_json_report(rep, path)
-    return FL.read_json_report(spark, path, rep.schema)
+    back = FL.read_json_report(spark, path, rep.schema)
+    return back.select("columns.*", "counts.*", F.array_join("engineered_features", ",").alias("engineered_features"))
 
 
 @query("profile_overview", """SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name,
@@ -86,8 +100,8 @@ def q_head_rows(spark, sf_dir):
     return PR.head_rows(_corpus(spark, sf_dir), "id", 3)
 
 
-@query("detect_columns", "SELECT 'instruction' AS text_column, 'intent' AS intent_column, "
-       "'category' AS category_column")
+@query("detect_columns", with_fixtures() + "SELECT 'instruction' AS text_column, 'intent' AS intent_column, "
+       "'category' AS category_column, count(instruction) AS texts FROM corpus")
 def q_detect_columns(spark, sf_dir):
     """#13: detected text/intent/category columns of the corpus."""
     return PR.detect_columns(_corpus(spark, sf_dir))
@@ -95,7 +109,9 @@ def q_detect_columns(spark, sf_dir):
 
 @query("detect_columns_fallback", """SELECT CASE WHEN avg(length(coalesce(url, 'None'))) >=
   avg(length(coalesce(html, 'None'))) THEN 'url' ELSE 'html' END AS text_column,
-  CAST(NULL AS VARCHAR) AS intent_column, CAST(NULL AS VARCHAR) AS category_column FROM pages""")
+  CAST(NULL AS VARCHAR) AS intent_column, CAST(NULL AS VARCHAR) AS category_column,
+  CASE WHEN avg(length(coalesce(url, 'None'))) >= avg(length(coalesce(html, 'None'))) THEN count(url) ELSE count(html) END
+  AS texts FROM pages""")
 def q_detect_columns_fallback(spark, sf_dir):
     """#13 fallback: no known text column in ``pages``; the longest string column wins."""
     return PR.detect_columns(read_table(spark, sf_dir, "pages"))

@@ -61,11 +61,33 @@ def q_recent_tickets(spark, sf_dir):
     return RP.recent_tickets(FX.tickets(spark, sf_dir))
 
 
-@query("analytics_summary")
+def _entries_sql(column: str) -> str:
+    return (f"(SELECT string_agg(v || '=' || n, ';' ORDER BY v) FROM (SELECT coalesce({column}, 'null') AS v, count(*) AS n "
+            f"FROM tickets GROUP BY 1))")
+
+
+_RECENT = ["ticket_id", "description", "customer_name", "channel", "region", "status", "predicted_category",
+           "predicted_priority", "risk_level", "resolution_notes"]
+_RECENT_SQL = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), 'null')" for c in _RECENT)
+
+
+@query("analytics_summary", with_fixtures() + ", ".join(["SELECT (SELECT count(*) FROM tickets) AS total_tickets",
+       *[f"{_entries_sql(c)} AS {d}_distribution" for d, c in RP.DIMENSIONS.items()]]) + f""",
+  (SELECT {G.py_round('avg(confidence_score)', 4)} FROM tickets) AS avg_confidence,
+  (SELECT count(*) FROM triage WHERE status = 'Pending') AS pending_triage,
+  (SELECT count(*) FROM triage WHERE status = 'Resolved') AS resolved_triage,
+  (SELECT string_agg({_RECENT_SQL}, chr(10) ORDER BY created_at DESC, ticket_id DESC) FROM
+    (SELECT * FROM tickets ORDER BY created_at DESC, ticket_id DESC LIMIT 10)) AS recent_tickets""")
 def q_analytics_summary(spark, sf_dir):
-    """#66: one report row with the distributions as maps (rows-only check)."""
+    """#66: one report row: the distributions as sorted entries, the ten newest tickets as whole rows."""
     t = FX.tickets(spark, sf_dir)
-    return RP.analytics_summary(t, FX.triage(spark, sf_dir, t))
+    r = RP.analytics_summary(t, FX.triage(spark, sf_dir, t))
+    text = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"].cast("string"))), ";")
+    row = lambda e: F.array_join(F.array(*[e[c].cast("string") for c in _RECENT]), "|", "null")
+    return r.select("total_tickets", *[text(F.col(f"{d}_distribution")).alias(f"{d}_distribution") for d in RP.DIMENSIONS],
+                    "avg_confidence", "pending_triage", "resolved_triage",
+                    F.array_join(F.transform("recent_tickets", row), "\n").alias("recent_tickets"))
 
 
 @query("kpi_cards", with_fixtures() + """SELECT count(*) AS total_tickets,
@@ -84,30 +106,43 @@ def q_kpi_cards(spark, sf_dir):
     return RP.kpi_cards(FX.tickets(spark, sf_dir))
 
 
-@query("top_departments", with_fixtures() + """SELECT department, count FROM (
-  SELECT coalesce(predicted_category, 'Unknown') AS department, count(*) AS count,
+# Tickets in which some labels are empty strings, as a form may store them.
+BLANKED = """blanked AS (SELECT * REPLACE (CASE WHEN ticket_id % 19 = 0 THEN '' ELSE predicted_category END AS predicted_category,
+  CASE WHEN ticket_id % 23 = 0 THEN '' ELSE status END AS status,
+  CASE WHEN ticket_id % 29 = 0 THEN '' ELSE risk_level END AS risk_level) FROM tickets)"""
+
+
+def _blanked(spark, sf_dir):
+    t = FX.tickets(spark, sf_dir)
+    for column, k in (("predicted_category", 19), ("status", 23), ("risk_level", 29)):
+        t = t.withColumn(column, F.when(F.col("ticket_id") % k == 0, F.lit("")).otherwise(F.col(column)))
+    return t
+
+
+@query("top_departments", with_fixtures(BLANKED) + """SELECT department, count FROM (
+  SELECT coalesce(nullif(predicted_category, ''), 'Unknown') AS department, count(*) AS count,
    max(created_at) AS seen, arg_max(ticket_id, created_at) AS seen_id
-  FROM tickets GROUP BY 1) ORDER BY count DESC, seen DESC, seen_id DESC LIMIT 6""")
+  FROM blanked GROUP BY 1) ORDER BY count DESC, seen DESC, seen_id DESC LIMIT 6""")
 def q_top_departments(spark, sf_dir):
     """#68: six largest departments."""
-    return RP.top_departments(FX.tickets(spark, sf_dir))
+    return RP.top_departments(_blanked(spark, sf_dir))
 
 
-@query("status_share", with_fixtures() + """SELECT status, count,
+@query("status_share", with_fixtures(BLANKED) + """SELECT status, count,
   CAST(floor(count * 100.0 / sum(count) OVER () + 0.5) AS BIGINT) AS pct FROM (
-  SELECT coalesce(status, 'Unknown') AS status, count(*) AS count FROM tickets GROUP BY 1)""")
+  SELECT coalesce(nullif(status, ''), 'Unknown') AS status, count(*) AS count FROM blanked GROUP BY 1)""")
 def q_status_share(spark, sf_dir):
     """#69: status counts with rounded percent share."""
-    return RP.status_share(FX.tickets(spark, sf_dir))
+    return RP.status_share(_blanked(spark, sf_dir))
 
 
-@query("risk_zero_filled", with_fixtures() + """SELECT l.risk_level, coalesce(c.count, 0) AS count, l.ord
+@query("risk_zero_filled", with_fixtures(BLANKED) + """SELECT l.risk_level, coalesce(c.count, 0) AS count, l.ord
  FROM (VALUES ('High', 0), ('Medium', 1), ('Low', 2)) l(risk_level, ord)
- LEFT JOIN (SELECT coalesce(risk_level, 'Low') AS risk_level, count(*) AS count FROM tickets GROUP BY 1) c
+ LEFT JOIN (SELECT coalesce(nullif(risk_level, ''), 'Low') AS risk_level, count(*) AS count FROM blanked GROUP BY 1) c
  USING (risk_level)""")
 def q_risk_zero_filled(spark, sf_dir):
     """#70: High/Medium/Low always present."""
-    return RP.risk_zero_filled(FX.tickets(spark, sf_dir))
+    return RP.risk_zero_filled(_blanked(spark, sf_dir))
 
 
 @query("confidence_band", with_fixtures() + """SELECT ticket_id, pct, CASE WHEN pct >= 70 THEN 'success'
@@ -119,11 +154,11 @@ def q_confidence_band(spark, sf_dir):
     return FX.tickets(spark, sf_dir).select("ticket_id", pct.alias("pct"), band.alias("band"))
 
 
-@query("distinct_departments", with_fixtures()
-       + "SELECT DISTINCT predicted_category FROM tickets WHERE predicted_category IS NOT NULL")
+@query("distinct_departments", with_fixtures(BLANKED)
+       + "SELECT DISTINCT predicted_category FROM blanked WHERE predicted_category IS NOT NULL AND predicted_category <> ''")
 def q_distinct_departments(spark, sf_dir):
     """#72: distinct non-null departments."""
-    return RP.distinct_departments(FX.tickets(spark, sf_dir))
+    return RP.distinct_departments(_blanked(spark, sf_dir))
 
 
 @query("ticket_timeline", with_fixtures() + """SELECT ticket_id, 1 AS step, 'Ticket Created' AS event, created_at AS at

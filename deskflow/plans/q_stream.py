@@ -24,7 +24,11 @@ def q_stream_greeting_filter(spark, sf_dir):
     return _flat(ST.stream_roundtrip(spark, t, lambda s: ST.score_stream(ST.drop_greetings(s)), "stream-greet"))
 
 
-@query("stream_fanout")
+@query("stream_fanout", with_fixtures(RULE_CTE) + f""", kept AS (SELECT * FROM scored_rule
+  WHERE ticket_id IN (SELECT ticket_id FROM tickets WHERE NOT {_gb}))
+ SELECT 'tickets' AS sink, 'Chatbot' AS channel, count(*) AS rows FROM kept
+ UNION ALL SELECT 'triage', NULL, count(*) FROM kept WHERE risk_level = 'High' HAVING count(*) > 0
+ UNION ALL SELECT 'chat', NULL, 2 * count(*) FROM kept""")
 def q_stream_fanout(spark, sf_dir):
     """#99: per micro-batch, ticket, triage and chat rows to three sinks."""
     return ST.stream_fanout(spark, FX.tickets(spark, sf_dir))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.formatting import py_round
 from ..operators import score as S
 from ..operators import tickets as TK
+from ..session import scratch_path
 from ..sources import fixtures as FX
 from ..sources.tables import read_table
 from . import sqlgen as G
@@ -16,14 +17,15 @@ from .registry import query
 
 SOURCE_KEYS = ["ticket_id", "description", "customer_name", "channel", "created_at"]
 
-TICKET_ROW_COLS = ["ticket_id", "description", "customer_name", "channel", "predicted_category",
+TICKET_ROW_COLS = ["ticket_id", "description", "customer_name", "customer_email", "channel", "predicted_category",
                    "predicted_intent", "predicted_priority", "confidence_score", "intent_confidence",
                    "risk_level", "risk_score", "sentiment_score", "category_probabilities",
                    "intent_probabilities", "status", "assigned_department", "is_triage", "misrouting_risk",
-                   "route", "requires_human", "resolution", "created_at"]
+                   "route", "requires_human", "resolution", "assigned_to", "resolution_notes", "created_at",
+                   "updated_at", "resolved_at"]
 
 
-@query("append_tickets", with_fixtures(RULE_CTE) + """SELECT s.ticket_id, t.description, t.customer_name, t.channel,
+ROWS_SQL = """SELECT s.ticket_id, t.description, t.customer_name, '' AS customer_email, t.channel,
   s.category AS predicted_category, s.intent AS predicted_intent, s.priority AS predicted_priority,
   s.confidence AS confidence_score, s.intent_confidence, s.risk_level, s.risk_score, s.sentiment_score,
   '{"' || s.category || '": ' || CAST(r.conf AS VARCHAR) || '}' AS category_probabilities,
@@ -31,8 +33,12 @@ TICKET_ROW_COLS = ["ticket_id", "description", "customer_name", "channel", "pred
   CASE WHEN s.risk_level = 'High' THEN 'Triage' ELSE 'Open' END AS status, s.category AS assigned_department,
   CASE WHEN s.risk_level = 'High' THEN 1 ELSE 0 END AS is_triage, s.risk_level AS misrouting_risk,
   s.category AS route, CASE WHEN s.risk_level = 'High' THEN 1 ELSE 0 END AS requires_human,
-  CAST(NULL AS VARCHAR) AS resolution, t.created_at
- FROM scored_rule s JOIN tickets t USING (ticket_id) JOIN rp1 r USING (ticket_id)""")
+  CAST(NULL AS VARCHAR) AS resolution, CAST(NULL AS VARCHAR) AS assigned_to, CAST(NULL AS VARCHAR) AS resolution_notes,
+  t.created_at, t.created_at AS updated_at, CAST(NULL AS TIMESTAMP) AS resolved_at
+ FROM scored_rule s JOIN tickets t USING (ticket_id) JOIN rp1 r USING (ticket_id)"""
+
+
+@query("append_tickets", with_fixtures(RULE_CTE) + ROWS_SQL)
 def q_append_tickets(spark, sf_dir):
     """#4: score, build ticket rows, append to a status-partitioned parquet
     table in the shared checkpoint folder and read the table back."""
@@ -150,17 +156,38 @@ def q_parse_probabilities(spark, sf_dir):
     return parsed.select("ticket_id", F.explode("m").alias("label", "p"))
 
 
-@query("patch_tickets", with_fixtures() + """SELECT t.ticket_id, coalesce(nullif(p.status, ''), t.status) AS status,
-  coalesce(nullif(p.assigned_department, ''), t.predicted_category) AS assigned_department,
+# Patches with all six fields (the view has two of them); '' and NULL mean no change.
+MORE_PATCH_FIELDS = {"assigned_to": (20, "agent7", 5), "resolution_notes": (30, "called back", 10),
+                     "resolution": (25, "refunded", 0), "predicted_priority": (35, "Low", 15)}
+FULL_PATCHES = "full_patches AS (SELECT *, " + ", ".join(
+    f"CASE WHEN ticket_id % {k} = 0 THEN '{v}' WHEN ticket_id % {k} = {e} THEN '' END AS {c}"
+    for c, (k, v, e) in MORE_PATCH_FIELDS.items()) + " FROM patches)"
+PATCHED = """patched AS (SELECT t.* REPLACE (coalesce(nullif(p.status, ''), t.status) AS status,
+  coalesce(nullif(p.resolution_notes, ''), t.resolution_notes) AS resolution_notes,
+  coalesce(nullif(p.predicted_priority, ''), t.predicted_priority) AS predicted_priority,
   coalesce(p.patched_at, t.updated_at) AS updated_at,
-  CASE WHEN p.status = 'Resolved' THEN p.patched_at ELSE t.resolved_at END AS resolved_at
- FROM tickets t LEFT JOIN patches p USING (ticket_id)""")
+  CASE WHEN p.status = 'Resolved' THEN p.patched_at ELSE t.resolved_at END AS resolved_at),
+  nullif(p.assigned_to, '') AS assigned_to, nullif(p.resolution, '') AS resolution,
+  coalesce(nullif(p.assigned_department, ''), t.predicted_category) AS assigned_department
+ FROM tickets t LEFT JOIN full_patches p USING (ticket_id))"""
+
+
+def _full_patches(spark, sf_dir, t):
+    p = FX.patches(spark, sf_dir, t)
+    for c, (k, v, e) in MORE_PATCH_FIELDS.items():
+        p = p.withColumn(c, F.when(F.col("ticket_id") % k == 0, v).when(F.col("ticket_id") % k == e, ""))
+    return p
+
+
+@query("patch_tickets", with_fixtures(FULL_PATCHES, PATCHED) + """SELECT ticket_id, status, assigned_department, assigned_to,
+  resolution_notes, resolution, predicted_priority, updated_at, resolved_at FROM patched""")
 def q_patch_tickets(spark, sf_dir):
-    """#56: patches applied; empty fields leave the value unchanged."""
+    """#56: patches of all six fields applied; empty fields leave the value unchanged."""
     t = FX.tickets(spark, sf_dir)
     t2 = t.withColumn("assigned_department", F.col("predicted_category"))
-    out = TK.patch_tickets(t2, FX.patches(spark, sf_dir, t))
-    return out.select("ticket_id", "status", "assigned_department", "updated_at", "resolved_at")
+    out = TK.patch_tickets(t2, _full_patches(spark, sf_dir, t))
+    return out.select("ticket_id", "status", "assigned_department", "assigned_to", "resolution_notes", "resolution",
+                      "predicted_priority", "updated_at", "resolved_at")
 
 
 @query("triage_queue", with_fixtures() + """SELECT t.*, a.triage_id, a.reason AS triage_reason,
@@ -245,3 +272,53 @@ def q_triage_escalate(spark, sf_dir):
 def q_triage_replay(spark, sf_dir):
     """#61: the whole ordered action log folded per column (last writer wins)."""
     return _apply(spark, sf_dir, ("accept", "reassign", "escalate"))
+
+
+@query("triage_two_batches", _replay_sql(("accept", "reassign", "escalate")))
+def q_triage_two_batches(spark, sf_dir):
+    """#58-#61 in two batches: first actions, then the later ones on the tables the first left; as one batch."""
+    t = FX.tickets(spark, sf_dir)
+    a = FX.triage(spark, sf_dir, t)
+    acts = FX.actions(spark, sf_dir, a)
+    queue, t1 = TK.replay_tables(a, t, acts.where("seq = 1"))
+    queue, t2 = TK.replay_tables(queue, t1, acts.where("seq > 1"))
+    return TK.queue_state(queue, t2).select(*REPLAY_COLS)
+
+
+_CHAIN = f"""rows AS ({ROWS_SQL}),
+queue AS (SELECT ticket_id, created_at FROM scored_rule JOIN tickets USING (ticket_id) WHERE scored_rule.risk_level = 'High'),
+acts AS (SELECT q.ticket_id, s.seq, CASE (q.ticket_id + s.seq) % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'reassign' ELSE 'escalate'
+   END AS action, q.created_at + to_hours(CAST(s.seq AS INT)) AS acted_at
+ FROM queue q JOIN steps s ON s.seq <= 1 + q.ticket_id % 3),
+done AS (SELECT ticket_id, arg_max(action, seq) AS act, max(acted_at) AS at, count(*) FILTER (WHERE action = 'escalate') AS n_es,
+  count(*) FILTER (WHERE action = 'reassign') AS n_re, count(*) FILTER (WHERE action <> 'escalate') AS n_not_es FROM acts GROUP BY 1)"""
+
+
+@query("ticket_chain", with_fixtures(RULE_CTE, FULL_PATCHES, _CHAIN) + """SELECT r.ticket_id,
+  CASE WHEN d.act = 'escalate' THEN 'Escalated' WHEN d.act IS NOT NULL THEN 'Open' ELSE
+    coalesce(nullif(p.status, ''), r.status) END AS status,
+  CASE WHEN d.n_re > 0 THEN 'ACCOUNT' ELSE coalesce(nullif(p.assigned_department, ''), r.assigned_department) END
+    AS assigned_department,
+  CASE WHEN d.n_es > 0 THEN 'Critical' ELSE coalesce(nullif(p.predicted_priority, ''), r.predicted_priority) END
+    AS predicted_priority,
+  CASE WHEN d.n_not_es > 0 THEN 0 ELSE r.is_triage END AS is_triage,
+  coalesce(d.at, p.patched_at, r.updated_at) AS updated_at,
+  CASE WHEN p.status = 'Resolved' THEN p.patched_at END AS resolved_at,
+  CASE WHEN d.act = 'escalate' THEN 'Escalated' ELSE 'Resolved' END AS triage_status,
+  CASE d.act WHEN 'accept' THEN 'Accepted AI prediction' WHEN 'reassign' THEN 'Reassigned to ACCOUNT' ELSE 'Escalated' END
+    AS action_taken
+ FROM rows r JOIN done d USING (ticket_id) LEFT JOIN full_patches p USING (ticket_id)""")
+def q_ticket_chain(spark, sf_dir):
+    """Score -> append in two parts -> patch -> queue -> replay -> list the queue (#42, #4, #56, #48, #61, #57)."""
+    t = FX.tickets(spark, sf_dir)
+    scored = S.score_tickets(t, keys=SOURCE_KEYS)
+    rows = TK.ticket_rows(scored)
+    path = scratch_path(spark, "chain-tickets")
+    TK.append_tickets(rows.where("ticket_id % 2 = 0"), path)
+    TK.append_tickets(rows.where("ticket_id % 2 = 1"), path)  # onto a table that has rows
+    patched = TK.patch_tickets(spark.read.parquet(path), _full_patches(spark, sf_dir, t))
+    queue = S.queue_rows(scored)
+    queue, tickets = TK.replay_tables(queue, patched, FX.actions(spark, sf_dir, queue.select("ticket_id", "created_at")))
+    return TK.triage_queue(queue, tickets).select(
+        "ticket_id", "status", "assigned_department", "predicted_priority", "is_triage", "updated_at", "resolved_at",
+        "triage_status", "action_taken")

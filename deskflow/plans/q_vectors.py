@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
+from ..functions import routing as R
 from ..functions import text as X
 from ..functions.formatting import py_round
 from ..functions.stopwords import english_stop_words
@@ -15,8 +17,6 @@ from . import sqlgen as G
 from .oracle_fixtures import with_fixtures
 from .registry import query
 
-_STOP = ", ".join(G.q(w) for w in english_stop_words())
-
 
 def _tfidf_sql(source: str, key: str, terms_sql: str, max_features: int, min_df: int, max_df: float,
                sublinear: bool) -> str:
@@ -55,12 +55,22 @@ def q_tfidf_top_terms(spark, sf_dir):
     return V.top_terms(_doc_tfidf(spark, sf_dir))
 
 
-_WORD_TERMS = (f"list_filter(regexp_extract_all(lower(coalesce(description, '')), '\\b\\w\\w+\\b'), "
-               f"lambda w: w NOT IN ({_STOP}))")
+def _stopword_sql(source: str, key: str, text: str) -> str:
+    stop = ", ".join(G.q(w) for w in english_stop_words())
+    terms = (f"list_filter(regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]{{2,}}'), "
+             f"lambda w: w NOT IN ({stop}))")
+    return (with_fixtures(_tfidf_sql(source, key, terms, 300, 1, 1.0, False))
+            + f"SELECT k AS {key}, term, {G.py_round('weight', 6)} AS weight FROM tfidf")
+
+
+@query("tfidf_stopwords_documents", lambda: _stopword_sql("documents", "doc_id", "text"))
+def q_tfidf_stopwords_documents(spark, sf_dir):
+    """#78 over whole documents (letters of any script)."""
+    w = V.tfidf_stopwords(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return w.select("doc_id", "term", py_round(F.col("weight"), 6).alias("weight"))
 
 
-@query("tfidf_stopwords", with_fixtures(_tfidf_sql("tickets", "ticket_id", _WORD_TERMS, 300, 1, 1.0, False))
-       + f"SELECT k AS ticket_id, term, {G.py_round('weight', 6)} AS weight FROM tfidf")
+@query("tfidf_stopwords", lambda: _stopword_sql("tickets", "ticket_id", "description"))
 def q_tfidf_stopwords(spark, sf_dir):
     """#78: 300-term unigram TF-IDF without English stop words."""
     w = V.tfidf_stopwords(FX.tickets(spark, sf_dir), "ticket_id", "description")
@@ -100,9 +110,9 @@ def q_structured_features_unseen(spark, sf_dir):
     """#79 serving side: the 'Unknown' channel sent at prediction time is not a
     fitted class, so it takes the first class's code (0)."""
     t = FX.tickets(spark, sf_dir)
-    codes = V.fit_label_codes(t, "channel")
+    codes = V.fit_label_codes(t, ["channel"])
     req = t.select(F.lit("Unknown").alias("channel")).distinct()
-    return V.encode(req, "channel", codes, "channel_code").select("channel_code")
+    return req.select(V.encode("channel", codes).alias("channel_code"))
 
 
 @query("label_encode", with_fixtures() + """SELECT id, category,
@@ -120,13 +130,13 @@ split AS (SELECT id, category, rnk, rnk <= (cs * 20 + 99) // 100 AS is_test FROM
 @query("stratified_split", with_fixtures(SPLIT_CTE) + "SELECT id, category, is_test FROM split")
 def q_stratified_split(spark, sf_dir):
     """#82: seeded 80/20 split inside every category."""
-    return EV.stratified_split(FX.corpus(spark, sf_dir), "category", "id").select("id", "category", "is_test")
+    return EV.stratified_split(FX.corpus(spark, sf_dir).select("id", "category"), "category", "id").select("id", "category", "is_test")
 
 
 @query("kfold_assign", with_fixtures(SPLIT_CTE) + "SELECT id, category, CAST((rnk - 1) % 5 AS INTEGER) AS fold FROM split")
 def q_kfold_assign(spark, sf_dir):
     """#95: five stratified, shuffled, seeded folds."""
-    return EV.kfold_assign(FX.corpus(spark, sf_dir), "category", "id").select("id", "category", "fold")
+    return EV.kfold_assign(FX.corpus(spark, sf_dir).select("id", "category"), "category", "id").select("id", "category", "fold")
 
 
 PRED_CTE = f"""pr2 AS (SELECT ticket_id, label, p, row_number() OVER (PARTITION BY ticket_id ORDER BY p DESC, label) AS rn
@@ -146,7 +156,7 @@ def q_predict_argmax(spark, sf_dir):
 
 def _eval_frame(spark, sf_dir):
     t = FX.tickets(spark, sf_dir)
-    split = EV.stratified_split(FX.corpus(spark, sf_dir, t), "category", "id").where("is_test")
+    split = EV.stratified_split(FX.corpus(spark, sf_dir, t).select("id", "category"), "category", "id").where("is_test")
     pred = EV.predict_argmax(FX.probabilities(spark, sf_dir, t))
     return pred.join(split.select(F.col("id").alias("ticket_id"), F.col("category").alias("actual")), "ticket_id")
 
@@ -169,41 +179,55 @@ def q_accuracy_f1(spark, sf_dir):
     return EV.accuracy_f1(_eval_frame(spark, sf_dir))
 
 
-@query("classification_report", with_fixtures(EVAL_CTE, _PC) + f"""SELECT label, {G.py_round('precision', 6)} AS precision,
+_REPORT_SQL = f"""SELECT label, {G.py_round('precision', 6)} AS precision,
   {G.py_round('recall', 6)} AS recall, {G.py_round('f1', 6)} AS f1, CAST(support AS BIGINT) AS support FROM pc
  UNION ALL SELECT 'macro avg', {G.py_round('avg(precision)', 6)}, {G.py_round('avg(recall)', 6)}, {G.py_round('avg(f1)', 6)},
   CAST(sum(support) AS BIGINT) FROM pc
  UNION ALL SELECT 'weighted avg', {G.py_round('sum(precision * support) / sum(support)', 6)},
   {G.py_round('sum(recall * support) / sum(support)', 6)}, {G.py_round('sum(f1 * support) / sum(support)', 6)},
-  CAST(sum(support) AS BIGINT) FROM pc""")
+  CAST(sum(support) AS BIGINT) FROM pc"""
+
+
+@query("classification_report", with_fixtures(EVAL_CTE, _PC) + _REPORT_SQL)
 def q_classification_report(spark, sf_dir):
     """#90: per-class precision/recall/F1/support with macro and weighted rows."""
     return EV.classification_report(_eval_frame(spark, sf_dir))
 
 
-@query("confusion_matrix", with_fixtures(EVAL_CTE) + """, cc AS (SELECT actual, predicted, count(*) AS n FROM ev GROUP BY 1, 2),
+_MATRIX_SQL = """, cc AS (SELECT actual, predicted, count(*) AS n FROM ev GROUP BY 1, 2),
  lab AS (SELECT actual AS l FROM cc UNION SELECT predicted FROM cc)
  SELECT a.l AS actual, b.l AS predicted, coalesce(cc.n, 0) AS count FROM lab a, lab b
- LEFT JOIN cc ON cc.actual = a.l AND cc.predicted = b.l""")
+ LEFT JOIN cc ON cc.actual = a.l AND cc.predicted = b.l"""
+
+
+@query("confusion_matrix", with_fixtures(EVAL_CTE) + _MATRIX_SQL)
 def q_confusion_matrix(spark, sf_dir):
     """#91: zero-filled confusion matrix on the test split."""
     return EV.confusion_matrix(_eval_frame(spark, sf_dir))
 
 
-@query("confidence_histogram", with_fixtures(EVAL_CTE) + """, s AS (SELECT min(max_p) AS mn, max(max_p) AS mx FROM ev),
+def _histogram_sql(threshold: float) -> str:
+    return f""", s AS (SELECT min(max_p) AS mn, max(max_p) AS mx FROM ev),
  c AS (SELECT CAST(CASE WHEN s.mx = s.mn THEN 25 ELSE least(49, floor((max_p - s.mn) / (s.mx - s.mn) * 50)) END
   AS INTEGER) AS bin, count(*) AS count FROM ev, s GROUP BY 1),
  b AS (SELECT CAST(unnest(range(0, 50)) AS INTEGER) AS bin)
  SELECT b.bin, s.mn + b.bin * ((s.mx - s.mn) / 50) AS lo, s.mn + (b.bin + 1) * ((s.mx - s.mn) / 50) AS hi,
-  coalesce(c.count, 0) AS count, 0.5::DOUBLE AS threshold FROM b CROSS JOIN s LEFT JOIN c USING (bin)""")
+  coalesce(c.count, 0) AS count, {threshold}::DOUBLE AS threshold FROM b CROSS JOIN s LEFT JOIN c USING (bin)"""
+
+
+@query("confidence_histogram", with_fixtures(EVAL_CTE) + _histogram_sql(0.5))
 def q_confidence_histogram(spark, sf_dir):
     """#92: 50-bin histogram of the top probability on the test split."""
     return EV.confidence_histogram(_eval_frame(spark, sf_dir))
 
 
-@query("low_confidence_rates", with_fixtures(EVAL_CTE) + f"""SELECT
-  {G.py_round('avg(CASE WHEN max_p < 0.5 THEN 1.0 ELSE 0.0 END) * 100', 6)} AS low_confidence_pct,
-  {G.py_round('avg(CASE WHEN gap < 0.15 THEN 1.0 ELSE 0.0 END) * 100', 6)} AS ambiguous_pct FROM ev""")
+def _low_sql(threshold: float) -> str:
+    return f"""SELECT
+  {G.py_round(f'avg(CASE WHEN max_p < {threshold} THEN 1.0 ELSE 0.0 END) * 100', 6)} AS low_confidence_pct,
+  {G.py_round('avg(CASE WHEN gap < 0.15 THEN 1.0 ELSE 0.0 END) * 100', 6)} AS ambiguous_pct FROM ev"""
+
+
+@query("low_confidence_rates", with_fixtures(EVAL_CTE) + _low_sql(0.5))
 def q_low_confidence_rates(spark, sf_dir):
     """#93: low-confidence and ambiguous shares on the test split."""
     return EV.low_confidence_rates(_eval_frame(spark, sf_dir))
@@ -218,3 +242,50 @@ def q_low_confidence_rates(spark, sf_dir):
 def q_risk_distribution(spark, sf_dir):
     """#94: formula risk levels on the test split."""
     return EV.risk_distribution(_eval_frame(spark, sf_dir))
+
+
+# The intent side of the evaluation: the department probabilities as intent
+# probabilities (#41's map), judged by the intent threshold.
+def _intent_case() -> str:
+    return "CASE label " + " ".join(f"WHEN {G.q(d)} THEN {G.q(i)}" for d, i in L.DEPARTMENT_INTENT) + \
+        " ELSE regexp_replace(lower(label), '[^a-z]+', '_', 'g') || '_request' END"
+
+
+INTENT_CTE = f"""ip AS (SELECT ticket_id, {_intent_case()} AS label, p FROM probabilities),
+ip2 AS (SELECT ticket_id, label, p, row_number() OVER (PARTITION BY ticket_id ORDER BY p DESC, label) AS rn FROM ip),
+ipa AS (SELECT ticket_id, max(CASE WHEN rn = 1 THEN label END) AS predicted, max(p) AS max_p,
+  max(CASE WHEN rn = 1 THEN p END) - max(CASE WHEN rn = 2 THEN p END) AS gap FROM ip2 GROUP BY 1),
+ev AS (SELECT ipa.*, c.intent AS actual FROM ipa JOIN split s ON s.id = ipa.ticket_id JOIN corpus c ON c.id = s.id
+  WHERE s.is_test)"""
+
+
+def _intent_frame(spark, sf_dir):
+    t = FX.tickets(spark, sf_dir)
+    c = FX.corpus(spark, sf_dir, t)
+    test = EV.stratified_split(c.select("id", "category", "intent"), "category", "id").where("is_test")
+    probs = FX.probabilities(spark, sf_dir, t).withColumn("label", R.intent_from_department(F.col("label")))
+    return EV.predict_argmax(probs).join(test.select(F.col("id").alias("ticket_id"), F.col("intent").alias("actual")), "ticket_id")
+
+
+@query("classification_report_intent", with_fixtures(SPLIT_CTE, INTENT_CTE, _PC) + _REPORT_SQL)
+def q_classification_report_intent(spark, sf_dir):
+    """#90 for intents."""
+    return EV.classification_report(_intent_frame(spark, sf_dir))
+
+
+@query("confusion_matrix_intent", with_fixtures(SPLIT_CTE, INTENT_CTE) + _MATRIX_SQL)
+def q_confusion_matrix_intent(spark, sf_dir):
+    """#91 for intents."""
+    return EV.confusion_matrix(_intent_frame(spark, sf_dir))
+
+
+@query("confidence_histogram_intent", with_fixtures(SPLIT_CTE, INTENT_CTE) + _histogram_sql(0.4))
+def q_confidence_histogram_intent(spark, sf_dir):
+    """#92 for intents (threshold 0.4)."""
+    return EV.confidence_histogram(_intent_frame(spark, sf_dir), threshold=L.INTENT_CONFIDENCE_THRESHOLD)
+
+
+@query("low_confidence_rates_intent", with_fixtures(SPLIT_CTE, INTENT_CTE) + _low_sql(0.4))
+def q_low_confidence_rates_intent(spark, sf_dir):
+    """#93 for intents (threshold 0.4)."""
+    return EV.low_confidence_rates(_intent_frame(spark, sf_dir), threshold=L.INTENT_CONFIDENCE_THRESHOLD)

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str | Callable[[], str]] = {}
 
 
-def query(name: str, oracle: str | None = None):
-    """Register ``fn`` under ``name``; ``oracle`` is its DuckDB SQL, if any."""
+def query(name: str, oracle: str | Callable[[], str] | None = None):
+    """Register ``fn`` under ``name``; ``oracle`` is its DuckDB SQL, or a function that builds it when asked."""
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")

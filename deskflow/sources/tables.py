@@ -14,11 +14,22 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazily scan one table; Catalyst prunes columns and pushes filters into it."""
+READ_PARTITIONS = "deskflow.read.partitions"  # session setting: spread every scanned table over so many tasks
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    """Lazily scan one table; Catalyst prunes columns and pushes filters into it.
+
+    A file of one row group is read by one task. A caller who wants its rows
+    spread before CPU-heavy projections says so, with ``partitions`` or the
+    session setting ``deskflow.read.partitions``; unset (the default) means
+    the scan's own splits and no shuffle. Nothing is decided from sizes.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    table = spark.read.parquet(table_path(sf_dir, name))
+    wanted = partitions or int(spark.conf.get(READ_PARTITIONS, None) or 0)
+    return table.repartition(wanted) if wanted else table
 
 
 def scan_parquet(spark: SparkSession, path: str, schema=None) -> DataFrame:

@@ -13,15 +13,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..functions import text as X
 from ..operators import score as S
 from ..operators import tickets as TK
 from ..session import scratch_path
 
 
-def ticket_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """Unbounded ticket source: parquet files dropped into ``path``."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def ticket_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """Unbounded ticket source: parquet files dropped into ``path``; a micro-batch
+    takes all new files unless the caller sets a number."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
 
 
 def drop_greetings(stream: DataFrame, text: str = "description") -> DataFrame:
@@ -47,11 +52,13 @@ def fanout_batch(base: str):
     batch replayed after a failure rewrites the same files (idempotent)."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        rows = TK.ticket_rows(batch)
-        rows.write.mode("overwrite").parquet(f"{base}/tickets/batch={batch_id}")
-        S.triage_rows(batch, chat=True).write.mode("overwrite").parquet(f"{base}/triage/batch={batch_id}")
-        S.chat_log(batch).write.mode("overwrite").parquet(f"{base}/chat/batch={batch_id}")
-        batch.unpersist()
+        try:
+            rows = TK.ticket_rows(batch, channel=F.lit(L.CHAT_CHANNEL))
+            rows.write.mode("overwrite").parquet(f"{base}/tickets/batch={batch_id}")
+            S.queue_rows(batch, chat=True).write.mode("overwrite").parquet(f"{base}/triage/batch={batch_id}")
+            S.chat_log(batch).write.mode("overwrite").parquet(f"{base}/chat/batch={batch_id}")
+        finally:
+            batch.unpersist()
     return write
 
 
@@ -77,14 +84,15 @@ def stream_roundtrip(spark: SparkSession, source: DataFrame, build, name: str, f
 
 
 def stream_fanout(spark: SparkSession, source: DataFrame, name: str = "fanout", files: int = 4) -> DataFrame:
-    """Run #99 end to end; returns (sink, batch, rows) counts of what was written."""
+    """Run #99 end to end; returns (sink, channel, rows) counts of what was written."""
     src = scratch_path(spark, f"{name}-in")
     stage_files(source, src, files)
     base, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
     keys = ["ticket_id", "description", "customer_name", "channel", "created_at"]
     scored = score_stream(drop_greetings(ticket_stream(spark, src, source.schema)), keys=keys)
     run_fanout(scored, base, ckpt)
-    parts = [spark.read.parquet(f"{base}/{s}").select(F.lit(s).alias("sink"), "batch") for s in
-             ("tickets", "triage", "chat")]
+    parts = [spark.read.parquet(f"{base}/{s}").select(
+        F.lit(s).alias("sink"), (F.col("channel") if s == "tickets" else F.lit(None).cast("string")).alias("channel"))
+        for s in ("tickets", "triage", "chat")]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.groupBy("sink", "batch").agg(F.count(F.lit(1)).alias("rows"))
+    return out.groupBy("sink", "channel").agg(F.count(F.lit(1)).alias("rows"))

@@ -1,5 +1,5 @@
 """Plan checks: no Python in scoring, pruning/pushdown reach the scan, no
-shuffle in the rule path beyond the parallelism guard."""
+shuffle in the rule path."""
 
 from pyspark.sql import functions as F
 
@@ -41,12 +41,17 @@ def test_tickets_view_reads_only_needed_event_columns(spark, sf_dir):
     assert "ReadSchema: struct<event_id:bigint>" in p
 
 
-def test_parallelism_guard(spark, sf_dir):
-    from deskflow.operators.parallel import ensure_parallelism
-    one = spark.read.parquet(f"{sf_dir}/events.parquet")
-    spread = ensure_parallelism(one)
-    assert spread.rdd.getNumPartitions() >= min(spark.sparkContext.defaultParallelism, one.count())
-    shuffled = one.groupBy("user_id").count()
-    assert ensure_parallelism(shuffled) is shuffled      # already shuffled: untouched
-    wide = spark.range(0, 1000, numPartitions=64)
-    assert ensure_parallelism(wide) is wide              # enough splits: untouched
+def test_rule_scoring_has_no_exchange(spark, sf_dir):
+    assert "Exchange" not in _plan(queries()["score_tickets"](spark, sf_dir))
+
+
+def test_read_partitions_is_the_callers_choice(spark, sf_dir):
+    from deskflow.sources.tables import READ_PARTITIONS
+    plain = read_table(spark, sf_dir, "events")
+    assert "Exchange" not in _plan(plain)
+    assert read_table(spark, sf_dir, "events", partitions=5).rdd.getNumPartitions() == 5
+    spark.conf.set(READ_PARTITIONS, "3")
+    try:
+        assert read_table(spark, sf_dir, "events").rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset(READ_PARTITIONS)
