@@ -349,3 +349,44 @@ def q_chat_log(spark, sf_dir):
     t = FX.tickets(spark, sf_dir)
     s = S.score_tickets(t, keys=["ticket_id", "description"])
     return S.chat_log(s)
+
+
+# Real texts instead of assembled sentences: every turn of the conversations and
+# every whole document is routed and scored.
+_TURNS = ("WITH tickets AS (SELECT conv_id * 1000 + turn AS ticket_id, text AS description FROM conversations),\n")
+_TEXTS = "WITH tickets AS (SELECT doc_id AS ticket_id, text AS description FROM documents),\n"
+
+
+def _turns(spark, sf_dir):
+    return read_table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("ticket_id"), F.col("text").alias("description"))
+
+
+def _texts(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ticket_id"), F.col("text").alias("description"))
+
+
+@query("score_conversations", _TURNS + RULE_CTE + f" SELECT {SCORED_RULE_COLS} FROM scored_rule")
+def q_score_conversations(spark, sf_dir):
+    """#42 over the texts of all conversation turns."""
+    return _flat(S.score_tickets(_turns(spark, sf_dir)))
+
+
+@query("score_documents", _TEXTS + RULE_CTE + f" SELECT {SCORED_RULE_COLS} FROM scored_rule")
+def q_score_documents(spark, sf_dir):
+    """#42 over whole documents."""
+    return _flat(S.score_tickets(_texts(spark, sf_dir)))
+
+
+@query("route_conversations", _TURNS + ROUTER_CTE
+       + f" SELECT ticket_id, department, {G.routed_hits('department')} AS department_hits FROM rt")
+def q_route_conversations(spark, sf_dir):
+    """#37 over the texts of all conversation turns."""
+    return S.route_departments(_turns(spark, sf_dir))
+
+
+@query("route_documents", _TEXTS + ROUTER_CTE
+       + f" SELECT ticket_id, department, {G.routed_hits('department')} AS department_hits FROM rt")
+def q_route_documents(spark, sf_dir):
+    """#37 over whole documents."""
+    return S.route_departments(_texts(spark, sf_dir))
