@@ -27,7 +27,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"CMR1"
-HEAD = struct.Struct("<4sIQIIII")  # magic, vocabulary, ids, lanes, steps, crc of ids, crc of the rest
+HEAD = struct.Struct("<4sIQIIII")  # magic, vocabulary, ids, lanes, steps, crc of ids, crc of all the rest
 LANES = 8192
 LEAST_STEPS = 64
 ORDER2_BITS = 18
@@ -169,13 +169,16 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
             word_log.append(settled)
         low[:n], width[:n] = lo, wd
         model.learn(x, by2, by1)
-    for shift in (48, 32, 16, 0):
+    # two words end a lane: a width is at least FLOOR, so whatever the decoder reads after them stays inside it
+    low += U((1 << 32) - 1)
+    for shift in (48, 32):
         lane_log.append(numbers)
         word_log.append((low >> U(shift)).astype("<u2"))
     who, words = np.concatenate(lane_log), np.concatenate(word_log)
     sizes = np.bincount(who, minlength=lanes).astype("<u4")
     body = sizes.tobytes() + words[np.argsort(who, kind="stable")].tobytes()
-    return HEAD.pack(MAGIC, vocabulary, len(ids), lanes, steps, zlib.crc32(ids.tobytes()), zlib.crc32(body)) + body
+    head = HEAD.pack(MAGIC, vocabulary, len(ids), lanes, steps, zlib.crc32(ids.tobytes()), 0)[:-4]
+    return head + struct.pack("<I", zlib.crc32(body, zlib.crc32(head))) + body
 
 
 def decode(block: bytes) -> np.ndarray:
@@ -184,16 +187,16 @@ def decode(block: bytes) -> np.ndarray:
         raise CorruptBlock("short block")
     magic, vocabulary, count, lanes, steps, crc_ids, crc_body = HEAD.unpack_from(block)
     body = memoryview(block)[HEAD.size:]
-    if magic != MAGIC or zlib.crc32(body) != crc_body or (lanes, steps) != _shape(count):
+    if magic != MAGIC or zlib.crc32(body, zlib.crc32(block[:HEAD.size - 4])) != crc_body or (lanes, steps) != _shape(count):
         raise CorruptBlock("wrong checksum or layout")
     sizes = np.frombuffer(body, "<u4", lanes).astype(np.int64)
     words = np.frombuffer(body, "<u2", int(sizes.sum()), 4 * lanes).astype(np.uint64)
+    words = np.append(words, np.zeros(4, U))
     cursor = np.cumsum(sizes) - sizes
     code = np.zeros(lanes, U)
     for _ in range(4):
         code = (code << U(16)) | words[cursor]
         cursor += 1
-    words = np.append(words, np.zeros(4, U))
     model = _Model(vocabulary, lanes)
     low, width = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
     by_step = np.zeros((steps, lanes), np.uint32)
