@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 # FIXED VALUES: the template's control strings.
 BEGIN = "<s>"
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST] ", " [/INST]"), "assistant": ("", "</s>")}
@@ -124,7 +126,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     return conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "conv_id long, turn long, segment string, text_start long, text_end long, trained boolean, level int")
+        lean(run), "conv_id long, turn long, segment string, text_start long, text_end long, trained boolean, level int")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -167,4 +169,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     ordered = formatted.select("conv_id", "turn", "segment", "text_start", "text_end", "trained").repartition("conv_id")
     return ordered.sortWithinPartitions("conv_id", "turn", "segment", "trained").mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+        lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

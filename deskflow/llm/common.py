@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` (a task's function over Arrow batches), giving its freed memory back to the system when it ends.
+
+    Spark keeps Python workers for the next task; without this, each holds on
+    to the most that any of its tasks needed, beside the executor's own memory.
+    """
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # only the C library of Linux has it
+                pass
+    return task
+
+
 def document_columns(docs: DataFrame) -> DataFrame:
     """(doc_id long, text string); other columns, whatever their names, are ignored."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))

@@ -28,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_columns, materialize, text_rows
+from .common import document_columns, lean, materialize, sub_batches, text_rows
 
 WORD = re.compile(r"\w+")
 BLOCKS, BLOCK_RADIUS = 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 BLOCK_CHARS = 8_000_000  # benchmark text shipped to the tasks at once
+BATCH_BYTES = 8_000_000
 SPAN = 1 << 15  # shingles fingerprinted at once, so that long texts need bounded memory
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -183,7 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, thresh
                         for item, (s, start, n, d) in index.matches(text.decode("utf-8", "replace"), threshold).items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(lean(run), schema)
 
     blocks = [one(items) if i == 0 else materialize(one(items), "contaminated")
               for i, items in enumerate(_blocks(benchmark))]
@@ -198,16 +199,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: fl
 
     Same definitions as ``contaminated``; rows without a text stay.
     """
-    at = docs.columns.index("text")
+    at, name = docs.columns.index("text"), "text"
 
     def dropping(items: list[tuple[int, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(items, shingle)
             for batch in batches:
-                keep = [not t or not index.matches(t, threshold) for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+                for piece in sub_batches(iter([batch]), name, BATCH_BYTES):
+                    keep = [not t or not index.matches(t, threshold) for t in piece.column(at).to_pylist()]
+                    yield piece.filter(pa.array(keep, pa.bool_()))
         return run
 
     for items in _blocks(benchmark):
-        docs = docs.mapInArrow(dropping(items), docs.schema)
+        docs = docs.mapInArrow(lean(dropping(items)), docs.schema)
     return docs

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from . import gru
 from .bytewords import LETTERS, distinct, split_words, translate, word_bytes
-from .common import crc_fold, sub_batches
+from .common import crc_fold, lean, sub_batches
 
 PIECE = 24  # bytes read without a break
 HIDDEN = 12
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 8_000_000
 UNDETERMINED = "und"
 
 
@@ -159,7 +159,7 @@ def sample_words(labelled: DataFrame, docs_per_language: int, sample_words: int)
                     yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1).cast(pa.string()),
                                                       part.column(2)], ["lang", "word", "n"])
 
-    words = (chosen.select("lang", "text").mapInArrow(run, "lang string, word string, n long")
+    words = (chosen.select("lang", "text").mapInArrow(lean(run), "lang string, word string, n long")
              .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     # each language gets an equal part of the bound; its rarest words go first
     share = max(1, sample_words // len(counts))
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, net: ByteBiGru | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), langs, scores], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, lang_pred string, score double")
+        lean(run), "doc_id long, lang_pred string, score double")
 
 
 def label_texts(net: ByteBiGru | None, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -247,4 +247,4 @@ def keep_identified(docs: DataFrame, **bounds) -> DataFrame:
                 yield piece.filter(pc.not_equal(langs, UNDETERMINED))
 
     docs_text = docs.columns[at]
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import gru
 from .bytewords import LOWER, distinct, split_words, translate
-from .common import crc_fold, materialize, sub_batches
+from .common import crc_fold, lean, materialize, sub_batches
 
 CHUNK_BYTES = 12_000_000
 HEAD, PER_CLASS = 1024, 32
@@ -242,7 +242,7 @@ def coded_chunks(docs: DataFrame, held) -> DataFrame:
             chunk += 1
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
-    return base.mapInArrow(run, "chunk long, doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, tokens binary, "
+    return base.mapInArrow(lean(run), "chunk long, doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, tokens binary, "
                                 "words array<string>, train_n array<bigint>")
 
 
@@ -339,7 +339,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.012)
 
     found = lex.groupBy("chunk").agg(F.collect_list(F.struct("idx", "c")).alias("found"))
     coded = chunks.join(found, "chunk").select("chunk", "doc_ids", "held", "sizes", "tokens", "words", "found").mapInArrow(
-        code, "doc_ids array<bigint>, held array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, "
+        lean(code), "doc_ids array<bigint>, held array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, "
               "tail array<double>, symbols binary, train binary, train_ends binary")
     coded = materialize(coded, "lm-coded")
 
@@ -363,7 +363,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.012)
                     [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.seen], pa.int64()),
                      pa.array([packed.tobytes()], pa.binary())], ["task", "seen", "packed"])
 
-        mean = average(lessons.mapInArrow(teach, "task long, seen long, packed binary"), tasks)
+        mean = average(lessons.mapInArrow(lean(teach), "task long, seen long, packed binary"), tasks)
         if mean is not None:
             net.unpack(mean)
     weights = np.frombuffer(net.pack(), np.float32)
@@ -388,4 +388,4 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.012)
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                          "base_score double, score double")
     return coded.drop("train", "train_ends").mapInArrow(
-        score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        lean(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -260,7 +262,7 @@ def findings(docs: DataFrame, key: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, kind string, start long, length long, pseudonym string")
+        lean(run), "doc_id long, kind string, start long, length long, pseudonym string")
 
 
 def pseudonymize(docs: DataFrame, key: bytes, inverse: bool = False) -> DataFrame:
@@ -280,4 +282,4 @@ def pseudonymize(docs: DataFrame, key: bytes, inverse: bool = False) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:at], pa.array(values, texts.type), *batch.columns[at + 1:]], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

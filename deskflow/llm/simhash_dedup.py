@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_columns, materialize, text_rows
+from .common import document_columns, lean, materialize, text_rows
 from .components import connected_components
 
 SEED = 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fps = np.fromiter((fingerprint(t, shingle) for t in text_rows(batch)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return document_columns(docs).mapInArrow(run, "doc_id long, fp long")
+    return document_columns(docs).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def ball(half: int) -> np.ndarray:
@@ -121,8 +121,8 @@ def _emit(fps: np.ndarray, masks: np.ndarray, key_bits: int, bucket_bits: int) -
         yield bucket, b"".join(x.tobytes() for x in (head, table, counts, key.astype("<u2"), packed))
 
 
-def _unpack(payload: bytes, local: int) -> tuple[np.ndarray, np.ndarray]:
-    """(local key, owner fingerprint) of every entry of one payload."""
+def _unpack(payload: bytes, local: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(local key of every entry, its owner's place in the table, table of fingerprints) of one payload."""
     n_table, n, width = np.frombuffer(payload, "<u4", 3).tolist()
     at = 12
     table = np.frombuffer(payload, "<u8", n_table, at)
@@ -134,31 +134,36 @@ def _unpack(payload: bytes, local: int) -> tuple[np.ndarray, np.ndarray]:
     x = np.frombuffer(payload, np.uint8, (n + n % 2) // 2 * 3, at).reshape(-1, 3).astype(np.uint16)
     owner = np.stack([x[:, 0] | ((x[:, 1] & 15) << 8), (x[:, 1] >> 4) | (x[:, 2] << 4)], axis=1).ravel()[:n]
     high = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
-    return (high << np.uint64(16)) | low, table[owner]
+    high <<= np.uint64(16)
+    high |= low
+    return high, owner, table
 
 
 def _gather(payloads: list[bytes], local: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Entries of one bucket, sorted by key, as key and position in one word; owners by position; position bits."""
-    sizes = [int(np.frombuffer(p, "<u4", 2)[1]) for p in payloads]
-    total = sum(sizes)
-    span = max(1, total.bit_length())
-    order, owner, at = np.empty(total, np.uint64), np.empty(total, np.uint64), 0
-    for payload, n in zip(payloads, sizes):
-        key, owner[at:at + n] = _unpack(payload, local)
-        order[at:at + n] = (key << np.uint64(span)) | np.arange(at, at + n, dtype=np.uint64)
-        at += n
+    """Entries of one bucket sorted by key (key and owner's number in one word); fingerprint of each number; number bits."""
+    heads = [np.frombuffer(p, "<u4", 2).tolist() for p in payloads]
+    span = max(1, sum(n for n, _ in heads).bit_length())
+    order, tables, at, known = np.empty(sum(n for _, n in heads), np.uint64), [], 0, 0
+    for payload, (n_table, n) in zip(payloads, heads):
+        key, owner, table = _unpack(payload, local)
+        key <<= np.uint64(span)
+        key |= owner.astype(np.uint64) + np.uint64(known)
+        order[at:at + n] = key
+        tables.append(table)
+        at, known = at + n, known + n_table
     order.sort()
-    return order, owner, span
+    return order, np.concatenate(tables), span
 
 
 def _meet(order: np.ndarray, owner: np.ndarray, span: int, radius: int) -> np.ndarray:
     """Links (m, 2) between owners that share a key and lie within ``radius`` bits.
 
-    Of the owners of one key, the smallest is compared with all. Owners of the
-    same variant lie within the radius of it, so they all hang on it. Owners
-    beyond (strangers with the same key) are compared with every owner of the
-    key, so no link is lost. Pairwise links are not written out: linked owners
-    end up in one component either way.
+    ``order`` has key and owner's number (the lower ``span`` bits), sorted;
+    ``owner`` the fingerprint of each number. Of the owners of one key, the
+    smallest is compared with all. Owners of the same variant lie within the
+    radius of it, so they all hang on it. Owners beyond (strangers with the same
+    key) are compared with every owner of the key, so no link is lost. Pairwise
+    links are not written out: linked owners end up in one component either way.
     """
     same = (order[1:] ^ order[:-1]) < np.uint64(1 << span)
     shared = np.zeros(len(order), dtype=bool)
@@ -241,7 +246,7 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
         return pd.DataFrame({"a": links[:, 0].view(np.int64), "b": links[:, 1].view(np.int64)})
 
     tasks = max(1, math.ceil(total / FPS_PER_TASK))
-    packed = fps.select("fp").repartition(tasks, "fp").mapInArrow(emit, "bucket int, payload binary")
+    packed = fps.select("fp").repartition(tasks, "fp").mapInArrow(lean(emit), "bucket int, payload binary")
     return packed.groupBy("bucket").applyInPandas(collide, "a long, b long")
 
 

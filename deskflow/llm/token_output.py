@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import rangecoder
 from .bytewords import distinct, split_words, translate
-from .common import document_columns, sub_batches
+from .common import document_columns, lean, sub_batches
 
 BLOCK_TOKENS = 1 << 21
 BATCH_BYTES = 12_000_000
@@ -114,7 +114,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         if held:
             yield flush()
 
-    ordered.mapInArrow(run, FILE_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(lean(run), FILE_SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -149,7 +149,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     schema=schema)
 
     decoded = blocks.select("part", "block", "n_tokens", "doc_ids", "doc_tokens", "payload").mapInArrow(
-        run, "part int, block int, doc_id long, place long, n_tokens long, ids_crc32 long")
+        lean(run), "part int, block int, doc_id long, place long, n_tokens long, ids_crc32 long")
     return decoded.join(starts, ["part", "block"]).select(
         "doc_id", (F.col("at") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -165,4 +165,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), lists], ["doc_id", "ids"])
 
     return spark.read.schema(FILE_SCHEMA).parquet(path).select("doc_ids", "doc_tokens", "payload").mapInArrow(
-        run, "doc_id long, ids array<bigint>")
+        lean(run), "doc_id long, ids array<bigint>")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 
 MANY_CODES = 1 << 13  # from here on segments have 16 bits, else 8: a table has about as many cells as codes
 QUERY_BLOCK = 1 << 16
@@ -47,7 +47,7 @@ def sign_codes(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.binary())], ["id", "code"])
 
     chosen = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
-    return chosen.where("id is not null and size(v) > 0").mapInArrow(run, "id long, code binary")
+    return chosen.where("id is not null and size(v) > 0").mapInArrow(lean(run), "id long, code binary")
 
 
 def fold_copies(codes: DataFrame, k: int) -> DataFrame:
@@ -61,7 +61,7 @@ def fold_copies(codes: DataFrame, k: int) -> DataFrame:
             part = batch.to_pandas().drop_duplicates().sort_values("id").groupby("code", sort=False).head(k)
             yield pa.RecordBatch.from_pandas(part[["id", "code"]], preserve_index=False)
 
-    ranked = codes.mapInArrow(first, "id long, code binary").distinct().withColumn(
+    ranked = codes.mapInArrow(lean(first), "id long, code binary").distinct().withColumn(
         "n", F.row_number().over(Window.partitionBy("code").orderBy("id")))
     return ranked.where(F.col("n") <= k).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
@@ -159,7 +159,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             hits["query_id"] = np.array([i for i, _ in rows])[hits.q]
             yield pa.RecordBatch.from_pandas(hits[["query_id", "neighbor_id", "distance"]].astype("int64"), preserve_index=False)
 
-        hits = parts.mapInArrow(search, "query_id long, neighbor_id long, distance long")
+        hits = parts.mapInArrow(lean(search), "query_id long, neighbor_id long, distance long")
         found.append(hits if blocks == 1 else materialize(hits, "hits"))
     hits = found[0]
     for more in found[1:]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import LETTERS, distinct, split_words, translate, word_bytes
-from .common import crc_fold, materialize, sub_batches
+from .common import crc_fold, lean, materialize, sub_batches
 
 BUCKETS, DIM = 1 << 17, 6
 GRAMS = (3, 4, 5)
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500, rounds:
             yield pa.RecordBatch.from_arrays([pa.array([net.margins().tobytes()], pa.binary()),
                                               pa.array([net.margin_bias()])], ["margins", "bias"])
 
-    row = sample.repartition(1).mapInArrow(run, "margins binary, bias double").first()
+    row = sample.repartition(1).mapInArrow(lean(run), "margins binary, bias double").first()
     return Scorer(np.frombuffer(row.margins, np.float32), row.bias) if row else None
 
 
@@ -251,5 +251,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(score_texts(net, batch.column("text")))], schema=schema)
 
-    return base.mapInArrow(run, "doc_id long, score double").select(
+    return base.mapInArrow(lean(run), "doc_id long, score double").select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
