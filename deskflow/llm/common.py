@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +31,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their Python path has it already.
+
+    What ``--py-files`` does at submit time; needed where only the driver's path
+    holds the repository. Once per application.
+    """
+    root = Path(__file__).resolve().parents[2]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.conf.get("deskflow.shipped", None):
+        return
+    with tempfile.TemporaryDirectory() as folder:  # Spark copies the file to its own file server
+        path = Path(folder) / "deskflow.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted((root / "deskflow").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        spark.sparkContext.addPyFile(str(path))
+    spark.conf.set("deskflow.shipped", "true")
+
+
 def lean(run: Callable) -> Callable:
     """``run`` (a task's function over Arrow batches), giving its freed memory back to the system when it ends.
 
@@ -69,7 +92,7 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int)
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         piece = np.cumsum(sizes) // max_bytes
         cuts = np.flatnonzero(np.diff(piece)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
@@ -78,4 +101,5 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int)
 
 def read_docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     from ..sources.tables import read_table
+    ship_package(spark)
     return read_table(spark, sf_dir, name)
