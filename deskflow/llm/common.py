@@ -40,12 +40,11 @@ def ship_package(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parents[2]
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.conf.get("deskflow.shipped", None):
         return
-    with tempfile.TemporaryDirectory() as folder:  # Spark copies the file to its own file server
-        path = Path(folder) / "deskflow.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for f in sorted((root / "deskflow").rglob("*.py")):
-                z.write(f, f.relative_to(root))
-        spark.sparkContext.addPyFile(str(path))
+    path = Path(tempfile.mkdtemp(prefix="deskflow-py-")) / "deskflow.zip"  # the driver's file server hands it out
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "deskflow").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(path))
     spark.conf.set("deskflow.shipped", "true")
 
 
