@@ -160,7 +160,7 @@ ROUTING_RULES: list[tuple[str, list[str]]] = [
 DEFAULT_DEPARTMENT = "Customer Service"
 TECHNICAL_DEPARTMENT = "Technical Support"
 
-# High-signal technical phrases that give Technical Support precedence.
+# FIXED VALUES: a text with one of these goes to the technical team unless another list hits more often.
 TECH_PRIORITY_KEYWORDS = [
     "crash", "crashes", "freezes", "frozen", "hangs",
     "not loading", "unable to load", "failed to load", "loading issue",
@@ -327,8 +327,6 @@ CHAT_REPLY_NEUTRAL = (
     "Our support team will review it and take the necessary action."
 )
 
-PRIORITY_ORDER = ["Critical", "High", "Medium", "Low"]
-RISK_LEVELS = ["High", "Medium", "Low"]
 
 # FIXED VALUE: channel of tickets that the chat opens.
 CHAT_CHANNEL = "Chatbot"

@@ -70,10 +70,6 @@ def recent_tickets(t: DataFrame, n: int = 10) -> DataFrame:
     return t.orderBy(F.desc("created_at"), F.desc("ticket_id")).limit(n)
 
 
-def _as_map(df: DataFrame, key: str, value: str) -> Column:
-    return F.map_from_entries(F.collect_list(F.struct(F.coalesce(F.col(key), F.lit("null")), F.col(value))))
-
-
 def analytics_summary(t: DataFrame, triage: DataFrame) -> DataFrame:
     """#66: one report row: totals, the five distributions as maps, average
     confidence, triage counts, misrouting rate and the ten newest tickets.

@@ -245,12 +245,14 @@ def q_correlation_matrix(spark, sf_dir):
     return PR.correlation_matrix(_eng(spark, sf_dir))
 
 
-_STOP = ", ".join(G.q(w) for w in english_stop_words())
+def _word_frequency_sql() -> str:
+    stop = ", ".join(G.q(w) for w in english_stop_words())
+    return f"""SELECT word, count(*) AS count FROM (
+  SELECT unnest(string_split({G.clean('text')}, ' ')) AS word FROM documents)
+ WHERE length(word) >= 2 AND word NOT IN ({stop}) GROUP BY word ORDER BY count DESC, word LIMIT 150"""
 
 
-@query("word_frequency", f"""SELECT word, count(*) AS count FROM (
-  SELECT unnest(string_split({G.clean('text')}, ' ')) AS word FROM documents)
- WHERE length(word) >= 2 AND word NOT IN ({_STOP}) GROUP BY word ORDER BY count DESC, word LIMIT 150""")
+@query("word_frequency", _word_frequency_sql)
 def q_word_frequency(spark, sf_dir):
     """#24: 150 most frequent words over all documents (whole texts)."""
     return PR.word_frequency(read_table(spark, sf_dir, "documents"), "text")
