@@ -49,7 +49,7 @@ BANDS = 48  # by powers of two of the count; band 0 is the unknown word
 HIDDEN = 24
 TRAIN_SHARE = 4  # one training document in so many gives gradient steps
 ROUNDS = 2
-STREAMS, WINDOW = 64, 16
+STREAMS, WINDOW = 192, 16
 ROWS = 1 << 16  # symbols scored at once
 FAN_IN = 64
 END = ""  # the end of a document; no word is empty
@@ -63,12 +63,12 @@ def band_of(count: np.ndarray) -> np.ndarray:
 class ClassGru:
     """The network; all weights in one dictionary of float32 arrays."""
 
-    def __init__(self, n_head: int, seed: int = 9):
+    def __init__(self, n_head: int, n_bands: int = BANDS, seed: int = 9):
         rng = np.random.default_rng(seed)
         self.n_head = n_head
         self.head_classes = -(-n_head // PER_CLASS)
-        self.symbols = n_head + BANDS + 1  # the last one stands before a document
-        c, h = self.head_classes + BANDS, HIDDEN
+        self.symbols = n_head + n_bands + 1  # the last one stands before a document
+        c, h = self.head_classes + n_bands, HIDDEN
         w = {"x": rng.normal(0, 0.1, (self.symbols, 3 * h)), "u": rng.normal(0, 0.2, (h, 3 * h)),
              "class": rng.normal(0, 0.05, (h, c)), "class_bias": np.zeros(c),
              "word": rng.normal(0, 0.05, (self.head_classes * PER_CLASS, h)),
@@ -203,20 +203,31 @@ class Trainer:
         _, d_states = net.log_probability(np.concatenate(states), target.T.ravel(), g)
         d_states = d_states.reshape(len(states), -1, HIDDEN)
         g["x"], g["u"] = np.zeros_like(w["x"]), np.zeros_like(w["u"])
-        back = np.zeros_like(state)
+        back, d_inputs = np.zeros_like(state), [None] * len(states)
         for t in range(len(states) - 1, -1, -1):
             back = np.where(fresh[t][:, None], np.float32(0), back) + d_states[t]
-            back, d_in, d_u = gru.backward(back, kept[t], w["u"])
-            np.add.at(g["x"], inputs[t], d_in)
+            back, d_inputs[t], d_u = gru.backward(back, kept[t], w["u"])
             g["u"] += d_u
+        symbol = np.concatenate(inputs)
+        order = np.argsort(symbol, kind="stable")
+        first = np.flatnonzero(np.diff(symbol[order], prepend=-1))
+        g["x"][symbol[order[first]]] = np.add.reduceat(np.concatenate(d_inputs)[order], first, axis=0)
         self.steps += 1
         rate = self.rate * min(1.0, self.steps / 10)
-        for k, grad in g.items():
+        for k, grad in g.items():  # Adam, in place
             m, v = self.moments[k]
-            m += np.float32(0.1) * (grad - m)
-            v += np.float32(0.02) * (grad * grad - v)
-            w[k] -= np.float32(rate / (1 - 0.9 ** self.steps)) * m / (
-                np.sqrt(v * np.float32(1 / (1 - 0.98 ** self.steps))) + np.float32(1e-7))
+            m *= 0.9
+            v *= 0.98
+            m += 0.1 * grad
+            grad *= grad
+            grad *= 0.02
+            v += grad
+            np.sqrt(v, out=grad)
+            grad *= 1 / math.sqrt(1 - 0.98 ** self.steps)
+            grad += 1e-7
+            np.divide(m, grad, out=grad)
+            grad *= rate / (1 - 0.9 ** self.steps)
+            w[k] -= grad
         return state, previous
 
 
@@ -269,7 +280,7 @@ def average(weights: DataFrame, tasks: int) -> np.ndarray | None:
     return sum(np.frombuffer(r.packed, "<f8") for r in rows) / seen if seen else None
 
 
-def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.012) -> DataFrame:
+def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.02) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs(doc_id, text)``.
 
     Learns from rows whose crc32(doc_id) mod 7 is not 2. Words are lower-cased
@@ -302,6 +313,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.012)
         mass[b] -= word_count
         seen_less[b - 1 if word_count & (word_count - 1) == 0 else b] -= word_count
     n_head = len(head_words)
+    n_bands = int(np.flatnonzero(mass > 0).max(initial=0)) + 1  # bands that some word of the tail is in
     floor = math.log10(total + types + 1)
 
     coded_schema = pa.schema([
@@ -343,15 +355,15 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.012)
               "tail array<double>, symbols binary, train binary, train_ends binary")
     coded = materialize(coded, "lm-coded")
 
-    net = ClassGru(n_head)
-    net.start_from(head_counts, np.maximum(seen_less, 0))
+    net = ClassGru(n_head, n_bands)
+    net.start_from(head_counts, np.maximum(seen_less, 0)[:n_bands])
     lessons = coded.select("train", "train_ends")
     tasks = lessons.rdd.getNumPartitions()
     for k in range(rounds):
         start = np.frombuffer(net.pack(), np.float32)
 
         def teach(batches: Iterator[pa.RecordBatch], start=start, rate=rate / (1 + 2 * k)) -> Iterator[pa.RecordBatch]:
-            own = ClassGru(n_head)
+            own = ClassGru(n_head, n_bands)
             own.unpack(start)
             trainer = Trainer(own, rate)
             for batch in batches:
@@ -369,7 +381,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.012)
     weights = np.frombuffer(net.pack(), np.float32)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = ClassGru(n_head)
+        own = ClassGru(n_head, n_bands)
         own.unpack(weights)
         for batch in batches:
             for row in batch.to_pylist():
