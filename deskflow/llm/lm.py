@@ -13,9 +13,8 @@ in proportion to their counts. Probabilities over all training words and the
 unknown word sum to one.
 
 Training. Truncated backpropagation through time in numpy, in parallel: each
-task trains on a fixed share (``TRAIN_SHARE``, by a hash of the id) of the
-training documents of its rows, then the tasks' weights are averaged, for
-``ROUNDS`` rounds. In training a rare word is banded by its count without the
+task trains on every word of the training documents of its rows, then the
+tasks' weights are averaged, for ``ROUNDS`` rounds. In training a rare word is banded by its count without the
 occurrence at hand, so words seen once teach what unknown words look like.
 
 Scoring. All documents of a chunk advance together; the state of each is
@@ -28,7 +27,6 @@ shuffle for counts carries each distinct word of a chunk once, not each word.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +45,6 @@ CHUNK_BYTES = 12_000_000
 HEAD, PER_CLASS = 1024, 32
 BANDS = 48  # by powers of two of the count; band 0 is the unknown word
 HIDDEN = 24
-TRAIN_SHARE = 4  # one training document in so many gives gradient steps
 ROUNDS = 2
 STREAMS, WINDOW = 192, 16
 ROWS = 1 << 16  # symbols scored at once
@@ -176,19 +173,23 @@ class Trainer:
 
     def train(self, symbols: np.ndarray, ends: np.ndarray) -> None:
         """``symbols``: documents one after another; ``ends``: True at the last symbol of each."""
-        lanes = min(STREAMS, max(1, len(symbols) // (2 * WINDOW)))
-        length = len(symbols) // lanes
-        if not length:
+        if not len(symbols):
             return
-        streams = symbols[:lanes * length].reshape(lanes, length)
-        last = ends[:lanes * length].reshape(lanes, length)
+        lanes = min(STREAMS, max(1, len(symbols) // (2 * WINDOW)))
+        edges = np.arange(lanes + 1) * len(symbols) // lanes
+        length = int(np.diff(edges).max())
+        at = edges[:-1, None] + np.arange(length)
+        used = at < edges[1:, None]  # a lane one symbol shorter is padded
+        at = np.minimum(at, len(symbols) - 1)
+        streams, last = symbols[at], ends[at]
         state = np.zeros((lanes, HIDDEN), np.float32)
         previous = np.full(lanes, self.net.symbols - 1)
         for lo in range(0, length, WINDOW):
-            state, previous = self._window(streams[:, lo:lo + WINDOW], last[:, lo:lo + WINDOW], state, previous)
-        self.seen += lanes * length
+            part = slice(lo, lo + WINDOW)
+            state, previous = self._window(streams[:, part], last[:, part], state, previous, used[:, part])
+        self.seen += len(symbols)
 
-    def _window(self, target: np.ndarray, last: np.ndarray, state: np.ndarray, previous: np.ndarray):
+    def _window(self, target: np.ndarray, last: np.ndarray, state: np.ndarray, previous: np.ndarray, used: np.ndarray | None = None):
         w, net = self.net.w, self.net
         kept, states, inputs, fresh = [], [], [], []
         for t in range(target.shape[1]):
@@ -200,7 +201,13 @@ class Trainer:
             state = np.where(last[:, t, None], np.float32(0), state)
             previous = np.where(last[:, t], net.symbols - 1, target[:, t])
         g: dict[str, np.ndarray] = {}
-        _, d_states = net.log_probability(np.concatenate(states), target.T.ravel(), g)
+        every, symbol = np.concatenate(states), target.T.ravel()
+        if used is None or used.all():
+            _, d_states = net.log_probability(every, symbol, g)
+        else:  # padding gives no gradient
+            rows = np.flatnonzero(used.T.ravel())
+            d_states = np.zeros_like(every)
+            _, d_states[rows] = net.log_probability(every[rows], symbol[rows], g)
         d_states = d_states.reshape(len(states), -1, HIDDEN)
         g["x"], g["u"] = np.zeros_like(w["x"]), np.zeros_like(w["u"])
         back, d_inputs = np.zeros_like(state), [None] * len(states)
@@ -340,8 +347,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.02) -
                 first = np.cumsum(sizes) - sizes
                 doc_ids = row.column("doc_ids")[0].as_py()
                 held_rows = flat["held"].to_numpy(zero_copy_only=False)
-                chosen = [not h and zlib.crc32(f"lm {d}".encode()) % TRAIN_SHARE == 0 for d, h in zip(doc_ids, held_rows)]
-                inside = np.repeat(np.array(chosen, dtype=bool), sizes)
+                inside = np.repeat(~held_rows, sizes)
                 last = np.zeros(len(tokens), dtype=bool)
                 last[first + sizes - 1] = True
                 out = [[doc_ids], [held_rows.tolist()], [sizes], [np.add.reduceat(counts[tokens] > 0, first, dtype=np.int64)],

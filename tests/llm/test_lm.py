@@ -118,3 +118,22 @@ def test_averaging_in_a_tree(spark, monkeypatch):
     df = spark.createDataFrame(rows, "task long, seen long, packed binary")
     want = sum(np.frombuffer(p) for _, _, p in rows) / sum(s for _, s, _ in rows)
     assert np.allclose(lm.average(df, 11), want)
+
+
+def test_every_training_document_gives_gradient_steps(spark, docs):
+    # each id alone: one training document moves the network, whichever it is
+    for i in [i for i in range(12) if not held(i)][:3]:
+        df = docs((i, "a b c d " * 100), (next(j for j in range(99) if held(j)), "a b c d a b c d"))
+        score = {rounds: {r.doc_id: r.score for r in lm.score_documents(df, rounds=rounds).collect()}[i] for rounds in (0, 1)}
+        assert score[1] > score[0] + 1
+
+
+def test_last_symbols_of_a_lesson_are_learned():
+    net = lm.ClassGru(70)
+    trainer = lm.Trainer(net, 0.02)
+    symbols, ends = np.zeros(100, dtype=np.int64), np.zeros(100, bool)  # three lanes of 33 symbols and one more
+    symbols[-1], ends[-1] = 40, True  # the only word of its class
+    before = net.w["word"].copy()
+    trainer.train(symbols, ends)
+    assert trainer.seen == 100
+    assert (net.w["word"][32:64] != before[32:64]).any() and (net.w["word"][64:] == before[64:]).all()
