@@ -5,8 +5,8 @@ Features are #76's exact TF-IDF weights (5000 terms) and the nine engineered
 numbers, computed once over the corpus, as the reference's precomputed matrix;
 labels are indexed alphabetically. Spark's GBT is binary, so multiclass
 boosting is one-vs-rest GBT. ``TrainConfig`` defaults to the reference's
-settings; ``TrainConfig.sandbox()`` has fewer and shallower trees and nothing
-else changed, for machines on which thousands of deep trees do not finish.
+settings, which the registered queries use; ``TrainConfig.sandbox()`` has fewer
+and shallower trees and nothing else changed, for quick trials by a caller.
 """
 
 from __future__ import annotations

@@ -145,6 +145,25 @@ def test_default_training_settings_are_the_references():
     assert (c.intent_trees, c.intent_depth, c.priority_trees, c.priority_depth, c.max_iter) == (400, 10, 200, 6, 1000)
 
 
+@pytest.mark.parametrize("name", ["train_category", "train_intent", "train_priority", "train_logistic", "algorithm_comparison",
+                                  "cross_validate", "model_report"])
+def test_registered_training_uses_the_full_settings(spark, sf_dir, monkeypatch, name):
+    from deskflow.operators import train as TR
+
+    class Fitted(Exception):
+        pass
+
+    def record(tf, cfg, *args, **kwargs):
+        raise Fitted(cfg)
+
+    monkeypatch.setattr(TR, "training_frame", lambda corpus, cfg: spark.range(1))
+    for fit in ("train_models", "algorithm_comparison", "cross_validate"):
+        monkeypatch.setattr(TR, fit, record)
+    with pytest.raises(Fitted) as fitted:
+        queries()[name](spark, sf_dir)
+    assert fitted.value.args == (TR.TrainConfig(),)
+
+
 def test_patch_columns_a_table_lacks(spark):
     t = spark.createDataFrame([(1, "Open")], "ticket_id long, status string")
     p = spark.createDataFrame([(1, "bob", "done", "2024-01-02 00:00:00")],
