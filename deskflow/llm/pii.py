@@ -93,6 +93,10 @@ def card(m: str, f: Feistel, inverse: bool) -> str | None:
 
 
 def phone(m: str, f: Feistel, inverse: bool) -> str | None:
+    """Ten digits marked by +1 or a bracketed area code are a number, whatever they are; unmarked ones only if they can be dialled.
+
+    Area codes and exchanges stay below 200 or not, so that a pseudonym is found as its value was.
+    """
     digits = _digits(m)
     if m[0] == "+" and digits[0] != "1":
         if not 8 <= len(digits) <= 15:
@@ -100,11 +104,16 @@ def phone(m: str, f: Feistel, inverse: bool) -> str | None:
         n = len(digits) - 2  # the country code's first two digits stay
         return _refill(m, digits[:2] + str(f.permute(int(digits[2:]), 10 ** n, f"phone{n}{digits[:2]}", inverse)).zfill(n))
     area, exchange, line = digits[-10:-7], digits[-7:-4], digits[-4:]
-    if len(digits) not in (10, 11) or area[0] < "2" or exchange[0] < "2":
+    if len(digits) != (11 if m[0] == "+" else 10):
+        return None
+    low = [200 if part[0] >= "2" else 0 for part in (area, exchange)]
+    if low != [200, 200] and m[0] not in "+(":
         return None
-    value = ((int(area) - 200) * 800 + int(exchange) - 200) * 10_000 + int(line)
-    value, last = divmod(f.permute(value, 800 * 800 * 10_000, "phone", inverse), 10_000)
-    return _refill(m, digits[:-10] + f"{value // 800 + 200}{value % 800 + 200}{last:04d}")
+    areas, exchanges = (800 if x else 200 for x in low)
+    value = ((int(area) - low[0]) * exchanges + int(exchange) - low[1]) * 10_000 + int(line)
+    tweak = "phone" if low == [200, 200] else f"phone{low[0]},{low[1]}"
+    value, last = divmod(f.permute(value, areas * exchanges * 10_000, tweak, inverse), 10_000)
+    return _refill(m, digits[:-10] + f"{value // exchanges + low[0]:03d}{value % exchanges + low[1]:03d}{last:04d}")
 
 
 def national(m: str, f: Feistel, inverse: bool) -> str | None:

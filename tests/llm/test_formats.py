@@ -88,6 +88,16 @@ def test_values_keep_their_format_and_come_back(kind):
     assert pii.rewrite(pii.rewrite(text, f), f, inverse=True) == text
 
 
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "(017) 555-7713", "+1 117-055-7713", "+1 (319) 155-5132", "+1 (000) 000-0000"])
+def test_marked_phones_need_no_dialled_area(value):
+    f = pii.Feistel(b"key")
+    text = f"call {value}, not 017-555-7713"
+    (kind, start, found, new), = pii.find(text, f)
+    assert (kind, start, found) == ("phone", 5, value) and new != value
+    assert [c.isdigit() for c in new] == [c.isdigit() for c in value]
+    assert pii.rewrite(pii.rewrite(text, f), f, inverse=True) == text
+
+
 def test_every_date_maps_to_another_date():
     f = pii.Feistel(b"key")
     days = [(datetime.date(1999, 12, 1) + datetime.timedelta(i)).isoformat() for i in range(800)]
