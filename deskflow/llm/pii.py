@@ -25,6 +25,12 @@ from pyspark.sql import functions as F
 from .common import lean
 
 ROUNDS = 8
+# FIXED VALUES: characters of an IBAN by country (SWIFT registry).
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 "
+    "FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 "
+    "LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 "
+    "SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -82,14 +88,23 @@ def _digits(text: str) -> str:
     return re.sub(r"\D", "", text)
 
 
+def _is_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn_digit(digits[:-1]) == digits[-1]
+
+
 def card(m: str, f: Feistel, inverse: bool) -> str | None:
+    """Whether a beginning of the number is a card too stays as it is, so that the pseudonym is read to the same end."""
     digits = _digits(m)
-    if not 13 <= len(digits) <= 19 or len(set(digits)) == 1 or luhn_digit(digits[:-1]) != digits[-1]:
+    if not _is_card(digits):
         return None
     n = len(digits) - 2  # the first digit (the network) stays, the last is the check digit
-    body = f.permute(int(digits[1:-1]), 10 ** n, f"card{n}{digits[0]}", inverse)
-    payload = digits[0] + str(body).zfill(n)
-    return _refill(m, payload + luhn_digit(payload))
+    begins = [_is_card(digits[:i]) for i in range(13, len(digits))]
+    new = digits
+    while True:
+        payload = digits[0] + str(f.permute(int(new[1:-1]), 10 ** n, f"card{n}{digits[0]}", inverse)).zfill(n)
+        new = payload + luhn_digit(payload)
+        if _is_card(new) and [_is_card(new[:i]) for i in range(13, len(new))] == begins:
+            return _refill(m, new)
 
 
 def phone(m: str, f: Feistel, inverse: bool) -> str | None:
@@ -146,31 +161,52 @@ def address(m: str, f: Feistel, inverse: bool) -> str | None:
 
 
 def date(m: str, f: Feistel, inverse: bool) -> str | None:
-    """Year first, or day first with a four-digit year last; days of 1900 to 2099."""
+    """Year first, or day first with a four-digit year last, or month first where no month is in its place; 1900 to 2099.
+
+    Days beyond the twelfth stay beyond it, so that a pseudonym is read in the order of its value.
+    """
     a, sep, b, c = re.fullmatch(r"(\d+)([-/.])(\d+)[-/.](\d+)", m).groups()
-    year, month, day = (a, b, c) if len(a) == 4 else (c, b, a)
+    month_first = len(a) == 2 and int(b) > 12
+    year, month, day = (a, b, c) if len(a) == 4 else (c, a, b) if month_first else (c, b, a)
     try:
         ordinal = datetime.date(int(year), int(month), int(day)).toordinal()
     except ValueError:
         return None
     if not FIRST_DAY <= ordinal <= LAST_DAY:
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + f.permute(ordinal - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", inverse))
-    parts = (f"{new.year}", f"{new.month:02d}", f"{new.day:02d}")
-    return sep.join(parts if len(a) == 4 else parts[::-1])
+    while True:
+        ordinal = FIRST_DAY + f.permute(ordinal - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", inverse)
+        new = datetime.date.fromordinal(ordinal)
+        if (new.day > 12) == (int(day) > 12):
+            break
+    year, month, day = f"{new.year}", f"{new.month:02d}", f"{new.day:02d}"
+    return sep.join((year, month, day) if len(a) == 4 else (month, day, year) if month_first else (day, month, year))
+
+
+def _is_iban(plain: str) -> bool:
+    return 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4]
 
 
 def iban(m: str, f: Feistel, inverse: bool) -> str | None:
-    """Digits of the account part are permuted; letters stay; the check digits are recomputed."""
+    """Digits of the account part are permuted; letters stay; the check digits are recomputed.
+
+    Whether a beginning of the country's length is an IBAN too stays as it is.
+    """
     plain = m.replace(" ", "")
-    rest = plain[4:]
-    n = sum(c.isdigit() for c in rest)
-    if not 15 <= len(plain) <= 34 or not n or iban_check(plain[:2], rest) != plain[2:4]:
+    n = sum(c.isdigit() for c in plain[4:])
+    if not n or not _is_iban(plain):
         return None
-    shape = plain[:2] + re.sub(r"\d", "0", rest)
-    rest = _refill(rest, str(f.permute(int(_digits(rest)), 10 ** n, f"iban{shape}", inverse)).zfill(n))
-    new = iter(plain[:2] + iban_check(plain[:2], rest) + rest)
-    return "".join(" " if c == " " else next(new) for c in m)
+    shape = plain[:2] + re.sub(r"\d", "0", plain[4:])
+    usual = IBAN_LENGTHS.get(plain[:2], len(plain))
+    begins = usual < len(plain) and _is_iban(plain[:usual])
+    new = plain
+    while True:
+        rest = _refill(plain[4:], str(f.permute(int(_digits(new[4:])), 10 ** n, f"iban{shape}", inverse)).zfill(n))
+        new = plain[:2] + iban_check(plain[:2], rest) + rest
+        if (usual < len(plain) and _is_iban(new[:usual])) == begins:
+            break
+    at = iter(new)
+    return "".join(" " if c == " " else next(at) for c in m)
 
 
 def email(m: str, f: Feistel, inverse: bool) -> str | None:
@@ -195,7 +231,7 @@ def email(m: str, f: Feistel, inverse: bool) -> str | None:
 KINDS: dict[str, tuple[str, Callable[[str, Feistel, bool], str | None]]] = {
     "email": (r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![\w@])", email),
     "ip": (r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)", address),
-    "date": (r"(?:(?:\d{4}-\d{2}-\d{2})|(?:\d{2}([/.-])\d{2}\2\d{4}))(?![\w]|[-/.]\d)", date),
+    "date": (r"(?:(?:\d{4}(?:-\d{2}-|/\d{2}/|\.\d{2}\.)\d{2})|(?:\d{2}([/.-])\d{2}\2\d{4}))(?![\w]|[-/.]\d)", date),
     "national": (r"\d{3}-\d{2}-\d{4}(?![\w]|-\d)", national),
     "iban": (r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?!\w)", iban),
     "card": (r"\d(?:[ -]?\d){12,18}(?![\w]|[-.]\d)", card),
@@ -214,10 +250,35 @@ def _pattern() -> re.Pattern:
 PATTERN = _pattern()
 
 
+def _readings(kind: str, value: str) -> list[str]:
+    """The match, and for cards and IBANs what ends at a separator of it, in the order in which they are tried.
+
+    Other digits or words may follow a value. A card is the shortest reading
+    that is valid (none of the usual groupings has a card inside a card, but a
+    security code may follow); numbers that do not begin with a group of four
+    or more digits are read whole. An IBAN has its country's length, or else is
+    the longest reading that is valid.
+    """
+    if kind not in ("card", "iban"):
+        return [value]
+    parts = [value[:m.start()] for m in re.finditer("[ -]", value)] + [value]
+    if kind == "card":
+        return parts if len(parts[0]) >= 4 else [value]
+    return sorted(parts[::-1], key=lambda p: len(p.replace(" ", "")) != IBAN_LENGTHS.get(value[:2]))
+
+
+def _pseudonym(kind: str, value: str, feistel: Feistel, inverse: bool) -> str | None:
+    """None if the value is not valid; digits of other scripts stay in their script."""
+    if value.isascii():
+        return KINDS[kind][1](value, feistel, inverse)
+    new = KINDS[kind][1]("".join(str(int(c)) if c.isdecimal() else c for c in value), feistel, inverse)
+    return new and "".join(chr(ord(c) - int(c) + int(x)) if c.isdecimal() else x for c, x in zip(value, new))
+
+
 def find(text: str, feistel: Feistel, inverse: bool = False) -> Iterator[tuple[str, int, str, str]]:
     """(kind, start, value, pseudonym) of every valid value, from left to right without overlap.
 
-    A match that fails its validation is tried again as the later kinds at the same place.
+    A match that fails its validation is tried again in its shorter readings, then as the later kinds at the same place.
     """
     at = 0
     while m := PATTERN.search(text, at):
@@ -226,8 +287,11 @@ def find(text: str, feistel: Feistel, inverse: bool = False) -> Iterator[tuple[s
         hit = None
         for k in names[names.index(kind):]:
             part = m if k == kind else re.compile(KINDS[k][0].replace("\\2", "\\1")).match(text, m.start())
-            if part and (new := KINDS[k][1](part[0], feistel, inverse)) is not None:
-                hit = (k, m.start(), part[0], new)
+            for value in _readings(k, part[0]) if part else ():
+                if (new := _pseudonym(k, value, feistel, inverse)) is not None:
+                    hit = (k, m.start(), value, new)
+                    break
+            if hit:
                 break
         if hit:
             yield hit
@@ -246,8 +310,8 @@ def rewrite(text: str, feistel: Feistel, inverse: bool = False) -> str:
 
 
 def _suspects(texts: pa.Array) -> list[int]:
-    """Rows that hold a digit or an @; no other can hold a value."""
-    return pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(texts, r"[0-9@]"), False)).to_pylist()
+    """Rows that hold a digit of any script or an @; no other can hold a value."""
+    return pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(texts, r"[\p{Nd}@]"), False)).to_pylist()
 
 
 def findings(docs: DataFrame, key: bytes) -> DataFrame:

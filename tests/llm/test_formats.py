@@ -98,6 +98,40 @@ def test_marked_phones_need_no_dialled_area(value):
     assert pii.rewrite(pii.rewrite(text, f), f, inverse=True) == text
 
 
+NEIGHBOURS = [("card", "4111 1111 1111 1111", " 123"), ("card", "4111111111111111", " 12"), ("card", "4111-1111-1111-1111", "-123"),
+              ("card", "3782 822463 10005", " 7 x"), ("iban", "PL61 1090 1014 0000 0712 1981 2874", " PLN"),
+              ("iban", "AT61 1904 3002 3457 3201", " EUR 50"), ("iban", "BE68 5390 0754 7034", " DATE 2024 ABCD"),
+              ("date", "2024/05/01", "."), ("date", "2024.05.31", ", 7"), ("date", "12/25/2020", " 3"), ("date", "12-31-1999", ""),
+              ("card", "٤١١١ ١١١١ ١١١١ ١١١١", ""), ("date", "٢٠٢٤-٠٢-٢٩", " x")]
+
+
+@pytest.mark.parametrize("kind, value, after", NEIGHBOURS)
+def test_values_beside_others_and_other_date_orders(kind, value, after):
+    for key in range(60):
+        f = pii.Feistel(b"%d" % key)
+        text = f"see {value}{after}"
+        hits = list(pii.find(text, f))
+        assert [(k, at, v) for k, at, v, _ in hits] == [(kind, 4, value)]
+        assert list(map(str.isdecimal, hits[0][3])) == list(map(str.isdecimal, value)) and hits[0][3].isascii() == value.isascii()
+        new = pii.rewrite(text, f)
+        assert new.endswith(after) and pii.rewrite(new, f, inverse=True) == text
+        alone = pii.rewrite(value, f)
+        assert alone == hits[0][3]  # the neighbours do not change the pseudonym
+
+
+def test_long_cards_come_back_in_groups():
+    f = pii.Feistel(b"key")
+    payloads = [f"62{i * 7919:016d}" for i in range(60)]
+    for digits in (p + pii.luhn_digit(p) for p in payloads):
+        text = " ".join(digits[i:i + 4] for i in range(0, 19, 4))
+        assert pii.rewrite(pii.rewrite(text, f), f, inverse=True) == text
+
+
+def test_texts_with_digits_of_any_script_are_read(docs):
+    got = pii.findings(docs((1, "٢٠٢٤-٠٢-٢٩"), (2, "no value")), b"key").collect()
+    assert [(r.doc_id, r.kind) for r in got] == [(1, "date")]
+
+
 def test_every_date_maps_to_another_date():
     f = pii.Feistel(b"key")
     days = [(datetime.date(1999, 12, 1) + datetime.timedelta(i)).isoformat() for i in range(800)]
