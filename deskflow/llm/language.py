@@ -5,12 +5,16 @@ time, and gives every byte position a distribution over the languages. A
 document's probabilities are the mean over all its positions. The state starts
 anew at each word, so equal words get equal labels: each distinct word of a
 batch is run once and counted as often as it occurs. Words longer than
-``PIECE`` bytes are read in pieces of that length.
+``PIECE`` bytes are read in pieces of that length (8 characters of three bytes),
+the state starting anew at each. All bytes above 127 count as letters, also the
+punctuation of other scripts; digits, spaces and ASCII punctuation get no label.
 
 Training is backpropagation through time in numpy with Adam. The classifier is
 fitted on a bounded sample of the labelled rows: about ``docs_per_language``
 documents of each language drawn by a hash of their content, of which at most
-``sample_words`` distinct (language, word) pairs are used. Prediction covers
+``sample_words`` distinct (language, word) pairs are used; runs of more than
+``LONGEST`` characters, as scripts without spaces have, are learned in pieces.
+Prediction covers
 every whole text.
 """
 
@@ -29,6 +33,7 @@ from .bytewords import LETTERS, distinct, split_words, translate, word_bytes
 from .common import crc_fold, lean, sub_batches
 
 PIECE = 24  # bytes read without a break
+LONGEST = 64  # characters of a word that goes into the sample whole
 HIDDEN = 12
 BATCH_BYTES = 8_000_000
 UNDETERMINED = "und"
@@ -140,6 +145,20 @@ def train(sample: list[tuple[str, str, int]], steps: int = 700, batch: int = 256
     return net
 
 
+def cut_long(word: str) -> list[str]:
+    """The word, or if it is over ``LONGEST`` characters its parts of at most ``PIECE`` bytes, cut between characters."""
+    if len(word) <= LONGEST:
+        return [word]
+    data, parts, at = word.encode(), [], 0
+    while at < len(data):
+        end = min(at + PIECE, len(data))
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        parts.append(data[at:end].decode())
+        at = end
+    return parts
+
+
 def sample_words(labelled: DataFrame, docs_per_language: int, sample_words: int) -> list[tuple[str, str, int]]:
     """A bounded sample of (language, word, count), alike on every run over the same rows."""
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -155,7 +174,13 @@ def sample_words(labelled: DataFrame, docs_per_language: int, sample_words: int)
                 bounds, words = split_words(translate(piece.column("text"), LETTERS))
                 lang = piece.column("lang").take(pa.array(np.repeat(np.arange(piece.num_rows), np.diff(bounds))))
                 table = pa.table({"lang": lang, "word": words}).group_by(["lang", "word"]).aggregate([([], "count_all")])
-                for part in table.select(["lang", "word", "count_all"]).rename_columns(["lang", "word", "n"]).to_batches():
+                table = table.select(["lang", "word", "count_all"]).rename_columns(["lang", "word", "n"])
+                long = pc.greater(pc.utf8_length(table["word"]), LONGEST)
+                if pc.any(long).as_py():
+                    cut = [(r["lang"], w, r["n"]) for r in table.filter(long).to_pylist() for w in cut_long(r["word"])]
+                    cut = pa.table([pa.array(c, f.type) for c, f in zip(zip(*cut), table.schema)], table.schema)
+                    table = pa.concat_tables([table.filter(pc.invert(long)), cut])
+                for part in table.to_batches():
                     yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1).cast(pa.string()),
                                                       part.column(2)], ["lang", "word", "n"])
 
@@ -163,7 +188,7 @@ def sample_words(labelled: DataFrame, docs_per_language: int, sample_words: int)
              .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     # each language gets an equal part of the bound; its rarest words go first
     share = max(1, sample_words // len(counts))
-    least = words.where(F.length("word") <= 64).selectExpr(
+    least = words.selectExpr(
         "*", "row_number() over (partition by lang order by n desc, xxhash64(word), word) as k")
     return [(r.lang, r.word, r.n) for r in least.where(F.col("k") <= share).select("lang", "word", "n").collect()]
 
@@ -196,13 +221,19 @@ def label_texts(net: ByteBiGru | None, texts: pa.Array) -> tuple[pa.Array, pa.Ar
     total = pooled.sum(axis=1)
     best = pooled.argmax(axis=1)
     score = np.minimum(1.0, pooled[np.arange(n), best] / np.maximum(total, 1e-300))
+    known = has_letters(texts, bounds)
+    return (pa.array([net.languages[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist())], pa.string()),
+            pa.array(np.where(known, score, 0.0)))
+
+
+def has_letters(texts: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    """Whether each text holds a letter; ``bounds`` are those of its letter runs."""
     known = np.diff(bounds) > 0
     # a text without ASCII letters may hold no letter at all
     plain = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"[A-Za-z]"), False))
     for i in np.flatnonzero(known & ~plain).tolist():
         known[i] = any(ch.isalpha() for ch in texts[i].as_py())
-    return (pa.array([net.languages[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist())], pa.string()),
-            pa.array(np.where(known, score, 0.0)))
+    return known
 
 
 def fit(docs: DataFrame, docs_per_language: int = 250, max_words: int = 40_000, steps: int = 700) -> ByteBiGru | None:
@@ -233,8 +264,9 @@ def identify(docs: DataFrame, **bounds) -> DataFrame:
 def keep_identified(docs: DataFrame, **bounds) -> DataFrame:
     """The rows of ``docs`` whose text has a recognised language, with all columns unchanged.
 
-    Rejected are rows labelled ``und``: null texts and texts without a letter.
-    The model learns from the same fold as ``identify``.
+    Rejected are rows without a letter: null texts and those that ``identify``
+    labels ``und`` under a model, which learns from the same fold. Without a row
+    to learn from, every text with a letter stays.
     """
     held = crc_fold("doc_id", 4) == 2
     net = fit(docs.select("doc_id", "text", "lang").where(~held), **bounds)
@@ -243,8 +275,12 @@ def keep_identified(docs: DataFrame, **bounds) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in sub_batches(iter([batch]), docs_text, BATCH_BYTES):
-                langs, _ = label_texts(net, piece.column(at))
-                yield piece.filter(pc.not_equal(langs, UNDETERMINED))
+                texts = piece.column(at)
+                if net is None:
+                    keep = pa.array(has_letters(texts, split_words(translate(texts, LETTERS))[0]))
+                else:
+                    keep = pc.not_equal(label_texts(net, texts)[0], UNDETERMINED)
+                yield piece.filter(keep)
 
     docs_text = docs.columns[at]
     return docs.mapInArrow(lean(run), docs.schema)

@@ -40,6 +40,22 @@ def test_language_edges(spark, docs):
     assert {r.lang_pred for r in language.identify(unlabelled).collect()} == {"und"}
 
 
+def test_language_learns_long_runs(spark, docs):
+    rows = [(i, "the words of this" if i % 2 else "的是不我有大在人了中" * 20, "en" if i % 2 else "zh") for i in range(60)]
+    df = docs(*rows)
+    assert language.fit(df, steps=60).languages == ["en", "zh"]
+    assert all(r.lang_pred == ("en" if r.doc_id % 2 else "zh") for r in language.identify(df, steps=60).collect())
+    long = "aé的😀" * 100
+    parts = language.cut_long(long)
+    assert "".join(parts) == long and max(len(p.encode()) for p in parts) <= language.PIECE
+    assert language.cut_long("a" * language.LONGEST) == ["a" * language.LONGEST]
+
+
+def test_language_keeps_letters_without_a_model(spark, docs):
+    df = docs((1, "some words", None), (2, "—… 12", None), (3, None, None), (4, "слова", None), (5, "", None))
+    assert {r.doc_id for r in language.keep_identified(df).collect()} == {1, 4}
+
+
 def test_language_positions_and_gradients():
     net = language.ByteBiGru(["a", "b", "c"], hidden=5)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
