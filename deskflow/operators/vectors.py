@@ -136,7 +136,11 @@ def structured_features(df: DataFrame, cols: list[str], fit_on: DataFrame | None
 
 
 def label_encode(df: DataFrame, col: str) -> DataFrame:
-    """#81: alphabetical integer codes and their inverse, without bringing the labels to the driver."""
+    """#81: alphabetical integer codes and their inverse.
+
+    The distinct labels pass through one task and the driver (a scalar subquery):
+    for categorical columns, not for columns of many values.
+    """
     codes = fit_label_codes(df, [col])
     coded = df.withColumn("code", encode(col, codes))
     return coded.withColumn("decoded", F.element_at(codes[col], F.col("code") + 1))
