@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, decontaminate, language, lm, mixing, pii, simhash_dedup, token_output, topk, toxicity
+from . import chat, decontaminate, fim, language, lexical, lm, mixing, pii, simhash_dedup, token_output, topk, toxicity
 from .common import materialize, read_docs
 
 QUERIES = {}
@@ -98,3 +99,50 @@ ORACLE["op10_topk_hamming"] = f"""
     SELECT query_id, rank, neighbor_id, distance FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INTEGER AS rank FROM d)
     WHERE rank <= {TOP_K}"""
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in fill-in-middle form, with digests of the output and of the text restored from it."""
+    rows = fim.transform(read_docs(spark, sf_dir))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                       digest(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+ORACLE["op11_fill_in_middle"] = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+            regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents),
+    g AS (SELECT *, len(units) AS n, [CAST('0x' || h[8 * i + 1:8 * i + 8] AS BIGINT) FOR i IN range(4)] AS r FROM d),
+    c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+            CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50
+                THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM g),
+    p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+            array_to_string(units[b + 1:], '') AS suffix FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+            ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+        sha256(text) AS restored_sha256
+    FROM p"""
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for each ``benchmark`` item by weighted, length-normalised term counts."""
+    return lexical.search(read_docs(spark, sf_dir), read_docs(spark, sf_dir, "benchmark"), TOP_K)
+
+
+_TERMS = (r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+ORACLE["op13_lexical_search"] = f"""
+    WITH q AS (SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark),
+    d AS (SELECT row_number() OVER () AS place, doc_id, {_TERMS.format("text")} AS terms FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT count(*) AS nn, sum(len(terms)) AS ll FROM d WHERE len(terms) > 0),
+    tf AS (SELECT place, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+        FROM (SELECT place, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY place, term),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term, nn),
+    r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // ll)))) AS BIGINT) AS score
+        FROM tf JOIN w USING (term) JOIN q USING (term), s GROUP BY item_id, place, doc_id)
+    SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+        FROM r WHERE score > 0) WHERE rank <= {TOP_K}"""
