@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, decontaminate, fim, language, lexical, lm, mixing, pii, simhash_dedup, token_output, topk, toxicity
+from . import chat, decontaminate, fim, language, lexical, lm, mixing, pii, repeats, simhash_dedup, token_output, topk, toxicity
 from .common import materialize, read_docs
 
 QUERIES = {}
@@ -127,6 +127,12 @@ ORACLE["op11_fill_in_middle"] = r"""
     FROM p"""
 
 
+@query
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that also start elsewhere."""
+    return repeats.removal_digests(read_docs(spark, sf_dir), length=400)
+
+
 @query
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents for each ``benchmark`` item by weighted, length-normalised term counts."""
