@@ -15,10 +15,11 @@ as neighbours; prefix-free parsing gets there without sorting every suffix.
    (``context``) are one entry with a count; a count of two settles every string
    in it.
 3. Corpus order. The remaining entries of a key meet in one task, many keys at a
-   time, where they are parsed again (``corpus_order``): the suffix array of the
-   dictionary of distinct phrases and the suffix array of the parse (both by
-   prefix doubling) combine into the order of all their strings, and neighbours
-   are compared byte by byte.
+   time. Put in order after the trigger, and before it backwards, neighbours tell
+   how far each entry agrees with any other, which leaves few starts. These are
+   parsed again (``corpus_order``): the suffix array of the dictionary of distinct
+   phrases and the suffix array of the parse (both by prefix doubling) combine
+   into the order of all their strings, and neighbours are compared byte by byte.
 
 A key with very many entries is dealt over several tasks by entry. Each of them
 settles what it can by the same order and passes one digest for each string that
@@ -41,14 +42,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, sub_batches
+from .common import lean, materialize, sub_batches, text_rows
 
 GRAM = 16               # bytes under the rolling hash
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 BATCH_BYTES = 4_000_000
 CHUNK = 1 << 19         # positions hashed at once, so that long texts need bounded memory
-ENTRIES = 2048          # entries of a key that one task takes; further ones go to further tasks
+PLACE_BITS = 20         # more than a chunk's places need
+ENTRIES = 1 << 14       # entries of a key that one task takes; further ones go to further tasks
 ORDER_BYTES = 4_000_000  # entries' bytes put in order at once
 TASK_BYTES = 16_000_000  # entries' bytes for a task
 PHRASE_GRAM, PHRASE_STEP = 8, 32  # triggers inside a task: windows of 8 bytes, one in 32
@@ -68,15 +70,14 @@ def rolling(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def first_smallest(h: np.ndarray, span: int) -> np.ndarray:
-    """Place of the smallest value, the first of equal ones, in every window of ``span`` values."""
-    value, place, width = h, np.arange(len(h), dtype=np.int32), 1
+    """Place of the smallest of the hashes' upper 44 bits, the first of equal ones, in every window of ``span`` hashes."""
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    best, width = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
     while width < span:
         step = min(width, span - width)
-        later = value[step:] < value[:-step]
-        place = np.where(later, place[step:], place[:-step])
-        value = np.where(later, value[step:], value[:-step])
+        best = np.minimum(best[:-step], best[step:])
         width += step
-    return place
+    return (best & low).astype(np.int64)
 
 
 def records(data: np.ndarray, bounds: np.ndarray, length: int, span: int, gram: int):
@@ -88,7 +89,7 @@ def records(data: np.ndarray, bounds: np.ndarray, length: int, span: int, gram:
     for low in range(0, len(data) - length + 1, CHUNK):
         high = min(low + CHUNK, len(data) - length + 1)
         part = data[low:high + span + gram - 2]
-        pieces.append(first_smallest(rolling(part, gram), span)[:high - low].astype(np.int64) + low)
+        pieces.append(first_smallest(rolling(part, gram), span)[:high - low] + low)
     if not pieces:
         return (np.zeros(0, np.int64),) * 4
     trigger = np.concatenate(pieces)
@@ -209,12 +210,19 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return (a["text_hash"] == b["text_hash"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
+def spans_of(column: pa.Array) -> Iterator[list[tuple[int, int]]]:
+    """Each row's (first, last) pairs of a column of arrays of them (null: none)."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(column), 0), dtype=np.int64)).tolist()
+    pairs = list(zip(*(c.to_pylist() for c in column.flatten().flatten())))
+    return (pairs[a:b] for a, b in zip([0, *ends], ends))
+
+
 class Parser:
     def __init__(self, length: int, span: int | None, gram: int):
         self.length, self.gram = length, min(gram, 1 << (max(1, length // 4)).bit_length() - 1)
         self.span = span or max(1, length * 5 // 8)
         self.key_bytes = length - self.span + 1
-        if self.span + self.gram - 1 > length:
+        if self.span + self.gram - 1 > length or self.span > 1 << 15:
             raise ValueError("a string must hold the windows that decide its trigger")
 
     def records(self, data: np.ndarray, bounds: np.ndarray):
@@ -222,8 +230,14 @@ class Parser:
 
 
 def _parse(texts: DataFrame, parser: Parser) -> DataFrame:
-    """(key, context, doc_id, text_hash, at): the records of every text."""
-    arrow = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int32())])
+    """(key, context, doc_id, text_hash, at, lead, run): the records of every text.
+
+    at: the trigger; lead: the first start is so far before it; run: the last
+    start is so far after the first.
+    """
+    schema = "key long, context long, doc_id long, text_hash long, at int, lead smallint, run smallint"
+    arrow = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int32()),
+                       ("lead", pa.int16()), ("run", pa.int16())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -236,35 +250,54 @@ def _parse(texts: DataFrame, parser: Parser) -> DataFrame:
             rows = pa.array(text)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(context.view(np.int64)),
                                               batch.column("doc_id").take(rows), batch.column("text_hash").take(rows),
-                                              pa.array((trigger - bounds[text]).astype(np.int32))], schema=arrow)
+                                              pa.array((trigger - bounds[text]).astype(np.int32)), pa.array((trigger - first).astype(np.int16)),
+                                              pa.array((last - first).astype(np.int16))], schema=arrow)
 
-    return texts.mapInArrow(lean(run), "key long, context long, doc_id long, text_hash long, at int")
+    return texts.mapInArrow(lean(run), schema)
 
 
-def _entries(touched: DataFrame, parser: Parser) -> DataFrame:
-    """(key, share, shares, settled, doc_id, text_hash, first, bytes) of the records marked with a key."""
-    schema = "key long, share int, shares int, settled boolean, doc_id long, text_hash long, first int, bytes binary"
+def _entries(touched: DataFrame, length: int) -> DataFrame:
+    """(key, share, shares, settled, doc_id, text_hash, first, lead, bytes) of the records that stand for their entry."""
+    schema = "key long, share int, shares int, settled boolean, doc_id long, text_hash long, first int, lead smallint, bytes binary"
     arrow = pa.schema([("key", pa.int64()), ("share", pa.int32()), ("shares", pa.int32()), ("settled", pa.bool_()), ("doc_id", pa.int64()),
-                       ("text_hash", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary())])
+                       ("text_hash", pa.int64()), ("first", pa.int32()), ("lead", pa.int16()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text", BATCH_BYTES):
-            data, bounds = text_bytes(batch.column("text"))
-            text, trigger, first, last = parser.records(data, bounds)
-            where = dict(zip(zip(text.tolist(), (trigger - bounds[text]).tolist()), zip(first.tolist(), last.tolist())))
-            raw, rows = data.tobytes(), []
-            for i, (doc, text_hash, marks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "marks")))):
+            rows = []
+            for text, doc, text_hash, marks in zip(text_rows(batch), *(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "stand"))):
                 for m in marks:
-                    if m["shares"]:
-                        a, b = where[i, m["at"]]
-                        rows.append((m["key"], m["share"], m["shares"], m["settled"], doc, text_hash, a - int(bounds[i]), raw[a:b + parser.length]))
-            for low in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[low:low + 4096]), arrow)], schema=arrow)
+                    first = m["at"] - m["lead"]
+                    rows.append((m["key"], m["share"], m["shares"], m["settled"], doc, text_hash, first, m["lead"], text[first:first + m["run"] + length]))
+                if len(rows) >= 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return touched.mapInArrow(lean(run), schema)
+    return touched.where(F.size("stand") > 0).select("doc_id", "text_hash", "text", "stand").mapInArrow(lean(run), schema)
 
 
-def _in_order(entries: DataFrame, parser: Parser) -> DataFrame:
+def agreement(parts: list[bytes], groups: np.ndarray, most: int) -> np.ndarray:
+    """With how many of its first bytes (``most`` at most) each part agrees with any other part of its group.
+
+    Neighbours in lexicographic order agree furthest.
+    """
+    parts = [p[:most] for p in parts]
+    order = sorted(range(len(parts)), key=lambda i: (groups[i], parts[i]))
+    sizes = np.array([len(parts[i]) for i in order], dtype=np.int64)
+    table = np.zeros((len(parts), most + 1), np.uint8)
+    table[np.arange(most + 1) < sizes[:, None]] = np.frombuffer(b"".join(parts[i] for i in order), np.uint8)
+    differ = table[1:] != table[:-1]
+    differ[:, most] = True
+    shared = np.minimum(differ.argmax(axis=1), np.minimum(sizes[1:], sizes[:-1]))
+    shared[groups[order][1:] != groups[order][:-1]] = 0
+    out = np.zeros(len(parts), np.int64)
+    out[order] = np.maximum(np.append(0, shared), np.append(shared, 0))
+    return out
+
+
+def _in_order(entries: DataFrame, length: int) -> DataFrame:
     """(doc_id, text_hash, first, last, digest): starts of repeated strings, found through the corpus order of each key's entries.
 
     Where a key has several shares, rows with a digest (of the string) are left
@@ -273,19 +306,34 @@ def _in_order(entries: DataFrame, parser: Parser) -> DataFrame:
     """
     schema = "doc_id long, text_hash long, first int, last int, digest binary"
     arrow = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("digest", pa.binary())])
-    length = parser.length
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        strings = [r[7] for r in rows]
+        """``rows`` hold whole keys, or whole shares of keys that have several."""
+        strings = [r[8] for r in rows]
         starts = np.array([len(s) - length + 1 for s in strings], dtype=np.int64)
-        classes = equal_classes(strings, starts, length)
-        copies = np.repeat([2 if r[3] else 1 for r in rows], starts)
+        groups = np.cumsum([False] + [a[:2] != b[:2] for a, b in zip(rows, rows[1:])])
+        lead = np.array([r[7] for r in rows], dtype=np.int64)
+        after = agreement([s[a:] for s, a in zip(strings, lead.tolist())], groups, length)
+        before = agreement([s[:a][::-1] for s, a in zip(strings, lead.tolist())], groups, int(lead.max(initial=0)))
+        # a start so far before the trigger agrees with another entry's there, and in the rest of its bytes after it
+        low, high = np.maximum(lead - before, 0), np.minimum(lead - (length - after), starts - 1) + 1
+        shared = np.array([r[2] > 1 for r in rows])  # entries of other shares are not seen here
+        low, high = np.where(shared, 0, low), np.where(shared, starts, high)
+        some = np.flatnonzero(low < high)
+        if not len(some):
+            return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in arrow], schema=arrow)
+        low, number = low[some], (high - low)[some]
+        strings = [strings[i][a:a + n + length - 1] for i, a, n in zip(some.tolist(), low.tolist(), number.tolist())]
+        classes = equal_classes(strings, number, length)
+        copies = np.repeat([2 if rows[i][3] else 1 for i in some.tolist()], number)
         repeated = np.bincount(classes, weights=copies)[classes] > 1
         out, passed, at = [], set(), 0
-        for (_, _, shares, settled, doc, text_hash, first, string), n in zip(rows, starts.tolist()):
+        for i, string, a, n in zip(some.tolist(), strings, low.tolist(), number.tolist()):
+            _, _, shares, settled, doc, text_hash, first, _, _ = rows[i]
             found = repeated[at:at + n]
+            first += a
             if not settled:
-                out += [(doc, text_hash, first + a, first + b, None) for a, b in runs(np.flatnonzero(found))]
+                out += [(doc, text_hash, first + p, first + q, None) for p, q in runs(np.flatnonzero(found))]
             if shares > 1:
                 for p in range(n):
                     if not found[p]:
@@ -306,7 +354,7 @@ def _in_order(entries: DataFrame, parser: Parser) -> DataFrame:
                     held, size = [], 0
                 group = row[:2]
                 held.append(row)
-                size += len(row[7])
+                size += len(row[8])
         if held:
             yield settle(held)
 
@@ -314,32 +362,34 @@ def _in_order(entries: DataFrame, parser: Parser) -> DataFrame:
 
 
 def _marked(texts: DataFrame, parser: Parser) -> DataFrame:
-    """(doc_id, text_hash, marks): of every document, its records that others share.
+    """(doc_id, text_hash, whole, stand): of every document, its records that others share.
 
-    A mark says where the trigger is, whether the record is settled (another one
-    agrees in all its bytes), and, if records with other bytes have its key and
-    this is the one to stand for its entry, the key and its share of entries.
+    whole: (first, last) starts of the records that another one agrees with in
+    all their bytes; stand: the records that stand for their entry where its key
+    has others, with the key and its share of entries.
     """
     parsed = materialize(_parse(texts, parser), "parse")
     again = materialize(parsed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated")
     shared = materialize(parsed.join(again, "key", "left_semi"), "shared")
-    entries = materialize(shared.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "at")).alias("one")), "dictionary")
+    one = F.min(F.struct("doc_id", "text_hash", "at", "lead", "run"))
+    entries = materialize(shared.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), one.alias("one")), "dictionary")
     keys = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "keys")
     shares = F.ceil(F.col("m") / F.lit(ENTRIES)).cast("int")
-    stand = entries.join(keys, "key").select("one.*", (F.col("n") > 1).alias("settled"), "key",
-                                             F.pmod("context", shares).cast("int").alias("share"), shares.alias("shares"))
-    whole = shared.join(materialize(entries.where("n > 1").select("key", "context"), "settled"), ["key", "context"], "left_semi")
-    none = F.lit(None)
-    whole = whole.select("doc_id", "text_hash", "at", F.lit(True).alias("settled"), none.cast("long").alias("key"),
-                         none.cast("int").alias("share"), none.cast("int").alias("shares"))
-    return whole.unionByName(stand).groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.struct("at", "settled", "key", "share", "shares")).alias("marks"))
+    stand = entries.join(keys, "key").select("one.doc_id", "one.text_hash", F.lit(None).cast("struct<first:int,last:int>").alias("w"), F.struct(
+        "key", F.pmod("context", shares).cast("int").alias("share"), shares.alias("shares"), (F.col("n") > 1).alias("settled"),
+        "one.at", "one.lead", "one.run").alias("s"))
+    settled = materialize(entries.where("n > 1").select("key", "context"), "settled")
+    first = (F.col("at") - F.col("lead")).cast("int")
+    whole = shared.join(settled, ["key", "context"], "left_semi").select(
+        "doc_id", "text_hash", F.struct(first.alias("first"), (first + F.col("run")).cast("int").alias("last")).alias("w"),
+        F.lit(None).cast(stand.schema["s"].dataType).alias("s"))
+    return whole.unionByName(stand).groupBy("doc_id", "text_hash").agg(F.collect_set("w").alias("whole"), F.collect_set("s").alias("stand"))
 
 
 def _touched(texts: DataFrame, parser: Parser) -> DataFrame:
-    """(doc_id, text_hash, text, marks) of the documents with marks."""
+    """(doc_id, text_hash, text, whole, stand) of the documents with shared records."""
     marked = _marked(texts, parser)
-    return texts.join(marked, _same(texts, marked)).select(texts["doc_id"], texts["text_hash"], "text", "marks")
+    return texts.join(marked, _same(texts, marked)).select(texts["doc_id"], texts["text_hash"], "text", "whole", "stand")
 
 
 def cut_documents(docs: DataFrame, length: int = 400, span: int | None = None, gram: int = GRAM) -> DataFrame:
@@ -360,42 +410,35 @@ def cut_documents(docs: DataFrame, length: int = 400, span: int | None = None, g
     parser = Parser(length, span, gram)
     texts = _identified(docs).where(F.octet_length("text") >= length)
     touched = materialize(_touched(texts, parser), "touched")
-    entries = materialize(_entries(touched, parser), "entries")
+    entries = materialize(_entries(touched, length), "entries")
     size = entries.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     dealt = entries.repartition(tasks, "key", "share").sortWithinPartitions("key", "share")
-    found = materialize(_in_order(dealt, parser), "found")
+    found = materialize(_in_order(dealt, length), "found")
     left = found.where("digest is not null")
     twice = materialize(left.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "twice")
     met = left.where("first is not null").join(twice, "digest", "left_semi")
     starts = found.where("digest is null").unionByName(met).groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.struct("first", "last")).alias("starts"))
-    both = touched.join(starts, _same(touched, starts), "left").select(touched["doc_id"], touched["text_hash"], "text", "marks", "starts")
+    both = touched.join(starts, _same(touched, starts), "left").select(touched["doc_id"], touched["text_hash"], "text", "whole", "starts")
     schema = "doc_id long, text_hash long, spans array<struct<start:int,end:int>>, kept binary"
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     arrow = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("spans", span_type), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text", BATCH_BYTES):
-            data, bounds = text_bytes(batch.column("text"))
-            text, trigger, first, last = parser.records(data, bounds)
-            mine = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            raw, rows = data.tobytes(), []
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "marks", "starts"))
-            for i, (doc, text_hash, marks, starts) in enumerate(zip(*columns)):
-                low, own = int(bounds[i]), slice(mine[i], mine[i + 1])
-                settled = np.isin(trigger[own] - low, [m["at"] for m in marks if m["settled"]])
-                covers = [(a - low, b - low + length) for a, b in zip(first[own][settled].tolist(), last[own][settled].tolist())]
-                covers += [(s["first"], s["last"] + length) for s in starts or ()]
+            rows = []
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash"))
+            for text, doc, text_hash, *starts in zip(text_rows(batch), *columns, spans_of(batch.column("whole")), spans_of(batch.column("starts"))):
                 spans = []
-                for a, b in sorted(covers):
+                for a, b in sorted(starts[0] + starts[1]):
                     if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(b, spans[-1][1])
+                        spans[-1][1] = max(b + length, spans[-1][1])
                     else:
-                        spans.append([a, b])
+                        spans.append([a, b + length])
                 if spans:
-                    edges = [0, *(x for s in spans for x in s), int(bounds[i + 1]) - low]
-                    kept = b"".join(raw[low + a:low + b] for a, b in zip(edges[::2], edges[1::2]))
+                    edges = [0, *(x for s in spans for x in s), len(text)]
+                    kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
                     rows.append((doc, text_hash, [{"start": a, "end": b} for a, b in spans], kept))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)

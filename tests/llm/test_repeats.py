@@ -62,6 +62,15 @@ def test_every_start_has_one_trigger_that_its_string_decides(texts, how):
     assert sum((last - first + 1).tolist()) == sum(max(0, len(t) - length + 1) for t in texts)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.binary(max_size=9).map(lambda b: bytes(x % 2 for x in b))), min_size=1, max_size=8), st.integers(0, 9))
+def test_agreement_is_the_longest_with_any_other(rows, most):
+    rows.sort(key=lambda r: r[0])
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    want = [max([0, *(min(most, common(p, q)) for j, (h, q) in enumerate(rows) if j != i and h == g)]) for i, (g, p) in enumerate(rows)]
+    assert repeats.agreement([p for _, p in rows], np.array([g for g, _ in rows]), most).tolist() == want
+
+
 def test_long_texts_are_hashed_in_chunks(monkeypatch):
     rng = np.random.default_rng(1)
     data, bounds = rng.integers(0, 4, 5000).astype(np.uint8), np.array([0, 1700, 1700, 5000])
