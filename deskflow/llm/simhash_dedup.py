@@ -11,7 +11,11 @@ What is shuffled is packed: a task takes up to 4 096 fingerprints, hashes each
 variant to a short key (bits grow with the logarithm of the number of variants,
 so about one variant in 128 meets a stranger, which the verification drops),
 sorts the keys and writes, per bucket of the key space, two bytes of key and
-twelve bits of owner for each variant.
+twelve bits of owner for each variant, besides a table of the owners. Where there
+are so many buckets that a batch leaves too little in each to pay for the table,
+the whole variant is written instead, in the order of its hash, with the number
+of its mask: owner = variant ^ mask. That takes less than nine bytes a variant
+however many buckets there are.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ SEED = 42
 OWNER_BITS = 12
 FPS_PER_TASK = 3600  # average; a batch holds at most 2**OWNER_BITS
 ENTRIES_PER_BUCKET = 1 << 23
+WHOLE_BYTES = 9         # more than a whole variant takes, packed
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -87,6 +92,14 @@ def _mix(v: np.ndarray) -> None:
     v *= np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _unmix(v: np.ndarray) -> None:
+    """What ``_mix`` made, back in place."""
+    v *= np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    v ^= (v >> np.uint64(29)) ^ (v >> np.uint64(58))
+    v *= np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    v ^= v >> np.uint64(32)
+
+
 def _emit(fps: np.ndarray, masks: np.ndarray, key_bits: int, bucket_bits: int) -> Iterator[tuple[int, bytes]]:
     """Pack the variants of up to 4 096 fingerprints into one payload per bucket."""
     entries = np.empty(len(fps) * len(masks), dtype=np.uint64)
@@ -99,15 +112,11 @@ def _emit(fps: np.ndarray, masks: np.ndarray, key_bits: int, bucket_bits: int) -
         entries[lo * len(masks):(lo + len(part)) * len(masks)] = part.ravel()
     entries.sort()
     local = key_bits - bucket_bits  # key bits inside a bucket; the low 16 are stored, the rest counted
-    edges = np.searchsorted(entries, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(local + OWNER_BITS))
-    for bucket, (lo, hi) in enumerate(zip([0, *edges.tolist()], [*edges.tolist(), len(entries)])):
-        if lo == hi:
-            continue
+    for bucket, lo, hi in _parted(entries, bucket_bits, local + OWNER_BITS):
         part = entries[lo:hi]
         owner = (part & np.uint64((1 << OWNER_BITS) - 1)).astype(np.uint16)
         key = (part >> np.uint64(OWNER_BITS)) & np.uint64((1 << local) - 1)
-        counts = np.bincount((key >> np.uint64(16)).astype(np.int64), minlength=1 << (local - 16))
-        counts = counts.astype("<u1" if counts.max() < 256 else "<u4")
+        counts = _counted(key >> np.uint64(16), local - 16)
         if hi - lo < len(fps):  # few entries: carry only the fingerprints they name
             used, owner = np.unique(owner, return_inverse=True)
             table, owner = fps[used], owner.astype(np.uint16)
@@ -121,10 +130,59 @@ def _emit(fps: np.ndarray, masks: np.ndarray, key_bits: int, bucket_bits: int) -
         yield bucket, b"".join(x.tobytes() for x in (head, table, counts, key.astype("<u2"), packed))
 
 
-def _unpack(payload: bytes, local: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _parted(ordered: np.ndarray, bucket_bits: int, below: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of each bucket that some of the ordered numbers are in; it is their bits from ``below`` on."""
+    edges = np.searchsorted(ordered, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(below))
+    for bucket, (lo, hi) in enumerate(zip([0, *edges.tolist()], [*edges.tolist(), len(ordered)])):
+        if lo < hi:
+            yield bucket, lo, hi
+
+
+def _counted(slot: np.ndarray, bits: int) -> np.ndarray:
+    counts = np.bincount(slot.astype(np.int64), minlength=1 << bits)
+    return counts.astype("<u1" if counts.max() < 256 else "<u4")
+
+
+def _emit_whole(fps: np.ndarray, masks: np.ndarray, bucket_bits: int) -> Iterator[tuple[int, bytes]]:
+    """As ``_emit``, with whole variants: the leading bits counted, the others and the mask's number packed."""
+    mixed = (fps[:, None] ^ masks[None, :]).ravel()
+    _mix(mixed)
+    order = np.argsort(mixed)
+    mixed = mixed[order]
+    mask = (order % len(masks)).astype(np.uint64)
+    mask_bits = (len(masks) - 1).bit_length()
+    for bucket, lo, hi in _parted(mixed, bucket_bits, 64 - bucket_bits):
+        local = 64 - bucket_bits
+        part = mixed[lo:hi] & np.uint64((1 << local) - 1)
+        slots = max(local + mask_bits - 64, min(local, (hi - lo).bit_length() - 1))  # leading bits that are counted
+        counts = _counted(part >> np.uint64(local - slots), slots) if slots else np.array([hi - lo], "<u4")
+        rest = ((part & np.uint64((1 << (local - slots)) - 1)) << np.uint64(mask_bits)) | mask[lo:hi]
+        width = -(-(local - slots + mask_bits) // 8)
+        packed = rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        head = np.array([0, hi - lo, counts.itemsize | slots << 8], dtype="<u4")
+        yield bucket, b"".join(x.tobytes() for x in (head, counts, packed))
+
+
+def _unpack(payload: bytes, local: int, masks: np.ndarray, bucket: int, bucket_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(local key of every entry, its owner's place in the table, table of fingerprints) of one payload."""
     n_table, n, width = np.frombuffer(payload, "<u4", 3).tolist()
     at = 12
+    if not n_table:  # whole variants
+        slots, width = width >> 8, width & 255
+        counts = np.frombuffer(payload, f"<u{width}", 1 << slots, at)
+        at += width * len(counts)
+        inside, mask_bits = 64 - bucket_bits, (len(masks) - 1).bit_length()
+        rest = np.zeros((n, 8), np.uint8)
+        size = -(-(inside - slots + mask_bits) // 8)
+        rest[:, :size] = np.frombuffer(payload, np.uint8, n * size, at).reshape(n, size)
+        rest = rest.view("<u8").ravel()
+        variant = np.repeat(np.arange(len(counts), dtype=np.uint64), counts) << np.uint64(inside - slots) if slots else np.zeros(n, np.uint64)
+        variant |= rest >> np.uint64(mask_bits)
+        key = variant >> np.uint64(inside - local)
+        if bucket_bits:
+            variant |= np.uint64(bucket << inside)
+        _unmix(variant)
+        return key, np.arange(n), variant ^ masks[(rest & np.uint64((1 << mask_bits) - 1)).astype(np.int64)]
     table = np.frombuffer(payload, "<u8", n_table, at)
     at += 8 * n_table
     counts = np.frombuffer(payload, f"<u{width}", 1 << (local - 16), at)
@@ -139,13 +197,13 @@ def _unpack(payload: bytes, local: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return high, owner, table
 
 
-def _gather(payloads: list[bytes], local: int) -> tuple[np.ndarray, np.ndarray, int]:
+def _gather(payloads: list[bytes], local: int, masks: np.ndarray, bucket: int, bucket_bits: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Entries of one bucket sorted by key (key and owner's number in one word); fingerprint of each number; number bits."""
-    heads = [np.frombuffer(p, "<u4", 2).tolist() for p in payloads]
+    heads = [(t or n, n) for t, n in (np.frombuffer(p, "<u4", 2).tolist() for p in payloads)]
     span = max(1, sum(n for n, _ in heads).bit_length())
     order, tables, at, known = np.empty(sum(n for _, n in heads), np.uint64), [], 0, 0
     for payload, (n_table, n) in zip(payloads, heads):
-        key, owner, table = _unpack(payload, local)
+        key, owner, table = _unpack(payload, local, masks, bucket, bucket_bits)
         key <<= np.uint64(span)
         key |= owner.astype(np.uint64) + np.uint64(known)
         order[at:at + n] = key
@@ -213,6 +271,17 @@ def _forest(links: np.ndarray) -> np.ndarray:
     return nodes[np.array(kept, dtype=np.int64).reshape(-1, 2)]
 
 
+def layout(total: int, n_masks: int) -> tuple[int, int, bool]:
+    """(bits of a bucket's number, bits of a key, whether whole variants are written) for so many distinct fingerprints."""
+    entries = max(1, total * n_masks)
+    bucket_bits = max(0, math.ceil(math.log2(entries / ENTRIES_PER_BUCKET)))
+    key_bits = max(math.ceil(math.log2(entries)) + 7, bucket_bits + 17)
+    # with owners' table and counts a payload costs 8 bytes for each owner it names and one for every 2^16 keys, besides 3.5 an entry
+    left = FPS_PER_TASK * n_masks / (1 << bucket_bits)
+    whole = 3.5 + 8 * min(1, FPS_PER_TASK / left) + (1 << (key_bits - bucket_bits - 16)) / left > WHOLE_BYTES
+    return bucket_bits, key_bits, whole
+
+
 def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b) that connect all distinct ``fps(fp)`` within ``radius`` bits.
 
@@ -221,9 +290,7 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """
     total = fps.count()
     masks = ball((radius + 1) // 2)
-    entries = max(1, total * len(masks))
-    bucket_bits = max(0, math.ceil(math.log2(entries / ENTRIES_PER_BUCKET)))
-    key_bits = max(math.ceil(math.log2(entries)) + 7, bucket_bits + 17)
+    bucket_bits, key_bits, whole = layout(total, len(masks))
     local = key_bits - bucket_bits
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,16 +304,18 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
             yield from rows(held)
 
     def rows(part: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for bucket, payload in _emit(np.sort(part.view(np.uint64)), masks, key_bits, bucket_bits):
+        fps = np.sort(part.view(np.uint64))
+        for bucket, payload in _emit_whole(fps, masks, bucket_bits) if whole else _emit(fps, masks, key_bits, bucket_bits):
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())],
                                              ["bucket", "payload"])
 
     def collide(group: pd.DataFrame) -> pd.DataFrame:
-        links = _forest(_meet(*_gather(list(group.payload), local), radius))
+        links = _forest(_meet(*_gather(list(group.payload), local, masks, int(group.bucket.iloc[0]), bucket_bits), radius))
         return pd.DataFrame({"a": links[:, 0].view(np.int64), "b": links[:, 1].view(np.int64)})
 
     tasks = max(1, math.ceil(total / FPS_PER_TASK))
     packed = fps.select("fp").repartition(tasks, "fp").mapInArrow(lean(emit), "bucket int, payload binary")
+    packed = packed.repartition(1 << bucket_bits, "bucket")  # about a bucket a task
     return packed.groupBy("bucket").applyInPandas(collide, "a long, b long")
 
 

@@ -1,6 +1,7 @@
 """Near-duplicates against brute force over all pairs of fingerprints."""
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -135,3 +136,51 @@ def test_wide_group_of_near_copies(spark, docs):
         w[i % 300] = f"x{i}"
         rows.append((i, " ".join(w)))
     check(docs(*rows, *[(1000 + i, f"alone {i} " * 9) for i in range(50)]))
+
+
+def test_bytes_a_variant_stay_flat():
+    """From the fingerprints of 0.5 GB of texts to those of 300 GB and far beyond."""
+    masks, rng = S.ball(2), np.random.default_rng(4)
+    fps = np.sort(rng.integers(0, 1 << 64, S.FPS_PER_TASK, dtype=np.uint64))
+    sizes = {}
+    for total in (235_000, 2_000_000, 13_800_000, 140_000_000, 1_400_000_000):
+        bucket_bits, key_bits, whole = S.layout(total, len(masks))
+        payloads = S._emit_whole(fps, masks, bucket_bits) if whole else S._emit(fps, masks, key_bits, bucket_bits)
+        sizes[total] = sum(len(p) for _, p in payloads) / (len(fps) * len(masks))
+    assert sizes[235_000] < 4 and max(sizes.values()) < 9, sizes
+
+
+@pytest.mark.parametrize("bucket_bits", [0, 3, 12])
+def test_whole_variants_come_back(bucket_bits):
+    masks, rng = S.ball(2), np.random.default_rng(bucket_bits)
+    fps = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+    local = 30
+    seen = set()
+    for bucket, payload in S._emit_whole(fps, masks, bucket_bits):
+        key, owner, table = S._unpack(payload, local, masks, bucket, bucket_bits)
+        seen |= {(bucket, k, f) for k, f in zip(key.tolist(), table[owner].tolist())}
+    want = set()
+    for f in fps:
+        v = f ^ masks
+        S._mix(v)
+        b = v >> np.uint64(64 - bucket_bits) if bucket_bits else np.zeros(len(v), np.uint64)
+        k = (v << np.uint64(bucket_bits)) >> np.uint64(64 - local)
+        want |= set(zip(b.tolist(), k.tolist(), [int(f)] * len(v)))
+    assert seen == want
+
+
+def test_links_do_not_depend_on_the_layout(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.integers(0, 1 << 64, 30, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (30, 9, 3), dtype=np.uint64)
+    fps = np.unique((centres[:, None] ^ np.bitwise_xor.reduce(flips, axis=2)).ravel())
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+
+    def parts():
+        return sorted((r.node, r.component) for r in S.connected_components(S.ball_links(df, 4)).collect())
+
+    want = parts()
+    monkeypatch.setattr(S, "ENTRIES_PER_BUCKET", 1 << 12)
+    assert parts() == want
+    monkeypatch.setattr(S, "WHOLE_BYTES", 0)
+    assert parts() == want and len(want) > 200
