@@ -1,7 +1,8 @@
 """Language-model scores from a gated recurrent network over words (operator 2).
 
 Vocabulary. Spark counts every word of the training documents. The most
-frequent ``HEAD`` words are modelled one by one; every other word belongs to
+frequent words, as many as the root of the number of different words (``HEAD``
+at least), are modelled one by one; every other word belongs to
 the band of its count (1, 2-3, 4-7, ...), and words never seen in training are
 one unknown word, the band of count 0.
 
@@ -21,7 +22,9 @@ Scoring. All documents of a chunk advance together; the state of each is
 carried from window to window, so a score is that of the complete document.
 
 Words and counts. Documents are coded in chunks with a dictionary each, so the
-shuffle for counts carries each distinct word of a chunk once, not each word.
+shuffle for counts carries each distinct word of a task once, not each word. The
+counts of head words go to every task; those of other words are joined to the
+chunks' dictionaries.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ from . import gru
 from .bytewords import LOWER, distinct, split_words, translate
 from .common import crc_fold, lean, materialize, sub_batches
 
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 4_000_000
 HEAD, PER_CLASS = 1024, 32
 BANDS = 48  # by powers of two of the count; band 0 is the unknown word
 HIDDEN = 24
@@ -264,13 +267,15 @@ def coded_chunks(docs: DataFrame, held) -> DataFrame:
                                 "words array<string>, train_n array<bigint>")
 
 
-def lexicon(chunks: DataFrame) -> DataFrame:
-    """(chunk, idx, c, word): training count of every dictionary entry; the word itself on one row each."""
-    words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train_n"))).select(
+def dictionaries(chunks: DataFrame) -> DataFrame:
+    """(chunk, idx, word, n): every chunk's words with their training counts there."""
+    return chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train_n"))).select(
         "chunk", F.col("pos").alias("idx"), F.col("col.words").alias("word"), F.col("col.train_n").alias("n"))
-    same = Window.partitionBy("word")
-    return words.select("chunk", "idx", F.sum("n").over(same).alias("c"),
-                        F.when(F.row_number().over(same.orderBy("chunk")) == 1, F.col("word")).alias("word"))
+
+
+def head_size(types: int) -> int:
+    """How many words are modelled one by one: the root of the vocabulary's size, whole classes, ``HEAD`` at least."""
+    return max(HEAD, PER_CLASS * math.ceil(math.sqrt(types) / PER_CLASS))
 
 
 def average(weights: DataFrame, tasks: int) -> np.ndarray | None:
@@ -303,10 +308,10 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.02) -
     spark = docs.sparkSession
     held = crc_fold("doc_id", 7) == 2
     chunks = materialize(coded_chunks(docs, held), "lm-chunks")
-    lex = materialize(lexicon(chunks), "lm-lexicon")
-    known = lex.where("word is not null and c > 0")
+    words = dictionaries(chunks)
+    known = materialize(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "lm-lexicon")
     total, types = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = known.orderBy(F.col("word") != END, F.desc("c"), "word").limit(HEAD).select("word", "c").collect()
+    head = known.orderBy(F.col("word") != END, F.desc("c"), "word").limit(head_size(types)).select("word", "c").collect()
     head = sorted(head, key=lambda r: (-r.c, r.word))
     head_words, head_counts = [r.word for r in head], np.array([r.c for r in head], dtype=np.float64)
     # bands of the tail: mass and, without the occurrence at hand, what training will see of each
@@ -330,17 +335,18 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.02) -
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pa.array(head_words, pa.string())
+        head_of = np.append(head_counts, 0).astype(np.int64)
         in_band = np.maximum(mass, 1)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 flat = {c: row.column(c)[0].values for c in ("words", "sizes", "held", "found")}
-                counts = np.zeros(len(flat["words"]), dtype=np.int64)
-                counts[np.asarray(flat["found"].field("idx"))] = np.asarray(flat["found"].field("c"))
                 ids = np.asarray(pc.fill_null(pc.index_in(flat["words"], vocabulary), -1)).astype(np.int64)
+                counts = np.where(ids >= 0, head_of[ids], 0)
+                counts[np.asarray(flat["found"].field("idx"))] = np.asarray(flat["found"].field("c"))
                 bands = band_of(counts)
-                symbol = np.where(ids >= 0, ids, n_head + bands).astype("<u2")
-                less = np.where(ids >= 0, ids, n_head + band_of(np.maximum(counts - 1, 0))).astype("<u2")
+                symbol = np.where(ids >= 0, ids, n_head + bands).astype("<u4")
+                less = np.where(ids >= 0, ids, n_head + band_of(np.maximum(counts - 1, 0))).astype("<u4")
                 tail = np.where((ids >= 0) | (counts == 0), 0.0, np.log10(np.maximum(counts, 1) / in_band[bands]))
                 tokens = np.frombuffer(row.column("tokens")[0].as_py(), "<i4")
                 sizes = np.asarray(flat["sizes"])
@@ -351,12 +357,17 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.02) -
                 last = np.zeros(len(tokens), dtype=bool)
                 last[first + sizes - 1] = True
                 out = [[doc_ids], [held_rows.tolist()], [sizes], [np.add.reduceat(counts[tokens] > 0, first, dtype=np.int64)],
-                       [np.add.reduceat(np.log10(counts + 1.0)[tokens] - floor, first)], [np.add.reduceat(tail[tokens], first)],
+                       [np.add.reduceat(np.log10(counts + 1.0)[tokens], first) - floor * sizes], [np.add.reduceat(tail[tokens], first)],
                        [symbol[tokens].tobytes()], [less[tokens[inside]].tobytes()], [last[inside].tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, coded_schema)], schema=coded_schema)
 
-    found = lex.groupBy("chunk").agg(F.collect_list(F.struct("idx", "c")).alias("found"))
-    coded = chunks.join(found, "chunk").select("chunk", "doc_ids", "held", "sizes", "tokens", "words", "found").mapInArrow(
+    top = spark.createDataFrame([(w,) for w in head_words], "word string")
+    rest = words.select("chunk", "idx", "word").join(F.broadcast(top), "word", "left_anti").join(known, "word")
+    found = rest.groupBy("chunk").agg(F.collect_list(F.struct("idx", "c")).alias("found"))  # a chunk has few words
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count())  # so that a task holds few chunks
+    none = F.array().cast("array<struct<idx:int,c:bigint>>")
+    met = chunks.repartition(tasks, "chunk").join(found.repartition(tasks, "chunk"), "chunk", "left")
+    coded = met.select("chunk", "doc_ids", "held", "sizes", "tokens", "words", F.coalesce("found", none).alias("found")).mapInArrow(
         lean(code), "doc_ids array<bigint>, held array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, "
               "tail array<double>, symbols binary, train binary, train_ends binary")
     coded = materialize(coded, "lm-coded")
@@ -374,7 +385,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.02) -
             trainer = Trainer(own, rate)
             for batch in batches:
                 for lesson, ends in zip(batch.column("train"), batch.column("train_ends")):
-                    trainer.train(np.frombuffer(lesson.as_py(), "<u2").astype(np.int64), np.frombuffer(ends.as_py(), bool))
+                    trainer.train(np.frombuffer(lesson.as_py(), "<u4").astype(np.int64), np.frombuffer(ends.as_py(), bool))
             if trainer.seen:
                 packed = np.frombuffer(own.pack(), np.float32).astype("<f8") * trainer.seen
                 yield pa.RecordBatch.from_arrays(
@@ -391,7 +402,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.02) -
         own.unpack(weights)
         for batch in batches:
             for row in batch.to_pylist():
-                symbols = np.frombuffer(row["symbols"], "<u2").astype(np.int64)
+                symbols = np.frombuffer(row["symbols"], "<u4").astype(np.int64)
                 if total:
                     ln = own.score(symbols, np.concatenate([[0], np.cumsum(row["n_tokens"])]))
                 else:  # nothing was learned: the unknown word is the only one
