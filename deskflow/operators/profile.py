@@ -1,11 +1,12 @@
 """Corpus profiling (#10-#27): overview, nulls, uniqueness, distributions,
 descriptive statistics, histograms, box plots, correlations, word counts.
 
-Every statistic is an aggregate over the whole table -- partial aggregation
-before the shuffle, exact percentiles through Spark's ``percentile`` (its
-buffer holds one counter per distinct value, not every row). Histogram
-edges come from a min/max scalar subquery, so nothing is collected to the
-driver and no pass is made per bin.
+Every statistic is an aggregate over the whole table, combined before its
+shuffle. Exact quartiles are selected by rank over range partitions, so no task
+holds all values of a column or class. Distinct texts are told apart by wide
+digests, so no text is shuffled or sorted. Histogram edges come from a min/max
+scalar subquery, so nothing is collected to the driver and no pass is made per
+bin.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.formatting import percent_1dp, py_round
 from ..functions.stopwords import english_stop_words
+from ..session import checkpoint_dir
 
 TEXT_CANDIDATES = ["instruction", "text", "query", "question", "complaint", "description"]
 INTENT_CANDIDATES = ["intent", "label", "class", "target"]
@@ -74,10 +76,26 @@ def detect_columns(df: DataFrame) -> DataFrame:
                        F.lit(first(CATEGORY_CANDIDATES)).cast("string").alias("category_column"), "texts")
 
 
+def text_digest(text: str) -> Column:
+    """What tells texts apart here: SHA-256, xxHash64 and length (null for a null text).
+
+    Texts that met in one digest but differ in another part are still two, so
+    only texts that agree in all three count as equal.
+    """
+    t = F.col(text)
+    return F.when(t.isNotNull(), F.struct(F.unhex(F.sha2(t.cast("binary"), 256)).alias("sha"), F.xxhash64(t).alias("xx"),
+                                          F.octet_length(t).alias("bytes")))
+
+
 def uniqueness_ratio(df: DataFrame, text: str) -> DataFrame:
-    """#14: total, distinct, ratio in percent and a verdict (>80 / >50 / else)."""
-    g = df.agg(F.count(F.lit(1)).alias("total_texts"), F.count_distinct(F.col(text)).alias("unique_texts"))
-    ratio = F.col("unique_texts") / F.col("total_texts") * 100
+    """#14: total, distinct, ratio in percent and a verdict (>80 / >50 / else).
+
+    Only digests are shuffled, one per distinct text and task. The ratio of an
+    empty table is null.
+    """
+    groups = df.groupBy(text_digest(text).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    g = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_texts"), F.count("_d").alias("unique_texts"))
+    ratio = F.when(F.col("total_texts") > 0, F.col("unique_texts") / F.col("total_texts") * 100)
     return g.select("total_texts", "unique_texts", ratio.alias("uniqueness_ratio")).select(
         "*", F.when(F.col("uniqueness_ratio") > 80, "EXCELLENT").when(F.col("uniqueness_ratio") > 50, "MODERATE")
         .otherwise("WARNING").alias("verdict"))
@@ -101,18 +119,52 @@ def with_engineered(df: DataFrame, text: str) -> DataFrame:
     return out.withColumn("predicted_priority", X.priority_from_urgency(F.col("urgency_score")))
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def exact_quantiles(values: DataFrame, group: str, col: str, shares: tuple[float, ...] = QUARTILES) -> DataFrame:
+    """(group, q): exact quantiles of ``col`` per group, linear between neighbours, as an array in the order of ``shares``.
+
+    Rank selection: equal values are counted first; the counts are
+    range-partitioned on (group, value), so a group with a third of all rows is
+    spread over as many tasks as its values need; a table of (partition, group)
+    totals tells which partitions hold the ranks asked for, and only the rows of
+    those are ranked, each partition by itself. Null groups and null values are
+    left out.
+    """
+    checkpoint_dir(values.sparkSession)
+    v = F.col(col)
+    counts = values.where(F.col(group).isNotNull() & v.isNotNull()).groupBy(group, v.cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    dealt = counts.repartitionByRange(group, "_v").withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    totals = dealt.groupBy("_pid", group).agg(F.sum("_c").alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_pid", group, "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+                           F.sum("_n").over(Window.partitionBy(group)).alias("_total"))
+    at = [F.lit(s) * (F.col("_total") - 1) for s in shares]
+    ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in at for f in (F.floor, F.ceil)]))
+    here = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
+    asked = totals.withColumn("_ranks", here).where(F.size("_ranks") > 0).drop("_n")
+    run = Window.partitionBy("_pid", group).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.join(asked, ["_pid", group]).withColumn("_low", F.col("_before") + F.coalesce(F.sum("_c").over(run), F.lit(0)))
+    hit = F.filter("_ranks", lambda r: (r >= F.col("_low")) & (r < F.col("_low") + F.col("_c")))
+    found = rows.select(group, "_total", "_v", F.explode(hit).alias("_rank"))
+    # two ranks a share at most
+    g = found.groupBy(group, "_total").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_m"))
+    picked = []
+    for p in at:
+        low, high = (F.element_at("_m", f(p).cast("long")) for f in (F.floor, F.ceil))
+        picked.append(F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high))
+    return g.select(group, F.array(*picked).alias("q"))
+
+
 def describe_features(df: DataFrame, features: list[str] = DESCRIBE_FEATURES) -> DataFrame:
     """#17: count, mean, std (n-1), min, quartiles (linear), max per feature."""
-    aggs = []
-    for c in features:
-        v = F.col(c).cast("double")
-        aggs.append(F.struct(
-            F.lit(c).alias("feature"), F.count(v).alias("count"), F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-            F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(v).alias("max"),
-        ).alias(c))
-    g = df.agg(*aggs)
-    s = g.select(F.inline(F.array(*[F.col(c) for c in features])))
+    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])
+    long = df.select(F.inline(entries))
+    stats = long.groupBy("feature").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    s = stats.join(exact_quantiles(long, "feature", "value"), "feature", "left")
     return s.select("feature", "count", py_round(F.col("mean"), 6).alias("mean"),
                     py_round(F.col("std"), 6).alias("std"), "min",
                     F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
@@ -167,9 +219,9 @@ def boxplot(df: DataFrame, group: str, col: str) -> DataFrame:
     """#21: five-number summary per group with 1.5 IQR whiskers, ranked by
     median (largest first). Quartiles are exact (linear interpolation); the
     whiskers are the extreme values inside the fences. The fences (one entry per
-    group) are looked up in a map in the row, so only the two aggregates shuffle."""
+    group) are looked up in a map in the row, so only the aggregates shuffle."""
     v = F.col(col).cast("double")
-    q = df.groupBy(group).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(df, group, col)
     q = q.select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     q = q.select("*", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo_fence"),
                  (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi_fence"))
@@ -192,16 +244,28 @@ def mean_by(df: DataFrame, group: str, col: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, features: list[str] = X.ENGINEERED_FEATURES) -> DataFrame:
-    """#23: Pearson correlation of every feature pair below the diagonal, from
-    one aggregate of 36 ``corr`` terms, unpivoted to (feature_a, feature_b, r)."""
-    pairs = [(a, b) for i, a in enumerate(features) for j, b in enumerate(features) if i > j]
-    agg = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
-    rows = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                              F.col(f"{a}__{b}").alias("r")) for a, b in pairs])
-    out = agg.select(F.inline(rows))
-    r = F.col("r")
-    return out.select("feature_a", "feature_b",
-                      F.when(r.isNull() | F.isnan(r), F.lit(None).cast("double")).otherwise(py_round(r, 6)).alias("r"))
+    """#23: Pearson correlation of every feature pair below the diagonal, unpivoted to (feature_a, feature_b, r).
+
+    One aggregate: the sums of the features and of their products, all shifted
+    by some row's values so that large common offsets do not cancel. The
+    features have no nulls; r is null where a feature does not vary.
+    """
+    shift = df.select(F.struct(*[F.col(c).cast("double").alias(c) for c in features])).limit(1).scalar()
+    x = df.select(*[(F.col(c).cast("double") - shift[c]).alias(c) for c in features])
+    pairs = [(a, b) for i, a in enumerate(features) for j, b in enumerate(features) if i >= j]
+    g = x.agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(c) for c in features],
+              *[F.sum(F.col(a) * F.col(b)).alias(f"{a}__{b}") for a, b in pairs])
+
+    def spread(a: str, b: str) -> Column:
+        return F.col("n") * F.col(f"{a}__{b}") - F.col(a) * F.col(b)
+
+    def correlation(a: str, b: str) -> Column:
+        scale = F.sqrt(spread(a, a)) * F.sqrt(spread(b, b))
+        return F.when((spread(a, a) > 0) & (spread(b, b) > 0), spread(a, b) / scale)
+
+    rows = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), correlation(a, b).alias("r"))
+                     for a, b in pairs if a != b])
+    return g.select(F.inline(rows)).select("feature_a", "feature_b", py_round(F.col("r"), 6).alias("r"))
 
 
 def word_frequency(df: DataFrame, text: str, k: int = 150) -> DataFrame:
@@ -228,21 +292,31 @@ def crosstab(df: DataFrame, row: str, col: str, values: list[str] = PRIORITIES)
 
 
 def corpus_summary(df: DataFrame, text: str, intent: str, category: str) -> DataFrame:
-    """#26: one row: detected columns, rows, unique texts, class counts."""
-    return df.agg(F.count(F.lit(1)).alias("total_rows"), F.count_distinct(text).alias("unique_texts"),
-                  F.count_distinct(category).alias("num_categories"),
-                  F.count_distinct(intent).alias("num_intents")).select(
-        F.lit(text).alias("text_column"), F.lit(intent).alias("intent_column"),
-        F.lit(category).alias("category_column"), "*")
+    """#26: one row: detected columns, rows, unique texts, class counts.
+
+    Texts are counted by digest, classes from the table of their pairs: no text is expanded or shuffled.
+    """
+    pairs = df.groupBy(F.col(category).alias("_c"), F.col(intent).alias("_i")).agg(F.count(F.lit(1)).alias("_n"))
+    texts = df.where(F.col(text).isNotNull()).select(text_digest(text).alias("_d")).distinct().agg(F.count(F.lit(1))).scalar()
+    return pairs.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"), F.count_distinct("_c").alias("num_categories"),
+                     F.count_distinct("_i").alias("num_intents")).select(
+        F.lit(text).alias("text_column"), F.lit(intent).alias("intent_column"), F.lit(category).alias("category_column"),
+        "total_rows", texts.alias("unique_texts"), "num_categories", "num_intents")
 
 
 def clean_corpus(df: DataFrame, text: str, key: str) -> DataFrame:
-    """#27: drop NULL texts and duplicate texts, keeping the lowest key.
+    """#27: drop NULL texts and duplicate texts, keeping the lowest key (which no two rows share).
 
-    One group-by on the text with a min over (key, other columns): copies of a
-    hot text are folded map-side before the shuffle, so even a text repeated in
-    a third of all rows reaches the reducer as one row per map task.
+    Digests and keys find the rows to drop: the first key of each repeated
+    digest (combined before its shuffle, so a text in a third of all rows costs
+    a row per task), then the other keys of these digests. Texts themselves
+    move only if the rows to drop are too many for adaptive execution to send
+    to every task.
     """
-    others = [c for c in df.columns if c not in (text, key)]
-    g = df.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(F.struct(key, *others)).alias("_first"))
-    return g.select(F.col(f"_first.{key}").alias(key), text, *[F.col(f"_first.{c}").alias(c) for c in others])
+    checkpoint_dir(df.sparkSession)
+    kept = df.where(F.col(text).isNotNull())
+    rows = kept.select(F.col(key).alias("_key"), text_digest(text).alias("_d"))
+    first = rows.groupBy("_d").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    first = first.checkpoint(eager=True)  # both sides of the join are then shuffles that can be split where a text is hot
+    later = rows.join(first, "_d").where(F.col("_key") > F.col("_first")).select("_key")
+    return kept.join(later, kept[key] == later["_key"], "left_anti").select(key, text, *[c for c in df.columns if c not in (text, key)])

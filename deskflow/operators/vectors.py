@@ -4,19 +4,24 @@ TF-IDF is computed exactly with the definition the training scripts use
 (tokens of two or more letters, 1-2-grams, document-frequency bounds, top-k
 vocabulary by corpus count, ``1 + ln tf``, smooth idf ``ln((1+n)/(1+df)) + 1``,
 L2 norm); Spark ML's ``IDF`` uses a different idf and no sublinear tf, so it
-is not used here. Shuffles: (doc, term) counts, term statistics, and the
-per-document norm. The vocabulary is capped at ``max_features`` rows, which is
-the proven bound that lets it be broadcast.
+is not used here. The vocabulary is found without shuffling rare terms: sums by
+hashed bucket bound every term's count from above, and only terms whose bound
+reaches the last place are counted. The vocabulary has ``max_features`` rows at
+most, the proven bound that lets it be broadcast. One shuffle then brings the
+vocabulary's terms of each document together, for their counts and the norm.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.formatting import py_round
 from ..functions.stopwords import english_stop_words
+from ..session import checkpoint_dir
+from .tickets import assign_ids
 
 
 def ngram_terms(tokens: Column, ngram_max: int = 2) -> Column:
@@ -44,29 +49,62 @@ def word_tokens(text: str, stop_words: bool = False) -> Column:
     return toks
 
 
-def term_counts(docs: DataFrame, key: str, terms, tokens: Column | None = None) -> DataFrame:
-    """(key, term, tf): occurrences of each term per document.
+BUCKETS = 1 << 20  # hashed sums that bound the terms' counts: a task sends so many rows at most
+
+
+def term_lists(docs: DataFrame, key: str, terms, tokens: Column | None = None) -> DataFrame:
+    """(key, terms): all terms of each document, with repeats.
 
     When ``tokens`` is given it is computed once into a column and ``terms`` (a
     function of that column) builds the n-grams from it; otherwise ``terms`` is
-    a column. The explicit NULL filter makes every use of this frame plan
-    identically, so Spark reuses its shuffle instead of recomputing it.
+    a column.
     """
-    if tokens is not None:
-        docs = docs.select(key, tokens.alias("_tokens"))
-        terms = terms(F.col("_tokens"))
-    exploded = docs.select(key, F.explode(terms).alias("term")).where(F.col("term").isNotNull())
-    return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    if tokens is None:
+        return docs.select(key, terms.alias("terms"))
+    return docs.select(key, tokens.alias("_tokens")).select(key, terms(F.col("_tokens")).alias("terms"))
+
+
+def term_statistics(lists: DataFrame, bound: DataFrame | None) -> DataFrame:
+    """(term, df, cf): documents holding each term, and its occurrences, of the terms in ``bound``'s buckets (all, if none)."""
+    one = lambda t, c, d: F.struct(t.alias("term"), F.lit(c).alias("c"), F.lit(d).alias("d"))
+    both = F.concat(F.transform("terms", lambda t: one(t, 1, 0)), F.transform(F.array_distinct("terms"), lambda t: one(t, 0, 1)))
+    rows = lists.select(F.inline(both)).where(F.col("term").isNotNull())
+    if bound is not None:
+        rows = rows.withColumn("_b", bucket("term")).join(bound, "_b", "left_semi")
+    return rows.groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("cf"))
+
 
+def bucket(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
-def vocabulary(tf: DataFrame, n_docs: Column, max_features: int, min_df: int = 1,
+
+def vocabulary(lists: DataFrame, n_docs: Column, max_features: int, min_df: int = 1,
                max_df: float = 1.0) -> DataFrame:
     """(term, df, idx): the ``max_features`` terms with the largest corpus count
     among those with min_df <= df <= max_df * n (ties by term), indexed in
-    alphabetical order."""
-    st = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    keep = st.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
-    top = keep.orderBy(F.desc("cf"), "term").limit(max_features)
+    alphabetical order.
+
+    Threshold search. The occurrences in each hashed bucket (combined before
+    their shuffle) bound the count of every term in it. Terms of the buckets at
+    or above a bar are counted exactly; if the last place's count reaches the
+    bar, no other term can reach or tie it. The first bar is the last place's
+    bucket; otherwise the bar drops to the count found there, which settles it,
+    or to half while there are too few terms.
+    """
+    checkpoint_dir(lists.sparkSession)
+    sums = lists.select(F.explode("terms").alias("term")).where(F.col("term").isNotNull()).groupBy(
+        bucket("term").alias("_b")).agg(F.count(F.lit(1)).alias("_n")).checkpoint(eager=True)
+    last = sums.orderBy(F.desc("_n")).offset(max_features - 1).limit(1).first()
+    bar = last["_n"] if last else 0
+    while True:
+        # buckets at the bar hold the vocabulary's terms and those that share a bucket with them
+        st = term_statistics(lists, sums.where(F.col("_n") >= bar).select("_b") if bar > 1 else None)
+        keep = st.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
+        top = keep.orderBy(F.desc("cf"), "term").limit(max_features).checkpoint(eager=True)
+        found = top.agg(F.count(F.lit(1)).alias("n"), F.min("cf").alias("cf")).first()
+        if bar <= 1 or (found["n"] == max_features and found["cf"] >= bar):
+            break
+        bar = found["cf"] if found["n"] == max_features else bar // 2
     # At most max_features rows: the one-partition window below is bounded.
     return top.select("term", "df", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"))
 
@@ -75,20 +113,28 @@ def tfidf(docs: DataFrame, key: str, terms, max_features: int, min_df: int = 1,
           max_df: float = 1.0, sublinear_tf: bool = False, tokens: Column | None = None) -> DataFrame:
     """(key, term, idx, weight): smooth-idf TF-IDF rows, L2-normalised per document."""
     n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
-    tf = term_counts(docs, key, terms, tokens)
-    vocab = vocabulary(tf, n_docs, max_features, min_df, max_df)
-    vocab = vocab.select("term", "idx", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    return weigh(tf, key, vocab, max_features, sublinear_tf)
+    lists = term_lists(docs, key, terms, tokens)
+    return weigh(lists, key, with_idf(vocabulary(lists, n_docs, max_features, min_df, max_df), n_docs), max_features, sublinear_tf)
+
+
+def with_idf(vocab: DataFrame, n_docs: Column) -> DataFrame:
+    return vocab.select("term", "idx", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 BROADCAST_TERMS = 100_000  # a vocabulary of up to so many rows is shipped to every task; a larger one is joined
 
 
-def weigh(tf: DataFrame, key: str, vocab: DataFrame, max_features: int, sublinear_tf: bool) -> DataFrame:
-    """(key, term, idx, weight) of term counts under a fitted vocabulary (term, idx, idf) of ``max_features`` rows at most."""
-    tfv = (1 + F.log(F.col("tf"))) if sublinear_tf else F.col("tf").cast("double")
+def weigh(lists: DataFrame, key: str, vocab: DataFrame, max_features: int, sublinear_tf: bool) -> DataFrame:
+    """(key, term, idx, weight) of term lists under a fitted vocabulary (term, idx, idf) of ``max_features`` rows at most.
+
+    The vocabulary's terms travel as numbers, once, to their document's task,
+    which counts them and finds the norm.
+    """
     known = F.broadcast(vocab) if max_features <= BROADCAST_TERMS else vocab
-    w = tf.join(known, "term").select(key, "term", "idx", (tfv * F.col("idf")).alias("_w"))
+    held = lists.select(key, F.explode("terms").alias("term")).join(known.select("term", "idx"), "term").select(key, "idx")
+    tf = held.repartition(F.col(key)).groupBy(key, "idx").agg(F.count(F.lit(1)).alias("tf"))
+    tfv = (1 + F.log(F.col("tf"))) if sublinear_tf else F.col("tf").cast("double")
+    w = tf.join(known, "idx").select(key, "term", "idx", (tfv * F.col("idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return w.select(key, "term", "idx", (F.col("_w") / norm).alias("weight"))
 
@@ -136,32 +182,39 @@ def structured_features(df: DataFrame, cols: list[str], fit_on: DataFrame | None
 
 
 def label_encode(df: DataFrame, col: str) -> DataFrame:
-    """#81: alphabetical integer codes and their inverse.
+    """#81: alphabetical integer codes and their inverse, for a column of any number of values.
 
-    The distinct labels pass through one task and the driver (a scalar subquery):
-    for categorical columns, not for columns of many values.
+    The distinct values are numbered in place (range partitions and their
+    offsets, as dense ids are) and joined; a hot value is split by adaptive
+    execution, and a small table of values goes to every task.
     """
-    codes = fit_label_codes(df, [col])
-    coded = df.withColumn("code", encode(col, codes))
-    return coded.withColumn("decoded", F.element_at(codes[col], F.col("code") + 1))
+    value = _value(col, "Unknown")
+    codes = assign_ids(df.select(value.alias("_value")).distinct(), ["_value"], start_after=-1, id_col="_code").checkpoint(eager=True)
+    j = df.withColumn("_v", value).join(codes, F.col("_v") == F.col("_value"), "left")
+    return j.withColumn("code", F.col("_code").cast("int")).withColumn("decoded", F.col("_value")).drop("_v", "_value", "_code")
 
 
-def sparse_vectors(df: DataFrame, key: str, weights: DataFrame, numeric: list[str], width: int) -> DataFrame:
-    """#80: ``df`` with ``features``: its row of ``weights(key, idx, weight)`` followed by the numeric columns.
+def sparse_entries(df: DataFrame, key: str, weights: DataFrame, numeric: list[str], width: int) -> DataFrame:
+    """#80: ``df`` with ``indices`` (ascending) and ``values``: its row of ``weights(key, idx, weight)`` followed by the numeric columns; zeros are left out."""
+    # a group holds one row's terms in the vocabulary: at most ``width``
+    rows = weights.groupBy(F.col(key).alias("_key")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("idx").cast("int").alias("i"), F.col("weight").alias("v")))).alias("_e"))
+    numbers = F.array(*[F.struct(F.lit(width + i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(numeric)])
+    joined = df.join(rows, df[key] == rows["_key"], "left").withColumn(
+        "_e", F.concat(F.coalesce("_e", F.array().cast("array<struct<i:int,v:double>>")), F.filter(numbers, lambda e: e["v"] != 0)))
+    return joined.withColumn("indices", F.col("_e.i")).withColumn("values", F.col("_e.v")).drop("_key", "_e")
 
-    Spark has no function that makes a sparse vector of (index, value) pairs,
-    so the last step is a small Python helper; the weights are #76's, exact.
-    """
-    from pyspark.ml.linalg import Vectors, VectorUDT
 
-    @F.udf(VectorUDT())
-    def assemble(index, value, numbers):
-        pairs = sorted(zip(index or [], value or []))
-        extra = [(width + i, float(x)) for i, x in enumerate(numbers) if x]
-        return Vectors.sparse(width + len(numbers), pairs + extra)
+def write_vectors(df: DataFrame, path: str, size: int) -> DataFrame:
+    """Write ``df(indices, values, ...)`` to ``path`` and read it with ``features``, a sparse vector of ``size``.
 
-    # a group holds one row's terms in the vocabulary: at most ``width``
-    rows = weights.groupBy(F.col(key).alias("_key")).agg(F.collect_list("idx").alias("_i"), F.collect_list("weight").alias("_w"))
-    joined = df.join(rows, df[key] == rows["_key"], "left")
-    numbers = F.array(*[F.col(c).cast("double") for c in numeric])
-    return joined.withColumn("features", assemble("_i", "_w", numbers)).drop("_key", "_i", "_w")
+    Spark has no function that makes a sparse vector of places and values, but
+    a vector column is stored as a struct of exactly these, so the stored table
+    is read back as one: no row passes through Python.
+    """
+    from pyspark.ml.linalg import VectorUDT
+    vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), "indices", "values")
+    out = df.withColumn("features", vector)
+    out.write.parquet(path)
+    fields = [T.StructField(f.name, VectorUDT() if f.name == "features" else f.dataType) for f in out.schema]
+    return df.sparkSession.read.schema(T.StructType(fields)).parquet(path)
