@@ -288,46 +288,76 @@ def replay_actions(actions: DataFrame, kinds: tuple[str, ...] = ("accept", "reas
     return acts.groupBy("ticket_id").agg(*aggs, *touched)
 
 
+QUEUE_TARGETS = {"status": "queue_status", "action_taken": "action_taken", "new_department": "new_department",
+                 "assigned_to": "queue_assigned_to", "resolved_at": "queue_resolved_at"}
+TICKET_TARGETS = {"status": "ticket_status", "is_triage": "is_triage", "assigned_department": "assigned_department",
+                  "assigned_to": "assigned_to", "predicted_priority": "predicted_priority", "updated_at": "updated_at"}
+
+
+def _folded(actions: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """``replay_actions`` with its columns named ``_n_`` (new value) and ``_t_`` (written at all)."""
+    names = [n for part in _action_effects() for n, _, _ in part]
+    return replay_actions(actions, kinds).select("ticket_id", *[F.col(n).alias(f"_n_{n}") for n in names], *[f"_t_{n}" for n in names])
+
+
+def _written(column: str, target: str) -> Column:
+    """A stored column, overwritten where an action wrote its folded one."""
+    return F.when(F.col(f"_t_{target}") == 1, F.col(f"_n_{target}")).otherwise(F.col(column))
+
+
 def _merge(base: DataFrame, folded: DataFrame, targets: dict[str, str]) -> DataFrame:
     """``base`` with each target column overwritten where an action wrote its folded column."""
     j = base.join(folded, "ticket_id", "left")
-    return j.select(*[
-        F.when(F.col(f"_t_{targets[c]}") == 1, F.col(f"_n_{targets[c]}")).otherwise(F.col(c)).alias(c)
-        if c in targets else F.col(c) for c in base.columns])
+    return j.select(*[_written(c, targets[c]).alias(c) if c in targets else F.col(c) for c in base.columns])
+
+
+ALL_KINDS = ("accept", "reassign", "escalate")
+
+
+def with_update_columns(t: DataFrame) -> DataFrame:
+    """A ticket table with the columns that updates write; a ticket's department starts as its prediction."""
+    if "assigned_department" not in t.columns:
+        t = t.withColumn("assigned_department", F.col("predicted_category"))
+    return evolve_schema(t, UPDATED_COLUMNS)
+
+
+def replay_queue(triage: DataFrame, actions: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
+    """The queue after the action log."""
+    return _merge(evolve_schema(triage, QUEUE_COLUMNS), _folded(actions, kinds), QUEUE_TARGETS)
+
+
+def replay_tickets(t: DataFrame, actions: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
+    """The ticket table after the action log."""
+    return _merge(with_update_columns(t), _folded(actions, kinds), TICKET_TARGETS)
 
 
 def replay_tables(triage: DataFrame, t: DataFrame, actions: DataFrame,
-                  kinds: tuple[str, ...] = ("accept", "reassign", "escalate")) -> tuple[DataFrame, DataFrame]:
+                  kinds: tuple[str, ...] = ALL_KINDS) -> tuple[DataFrame, DataFrame]:
     """(queue, tickets) after the action log: only the columns an action names change.
 
     Everything else keeps the stored value, so batches can follow each other:
     two in a row leave what one combined batch would. Tables without one of
-    the written columns get it; a ticket's department starts as its prediction.
+    the written columns get it.
     """
-    folded = replay_actions(actions, kinds)
-    queue, ticket = _action_effects()
-    folded = folded.select("ticket_id", *[F.col(n).alias(f"_n_{n}") for n, _, _ in queue + ticket],
-                           *[f"_t_{n}" for n, _, _ in queue + ticket])
-    triage = evolve_schema(triage, QUEUE_COLUMNS)
-    if "assigned_department" not in t.columns:
-        t = t.withColumn("assigned_department", F.col("predicted_category"))
-    t = evolve_schema(t, UPDATED_COLUMNS)
-    q = _merge(triage, folded, {"status": "queue_status", "action_taken": "action_taken", "new_department": "new_department",
-                                "assigned_to": "queue_assigned_to", "resolved_at": "queue_resolved_at"})
-    k = _merge(t, folded, {"status": "ticket_status", "is_triage": "is_triage", "assigned_department": "assigned_department",
-                           "assigned_to": "assigned_to", "predicted_priority": "predicted_priority", "updated_at": "updated_at"})
-    return q, k
+    return replay_queue(triage, actions, kinds), replay_tickets(t, actions, kinds)
 
 
 def queue_state(queue: DataFrame, t: DataFrame) -> DataFrame:
     """Queue rows next to the ticket columns that actions write."""
-    q = queue.select("ticket_id", F.col("status").alias("queue_status"), "action_taken", "new_department",
-                     F.col("assigned_to").alias("queue_assigned_to"), F.col("resolved_at").alias("queue_resolved_at"))
-    return q.join(t.select("ticket_id", F.col("status").alias("ticket_status"), "is_triage", "assigned_department",
-                           "assigned_to", "predicted_priority", "updated_at"), "ticket_id")
+    q = queue.select("ticket_id", *[F.col(c).alias(f"_q_{c}") for c in QUEUE_TARGETS])
+    j = q.join(t.select("ticket_id", *TICKET_TARGETS), "ticket_id")
+    return j.select("ticket_id", *[F.col(f"_q_{c}").alias(n) for c, n in QUEUE_TARGETS.items()],
+                    *[F.col(c).alias(n) for c, n in TICKET_TARGETS.items()])
 
 
 def apply_triage_actions(triage: DataFrame, t: DataFrame, actions: DataFrame,
-                         kinds: tuple[str, ...] = ("accept", "reassign", "escalate")) -> DataFrame:
-    """Merge replayed actions into the queue and ticket rows of each triage ticket."""
-    return queue_state(*replay_tables(triage, t, actions, kinds))
+                         kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
+    """#58-#61: the state of each triage ticket after the action log.
+
+    The log is folded once, and queue rows, tickets and the folded log meet on
+    the ticket id, so each is shuffled once.
+    """
+    q = evolve_schema(triage, QUEUE_COLUMNS).select("ticket_id", *[F.col(c).alias(f"_q_{c}") for c in QUEUE_TARGETS])
+    j = q.join(with_update_columns(t).select("ticket_id", *TICKET_TARGETS), "ticket_id").join(_folded(actions, kinds), "ticket_id", "left")
+    return j.select("ticket_id", *[_written(f"_q_{c}", n).alias(n) for c, n in QUEUE_TARGETS.items()],
+                    *[_written(c, n).alias(n) for c, n in TICKET_TARGETS.items()])

@@ -32,3 +32,16 @@ def q_stream_greeting_filter(spark, sf_dir):
 def q_stream_fanout(spark, sf_dir):
     """#99: per micro-batch, ticket, triage and chat rows to three sinks."""
     return ST.stream_fanout(spark, FX.tickets(spark, sf_dir))
+
+
+@query("stream_assigned_ids", with_fixtures(RULE_CTE) + f""", kept AS (SELECT * FROM scored_rule
+  WHERE ticket_id IN (SELECT ticket_id FROM tickets WHERE NOT {_gb})),
+ n AS (SELECT count(*) AS n, count(*) FILTER (WHERE risk_level = 'High') AS h FROM kept),
+ none AS (SELECT CAST(NULL AS BIGINT) AS x)
+ SELECT 'tickets' AS sink, n AS rows, n AS tickets, CASE WHEN n > 0 THEN CAST(1 AS BIGINT) END AS first_id,
+  CASE WHEN n > 0 THEN n END AS last_id, CAST(0 AS BIGINT) AS unknown FROM n
+ UNION ALL SELECT 'triage', h, h, x, x, 0 FROM n, none
+ UNION ALL SELECT 'chat', 2 * n, n, x, x, 0 FROM n, none""")
+def q_stream_assigned_ids(spark, sf_dir):
+    """#5 inside #99: dense ids given to arriving tickets, batch by batch."""
+    return ST.stream_assigned_ids(spark, FX.tickets(spark, sf_dir))

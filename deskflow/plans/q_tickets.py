@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formatting import py_round
 from ..operators import score as S
+from ..operators import store as ST
 from ..operators import tickets as TK
 from ..session import scratch_path
 from ..sources import fixtures as FX
@@ -190,6 +191,19 @@ def q_patch_tickets(spark, sf_dir):
                       "predicted_priority", "updated_at", "resolved_at")
 
 
+@query("patch_stored_tickets", with_fixtures(FULL_PATCHES, PATCHED) + """SELECT ticket_id, status, assigned_department, assigned_to,
+  resolution_notes, resolution, predicted_priority, updated_at, resolved_at FROM patched""")
+def q_patch_stored_tickets(spark, sf_dir):
+    """#56 on a written table, in overlapping batches, one of them twice: what one batch would leave."""
+    t = FX.tickets(spark, sf_dir)
+    table = ST.create_tickets(spark, scratch_path(spark, "stored-tickets"), t, "timestamp_ntz", buckets=16)
+    patches = _full_patches(spark, sf_dir, t)
+    for batch in (patches.where("ticket_id % 10 = 0"), patches, patches.where("ticket_id % 10 = 0")):
+        ST.apply_patches(table, batch)
+    return table.read().select("ticket_id", "status", "assigned_department", "assigned_to", "resolution_notes", "resolution",
+                               "predicted_priority", "updated_at", "resolved_at")
+
+
 @query("triage_queue", with_fixtures() + """SELECT t.*, a.triage_id, a.reason AS triage_reason,
   a.status AS triage_status, CAST(NULL AS VARCHAR) AS triage_assigned_to, CAST(NULL AS VARCHAR) AS action_taken
  FROM triage a JOIN tickets t ON a.ticket_id = t.ticket_id ORDER BY a.created_at DESC""")
@@ -285,6 +299,19 @@ def q_triage_two_batches(spark, sf_dir):
     return TK.queue_state(queue, t2).select(*REPLAY_COLS)
 
 
+@query("triage_stored_tables", _replay_sql(("accept", "reassign", "escalate")))
+def q_triage_stored_tables(spark, sf_dir):
+    """#58-#61 on a written queue and ticket table: the first actions, the whole log over them, the first ones again."""
+    t = FX.tickets(spark, sf_dir)
+    a = FX.triage(spark, sf_dir, t)
+    queue = ST.create_queue(spark, scratch_path(spark, "stored-queue"), a, buckets=16)
+    table = ST.create_tickets(spark, scratch_path(spark, "stored-tickets"), t, "bigint", buckets=16)
+    acts = FX.actions(spark, sf_dir, a)
+    for batch in (acts.where("seq = 1"), acts, acts.where("seq = 1")):
+        ST.apply_actions(queue, table, batch)
+    return TK.queue_state(queue.read(), table.read()).select(*REPLAY_COLS)
+
+
 _CHAIN = f"""rows AS ({ROWS_SQL}),
 queue AS (SELECT ticket_id, created_at FROM scored_rule JOIN tickets USING (ticket_id) WHERE scored_rule.risk_level = 'High'),
 acts AS (SELECT q.ticket_id, s.seq, CASE (q.ticket_id + s.seq) % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'reassign' ELSE 'escalate'

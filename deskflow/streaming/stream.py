@@ -46,24 +46,64 @@ def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, fmt: str =
     q.awaitTermination()
 
 
-def fanout_batch(base: str):
+LEDGER = "start long, rows long, batch long"
+
+
+def reserve_ids(spark: SparkSession, ledger: str, batch_id: int, rows: int) -> int:
+    """The number before a micro-batch's first id.
+
+    The range is written to the ledger once; a batch that is replayed finds it
+    there and gets the same one, whatever came after. Batches reserve in order,
+    so ids are dense across them.
+    """
+    seen = spark.read.schema(LEDGER).parquet(ledger)
+    mine = seen.where(F.col("batch") == batch_id).first()
+    if mine:
+        if mine["rows"] != rows:
+            raise ValueError(f"batch {batch_id} reserved {mine['rows']} ids and now has {rows} rows")
+        return mine["start"]
+    start = seen.where(F.col("batch") < batch_id).agg(F.coalesce(F.max(F.col("start") + F.col("rows")), F.lit(0))).first()[0]
+    spark.createDataFrame([(start, rows)], "start long, rows long").coalesce(1).write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
+    return start
+
+
+def open_ledger(spark: SparkSession, ledger: str, after: int = 0) -> None:
+    """A ledger whose first id follows ``after``; one that exists stays."""
+    spark.createDataFrame([(after, 0)], "start long, rows long").coalesce(1).write.mode("ignore").parquet(f"{ledger}/batch=-1")
+
+
+def fanout_batch(base: str, arrival: list[str] | None = None):
     """#99: ``foreachBatch`` writer for three sinks -- tickets, triage rows and
     chat rows. Each micro-batch overwrites its own ``batch=<id>`` folder, so a
-    batch replayed after a failure rewrites the same files (idempotent)."""
+    batch replayed after a failure rewrites the same files (idempotent).
+
+    With ``arrival`` (columns that order the arriving rows totally) the rows
+    have no ``ticket_id`` yet and get one here, dense and in this order (#5).
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        if arrival:
+            spark = batch.sparkSession
+            batch = batch.persist()
+            try:
+                start = reserve_ids(spark, f"{base}/ledger", batch_id, batch.count())
+                rows = TK.assign_ids(batch, arrival, start_after=start, id_col="ticket_id")  # checkpointed
+            finally:
+                batch.unpersist()
+        else:
+            rows = batch.persist()
         try:
-            rows = TK.ticket_rows(batch, channel=F.lit(L.CHAT_CHANNEL))
-            rows.write.mode("overwrite").parquet(f"{base}/tickets/batch={batch_id}")
-            S.queue_rows(batch, chat=True).write.mode("overwrite").parquet(f"{base}/triage/batch={batch_id}")
-            S.chat_log(batch).write.mode("overwrite").parquet(f"{base}/chat/batch={batch_id}")
+            TK.ticket_rows(rows, channel=F.lit(L.CHAT_CHANNEL)).write.mode("overwrite").parquet(f"{base}/tickets/batch={batch_id}")
+            S.queue_rows(rows, chat=True).write.mode("overwrite").parquet(f"{base}/triage/batch={batch_id}")
+            S.chat_log(rows).write.mode("overwrite").parquet(f"{base}/chat/batch={batch_id}")
         finally:
-            batch.unpersist()
+            rows.unpersist()
     return write
 
 
-def run_fanout(scored_stream: DataFrame, base: str, checkpoint: str) -> None:
-    q = (scored_stream.writeStream.foreachBatch(fanout_batch(base)).option("checkpointLocation", checkpoint)
+def run_fanout(scored_stream: DataFrame, base: str, checkpoint: str, arrival: list[str] | None = None) -> None:
+    if arrival:
+        open_ledger(scored_stream.sparkSession, f"{base}/ledger")
+    q = (scored_stream.writeStream.foreachBatch(fanout_batch(base, arrival)).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
@@ -96,3 +136,26 @@ def stream_fanout(spark: SparkSession, source: DataFrame, name: str = "fanout",
         for s in ("tickets", "triage", "chat")]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.groupBy("sink", "channel").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def stream_assigned_ids(spark: SparkSession, source: DataFrame, name: str = "arrivals", files: int = 4) -> DataFrame:
+    """#5 inside #99: arriving tickets without an id, one file a micro-batch, get theirs on the way to the sinks.
+
+    Per sink: rows, tickets named, the first and last id (of tickets), and rows whose ticket is not in the ticket sink.
+    """
+    src = scratch_path(spark, f"{name}-in")
+    arriving = source.withColumnRenamed("ticket_id", "request_id")
+    stage_files(arriving, src, files)
+    base, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    keys = ["request_id", "description", "customer_name", "channel", "created_at"]
+    stream = ticket_stream(spark, src, arriving.schema, files_per_trigger=1)
+    run_fanout(score_stream(drop_greetings(stream), keys=keys), base, ckpt, arrival=["created_at", "request_id"])
+    sinks = {s: spark.read.parquet(f"{base}/{s}").select("ticket_id") for s in ("tickets", "triage", "chat")}
+    out = None
+    for s, rows in sinks.items():
+        lost = rows.join(sinks["tickets"], "ticket_id", "left_anti").agg(F.count(F.lit(1))).scalar()
+        ends = [f("ticket_id") if s == "tickets" else F.lit(None).cast("long") for f in (F.min, F.max)]
+        part = rows.agg(F.lit(s).alias("sink"), F.count(F.lit(1)).alias("rows"), F.count_distinct("ticket_id").alias("tickets"),
+                        ends[0].alias("first_id"), ends[1].alias("last_id")).withColumn("unknown", lost)
+        out = part if out is None else out.unionByName(part)
+    return out
