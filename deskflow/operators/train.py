@@ -1,21 +1,21 @@
 """Model training, comparison, cross-validation, report and persistence
-(#9, #80, #83-#87, #96, #97) with Spark ML.
+(#9, #80, #83-#87, #96, #97).
 
 Features are #76's exact TF-IDF weights (5000 terms) and the nine engineered
 numbers, computed once over the corpus, as the reference's precomputed matrix;
-labels are indexed alphabetically. Spark's GBT is binary, so multiclass
-boosting is one-vs-rest GBT. ``TrainConfig`` defaults to the reference's
-settings, which the registered queries use; ``TrainConfig.sandbox()`` has fewer
-and shallower trees and nothing else changed, for quick trials by a caller.
+labels are indexed alphabetically. The boosted models are ``boost``'s multiclass
+histogram trees, which give class probabilities; the other families are Spark
+ML's. ``TrainConfig`` has the reference's settings, which the registered queries
+use.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
+                                       RandomForestClassifier)
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -23,25 +23,24 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as X
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, scratch_path
+from . import boost as B
 from . import evaluate as EV
 from . import vectors as V
 
 NUMERIC = X.ENGINEERED_FEATURES
 LABELS = {"gbt_category": "category", "gbt_intent": "intent", "lr_baseline": "category", "gbt_priority": "predicted_priority"}
+# FIXED VALUES: rounds, depth, step, hessian of a child, gain and L1 of each boosted model; 0.8 of rows and features, L2 of 1
+BOOSTED = {
+    "gbt_category": B.Boosting(rounds=300, depth=8, step=0.1, min_child=3.0, gamma=0.1, alpha=0.1),
+    "gbt_intent": B.Boosting(rounds=400, depth=10, step=0.08, min_child=2.0, gamma=0.05, alpha=0.1),
+    "gbt_priority": B.Boosting(rounds=200, depth=6, step=0.1, min_child=1.0, gamma=0.0, alpha=0.0),
+}
 
 
 @dataclass
 class TrainConfig:
     max_terms: int = 5000
-    category_trees: int = 300
-    category_depth: int = 8
-    intent_trees: int = 400
-    intent_depth: int = 10
-    priority_trees: int = 200
-    priority_depth: int = 6
-    step: float = 0.1
-    subsample: float = 0.8
     forest_trees: int = 100
     forest_depth: int = 8
     lr_c: float = 1.0
@@ -50,11 +49,8 @@ class TrainConfig:
     ovr_parallelism: int = 8     # concurrent one-vs-rest fits
     seed: int = 42
 
-    @classmethod
-    def sandbox(cls) -> TrainConfig:
-        """The reference's settings but for the trees: few and shallow."""
-        return replace(cls(), category_trees=3, category_depth=4, intent_trees=2, intent_depth=4, priority_trees=3,
-                       priority_depth=4, forest_trees=20)
+    def boosting(self, name: str) -> B.Boosting:
+        return BOOSTED[name]
 
 
 def corpus_frame(corpus: DataFrame, text: str = "instruction") -> DataFrame:
@@ -67,31 +63,29 @@ def fit_vocabulary(corpus: DataFrame, key: str = "id", text: str = "instruction"
     """(term, idx, idf) of #76 over the corpus: at most ``max_terms`` rows, checkpointed."""
     checkpoint_dir(corpus.sparkSession)
     n_docs = corpus.select(F.count(F.lit(1)).cast("double")).scalar()
-    tf = V.term_counts(corpus, key, V.ngram_terms, V.clean_tokens(text))
-    vocab = V.vocabulary(tf, n_docs, max_terms, min_df=2, max_df=0.95)
-    return vocab.select("term", "idx", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")).checkpoint(eager=True)
+    lists = V.term_lists(corpus, key, V.ngram_terms, V.clean_tokens(text))
+    return V.with_idf(V.vocabulary(lists, n_docs, max_terms, min_df=2, max_df=0.95), n_docs).checkpoint(eager=True)
 
 
-def with_vectors(rows: DataFrame, vocab: DataFrame, width: int, key: str = "id", text: str = "instruction") -> DataFrame:
-    """#80: ``rows`` (with the engineered numbers) and their ``features`` vector under a fitted vocabulary."""
-    tf = V.term_counts(rows, key, V.ngram_terms, V.clean_tokens(text))
-    weights = V.weigh(tf, key, vocab, max(width, 1), sublinear_tf=True)
-    return V.sparse_vectors(rows, key, weights, NUMERIC, width)
+def with_entries(rows: DataFrame, vocab: DataFrame, width: int, key: str = "id", text: str = "instruction") -> DataFrame:
+    """#80: ``rows`` (with the engineered numbers) and their sparse ``indices`` and ``values`` under a fitted vocabulary."""
+    lists = V.term_lists(rows, key, V.ngram_terms, V.clean_tokens(text))
+    return V.sparse_entries(rows, key, V.weigh(lists, key, vocab, max(width, 1), sublinear_tf=True), NUMERIC, width)
 
 
-def training_frame(corpus: DataFrame, cfg: TrainConfig, text: str = "instruction") -> DataFrame:
-    """Id, class labels, ``features`` and the 80/20 split flag of every corpus row."""
-    rows = corpus_frame(corpus, text)
-    vocab = fit_vocabulary(corpus, "id", text, cfg.max_terms)
-    feats = with_vectors(rows, vocab, vocab.count(), "id", text).select("id", "features", "category", "intent", "predicted_priority")
+def training_frame(corpus: DataFrame, cfg: TrainConfig, text: str = "instruction", vocab: DataFrame | None = None) -> DataFrame:
+    """Id, class labels, sparse row (``indices``, ``values`` and the vector ``features``) and the 80/20 split flag of every corpus row, written once."""
+    vocab = fit_vocabulary(corpus, "id", text, cfg.max_terms) if vocab is None else vocab
+    width = vocab.count()
+    feats = with_entries(corpus_frame(corpus, text), vocab, width, "id", text).select(
+        "id", "indices", "values", "category", "intent", "predicted_priority")
     split = EV.stratified_split(corpus.select("id", "category"), "category", "id").select("id", "is_test")
-    return feats.join(split, "id")
+    return V.write_vectors(feats.join(split, "id"), scratch_path(corpus.sparkSession, "features"), width + len(NUMERIC))
 
 
-def _boosted(cfg: TrainConfig, trees: int, depth: int):
-    # one binary model per class, fitted concurrently (each fit is many small jobs)
-    return OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=depth, seed=cfg.seed, stepSize=cfg.step,
-                                              subsamplingRate=cfg.subsample), parallelism=cfg.ovr_parallelism)
+def width_of(tf: DataFrame) -> int:
+    """Length of the feature vectors."""
+    return tf.select("features").first()["features"].size
 
 
 def logistic(cfg: TrainConfig, n_train: int):
@@ -101,23 +95,33 @@ def logistic(cfg: TrainConfig, n_train: int):
                               elasticNetParam=0.0, maxIter=cfg.max_iter, tol=1e-6)
 
 
-def classifier_for(name: str, cfg: TrainConfig, n_train: int):
-    if name == "gbt_category":
-        return _boosted(cfg, cfg.category_trees, cfg.category_depth)
-    if name == "gbt_intent":
-        return _boosted(cfg, cfg.intent_trees, cfg.intent_depth)
-    if name == "gbt_priority":
-        return _boosted(cfg, cfg.priority_trees, cfg.priority_depth)
-    return logistic(cfg, n_train)
-
-
 def label_indexer(df: DataFrame, label: str):
     """Alphabetical label index; every label occurs in ``df``, so no unknown class is added."""
     return StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error").fit(df)
 
 
-def fit_and_score(tf: DataFrame, label: str, make) -> dict:
-    """Fit ``make(n_train)`` on the training rows of ``tf``; accuracy and weighted F1 on the test rows."""
+def coded(index, tf: DataFrame) -> DataFrame:
+    return index.transform(tf).withColumn("label", F.col("label").cast("int"))
+
+
+def boosted_fit(tf: DataFrame, label: str, p: B.Boosting):
+    """(model, test predictions) of boosted trees learned from the training rows of ``tf``."""
+    index = label_indexer(tf, label)
+    rows = coded(index, tf).withColumn("fold", F.when(F.col("is_test"), 0).otherwise(-1))
+    model, fitted = B.fit(rows, width_of(tf), len(index.labels), p, labels=list(index.labels))
+    return model, _named(fitted.where("fold = 0"), "probabilities", index.labels)
+
+
+def _named(pred: DataFrame, probabilities: str, labels) -> DataFrame:
+    """(id, actual, predicted, probability) from coded labels and a probability array."""
+    names = F.array(*[F.lit(x) for x in labels])
+    p = F.col(probabilities)
+    return pred.select("id", F.element_at(names, F.col("label").cast("int") + 1).alias("actual"),
+                       F.element_at(names, F.array_position(p, F.array_max(p)).cast("int")).alias("predicted"), p.alias("probability"))
+
+
+def ml_fit(tf: DataFrame, label: str, make):
+    """(model, test predictions) of a Spark ML classifier ``make(n_train)``."""
     index = label_indexer(tf, label)
     data = index.transform(tf).select("id", "features", "label", F.col(label).alias("actual"), "is_test").cache()
     try:
@@ -126,17 +130,28 @@ def fit_and_score(tf: DataFrame, label: str, make) -> dict:
         names = F.array(*[F.lit(x) for x in index.labels])
         pred = model.transform(data.where("is_test"))
         pred = pred.withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1))
-        keep = ["id", "actual", "predicted", *([c for c in ["probability"] if c in pred.columns])]
-        pred = pred.select(*keep).checkpoint(eager=True)
+        keep = [vector_to_array("probability").alias("probability")] if "probability" in pred.columns else []
+        pred = pred.select("id", "actual", "predicted", *keep).checkpoint(eager=True)
     finally:
         data.unpersist()
+    return PipelineModel([index, model]), pred
+
+
+def score(model, pred: DataFrame) -> dict:
+    """A fitted model, its test predictions, and their accuracy, weighted F1, macro precision and recall."""
     counts = EV.per_class(EV.confusion_counts(pred)).collect()
     n = sum(r.support for r in counts)
-    return {"model": PipelineModel([index, model]), "labels": index.labels, "predictions": pred,
-            "accuracy": sum(r.tp for r in counts) / n, "f1": sum(r.f1 * r.support for r in counts) / n,
+    return {"model": model, "predictions": pred, "accuracy": sum(r.tp for r in counts) / n, "f1": sum(r.f1 * r.support for r in counts) / n,
             "precision": sum(r.precision for r in counts) / len(counts), "recall": sum(r.recall for r in counts) / len(counts)}
 
 
+def fit_and_score(tf: DataFrame, name: str, cfg: TrainConfig) -> dict:
+    """Fit one of ``LABELS`` on the training rows of ``tf`` and score its test rows."""
+    if name in BOOSTED:
+        return score(*boosted_fit(tf, LABELS[name], cfg.boosting(name)))
+    return score(*ml_fit(tf, LABELS[name], lambda n: logistic(cfg, n)))
+
+
 def metrics_frame(results: dict[str, dict], spark) -> DataFrame:
     return spark.createDataFrame([(k, float(v["accuracy"]), float(v["f1"])) for k, v in results.items()],
                                  "model string, accuracy double, f1 double")
@@ -145,17 +160,16 @@ def metrics_frame(results: dict[str, dict], spark) -> DataFrame:
 def train_models(tf: DataFrame, cfg: TrainConfig, which: tuple[str, ...] = tuple(LABELS)) -> dict[str, dict]:
     """#83-#86: boosted category, intent and priority models, multinomial logistic baseline."""
     checkpoint_dir(tf.sparkSession)
-    return {name: fit_and_score(tf, LABELS[name], lambda n, name=name: classifier_for(name, cfg, n)) for name in which}
+    return {name: fit_and_score(tf, name, cfg) for name in which}
 
 
 def algorithm_comparison(tf: DataFrame, cfg: TrainConfig) -> DataFrame:
     """#87: model families on one split, ranked by accuracy, with macro precision/recall and weighted F1."""
     spark = tf.sparkSession
     checkpoint_dir(spark)
-    width = tf.select("features").first()["features"].size
+    width = width_of(tf)
     n_labels = tf.select("category").distinct().count()
     families = {
-        "boosted_trees": lambda n: _boosted(cfg, cfg.category_trees, cfg.category_depth),
         "random_forest": lambda n: RandomForestClassifier(numTrees=cfg.forest_trees, maxDepth=cfg.forest_depth, seed=cfg.seed),
         "linear_svm": lambda n: OneVsRest(classifier=LinearSVC(maxIter=cfg.max_iter, regParam=1.0 / max(n, 1), tol=1e-4),
                                           parallelism=cfg.ovr_parallelism),
@@ -163,11 +177,11 @@ def algorithm_comparison(tf: DataFrame, cfg: TrainConfig) -> DataFrame:
                                                                tol=1e-4, seed=cfg.seed),
         "logistic": lambda n: logistic(cfg, n),
     }
-    rows = []
-    for name, make in families.items():
-        r = fit_and_score(tf, "category", make)
-        rows.append((name, float(r["accuracy"]), float(r["precision"]), float(r["recall"]), float(r["f1"])))
+    results = {"boosted_trees": fit_and_score(tf, "gbt_category", cfg)}
+    results |= {name: score(*ml_fit(tf, "category", make)) for name, make in families.items()}
+    rows = [(name, *(float(r[k]) for k in ("accuracy", "precision", "recall", "f1"))) for name, r in results.items()]
     df = spark.createDataFrame(rows, "model string, accuracy double, precision double, recall double, f1 double")
+    # one row a family
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("accuracy"), "model")))
 
 
@@ -175,31 +189,39 @@ def cross_validate(tf: DataFrame, cfg: TrainConfig, k: int = 5, model: str = "gb
     """#96: stratified k-fold accuracy of a model per fold, mean and population std.
 
     As in the reference (cross-validation over the precomputed feature matrix),
-    features are fitted once on the whole corpus; each fold fits a classifier
-    on the other folds.
+    features are fitted once on the whole corpus. The boosted folds grow in the
+    same passes over one binned matrix, each on the rows of the other folds.
     """
     spark = tf.sparkSession
+    checkpoint_dir(spark)
     label = LABELS[model]
     folds = EV.kfold_assign(tf.select("id", label), label, "id", k=k).select("id", "fold")
-    data = label_indexer(tf, label).transform(tf).select("id", "features", "label").join(folds, "id").cache()
-    scores = []
-    try:
-        for f in range(k):
-            train = data.where(F.col("fold") != f)
-            pred = classifier_for(model, cfg, train.count()).fit(train).transform(data.where(F.col("fold") == f))
-            acc = pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-            scores.append((f, float(acc)))
-    finally:
-        data.unpersist()
-    df = spark.createDataFrame(scores, "fold int, accuracy double")
-    everything = Window.partitionBy()
-    return df.select("fold", "accuracy", F.avg("accuracy").over(everything).alias("mean_accuracy"),
-                     F.stddev_pop("accuracy").over(everything).alias("std"))
+    index = label_indexer(tf, label)
+    data = coded(index, tf).join(folds, "id")
+    if model in BOOSTED:
+        _, fitted = B.fit(data, width_of(tf), len(index.labels), cfg.boosting(model), models=k)
+        p = F.col("probabilities")
+        hit = F.array_position(p, F.array_max(p)) - 1 == F.col("label")
+        scores = fitted.where("fold = model").groupBy("fold").agg(F.avg(hit.cast("double")).alias("accuracy"))
+    else:
+        data = data.select("id", "features", "label", "fold").cache()
+        rows = []
+        try:
+            for f in range(k):
+                train = data.where(F.col("fold") != f)
+                pred = logistic(cfg, train.count()).fit(train).transform(data.where(F.col("fold") == f))
+                rows.append((f, float(pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])))
+        finally:
+            data.unpersist()
+        scores = spark.createDataFrame(rows, "fold int, accuracy double")
+    everything = Window.partitionBy()  # k rows
+    return scores.select(F.col("fold").cast("int").alias("fold"), "accuracy", F.avg("accuracy").over(everything).alias("mean_accuracy"),
+                         F.stddev_pop("accuracy").over(everything).alias("std"))
 
 
 def probability_view(pred: DataFrame) -> DataFrame:
-    """Top probability and top-2 gap from a model's ``probability`` vector."""
-    ps = F.sort_array(vector_to_array("probability"), False)
+    """Top probability and top-2 gap from a model's ``probability`` array."""
+    ps = F.sort_array("probability", False)
     return pred.select(F.element_at(ps, 1).alias("max_p"), (F.element_at(ps, 1) - F.element_at(ps, 2)).alias("gap"))
 
 
@@ -208,9 +230,8 @@ def model_report(results: dict[str, dict], cv: DataFrame, tf: DataFrame, intent_
     """#97: one nested record: all models' metrics, cross-validation, misrouting risk,
     feature info, class lists, thresholds.
 
-    The two probability frames have (max_p, gap) of the test rows, for category
-    and intent; one-vs-rest boosting gives no calibrated probabilities, so the
-    caller passes those of a probabilistic model of the same label.
+    The two probability frames have (max_p, gap) of the test rows under the
+    intent and the category model.
     """
     models = F.struct(*[F.struct(F.lit(float(v["accuracy"])).alias("accuracy"), F.lit(float(v["f1"])).alias("f1"))
                         .alias(k) for k, v in results.items()])
@@ -224,7 +245,7 @@ def model_report(results: dict[str, dict], cv: DataFrame, tf: DataFrame, intent_
                     intent.select("low_confidence_pct").scalar().alias("low_confidence_intent_pct"),
                     cat.select("ambiguous_pct").scalar().alias("ambiguous_tickets_pct"),
                     levels.scalar().alias("risk_distribution"))
-    n_text = tf.select("features").first()["features"].size - len(NUMERIC)
+    n_text = width_of(tf) - len(NUMERIC)
     return cvr.select(
         models.alias("models"),
         F.struct("mean_accuracy", "std", "folds").alias("cross_validation"),
@@ -243,18 +264,30 @@ def model_report(results: dict[str, dict], cv: DataFrame, tf: DataFrame, intent_
     )
 
 
-def save_model(model: PipelineModel, vocab: DataFrame, path: str) -> None:
-    """#9: persist a fitted label index and classifier, with the vocabulary its features need."""
-    model.write().overwrite().save(f"{path}/model")
+def save_model(model, vocab: DataFrame, path: str) -> None:
+    """#9: persist a fitted model (label index and classifier, or boosted trees) with the vocabulary its features need."""
+    if isinstance(model, B.Boosted):
+        model.save(vocab.sparkSession, f"{path}/model")
+    else:
+        model.write().overwrite().save(f"{path}/model")
     vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
 
 
-def load_model(spark, path: str) -> tuple[PipelineModel, DataFrame]:
+def load_model(spark, path: str, boosted: bool = False) -> tuple:
     """#9: (model, vocabulary) saved by ``save_model``."""
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/vocabulary")
+    model = B.Boosted.load(spark, f"{path}/model") if boosted else PipelineModel.load(f"{path}/model")
+    return model, spark.read.parquet(f"{path}/vocabulary")
+
+
+def labels_of(model) -> list[str]:
+    return list(model.labels if isinstance(model, B.Boosted) else model.stages[0].labels)
 
 
-def predict(rows: DataFrame, model: PipelineModel, vocab: DataFrame, key: str, text: str) -> DataFrame:
+def predict(rows: DataFrame, model, vocab: DataFrame, key: str, text: str) -> DataFrame:
     """``rows`` with the loaded classifier's probability array ``_probabilities`` (labels in index order)."""
-    wide = with_vectors(X.with_features(rows, text), vocab, vocab.count(), key, text)
+    width = vocab.count()
+    wide = with_entries(X.with_features(rows, text), vocab, width, key, text).select(*rows.columns, "indices", "values")
+    if isinstance(model, B.Boosted):
+        return model.probabilities(wide).drop("indices", "values")
+    wide = V.write_vectors(wide, scratch_path(rows.sparkSession, "features"), width + len(NUMERIC))
     return model.stages[-1].transform(wide).select(*rows.columns, vector_to_array("probability").alias("_probabilities"))

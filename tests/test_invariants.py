@@ -132,17 +132,17 @@ def test_training_and_reload(spark, sf_dir):
 @pytest.mark.slow
 def test_no_class_without_rows(spark, sf_dir):
     from deskflow.operators import train as TR
-    tf = TR.training_frame(FX.corpus(spark, sf_dir), TR.TrainConfig.sandbox())
-    fit = TR.fit_and_score(tf, "category", lambda n: TR.logistic(TR.TrainConfig.sandbox(), n))
-    n = tf.select("category").distinct().count()
-    assert len(fit["labels"]) == n and fit["predictions"].first().probability.size == n
+    fit = TR.fit_and_score(TR.training_frame(FX.corpus(spark, sf_dir), TR.TrainConfig()), "lr_baseline", TR.TrainConfig())
+    n = FX.corpus(spark, sf_dir).select("category").distinct().count()
+    assert len(TR.labels_of(fit["model"])) == n and len(fit["predictions"].first().probability) == n
 
 
 def test_default_training_settings_are_the_references():
-    from deskflow.operators.train import TrainConfig
-    c = TrainConfig()
-    assert (c.max_terms, c.category_trees, c.category_depth) == (5000, 300, 8)
-    assert (c.intent_trees, c.intent_depth, c.priority_trees, c.priority_depth, c.max_iter) == (400, 10, 200, 6, 1000)
+    from deskflow.operators.train import BOOSTED, TrainConfig
+    assert (TrainConfig().max_terms, TrainConfig().max_iter) == (5000, 1000)
+    got = {n: (b.rounds, b.depth, b.step, b.min_child, b.gamma, b.alpha) for n, b in BOOSTED.items()}
+    assert got == {"gbt_category": (300, 8, 0.1, 3, 0.1, 0.1), "gbt_intent": (400, 10, 0.08, 2, 0.05, 0.1), "gbt_priority": (200, 6, 0.1, 1, 0, 0)}
+    assert all((b.subsample, b.colsample, b.lam) == (0.8, 0.8, 1.0) for b in BOOSTED.values())
 
 
 @pytest.mark.parametrize("name", ["train_category", "train_intent", "train_priority", "train_logistic", "algorithm_comparison",
