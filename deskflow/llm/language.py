@@ -261,25 +261,32 @@ def identify(docs: DataFrame, **bounds) -> DataFrame:
     return predict(base, net).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, **bounds) -> DataFrame:
-    """The rows of ``docs`` whose text has a recognised language, with all columns unchanged.
-
-    Rejected are rows without a letter: null texts and those that ``identify``
-    labels ``und`` under a model, which learns from the same fold. Without a row
-    to learn from, every text with a letter stays.
+def keep_identified(docs: DataFrame, languages: set[str] | None = None, min_score: float = 0.0, **bounds) -> DataFrame:
+    """The rows of ``docs`` whose text has a recognised language, with all columns; a null ``lang`` is filled with the prediction.
+
+    Rejected are the rows that ``identify`` labels ``und`` under a model, which
+    learns from the same fold (null texts, texts without a letter), those that
+    it scores below ``min_score``, and, where ``languages`` are given, those
+    that it labels otherwise. Languages that are already there are not changed.
+    Without a row to learn from, every text with a letter stays as it is.
     """
     held = crc_fold("doc_id", 4) == 2
     net = fit(docs.select("doc_id", "text", "lang").where(~held), **bounds)
-    at = docs.columns.index("text")
+    at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in sub_batches(iter([batch]), docs_text, BATCH_BYTES):
                 texts = piece.column(at)
                 if net is None:
-                    keep = pa.array(has_letters(texts, split_words(translate(texts, LETTERS))[0]))
-                else:
-                    keep = pc.not_equal(label_texts(net, texts)[0], UNDETERMINED)
+                    yield piece.filter(pa.array(has_letters(texts, split_words(translate(texts, LETTERS))[0])))
+                    continue
+                predicted, scores = label_texts(net, texts)
+                keep = pc.and_(pc.not_equal(predicted, UNDETERMINED), pc.greater_equal(scores, min_score))
+                if languages is not None:
+                    keep = pc.and_(keep, pc.is_in(predicted, value_set=pa.array(sorted(languages), pa.string())))
+                known = piece.column(lang_at)
+                piece = piece.set_column(lang_at, piece.schema.field(lang_at), pc.coalesce(known, predicted.cast(known.type)))
                 yield piece.filter(keep)
 
     docs_text = docs.columns[at]

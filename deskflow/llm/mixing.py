@@ -51,13 +51,16 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return cells.groupBy(F.col(dimension).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, most: float | None = None) -> DataFrame:
     """``cells(<dimensions>, tokens)`` with ``factor``: fitted share / own share.
 
     ``targets[dimension]`` has (value, share); shares need not sum to one. A
     value without a target, or without tokens, gets factor 0; targets of values
     that do not occur are left out. A null value is a value like any other. One
     round fits each dimension once; the last dimension fits exactly.
+
+    With ``most``, no factor exceeds it: full cells are held there, and the
+    following steps fit the marginals with the others, as far as they can.
     """
     fitted = cells
     for d, t in targets.items():
@@ -80,7 +83,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     for done in range(1, rounds + 1):
         for d in targets:
             total = F.sum("_w").over(Window.partitionBy(d))
-            fitted = fitted.withColumn("_w", F.when(total > 0, F.col("_w") * F.col(f"_t_{d}") / total).otherwise(0.0))
+            scaled = F.when(total > 0, F.col("_w") * F.col(f"_t_{d}") / total).otherwise(0.0)
+            if most is not None:
+                scaled = F.least(scaled, F.lit(most) * F.col("tokens") / F.col("_all"))
+            fitted = fitted.withColumn("_w", scaled)
         if done % ROUNDS_A_TABLE == 0 or done == rounds:
             fitted = materialize(fitted, "cells")
     share = F.col("tokens") / F.col("_all")
@@ -94,14 +100,17 @@ def draw(doc_id: Column, seed: int) -> Column:
 
 
 def mixed(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None,
-          keep: float = 0.5, seed: int = 1, rounds: int = ROUNDS) -> DataFrame:
+          keep: float = 0.5, seed: int = 1, rounds: int = ROUNDS, weighted: bool = True) -> DataFrame:
     """``docs`` with _mix_topic, _mix_tokens, _mix_factor, _mix_keep, _mix_weight and _mix_sampled.
 
     ``targets`` names the wanted shares, or ``powers`` tempers the own shares
     of source, language and topic. ``keep`` is the wanted part of all tokens:
     a document stays with probability min(1, keep x factor), and its weight
     (keep x factor / probability, 0 if it can't stay) makes the weighted sample
-    fit the targets where the probability is cut at one.
+    fit the targets where the probability is cut at one. Without weights
+    (``weighted`` false) cells are raked under the bound that a document can stay
+    once only, so that the expected tokens themselves fit the targets, as far as
+    there are tokens enough.
 
     Null and empty texts have no tokens: they fall into the topic ``empty``,
     whose factor is 0, and are not sampled. Null sources and languages are
@@ -114,7 +123,7 @@ def mixed(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict
     cells = base.groupBy("source", "lang", F.col("_mix_topic").alias("topic")).agg(F.sum("_mix_tokens").alias("tokens"))
     cells = materialize(cells, "cells")
     targets = targets or {d: tempered(cells, d, (powers or {}).get(d, 1.0)) for d in DIMENSIONS}
-    factors = rake(cells, targets, rounds).select(
+    factors = rake(cells, targets, rounds, None if weighted else 1 / keep).select(
         F.col("source").alias("_mix_s"), F.col("lang").alias("_mix_l"), F.col("topic").alias("_mix_t"),
         F.col("factor").alias("_mix_factor"))
     wanted = F.lit(keep) * F.col("_mix_factor")
@@ -136,8 +145,8 @@ def sample_plan(docs: DataFrame, **options) -> DataFrame:
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of ``docs``, with their own columns."""
-    return mixed(docs, **options).where("_mix_sampled").select(*docs.columns)
+    """The sampled rows of ``docs``, with their own columns; they have no weights, so the expected tokens are fitted without."""
+    return mixed(docs, **options, weighted=False).where("_mix_sampled").select(*docs.columns)
 
 
 def plan_sql(powers: dict[str, float], keep: float, seed: int = 1, rounds: int = ROUNDS) -> str:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import LETTERS, distinct, split_words, translate, word_bytes
@@ -132,15 +132,15 @@ def _train(texts: list[str], labels: np.ndarray, rounds: int, seed: int = 3) ->
     scale_e, scale_o, scale_b = np.full((BUCKETS, DIM), 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
     balance = np.sqrt(len(labels) / (2 * np.maximum(np.bincount(labels, minlength=2), 1)))
 
-    def step(bags: list[np.ndarray], y: np.ndarray, rate: float) -> None:
-        """One Adagrad step on bags of word numbers."""
-        n_words = np.array([len(b) for b in bags])
-        w = index[np.concatenate(bags)]
-        bag = np.repeat(np.arange(len(bags)), n_words)
+    def step(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rate: float) -> None:
+        """One Adagrad step on bags of words: their numbers, and how often each is in the bag."""
+        w, times = (np.concatenate(x) for x in zip(*bags))
+        bag = np.repeat(np.arange(len(bags)), [len(b) for b, _ in bags])
+        share = times / np.bincount(bag, times)[bag]
         count = place[w + 1] - place[w]
         first = np.cumsum(count) - count
         gram = flat[np.arange(count.sum()) + np.repeat(place[w] - first, count)]
-        part = np.repeat(1.0 / (count * n_words[bag]), count)  # weight of a subword in its bag's mean
+        part = np.repeat(share / count, count)  # weight of a subword in its bag's mean
         owner = np.repeat(bag, count)
         mean = np.stack([np.bincount(owner, net.embed[gram, k] * part, len(bags)) for k in range(DIM)], axis=1)
         logit = mean @ net.out + net.bias
@@ -159,16 +159,18 @@ def _train(texts: list[str], labels: np.ndarray, rounds: int, seed: int = 3) ->
         net.bias -= rate * g_bias / np.sqrt(scale_b)
 
     filled = np.flatnonzero(np.diff(bounds) > 0)
+    whole = {r: np.unique(index[bounds[r]:bounds[r + 1]], return_counts=True) for r in filled.tolist()}
     for epoch in range(rounds):
         margin = Scorer(net.margins(), 0.0).word_margins(vocabulary)[index]
         _, first = window_margins(margin, bounds)
         order = rng.permutation(filled)
         for lo in range(0, len(order), 256):
             rows = order[lo:lo + 256]
-            if epoch < 2:  # whole texts, up to 300 words spread over each
-                bags = [np.unique(np.linspace(bounds[r], bounds[r + 1] - 1, 300).astype(np.int64)) for r in rows]
+            if epoch < 2:  # all words of the texts
+                bags = [whole[r] for r in rows.tolist()]
             else:
-                bags = [np.arange(first[r], min(first[r] + WINDOW, bounds[r + 1])) for r in rows]
+                windows = [index[first[r]:min(first[r] + WINDOW, bounds[r + 1])] for r in rows]
+                bags = [(w, np.ones(len(w), np.int64)) for w in windows]
             step(bags, labels[rows], 0.1)
     return net
 
@@ -188,11 +190,13 @@ class Scorer:
         return total / np.maximum(count, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500, rounds: int = 30) -> Scorer | None:
+def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500, rounds: int = 30, max_bytes: int = 64_000_000) -> Scorer | None:
     """Train on ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``; None without rows of both classes.
 
     Only ids meet the labels. The sample's ids (at most three times
-    ``docs_per_class``) then fetch their texts, and one task trains on them.
+    ``docs_per_class``) then fetch their texts' sizes, and, in the order of a
+    hash, whole texts up to ``max_bytes`` in all (but one of each class at
+    least); one task trains on them.
     """
     known = labels.where("toxic in (0, 1)").join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi")
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -202,7 +206,12 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500, rounds:
     order = F.xxhash64("doc_id", F.lit("sample"))
     draw = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
     chosen = materialize(known.where(draw < rate).orderBy(order).limit(3 * docs_per_class), "labelled-sample")
-    sample = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # bounded by the limit
+    sizes = docs.where("text is not null").select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(chosen), "doc_id")
+    sizes = sizes.groupBy("doc_id", "toxic").agg(F.sum("size").alias("size"))  # a row for each chosen id at most
+    by_class = Window.partitionBy("toxic").orderBy(order, "doc_id")
+    fits = sizes.withColumn("_n", F.row_number().over(by_class)).withColumn("_sum", F.sum("size").over(Window.orderBy(order, "doc_id")))
+    chosen = materialize(fits.where((F.col("_sum") <= max_bytes) | (F.col("_n") == 1)).select("doc_id", "toxic"), "labelled-sample")
+    sample = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # bounded by the limits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((t, y) for b in batches for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()))

@@ -35,6 +35,12 @@ def test_language_edges(spark, docs):
     kept = language.keep_identified(df, steps=60)
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == set(by) - {100, 101, 102, 103}
+    assert {r.lang for r in kept.collect() if r.doc_id == 106} == {by[106].lang_pred}  # a missing language is filled
+    assert all(r.lang == {0: "fr", 1: "en"}[r.doc_id % 2] for r in kept.collect() if r.doc_id is not None and r.doc_id < 60)
+    for wanted in ("en", "fr"):  # the model decides
+        only = language.keep_identified(df, languages={wanted}, steps=60).collect()
+        assert {r.doc_id for r in only} == {i for i, r in by.items() if r.lang_pred == wanted}
+    assert language.keep_identified(df, min_score=1.1, steps=60).collect() == []
     assert language.identify(df.limit(0)).collect() == []
     unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language.identify(unlabelled).collect()} == {"und"}

@@ -71,7 +71,7 @@ def test_feistel_is_a_permutation():
 VALUES = {"card": "4111 1111 1111 1111", "phone": "+1 (319) 555-5132", "ip": "27.109.211.155", "date": "2024-02-29",
           "national": "123-45-6789", "iban": "DE89 3704 0044 0532 0130 00", "email": "jane.doe7@example.com"}
 LEFT = ["4111 1111 1111 1112", "999.1.1.1", "2023-02-29", "000-12-3456", "DE00 3704 0044 0532 0130 00", "version 2.0", "CC BY-NC 4.0",
-        "tok 0641917ea4e9feb9cda83477b57ac2654884f485", "a@b", "+1 (119) 555-5132"]
+        "tok 0641917ea4e9feb9cda83477b57ac2654884f485", "a@b"]
 
 
 @pytest.mark.parametrize("kind", VALUES)

@@ -1,6 +1,7 @@
 """Raking and exact search against plain brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from deskflow.llm import mixing, topk
@@ -42,12 +43,30 @@ def test_mixing_edges(spark, docs):
     assert all(not r.sampled for r in plan if r.doc_id in (900, 901))
     kept = mixing.sample(df, **MIX)
     assert kept.columns == df.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in plan if r.sampled)
+    bounded = mixing.mixed(df, **MIX, weighted=False).collect()
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in bounded if r._mix_sampled)
+    assert all(r._mix_weight in (0.0, 1.0) or abs(r._mix_weight - 1) < 1e-9 for r in bounded)
     assert mixing.sample_plan(df.limit(0), **MIX).collect() == []
     python = mixing.sample_plan(df, **MIX)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in python and "Arrow" not in python
 
 
+def test_a_sample_without_weights_meets_its_targets(spark, docs):
+    """Small sources are wanted more than their documents give at once: the expected tokens fit all the same."""
+    rows = [(i, "w " * (70 + i % 50), ("en", "fr")[i % 2], "big" if i % 20 else "small") for i in range(2000)]
+    df = docs(*rows)
+    share = lambda pairs: spark.createDataFrame(pairs, "value string, share double")
+    targets = {"source": share([("big", 0.92), ("small", 0.08)]), "lang": share([("en", 0.4), ("fr", 0.6)]), "topic": share([("prose", 1.0)])}
+    shares = {}
+    for weighted in (True, False):
+        got = mixing.mixed(df, targets=targets, keep=0.5, weighted=weighted, rounds=30).collect()
+        total = sum(r._mix_keep * r._mix_tokens for r in got)
+        shares[weighted] = {v: sum(r._mix_keep * r._mix_tokens for r in got if v in (r.source, r.lang)) / total for v in ("small", "big", "en", "fr")}
+    assert shares[False] == pytest.approx({"small": 0.08, "big": 0.92, "en": 0.4, "fr": 0.6}, abs=2e-3)
+    kept = mixing.sample(df, targets=targets, keep=0.5, rounds=30).collect()
+    assert abs(sum(r.source == "small" for r in kept) / len(kept) - 0.08) < 0.02
+
+
 def brute_top(codes, queries, k):
     out = set()
     for qi, q in queries:

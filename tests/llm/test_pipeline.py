@@ -26,7 +26,7 @@ def test_stages(spark, sf_dir):
     index = decontaminate.ItemIndex(bench, 5)
     assert ids == {r.doc_id for r in before.collect() if not index.matches(r.text, 0.8)}
     before, ids = kept[names[3]]
-    assert ids == {r.doc_id for r in mixing.sample_plan(before, **MIX).collect() if r.sampled}
+    assert ids == {r.doc_id for r in mixing.mixed(before, **MIX, weighted=False).collect() if r._mix_sampled}
     assert {r.doc_id for r in docs.collect()} == ids
     assert sum(r.n_tokens for r in docs.collect()) == max(r.start + r.n_tokens for r in docs.collect())
 
@@ -39,5 +39,5 @@ def test_empty_documents(spark, docs, sf_dir):
 
 
 def test_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert language.UNDETERMINED == "und"
