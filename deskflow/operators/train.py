@@ -11,8 +11,11 @@ use.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
@@ -157,10 +160,17 @@ def metrics_frame(results: dict[str, dict], spark) -> DataFrame:
                                  "model string, accuracy double, f1 double")
 
 
+def together(jobs: dict) -> dict:
+    """Results of several fits of one frame: their Spark jobs are small and many, so they run at the same time."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = {name: pool.submit(inheritable_thread_target(job)) for name, job in jobs.items()}
+        return {name: done.result() for name, done in running.items()}
+
+
 def train_models(tf: DataFrame, cfg: TrainConfig, which: tuple[str, ...] = tuple(LABELS)) -> dict[str, dict]:
     """#83-#86: boosted category, intent and priority models, multinomial logistic baseline."""
     checkpoint_dir(tf.sparkSession)
-    return {name: fit_and_score(tf, name, cfg) for name in which}
+    return together({name: partial(fit_and_score, tf, name, cfg) for name in which})
 
 
 def algorithm_comparison(tf: DataFrame, cfg: TrainConfig) -> DataFrame:
@@ -177,8 +187,9 @@ def algorithm_comparison(tf: DataFrame, cfg: TrainConfig) -> DataFrame:
                                                                tol=1e-4, seed=cfg.seed),
         "logistic": lambda n: logistic(cfg, n),
     }
-    results = {"boosted_trees": fit_and_score(tf, "gbt_category", cfg)}
-    results |= {name: score(*ml_fit(tf, "category", make)) for name, make in families.items()}
+    jobs = {"boosted_trees": partial(fit_and_score, tf, "gbt_category", cfg)}
+    jobs |= {name: (lambda make=make: score(*ml_fit(tf, "category", make))) for name, make in families.items()}
+    results = together(jobs)
     rows = [(name, *(float(r[k]) for k in ("accuracy", "precision", "recall", "f1"))) for name, r in results.items()]
     df = spark.createDataFrame(rows, "model string, accuracy double, precision double, recall double, f1 double")
     # one row a family
