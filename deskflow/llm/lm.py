@@ -44,7 +44,7 @@ from . import gru
 from .bytewords import LOWER, distinct, split_words, translate
 from .common import crc_fold, lean, materialize, sub_batches
 
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 8_000_000
 HEAD, PER_CLASS = 1024, 32
 BANDS = 48  # by powers of two of the count; band 0 is the unknown word
 HIDDEN = 24
@@ -326,6 +326,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.02) -
         seen_less[b - 1 if word_count & (word_count - 1) == 0 else b] -= word_count
     n_head = len(head_words)
     n_bands = int(np.flatnonzero(mass > 0).max(initial=0)) + 1  # bands that some word of the tail is in
+    code_type = "<u2" if n_head + n_bands < 1 << 16 else "<u4"
     floor = math.log10(total + types + 1)
 
     coded_schema = pa.schema([
@@ -345,8 +346,8 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.02) -
                 counts = np.where(ids >= 0, head_of[ids], 0)
                 counts[np.asarray(flat["found"].field("idx"))] = np.asarray(flat["found"].field("c"))
                 bands = band_of(counts)
-                symbol = np.where(ids >= 0, ids, n_head + bands).astype("<u4")
-                less = np.where(ids >= 0, ids, n_head + band_of(np.maximum(counts - 1, 0))).astype("<u4")
+                symbol = np.where(ids >= 0, ids, n_head + bands).astype(code_type)
+                less = np.where(ids >= 0, ids, n_head + band_of(np.maximum(counts - 1, 0))).astype(code_type)
                 tail = np.where((ids >= 0) | (counts == 0), 0.0, np.log10(np.maximum(counts, 1) / in_band[bands]))
                 tokens = np.frombuffer(row.column("tokens")[0].as_py(), "<i4")
                 sizes = np.asarray(flat["sizes"])
@@ -385,7 +386,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.02) -
             trainer = Trainer(own, rate)
             for batch in batches:
                 for lesson, ends in zip(batch.column("train"), batch.column("train_ends")):
-                    trainer.train(np.frombuffer(lesson.as_py(), "<u4").astype(np.int64), np.frombuffer(ends.as_py(), bool))
+                    trainer.train(np.frombuffer(lesson.as_py(), code_type).astype(np.int64), np.frombuffer(ends.as_py(), bool))
             if trainer.seen:
                 packed = np.frombuffer(own.pack(), np.float32).astype("<f8") * trainer.seen
                 yield pa.RecordBatch.from_arrays(
@@ -402,7 +403,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.02) -
         own.unpack(weights)
         for batch in batches:
             for row in batch.to_pylist():
-                symbols = np.frombuffer(row["symbols"], "<u4").astype(np.int64)
+                symbols = np.frombuffer(row["symbols"], code_type).astype(np.int64)
                 if total:
                     ln = own.score(symbols, np.concatenate([[0], np.cumsum(row["n_tokens"])]))
                 else:  # nothing was learned: the unknown word is the only one
