@@ -137,6 +137,16 @@ def test_no_class_without_rows(spark, sf_dir):
     assert len(TR.labels_of(fit["model"])) == n and len(fit["predictions"].first().probability) == n
 
 
+@pytest.mark.slow
+def test_boosted_models_reach_the_published_accuracies(spark, sf_dir):
+    from deskflow.operators import train as TR
+    tf = TR.training_frame(FX.corpus(spark, sf_dir), TR.TrainConfig())
+    got = TR.train_models(tf, TR.TrainConfig(), ("gbt_category", "gbt_intent", "gbt_priority"))
+    for name, accuracy, f1 in (("gbt_category", 0.992372, 0.992353), ("gbt_intent", 0.981581, 0.981554), ("gbt_priority", 0.999814, 0.999723)):
+        assert got[name]["accuracy"] >= accuracy and got[name]["f1"] >= f1, name
+        assert all(abs(sum(r.probability) - 1) < 1e-9 for r in got[name]["predictions"].collect())
+
+
 def test_default_training_settings_are_the_references():
     from deskflow.operators.train import BOOSTED, TrainConfig
     assert (TrainConfig().max_terms, TrainConfig().max_iter) == (5000, 1000)
