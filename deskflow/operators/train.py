@@ -66,14 +66,14 @@ def fit_vocabulary(corpus: DataFrame, key: str = "id", text: str = "instruction"
     """(term, idx, idf) of #76 over the corpus: at most ``max_terms`` rows, checkpointed."""
     checkpoint_dir(corpus.sparkSession)
     n_docs = corpus.select(F.count(F.lit(1)).cast("double")).scalar()
-    lists = V.term_lists(corpus, key, V.ngram_terms, V.clean_tokens(text))
-    return V.with_idf(V.vocabulary(lists, n_docs, max_terms, min_df=2, max_df=0.95), n_docs).checkpoint(eager=True)
+    tf = V.term_counts(corpus, key, V.ngram_terms, V.clean_tokens(text))
+    return V.with_idf(V.vocabulary(tf, n_docs, max_terms, min_df=2, max_df=0.95), n_docs).checkpoint(eager=True)
 
 
 def with_entries(rows: DataFrame, vocab: DataFrame, width: int, key: str = "id", text: str = "instruction") -> DataFrame:
     """#80: ``rows`` (with the engineered numbers) and their sparse ``indices`` and ``values`` under a fitted vocabulary."""
-    lists = V.term_lists(rows, key, V.ngram_terms, V.clean_tokens(text))
-    return V.sparse_entries(rows, key, V.weigh(lists, key, vocab, max(width, 1), sublinear_tf=True), NUMERIC, width)
+    tf = V.term_counts(rows, key, V.ngram_terms, V.clean_tokens(text))
+    return V.sparse_entries(rows, key, V.weigh(tf, key, vocab, max(width, 1), sublinear_tf=True), NUMERIC, width)
 
 
 def training_frame(corpus: DataFrame, cfg: TrainConfig, text: str = "instruction", vocab: DataFrame | None = None) -> DataFrame:
