@@ -108,9 +108,17 @@ def run_fanout(scored_stream: DataFrame, base: str, checkpoint: str, arrival: li
     q.awaitTermination()
 
 
-def stage_files(df: DataFrame, path: str, files: int) -> None:
-    """Write ``df`` as ``files`` parquet files (the arriving ticket files)."""
-    df.repartition(files).write.mode("overwrite").parquet(path)
+FILE_ROWS = 50_000  # rows of an arriving file, about
+
+
+def stage_files(df: DataFrame, path: str, arrivals: int) -> int:
+    """Write ``df`` as the parquet files of ``arrivals`` arrivals; the number of files of each, which grows with the rows.
+
+    A file is written, and later read and scored, by one task.
+    """
+    each = max(1, -(-df.count() // (arrivals * FILE_ROWS)))
+    df.repartition(arrivals * each).write.mode("overwrite").parquet(path)
+    return each
 
 
 def stream_roundtrip(spark: SparkSession, source: DataFrame, build, name: str, files: int = 4) -> DataFrame:
@@ -139,16 +147,16 @@ def stream_fanout(spark: SparkSession, source: DataFrame, name: str = "fanout",
 
 
 def stream_assigned_ids(spark: SparkSession, source: DataFrame, name: str = "arrivals", files: int = 4) -> DataFrame:
-    """#5 inside #99: arriving tickets without an id, one file a micro-batch, get theirs on the way to the sinks.
+    """#5 inside #99: arriving tickets without an id, one arrival a micro-batch, get theirs on the way to the sinks.
 
     Per sink: rows, tickets named, the first and last id (of tickets), and rows whose ticket is not in the ticket sink.
     """
     src = scratch_path(spark, f"{name}-in")
     arriving = source.withColumnRenamed("ticket_id", "request_id")
-    stage_files(arriving, src, files)
+    each = stage_files(arriving, src, files)
     base, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
     keys = ["request_id", "description", "customer_name", "channel", "created_at"]
-    stream = ticket_stream(spark, src, arriving.schema, files_per_trigger=1)
+    stream = ticket_stream(spark, src, arriving.schema, files_per_trigger=each)
     run_fanout(score_stream(drop_greetings(stream), keys=keys), base, ckpt, arrival=["created_at", "request_id"])
     sinks = {s: spark.read.parquet(f"{base}/{s}").select("ticket_id") for s in ("tickets", "triage", "chat")}
     out = None
