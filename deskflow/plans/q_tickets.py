@@ -8,7 +8,9 @@ from ..functions.formatting import py_round
 from ..operators import score as S
 from ..operators import store as ST
 from ..operators import tickets as TK
+from ..operators.terms import spread
 from ..session import scratch_path
+from ..sources import files as FL
 from ..sources import fixtures as FX
 from ..sources.tables import read_table
 from . import sqlgen as G
@@ -338,7 +340,7 @@ done AS (SELECT ticket_id, arg_max(action, seq) AS act, max(acted_at) AS at, cou
 def q_ticket_chain(spark, sf_dir):
     """Score -> append in two parts -> patch -> queue -> replay -> list the queue (#42, #4, #56, #48, #61, #57)."""
     t = FX.tickets(spark, sf_dir)
-    scored = S.score_tickets(t, keys=SOURCE_KEYS)
+    scored = FL.stored(S.score_tickets(spread(t), keys=SOURCE_KEYS), scratch_path(spark, "chain-scored"))  # four steps read it
     rows = TK.ticket_rows(scored)
     path = scratch_path(spark, "chain-tickets")
     TK.append_tickets(rows.where("ticket_id % 2 = 0"), path)
