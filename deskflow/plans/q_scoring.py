@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions.formatting import py_round
 from ..operators import score as S
+from ..operators.terms import spread
 from ..sources import fixtures as FX
 from . import sqlgen as G
 from .oracle_fixtures import with_fixtures
@@ -358,12 +359,12 @@ _TEXTS = "WITH tickets AS (SELECT doc_id AS ticket_id, text AS description FROM
 
 
 def _turns(spark, sf_dir):
-    return read_table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("ticket_id"), F.col("text").alias("description"))
+    return spread(read_table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("ticket_id"), F.col("text").alias("description")))
 
 
 def _texts(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ticket_id"), F.col("text").alias("description"))
+    return spread(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ticket_id"), F.col("text").alias("description")))
 
 
 @query("score_conversations", _TURNS + RULE_CTE + f" SELECT {SCORED_RULE_COLS} FROM scored_rule")
