@@ -16,6 +16,8 @@ from deskflow.llm.common import read_docs
 from deskflow.llm.q_corpus import HOSTILE, TOKENIZER
 from deskflow.session import scratch_path
 
+TOKENS = token_output.load_tokenizer(TOKENIZER)
+
 PARTS = st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", " ", "\\", "<<SYS>>", "<</SYS>>", "<<ROLE ", "<</ROLE>>", ">>",
                                   "<", ">", "[", "]", "/", "a", "é", "\n", "ok", "_"]), max_size=8).map("".join)
 
@@ -209,3 +211,28 @@ def test_pieces_give_the_tokenizers_ids():
     ids, sizes = token_output.token_ids(tokenizer, pa.array(texts))
     want = [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
     assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+ODD = st.text(st.sampled_from("abZé'ÀİIß.,<|>12²x\u0301\u00a0 \n…s-_“ЖKſªµ"), max_size=30)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(ODD | st.sampled_from([None, "it's I'LL x<|endoftext|>y", "don't a.'s", "É'S"]), max_size=12), st.sampled_from([0, 3, 1000]))
+def test_runs_tokenized_once_give_the_ids_of_whole_texts(texts, most):
+    tokenizer = TOKENS
+    known = token_output.Known(tokenizer, most)
+    whole = [e.ids + [1] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for _ in range(2):  # the second time some are known
+        ids, sizes = token_output.token_ids(tokenizer, pa.array(texts, pa.string()), known=known)
+        assert ids.tolist() == [i for e in whole for i in e] and sizes.tolist() == [len(e) for e in whole]
+    assert len(known.runs) <= most
+
+
+def test_a_run_is_not_tokenized_again(monkeypatch):
+    known, calls = token_output.Known(TOKENS), []
+    in_line = token_output.runs_in_line
+    monkeypatch.setattr(token_output, "runs_in_line", lambda t, runs: calls.append(list(runs)) or in_line(t, runs))
+    assert token_output.cuts_runs(TOKENS)
+    for _ in range(2):
+        token_output.token_ids(TOKENS, pa.array(["Erst, erst. ERST!", "erst"]), known=known)
+    assert calls == [["erst", ",", ".", "!"], []]
