@@ -22,9 +22,10 @@ Scoring. All documents of a chunk advance together; the state of each is
 carried from window to window, so a score is that of the complete document.
 
 Words and counts. Documents are coded in chunks with a dictionary each, so the
-shuffle for counts carries each distinct word of a task once, not each word. The
-counts of head words go to every task; those of other words are joined to the
-chunks' dictionaries.
+shuffle for counts carries each distinct word of a chunk once, not each word,
+packed by chunk and part of the vocabulary. A part answers each chunk with the
+counts of its words alone, in their order; codes are kept compressed, once for
+training and scoring.
 """
 
 from __future__ import annotations
@@ -50,8 +51,10 @@ BANDS = 48  # by powers of two of the count; band 0 is the unknown word
 HIDDEN = 24
 ROUNDS = 2
 STREAMS, WINDOW = 192, 16
-ROWS = 1 << 16  # symbols scored at once
+ROWS = 1 << 14  # symbols scored at once
 FAN_IN = 64
+PART_CHUNKS = 4  # chunks whose words are worth a part of the vocabulary
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 END = ""  # the end of a document; no word is empty
 
 
@@ -60,6 +63,11 @@ def band_of(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(count.astype(np.float64))[1], BANDS - 1).astype(np.int64)
 
 
+def ascending(x: np.ndarray, n: int) -> np.ndarray:
+    """A stable order of numbers below ``n``; two bytes are sorted by radix."""
+    return np.argsort(x.astype(np.uint16) if n <= 1 << 16 else x, kind="stable")
+
+
 class ClassGru:
     """The network; all weights in one dictionary of float32 arrays."""
 
@@ -99,68 +107,84 @@ class ClassGru:
         return np.where(symbol < self.n_head, symbol // PER_CLASS, self.head_classes + symbol - self.n_head)
 
     def log_probability(self, states: np.ndarray, symbol: np.ndarray, gradients: dict | None = None):
-        """ln P of each symbol given its state (of a band: of the band); fills ``gradients`` and returns d states too."""
+        """ln P of each symbol given its state (of a band: of the band); fills ``gradients`` and returns d states too.
+
+        Rows are columns of all large arrays, so that sums over classes run along rows.
+        """
         w, n = self.w, len(symbol)
-        kind = self.class_of(symbol)
-        logits = states @ w["class"] + w["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        picked = logits[np.arange(n), kind]
+        kind, every = self.class_of(symbol), np.arange(n)
+        logits = w["class"].T @ states.T
+        logits += w["class_bias"][:, None]
+        logits -= logits.max(axis=0)
+        picked = logits[kind, every]
         np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
+        total = logits.sum(axis=0)
         out = picked - np.log(total)
         d_states = None
         if gradients is not None:
-            logits /= total[:, None]
-            logits[np.arange(n), kind] -= 1
-            logits /= n
-            gradients["class"], gradients["class_bias"] = states.T @ logits, logits.sum(axis=0)
+            total *= n
+            logits /= total
+            logits[kind, every] -= 1 / n
+            gradients["class"], gradients["class_bias"] = (logits @ states).T, logits.sum(axis=1)
             gradients["word"], gradients["word_bias"] = np.zeros_like(w["word"]), np.zeros_like(w["word_bias"])
-            d_states = logits @ w["class"].T
-        order = np.argsort(kind, kind="stable")
+            d_states = logits.T @ w["class"].T
+        order = ascending(kind, len(w["class_bias"]))
         edges = np.searchsorted(kind[order], np.arange(self.head_classes + 1))
-        for c in range(self.head_classes):
-            rows = order[edges[c]:edges[c + 1]]
-            if not len(rows):
-                continue
-            part = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-            inside, at = states[rows] @ w["word"][part].T + w["word_bias"][part], symbol[rows] % PER_CLASS
-            inside -= inside.max(axis=1, keepdims=True)
-            picked = inside[np.arange(len(rows)), at]
-            np.exp(inside, out=inside)
-            total = inside.sum(axis=1)
-            out[rows] += picked - np.log(total)
-            if gradients is not None:
-                inside /= total[:, None]
-                inside[np.arange(len(rows)), at] -= 1
-                inside /= n
-                gradients["word"][part] = inside.T @ states[rows]
-                gradients["word_bias"][part] = inside.sum(axis=0)
-                d_states[rows] += inside @ w["word"][part]
+        order = order[:edges[-1]]
+        if not len(order):
+            return out, d_states
+        # all head words by class: a product for each class, the rest for all at once
+        own, at, every = states[order], symbol[order] % PER_CLASS, np.arange(len(order))
+        inside = np.empty((PER_CLASS, len(order)), own.dtype)
+        pieces = [(slice(lo, hi), slice(c * PER_CLASS, (c + 1) * PER_CLASS))
+                  for c, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if hi > lo]
+        for rows, part in pieces:
+            np.matmul(w["word"][part], own[rows].T, out=inside[:, rows])
+        inside += np.repeat(w["word_bias"].reshape(-1, PER_CLASS).T, np.diff(edges), axis=1)
+        inside -= inside.max(axis=0)
+        picked = inside[at, every]
+        np.exp(inside, out=inside)
+        total = inside.sum(axis=0)
+        out[order] += picked - np.log(total)
+        if gradients is not None:
+            total *= n
+            inside /= total
+            inside[at, every] -= 1 / n
+            back = np.empty_like(own)
+            for rows, part in pieces:
+                np.matmul(inside[:, rows], own[rows], out=gradients["word"][part])
+                np.matmul(inside[:, rows].T, w["word"][part], out=back[rows])
+            filled = np.flatnonzero(np.diff(edges))
+            gradients["word_bias"].reshape(-1, PER_CLASS)[filled] = np.add.reduceat(inside, edges[filled], axis=1).T
+            d_states[order] += back
         return out, d_states
 
+    def inputs(self, symbols: np.ndarray) -> np.ndarray:
+        """The network's inputs (steps, 3 h, sequences) for previous ``symbols`` (steps, sequences)."""
+        return np.ascontiguousarray(self.w["x"][symbols].transpose(0, 2, 1))
+
     def score(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """ln P of each document's symbols; windows follow each other with the state carried on."""
         size = np.diff(bounds)
         order = np.argsort(-size, kind="stable")
         size, start = size[order], bounds[:-1][order]
         result = np.zeros(len(size))
-        state = np.zeros((len(size), HIDDEN), np.float32)
+        state = np.zeros((HIDDEN, len(size)), np.float32)
         previous = np.full(len(size), self.symbols - 1)
         t, longest = 0, int(size[0]) if len(size) else 0
         while t < longest:
             active = int(np.searchsorted(-size, -t, side="left"))
             steps = min(longest - t, max(1, min(64, ROWS // active)))
-            states, targets, rows = [], [], []
-            for s in range(t, t + steps):  # one window
-                active = int(np.searchsorted(-size, -s, side="left"))
-                state[:active], _ = gru.forward(self.w["x"][previous[:active]], state[:active], self.w["u"])
-                states.append(state[:active].copy())
-                previous[:active] = symbols[start[:active] + s]
-                targets.append(previous[:active].copy())
-                rows.append(active)
-            ln, _ = self.log_probability(np.concatenate(states), np.concatenate(targets))
-            doc = np.concatenate([np.arange(n) for n in rows])
-            result += np.bincount(doc, weights=ln.astype(np.float64), minlength=len(size))
+            # one window; documents that end in it run on to its end, uncounted
+            at = t + np.arange(steps)[:, None]
+            inside = at < size[:active]
+            target = symbols[np.minimum(start[:active] + at, len(symbols) - 1)]
+            before = np.concatenate([previous[None, :active], target[:-1]])
+            states, state, _ = gru.steps(self.inputs(before), state[:, :active], self.w["u"])
+            ln = np.zeros(inside.shape)
+            ln[inside], _ = self.log_probability(states.transpose(0, 2, 1)[inside], target[inside])
+            result[:active] += ln.sum(axis=0)
+            previous = target[-1]
             t += steps
         back = np.empty(len(size))
         back[order] = result
@@ -194,34 +218,27 @@ class Trainer:
 
     def _window(self, target: np.ndarray, last: np.ndarray, state: np.ndarray, previous: np.ndarray, used: np.ndarray | None = None):
         w, net = self.net.w, self.net
-        kept, states, inputs, fresh = [], [], [], []
-        for t in range(target.shape[1]):
-            state, keep = gru.forward(w["x"][previous], state, w["u"])
-            kept.append(keep)
-            states.append(state)
-            inputs.append(previous)
-            fresh.append(last[:, t])  # the next symbol begins a document: empty state, start symbol
-            state = np.where(last[:, t, None], np.float32(0), state)
-            previous = np.where(last[:, t], net.symbols - 1, target[:, t])
+        target, last = np.ascontiguousarray(target.T), np.ascontiguousarray(last.T)
+        after = np.where(last, net.symbols - 1, target)  # a document begins with an empty state and the start symbol
+        goes_on = (~last).astype(w["u"].dtype)
+        inputs = np.concatenate([previous[None], after[:-1]])
+        states, state, kept = gru.steps(net.inputs(inputs), state.T, w["u"], goes_on)
         g: dict[str, np.ndarray] = {}
-        every, symbol = np.concatenate(states), target.T.ravel()
+        every, symbol = states.transpose(0, 2, 1).reshape(-1, HIDDEN), target.ravel()
         if used is None or used.all():
             _, d_states = net.log_probability(every, symbol, g)
         else:  # padding gives no gradient
             rows = np.flatnonzero(used.T.ravel())
             d_states = np.zeros_like(every)
             _, d_states[rows] = net.log_probability(every[rows], symbol[rows], g)
-        d_states = d_states.reshape(len(states), -1, HIDDEN)
-        g["x"], g["u"] = np.zeros_like(w["x"]), np.zeros_like(w["u"])
-        back, d_inputs = np.zeros_like(state), [None] * len(states)
-        for t in range(len(states) - 1, -1, -1):
-            back = np.where(fresh[t][:, None], np.float32(0), back) + d_states[t]
-            back, d_inputs[t], d_u = gru.backward(back, kept[t], w["u"])
-            g["u"] += d_u
-        symbol = np.concatenate(inputs)
-        order = np.argsort(symbol, kind="stable")
+        d_states = np.ascontiguousarray(d_states.reshape(*target.shape, HIDDEN).transpose(0, 2, 1))
+        d_inputs, g["u"] = gru.steps_back(d_states, kept, w["u"], goes_on)
+        g["x"] = np.zeros_like(w["x"])
+        symbol = inputs.ravel()
+        order = ascending(symbol, net.symbols)
         first = np.flatnonzero(np.diff(symbol[order], prepend=-1))
-        g["x"][symbol[order[first]]] = np.add.reduceat(np.concatenate(d_inputs)[order], first, axis=0)
+        g["x"][symbol[order[first]]] = np.add.reduceat(
+            d_inputs.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], first, axis=0)
         self.steps += 1
         rate = self.rate * min(1.0, self.steps / 10)
         for k, grad in g.items():  # Adam, in place
@@ -238,39 +255,133 @@ class Trainer:
             np.divide(m, grad, out=grad)
             grad *= rate / (1 - 0.9 ** self.steps)
             w[k] -= grad
-        return state, previous
+        return state.T, after[-1]
+
+
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, their lowest bytes first, then the next ones, compressed."""
+    data = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes, n: int) -> np.ndarray:
+    data = pa.decompress(data, 4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, n).T).view("<u4").ravel()
+
+
+def narrow(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest needs."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
+
+
+def widen(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def lines(words: pa.Array, starts: np.ndarray) -> pa.Array:
+    """The words of each piece [starts[i], starts[i + 1]) as one text; no word holds a line feed."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words.cast(pa.string())), "\n")
+
+
+def unlines(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(starts of the pieces, their words)."""
+    pieces = pc.split_pattern(texts, "\n")
+    return np.asarray(pieces.offsets, dtype=np.int64), pieces.values
 
 
 def coded_chunks(docs: DataFrame, held) -> DataFrame:
-    """Rows of about ``CHUNK_BYTES`` of text: documents as numbers of the chunk's own dictionary."""
+    """Rows of about ``CHUNK_BYTES`` of text: documents as numbers of the chunk's own dictionary, whose frequent words come first."""
     schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-                        ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.list_(pa.string())),
-                        ("train_n", pa.list_(pa.int64()))])
+                        ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.string()), ("train_n", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for batch in sub_batches(batches, "text", CHUNK_BYTES):
             bounds, words = split_words(translate(batch.column("text"), LOWER))
             index, vocabulary = distinct(words) if len(words) else (np.zeros(0, np.int32), pa.array([], pa.string()))
+            vocabulary = pa.concat_arrays([vocabulary.cast(pa.string()), pa.array([END])])
             n = np.diff(bounds)
-            tokens = np.full(len(index) + len(n), len(vocabulary), dtype="<i4")
+            tokens = np.full(len(index) + len(n), len(vocabulary) - 1, dtype=np.int32)
             tokens[np.arange(len(index)) + np.repeat(np.arange(len(n)), n)] = index
+            order = np.argsort(-np.bincount(tokens, minlength=len(vocabulary)), kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            tokens = place[tokens]
             held_rows = np.asarray(batch.column("held"))
-            train = np.bincount(tokens[~np.repeat(held_rows, n + 1)], minlength=len(vocabulary) + 1)
-            row = [[chunk], [batch.column("doc_id").to_pylist()], [held_rows.tolist()], [n + 1], [tokens.tobytes()],
-                   [[*vocabulary.to_pylist(), END]], [train]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
+            train = np.bincount(tokens[~np.repeat(held_rows, n + 1)], minlength=len(vocabulary))
+            row = [[chunk], [batch.column("doc_id").to_pylist()], [held_rows.tolist()], [n + 1], [squeeze(tokens)],
+                   lines(vocabulary.take(pa.array(order)), np.array([0, len(order)])), [narrow(train)]]
+            yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
             chunk += 1
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
     return base.mapInArrow(lean(run), "chunk long, doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, tokens binary, "
-                                "words array<string>, train_n array<bigint>")
+                                "words string, train_n binary")
+
+
+def by_part(words: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): words[order[starts[p]:starts[p + 1]]] are dealt to part p, by hash."""
+    part = (pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def counted(chunks: DataFrame, parts: int, most: int) -> DataFrame:
+    """Training counts of all words, by a shuffle of the chunks' dictionaries in ``parts`` parts.
+
+    Three kinds of rows: (chunk, part, counts) answers a chunk for its words of
+    the part, in their order; (word, c) are a part's ``most`` most frequent words,
+    the end first; (sums) has a part's tokens, words, and by band the tokens and
+    the tokens banded without the occurrence at hand.
+    """
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                _, words = unlines(row.column("words"))
+                train = widen(row.column("train_n")[0].as_py(), len(words))
+                order, starts = by_part(words, parts)
+                filled = np.flatnonzero(np.diff(starts))
+                texts = lines(words.take(pa.array(order)), starts).take(pa.array(filled))
+                train = [narrow(train[order[starts[p]:starts[p + 1]]]) for p in filled.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(filled), row.column("chunk")[0].as_py()), pa.int64()), pa.array(filled, pa.int32()),
+                     texts, pa.array(train, pa.binary())], ["chunk", "part", "words", "train_n"])
+
+    names = ["chunk", "part", "counts", "word", "c", "sums"]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.list_(pa.int64())]
 
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in zip(names, kinds)], names)
 
-def dictionaries(chunks: DataFrame) -> DataFrame:
-    """(chunk, idx, word, n): every chunk's words with their training counts there."""
-    return chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train_n"))).select(
-        "chunk", F.col("pos").alias("idx"), F.col("col.words").alias("word"), F.col("col.train_n").alias("n"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        starts, words = unlines(table.column("words").combine_chunks())
+        index, vocabulary = distinct(words)
+        train = np.concatenate([widen(t.as_py(), n) for t, n in zip(table.column("train_n"), np.diff(starts).tolist())])
+        counts = np.bincount(index, weights=train, minlength=len(vocabulary)).astype(np.int64)
+        answers = [narrow(counts[index[lo:hi]]) for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist())]
+        yield rows(table.num_rows, chunk=table.column("chunk").combine_chunks(), part=table.column("part").combine_chunks(), counts=answers)
+        seen = np.flatnonzero(counts)
+        c, band = counts[seen], band_of(counts[seen])
+        edge = c & (c - 1) == 0
+        by_band = [np.bincount(b, weights=c, minlength=BANDS).astype(np.int64) for b in (band, band - edge)]
+        yield rows(1, sums=[np.concatenate([[c.sum(), len(c)], *by_band])])
+        met = vocabulary.take(pa.array(seen))
+        is_end = np.asarray(pc.equal(met, END))
+        if len(c) > most:  # only these can be the most frequent of all
+            keep = np.flatnonzero(is_end | (c >= np.partition(c, -most)[-most]))
+            c, met, is_end = c[keep], met.take(pa.array(keep)), is_end[keep]
+        found = pa.table({"end": is_end, "c": c, "word": met})
+        found = found.take(pc.sort_indices(found, [("end", "descending"), ("c", "descending"), ("word", "ascending")])[:most]).combine_chunks()
+        yield rows(found.num_rows, word=found.column("word").combine_chunks(), c=found.column("c").combine_chunks())
+
+    dealt = chunks.select("chunk", "words", "train_n").mapInArrow(lean(deal), "chunk long, part int, words string, train_n binary")
+    return dealt.repartition(parts, "part").mapInArrow(
+        lean(count), "chunk long, part int, counts binary, word string, c long, sums array<bigint>")
 
 
 def head_size(types: int) -> int:
@@ -308,74 +419,73 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.02) -
     spark = docs.sparkSession
     held = crc_fold("doc_id", 7) == 2
     chunks = materialize(coded_chunks(docs, held), "lm-chunks")
-    words = dictionaries(chunks)
-    known = materialize(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "lm-lexicon")
-    total, types = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = known.orderBy(F.col("word") != END, F.desc("c"), "word").limit(head_size(types)).select("word", "c").collect()
+    n_chunks = chunks.count()
+    if not n_chunks:
+        return spark.createDataFrame([], SCORES)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_chunks)  # so that a task holds few chunks
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_chunks / PART_CHUNKS))
+    entries = chunks.select(F.sum(F.length("words") - F.length(F.replace("words", F.lit("\n"))) + 1)).first()[0]
+    known = materialize(counted(chunks, parts, head_size(entries)), "lm-lexicon")
+    sums = {r.pos: r.n for r in known.where("sums is not null").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
+    total, types, *by_band = (sums[k] for k in range(2 + 2 * BANDS))
+    head = known.where("word is not null").orderBy(F.col("word") != END, F.desc("c"), "word").limit(head_size(types)).select("word", "c").collect()
     head = sorted(head, key=lambda r: (-r.c, r.word))
     head_words, head_counts = [r.word for r in head], np.array([r.c for r in head], dtype=np.float64)
     # bands of the tail: mass and, without the occurrence at hand, what training will see of each
-    band = F.least(F.floor(F.log2("c")) + 1, F.lit(BANDS - 1)).cast("int")
-    mass, seen_less = np.zeros(BANDS), np.zeros(BANDS)
-    for r in known.groupBy(band.alias("b"), (F.log2("c") == F.floor(F.log2("c"))).alias("edge")).agg(F.sum("c").alias("m")).collect():
-        mass[r.b] += r.m
-        seen_less[r.b - 1 if r.edge else r.b] += r.m
+    mass, seen_less = (np.array(x, dtype=np.float64) for x in (by_band[:BANDS], by_band[BANDS:]))
     for word_count in head_counts.astype(np.int64).tolist():
         b = int(band_of(np.array([word_count]))[0])
         mass[b] -= word_count
         seen_less[b - 1 if word_count & (word_count - 1) == 0 else b] -= word_count
     n_head = len(head_words)
     n_bands = int(np.flatnonzero(mass > 0).max(initial=0)) + 1  # bands that some word of the tail is in
-    code_type = "<u2" if n_head + n_bands < 1 << 16 else "<u4"
     floor = math.log10(total + types + 1)
+    # a code is a head word, or a band and whether it is one less without the occurrence at hand
+    bands = np.repeat(np.arange(n_bands), 2)
+    symbol_of = np.concatenate([np.arange(n_head), n_head + bands])
+    less_of = np.concatenate([np.arange(n_head), n_head + np.maximum(bands - np.arange(2 * n_bands) % 2, 0)])
 
     coded_schema = pa.schema([
         ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())),
-        ("n_known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("tail", pa.list_(pa.float64())),
-        ("symbols", pa.binary()), ("train", pa.binary()), ("train_ends", pa.binary())])
+        ("n_known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("tail", pa.list_(pa.float64())), ("codes", pa.binary())])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pa.array(head_words, pa.string())
-        head_of = np.append(head_counts, 0).astype(np.int64)
         in_band = np.maximum(mass, 1)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                flat = {c: row.column(c)[0].values for c in ("words", "sizes", "held", "found")}
-                ids = np.asarray(pc.fill_null(pc.index_in(flat["words"], vocabulary), -1)).astype(np.int64)
-                counts = np.where(ids >= 0, head_of[ids], 0)
-                counts[np.asarray(flat["found"].field("idx"))] = np.asarray(flat["found"].field("c"))
+                _, words = unlines(row.column("words"))
+                order, starts = by_part(words, parts)
+                counts = np.zeros(len(words), np.int64)
+                for answer in row.column("answers")[0].as_py():
+                    own = order[starts[answer["part"]]:starts[answer["part"] + 1]]
+                    counts[own] = widen(answer["counts"], len(own))
+                ids = np.asarray(pc.fill_null(pc.index_in(words, vocabulary), -1)).astype(np.int64)
                 bands = band_of(counts)
-                symbol = np.where(ids >= 0, ids, n_head + bands).astype(code_type)
-                less = np.where(ids >= 0, ids, n_head + band_of(np.maximum(counts - 1, 0))).astype(code_type)
+                edge = (counts > 0) & (counts & (counts - 1) == 0)
+                symbol = np.where(ids >= 0, ids, n_head + 2 * bands + edge)
                 tail = np.where((ids >= 0) | (counts == 0), 0.0, np.log10(np.maximum(counts, 1) / in_band[bands]))
-                tokens = np.frombuffer(row.column("tokens")[0].as_py(), "<i4")
-                sizes = np.asarray(flat["sizes"])
+                sizes = np.asarray(row.column("sizes")[0].values)
+                tokens = unsqueeze(row.column("tokens")[0].as_py(), int(sizes.sum()))
                 first = np.cumsum(sizes) - sizes
-                doc_ids = row.column("doc_ids")[0].as_py()
-                held_rows = flat["held"].to_numpy(zero_copy_only=False)
-                inside = np.repeat(~held_rows, sizes)
-                last = np.zeros(len(tokens), dtype=bool)
-                last[first + sizes - 1] = True
-                out = [[doc_ids], [held_rows.tolist()], [sizes], [np.add.reduceat(counts[tokens] > 0, first, dtype=np.int64)],
+                out = [row.column("doc_ids"), row.column("held"), [sizes], [np.add.reduceat(counts[tokens] > 0, first, dtype=np.int64)],
                        [np.add.reduceat(np.log10(counts + 1.0)[tokens], first) - floor * sizes], [np.add.reduceat(tail[tokens], first)],
-                       [symbol[tokens].tobytes()], [less[tokens[inside]].tobytes()], [last[inside].tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, coded_schema)], schema=coded_schema)
-
-    top = spark.createDataFrame([(w,) for w in head_words], "word string")
-    rest = words.select("chunk", "idx", "word").join(F.broadcast(top), "word", "left_anti").join(known, "word")
-    found = rest.groupBy("chunk").agg(F.collect_list(F.struct("idx", "c")).alias("found"))  # a chunk has few words
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count())  # so that a task holds few chunks
-    none = F.array().cast("array<struct<idx:int,c:bigint>>")
-    met = chunks.repartition(tasks, "chunk").join(found.repartition(tasks, "chunk"), "chunk", "left")
-    coded = met.select("chunk", "doc_ids", "held", "sizes", "tokens", "words", F.coalesce("found", none).alias("found")).mapInArrow(
+                       [squeeze(symbol[tokens])]]
+                yield pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type)
+                                                  for v, f in zip(out, coded_schema)], schema=coded_schema)
+
+    answers = known.where("chunk is not null").select("chunk", "part", "counts").repartition(tasks, "chunk").groupBy("chunk").agg(
+        F.collect_list(F.struct("part", "counts")).alias("answers"))  # counts of one chunk's words
+    met = chunks.drop("train_n").repartition(tasks, "chunk").join(answers, "chunk")
+    coded = met.select("doc_ids", "held", "sizes", "tokens", "words", "answers").mapInArrow(
         lean(code), "doc_ids array<bigint>, held array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, "
-              "tail array<double>, symbols binary, train binary, train_ends binary")
+              "tail array<double>, codes binary")
     coded = materialize(coded, "lm-coded")
 
     net = ClassGru(n_head, n_bands)
     net.start_from(head_counts, np.maximum(seen_less, 0)[:n_bands])
-    lessons = coded.select("train", "train_ends")
+    lessons = coded.select("held", "n_tokens", "codes")
     tasks = lessons.rdd.getNumPartitions()
     for k in range(rounds):
         start = np.frombuffer(net.pack(), np.float32)
@@ -385,8 +495,12 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.02) -
             own.unpack(start)
             trainer = Trainer(own, rate)
             for batch in batches:
-                for lesson, ends in zip(batch.column("train"), batch.column("train_ends")):
-                    trainer.train(np.frombuffer(lesson.as_py(), code_type).astype(np.int64), np.frombuffer(ends.as_py(), bool))
+                for held_rows, sizes, codes in zip(*(batch.column(c) for c in ("held", "n_tokens", "codes"))):
+                    learned, sizes = ~held_rows.values.to_numpy(zero_copy_only=False), np.asarray(sizes.values)
+                    lesson = less_of[unsqueeze(codes.as_py(), int(sizes.sum()))[np.repeat(learned, sizes)]]
+                    ends = np.zeros(len(lesson), dtype=bool)
+                    ends[np.cumsum(sizes[learned]) - 1] = True
+                    trainer.train(lesson, ends)
             if trainer.seen:
                 packed = np.frombuffer(own.pack(), np.float32).astype("<f8") * trainer.seen
                 yield pa.RecordBatch.from_arrays(
@@ -403,7 +517,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.02) -
         own.unpack(weights)
         for batch in batches:
             for row in batch.to_pylist():
-                symbols = np.frombuffer(row["symbols"], code_type).astype(np.int64)
+                symbols = symbol_of[unsqueeze(row["codes"], sum(row["n_tokens"]))]
                 if total:
                     ln = own.score(symbols, np.concatenate([[0], np.cumsum(row["n_tokens"])]))
                 else:  # nothing was learned: the unknown word is the only one
@@ -414,8 +528,4 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.02) -
                      pa.array(ln / math.log(10) + np.array(row["tail"]))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    if chunks.isEmpty():
-        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                                         "base_score double, score double")
-    return coded.drop("train", "train_ends").mapInArrow(
-        lean(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return coded.mapInArrow(lean(score), SCORES)

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import zlib
 
 import numpy as np
@@ -137,3 +138,57 @@ def test_last_symbols_of_a_lesson_are_learned():
     trainer.train(symbols, ends)
     assert trainer.seen == 100
     assert (net.w["word"][32:64] != before[32:64]).any() and (net.w["word"][64:] == before[64:]).all()
+
+
+def test_stored_tables_are_smaller_than_the_texts(spark, docs, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i * 7919 % 99991}" for i in np.minimum(rng.zipf(1.3, 800), 60_000)) for _ in range(150)]
+    kept, write = {}, lm.materialize
+
+    def noted(df, name):
+        out = write(df, name)
+        kept[name] = sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(lm, "materialize", noted)
+    lm.score_documents(docs(*enumerate(texts)).coalesce(1), rounds=0).count()
+    assert kept.keys() == {"lm-chunks", "lm-lexicon", "lm-coded"}
+    assert sum(kept.values()) < 0.75 * sum(map(len, texts))
+
+
+def test_counts_come_back_to_every_chunk(spark, docs, monkeypatch):
+    # many chunks and parts, a word in every one, words of one chunk only, words never learned
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 400)
+    monkeypatch.setattr(lm, "PART_CHUNKS", 1)
+    monkeypatch.setattr(lm, "HEAD", 32)
+    df = docs(*((i, f"common {'x' * (i % 5)} rare{i} rare{i // 3} " + "b cé " * (i % 4)) for i in range(120)))
+    check_base(df.select("doc_id", "text").collect(), lm.score_documents(df, rounds=0).collect())
+
+
+def test_numbers_come_back_from_their_packed_forms():
+    for x in ([], [0], [3, 255], [256, 7, 65536], [2**32 - 1, 0, 1]):
+        x = np.array(x, np.int64)
+        assert lm.unsqueeze(lm.squeeze(x), len(x)).tolist() == x.tolist() == lm.widen(lm.narrow(x), len(x)).tolist()
+    assert lm.widen(lm.narrow(np.array([2**40, 1])), 2).tolist() == [2**40, 1]
+
+
+def test_columns_of_sequences_step_as_rows_do():
+    rng = np.random.default_rng(2)
+    n, h, width = 6, 5, 7
+    x, u = rng.normal(0, 1, (n, width, 3 * h)), rng.normal(0, 1, (h, 3 * h))
+    state, goes_on, d = rng.normal(0, 1, (width, h)), (rng.random((n, width)) > 0.3).astype(float), rng.normal(0, 1, (n, width, h))
+    after, last, kept = lm.gru.steps(np.ascontiguousarray(x.transpose(0, 2, 1)), state.T, u, goes_on)
+    d_inputs, d_u = lm.gru.steps_back(np.ascontiguousarray(d.transpose(0, 2, 1)), kept, u, goes_on)
+    saved = []
+    for t in range(n):
+        state, keep = lm.gru.forward(x[t], state, u)
+        saved.append(keep)
+        assert np.allclose(after[t].T, state)
+        state = state * goes_on[t][:, None]
+    assert np.allclose(last.T, state)
+    back, want_u = np.zeros((width, h)), 0
+    for t in range(n - 1, -1, -1):
+        back, d_in, part = lm.gru.backward(back * goes_on[t][:, None] + d[t], saved[t], u)
+        want_u = want_u + part
+        assert np.allclose(d_inputs[t].T, d_in)
+    assert np.allclose(d_u, want_u)
