@@ -86,7 +86,11 @@ def tfidf(docs: DataFrame, key: str, tokens: Column | str, max_features: int, mi
     name of a text whose ``clean_tokens`` are meant."""
     n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
     docs = TM.spread(docs)
-    vocab = most_counted(TM.statistics(docs, tokens, ngram_max), n_docs, max_features, min_df, max_df)
+    if isinstance(tokens, str) and ngram_max == 2:
+        stats = TM.frequent(docs, tokens, max_features, min_df, F.lit(max_df) * n_docs, BROADCAST_TERMS)
+    else:
+        stats = TM.statistics(docs, tokens, ngram_max)
+    vocab = most_counted(stats, n_docs, max_features, min_df, max_df)
     if max_features <= BROADCAST_TERMS:
         return TM.weight_rows(docs, key, tokens, with_idf(vocab, n_docs), ngram_max, sublinear_tf)
     tf = term_counts(docs, key, lambda t: ngram_terms(t, ngram_max), clean_tokens(tokens) if isinstance(tokens, str) else tokens)

@@ -42,3 +42,17 @@ def test_texts_of_one_file_are_spread_over_the_cores(spark, sf_dir):
     assert TM.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = one.repartition(spark.sparkContext.defaultParallelism + 1)
     assert TM.spread(wide) is wide
+
+
+def test_only_pairs_of_frequent_words_are_counted(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 2 + ["to to be", "seldom seen", "starts with to be"])], "id long, text string").repartition(3)
+    n = F.lit(float(docs.count()))
+    every = {r.term: (r.df, r.cf) for r in TM.statistics(docs, "text", 2).collect()}
+    for most in (1, 2, 3, 4, 5, 500):
+        for limit in (100, 0):
+            found = TM.frequent(docs, "text", most, 2, F.lit(0.5) * n, limit)
+            kept = {r.term: (r.df, r.cf) for r in found.collect()}
+            assert len(kept) == found.count() and kept.items() <= every.items()
+            want, got = ({(r.term, r.idx) for r in V.most_counted(stats, n, most, 2, 0.5).collect()} for stats in (TM.statistics(docs, "text", 2), found))
+            assert got == want
+            assert ("seldom seen" in kept) == (limit == 0 or most == 500), (most, limit)  # of words that occur once
